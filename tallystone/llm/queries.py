@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, media, toxicity, url_filter
+import os
+
+from . import decontaminate, langid, line_dedup, media, minhash, pieces, pii, repair, toxicity, url_filter
 from .common import table
 
 
+#: Vocabulary files; the folder is a parameter of the deployment.
+TOKENIZERS = os.environ.get("TALLYSTONE_TOKENIZERS", "/opt/tokenizers")
+
+
+def op1_sentencepiece(spark, sf_dir):
+    return pieces.op1(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op4_pii(spark, sf_dir):
+    return pii.op4(table(spark, sf_dir, "documents"))
+
+
+def op9_repair_tokens(spark, sf_dir):
+    return repair.op9(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op2_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -26,6 +44,17 @@ def op7_line_dedup(spark, sf_dir):
     return line_dedup.op7(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_media, op5_toxicity, op6_langid, op7_line_dedup)}
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_minhash(spark, sf_dir):
+    return minhash.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_url_filter, op3_media, op4_pii, op5_toxicity, op6_langid, op7_line_dedup, op8_decontamination, op9_repair_tokens, op10_minhash)
+}
 
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_minhash": minhash.ORACLE}
