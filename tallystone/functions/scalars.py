@@ -200,4 +200,4 @@ def json_reply(x: Column | str) -> Column:
     s = F.coalesce(_c(x), F.lit(""))
     inner = F.coalesce(F.nullif(F.regexp_extract(s, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), s)
     braces = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(F.nullif(braces, F.lit(""))).isNotNull(), braces)
+    return F.when((braces != "") & (F.json_array_length(F.concat(F.lit("["), braces, F.lit("]"))) == 1), braces)

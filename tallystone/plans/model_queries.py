@@ -1 +1,141 @@
+"""Vectors and routing (J14, M2, M8, M14, G3-G11), evaluation (E1-E11) and reliability."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import reliability as R
+from ..operators import routing as G
+from ..operators import scoring as E
+from ..operators import vectors as V
+from .aggregate_queries import scores
+from .bindings import entries, rows, table
+from .registry import query, r6
+
+
+@query("j14_nearest", "WITH p AS (SELECT a.label AS label, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(generate_series(1,64), lambda i: a.embedding[i]::DOUBLE*b.embedding[i]::DOUBLE)) AS s FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s,9) DESC, b) AS rank FROM p) SELECT a, b, rank, round(s,6) AS similarity FROM r WHERE rank <= 5")
+def j14(spark, sf):
+    n = G.neighbours(table(spark, sf, "embeddings"), [], "label", "vec_id", "embedding", 5)
+    return n.select("a", "b", "rank", r6("similarity", "similarity"))
+
+
+@query("g07_weighted_vote")
+def g07(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("g", F.lit(1) * (F.col("vec_id") % 4))
+    near = G.neighbours(e, [], "g", "vec_id", "embedding", 5)
+    return G.weighted_vote(near, e.select(F.col("vec_id").alias("id"), "label"), "label").select(F.col("a").alias("vec_id"), "label", r6("confidence", "confidence"))
+
+
+@query("m02_standardised", "WITH x AS (SELECT vec_id, unnest(generate_series(0,63)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 1000000), s AS (SELECT *, avg(x) OVER (PARTITION BY i) AS m, stddev_pop(x) OVER (PARTITION BY i) AS d FROM x) SELECT vec_id, CAST(i AS INT) AS i, round((x-m)/d,6) AS z FROM s")
+def m02(spark, sf):
+    return V.standardised(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", "i", r6("z", "z"))
+
+
+@query("m14_outliers", "WITH x AS (SELECT vec_id, unnest(generate_series(0,63)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT *, (x-avg(x) OVER (PARTITION BY i))/stddev_pop(x) OVER (PARTITION BY i) AS z FROM x), d AS (SELECT vec_id, sqrt(sum(z*z)) AS distance FROM s GROUP BY 1) SELECT vec_id, round(distance,6) AS distance, distance > (SELECT quantile_cont(distance,0.95) FROM d) AS outlier FROM d")
+def m14(spark, sf):
+    return V.outliers(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", r6("distance", "distance"), "outlier")
+
+
+@query("m04_clusters")
+def m04(spark, sf):
+    out, _ = V.kmeans(table(spark, sf, "embeddings"), "embedding", [4, 8])
+    return out.groupBy("prediction", "label").agg(F.count("*").alias("n"))
+
+
+_SC = "WITH s AS (SELECT doc_id AS page, unnest(['v2_no_gemini','v2_no_claude','v2_no_gpt','v2_full']) AS pipeline, unnest([(doc_id*7919 % 1000)/1000.0,(doc_id*104729 % 1000)/1000.0,(doc_id*1299709 % 1000)/1000.0,(doc_id*15485863 % 1000)/1000.0])::DOUBLE AS score FROM documents), f AS (SELECT page, score AS full_score FROM s WHERE pipeline='v2_full')"
+
+
+@query("g03_skip_labels", _SC + " SELECT page, pipeline, CAST(round(full_score-score,9) <= 0.03 AS INT) AS skip FROM s JOIN f USING (page) WHERE pipeline <> 'v2_full'")
+def g03(spark, sf):
+    return G.skip_labels(scores(spark, sf), 0.03)
+
+
+@query("g09_g10_sweep", _SC + """, t AS (SELECT unnest([0.01,0.03,0.05])::DOUBLE AS threshold), k AS (SELECT threshold, s.page, list(pipeline ORDER BY pipeline) FILTER (round(full_score-score,9) <= threshold AND pipeline <> 'v2_full') AS skipped FROM s JOIN f USING (page), t GROUP BY ALL),
+c AS (SELECT threshold, page, CASE WHEN len(skipped)=1 THEN skipped[1] ELSE 'v2_full' END AS pipeline FROM k), e AS (SELECT c.threshold, c.page, s.score, f.full_score, CASE WHEN c.pipeline='v2_full' THEN 3 ELSE 2 END AS n FROM c JOIN s ON c.page=s.page AND c.pipeline=s.pipeline JOIN f ON c.page=f.page)
+SELECT threshold, round(avg(score)/avg(full_score),6) AS preservation, round(1-avg(n)/3,6) AS cost_reduction, round(min(score),6) AS min_score, count(*) FILTER (score < 0.9*full_score) AS failures FROM e GROUP BY threshold""")
+def g10(spark, sf):
+    s = scores(spark, sf)
+    wide = s.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("pipeline", "score"))).alias("m"))  # four pipelines a page
+    wide = wide.withColumn("full_score", F.element_at("m", "v2_full")).withColumn("threshold", F.explode(F.array(*map(F.lit, [0.01, 0.03, 0.05]))))
+    skipped = F.filter(F.array(*map(F.lit, ["v2_no_claude", "v2_no_gemini", "v2_no_gpt"])), lambda p: F.round(F.col("full_score") - F.element_at("m", p), 9) <= F.col("threshold"))
+    c = wide.withColumn("pipeline", F.when(F.size(skipped) == 1, skipped[0]).otherwise("v2_full")).withColumn("score", F.element_at("m", F.col("pipeline")))
+    g = c.groupBy("threshold").agg((F.avg("score") / F.avg("full_score")).alias("p"), (1 - F.avg(G.calls(F.col("pipeline"))) / 3).alias("c"), F.min("score").alias("m"), F.count_if(F.col("score") < 0.9 * F.col("full_score")).alias("failures"))
+    return g.select("threshold", r6("p", "preservation"), r6("c", "cost_reduction"), r6("m", "min_score"), "failures")
+
+
+@query("g11_system_comparison", _SC + ", g AS (SELECT pipeline, avg(score) AS a, min(score) AS m, stddev_samp(score) AS d FROM s GROUP BY 1) SELECT pipeline, round(a,6) AS final_avg, round(m,6) AS min_score, round(d,6) AS score_std, round(m,9)=round(max(m) OVER (),9) AS is_highest_min, round(d,9)=round(min(d) OVER (),9) AS is_lowest_std FROM g")
+def g11(spark, sf):
+    from pyspark.sql import Window
+
+    g = scores(spark, sf).groupBy("pipeline").agg(F.avg("score").alias("a"), F.min("score").alias("m"), F.stddev_samp("score").alias("d"))
+    w = Window.partitionBy()  # one row a pipeline
+    return g.select("pipeline", r6("a", "final_avg"), r6("m", "min_score"), r6("d", "score_std"), (F.round("m", 9) == F.round(F.max("m").over(w), 9)).alias("is_highest_min"), (F.round("d", 9) == F.round(F.min("d").over(w), 9)).alias("is_lowest_std"))
+
+
+def _rows(spark, sf, noisy: bool):
+    """Ledger rows as a page's expected rows, or with every 7th row gone, some amounts off and some types changed."""
+    li = table(spark, sf, "lineitem")
+    types = F.when(F.col("l_linenumber") == 1, "header").when(F.col("l_linenumber") == 7, "total").otherwise("entry")
+    base = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row_index"), types.alias("row_type"), F.concat_ws(" ", F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_partkey").cast("string")).alias("description"), F.floor("l_extendedprice").cast("long").alias("amount"), F.when(F.col("l_partkey") % 3 == 0, 0.5).alias("fraction"), F.col("l_partkey").alias("k"))
+    if not noisy:
+        return base.drop("k")
+    kept = base.where("k % 7 <> 0").withColumn("amount", F.when(F.col("k") % 11 == 0, F.col("amount") + 1).otherwise(F.col("amount")))
+    return kept.withColumn("row_type", F.when((F.col("k") % 13 == 0) & (F.col("row_type") == "entry"), "total").otherwise(F.col("row_type"))).drop("k")
+
+
+@query("e01_structure", """WITH g AS (SELECT l_orderkey AS page, l_partkey AS k, CASE l_linenumber WHEN 1 THEN 'header' WHEN 7 THEN 'total' ELSE 'entry' END AS t FROM lineitem), p AS (SELECT page, CASE WHEN k%13=0 AND t='entry' THEN 'total' ELSE t END AS t FROM g WHERE k%7<>0),
+b AS (SELECT page, t, 1 AS s FROM p UNION ALL SELECT page, t, 0 FROM g), c AS (SELECT page, count(*) FILTER (s=1) np, count(*) FILTER (s=0) ng, count(*) FILTER (s=1 AND t='header') h1, count(*) FILTER (s=0 AND t='header') h0, count(*) FILTER (s=1 AND t='entry') e1, count(*) FILTER (s=0 AND t='entry') e0, count(*) FILTER (s=1 AND t='total') t1, count(*) FILTER (s=0 AND t='total') t0 FROM b GROUP BY page)
+SELECT page, round(greatest(0,1-abs(np-ng)/ng),6) AS row_count_score, round((CASE WHEN h0=0 THEN (h1=0)::INT ELSE greatest(0,1-abs(h1-h0)/h0) END + CASE WHEN e0=0 THEN (e1=0)::INT ELSE greatest(0,1-abs(e1-e0)/e0) END + CASE WHEN t0=0 THEN (t1=0)::INT ELSE greatest(0,1-abs(t1-t0)/t0) END)/3,6) AS type_count_score FROM c""")
+def e01(spark, sf):
+    return E.structure_score(_rows(spark, sf, True), _rows(spark, sf, False)).select("page", r6("row_count_score", "row_count_score"), r6("type_count_score", "type_count_score"))
+
+
+@query("e02_e06_page_scores")
+def e02(spark, sf):
+    return E.page_scores(_rows(spark, sf, True), _rows(spark, sf, False))
+
+
+@query("e08_feedback")
+def e08(spark, sf):
+    return E.feedback(_rows(spark, sf, True), _rows(spark, sf, False))
+
+
+@query("e11_most_rows", "SELECT o_custkey, (array_agg(o_orderkey ORDER BY n DESC, o_orderkey))[1] AS best FROM (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey=l_orderkey GROUP BY ALL) GROUP BY o_custkey")
+def e11(spark, sf):
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    j = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(n, "o_orderkey")
+    return j.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(-F.col("n"), "o_orderkey")).alias("best"))
+
+
+_RATERS = "WITH r AS (SELECT doc_id, CAST(quality AS VARCHAR) AS a, CAST(CASE WHEN doc_id % 5 = 0 THEN 1-quality ELSE quality END AS VARCHAR) AS b, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(1-toxic AS VARCHAR) END AS c FROM labels)"
+
+
+def _raters(spark, sf):
+    q = F.col("quality")
+    return table(spark, sf, "labels").select("doc_id", q.cast("string").alias("a"), F.when(F.col("doc_id") % 5 == 0, 1 - q).otherwise(q).cast("string").alias("b"), F.when(F.col("doc_id") % 9 != 0, (1 - F.col("toxic")).cast("string")).alias("c"))
+
+
+@query("r01_cohen", _RATERS + ", k AS (SELECT coalesce(a,'unknown') a, coalesce(c,'unknown') b FROM r), n AS (SELECT count(*) n, count(*) FILTER (a=b) s FROM k), e AS (SELECT sum(x*y) AS e FROM (SELECT a, count(*) x FROM k GROUP BY a) p JOIN (SELECT b, count(*) y FROM k GROUP BY b) q ON a=b) SELECT round((s/n - e/(n*n::DOUBLE))/(1-e/(n*n::DOUBLE)),6) AS kappa, n FROM n, e")
+def r01(spark, sf):
+    return R.cohen(_raters(spark, sf), "a", "c").select(r6("kappa", "kappa"), "n")
+
+
+@query("r02_fleiss", _RATERS + ", l AS (SELECT doc_id, unnest([a, b, coalesce(c,'unknown')]) AS k FROM r), i AS (SELECT doc_id, k, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT doc_id, (sum(n*n)-3)/6.0 AS p FROM i GROUP BY doc_id), q AS (SELECT sum(pow(n/(SELECT count(*) FROM l),2)) AS pe, count(*) AS n_categories FROM (SELECT k, count(*) AS n FROM l GROUP BY k)) SELECT round((avg(p)-any_value(pe))/(1-any_value(pe)),6) AS kappa, count(*) AS n_items, any_value(n_categories) AS n_categories FROM p, q")
+def r02(spark, sf):
+    return R.fleiss(_raters(spark, sf), ["a", "b", "c"]).select(r6("kappa", "kappa"), "n_items", "n_categories")
+
+
+@query("r03_agreement", _RATERS + " SELECT a AS label, count(*) AS n_items, count(*) FILTER (a=b AND a=coalesce(c,'unknown')) AS n_agree, round(count(*) FILTER (a=b AND a=coalesce(c,'unknown'))/count(*),6) AS agree_rate FROM r GROUP BY a")
+def r03(spark, sf):
+    return R.agreement(_raters(spark, sf), ["a", "b", "c"]).select("label", "n_items", "n_agree", r6("agree_rate", "agree_rate"))
+
+
+@query("r05_bootstrap")
+def r05(spark, sf):
+    e = entries(spark, sf).where("direction in ('income', 'expenditure')").withColumn("unit", F.col("page_id") % 100)
+    return R.bootstrap(e, "unit", "decade", F.when(F.col("direction") == "income", F.col("amount_w")).otherwise(0.0), F.col("amount_w"), draws=200)
+
+
+@query("s01_scan_explode", "SELECT l_orderkey AS page_id, count(*) AS n_rows, sum(1 + l_linenumber % 2) AS n_years FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1")
+def s01(spark, sf):
+    return rows(spark, sf).groupBy("page_id").agg(F.count("*").alias("n_rows"), F.sum(F.size("years")).alias("n_years"))
