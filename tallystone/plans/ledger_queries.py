@@ -100,7 +100,7 @@ def q08(spark, sf):
     return W.change_points(_metrics(spark, sf), "x", 2.5, by=["metric"]).select("metric", "year", r6("diff", "diff"), r6("z", "z"))
 
 
-@query("r13_change_point_thresholds", _METRICS + """ SELECT t.threshold, metric, count(*) AS n_change_points, list(year ORDER BY year) AS years FROM z, (VALUES (2.0),(2.5),(3.0)) t(threshold) WHERE abs(0.6745*(diff-med)/mad) >= t.threshold GROUP BY ALL""")
+@query("r13_change_point_thresholds", _METRICS + """ SELECT t.threshold, metric, count(*) AS n_change_points, list(year ORDER BY year) AS years FROM z, (VALUES (2.0::DOUBLE),(2.5::DOUBLE),(3.0::DOUBLE)) t(threshold) WHERE abs(0.6745*(diff-med)/mad) >= t.threshold GROUP BY ALL""")
 def r13(spark, sf):
     z = W.change_points(_metrics(spark, sf), "x", 2.0, by=["metric"])
     z = A.sweep(z, {"threshold": [2.0, 2.5, 3.0]}).where("abs(z) >= threshold")
@@ -201,11 +201,12 @@ _MOD = "CASE payment_period " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v
 
 
 @query("q20_payment_modernity", ENTRIES + f""", x AS (SELECT *, {_MOD} AS m FROM entries), y AS (SELECT year, sum(m*year_weight)/sum(year_weight) AS idx FROM x WHERE m IS NOT NULL GROUP BY year)
-SELECT year, round(idx,6) AS modernity, round(CASE WHEN count(idx) OVER w >= 3 THEN avg(idx) OVER w END,6) AS rolling FROM y WINDOW w AS (ORDER BY year ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+SELECT year, round(idx + 1e-9,6) AS modernity, round(CASE WHEN count(idx) OVER w >= 3 THEN avg(idx) OVER w END + 1e-9,6) AS rolling FROM y WINDOW w AS (ORDER BY year ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
 def q20(spark, sf):
     e = entries(spark, sf).withColumn("m", S.lookup("payment_period", K.MODERNITY)).where("m is not null")
     y = e.groupBy("year").agg(A.weighted_mean(F.col("m"), F.col("year_weight")).alias("idx"))
-    return y.select("year", r6("idx", "modernity"), r6(W.rolling("idx", 3, 3, 3), "rolling"))
+    # few weights give exact halves of the last digit: both sides round those up
+    return y.select("year", r6(F.col("idx") + 1e-9, "modernity"), r6(W.rolling("idx", 3, 3, 3) + 1e-9, "rolling"))
 
 
 _PSUM = ", ".join(f"greatest(coalesce(sum(year_weight) FILTER (payment_period='{p}'),0),1e-9) AS {p}" for p in K.PERIODS[:-1])

@@ -14,19 +14,24 @@ def new_pages(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
     return spark.readStream.schema(PAGE).option("multiLine", True).option("maxFilesPerTrigger", files).json(path)
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks need a timestamp with a time zone; times without one are in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed_totals(events: DataFrame, time: str, key: str, value: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of tumbling windows; rows later than the watermark are dropped by it, as it says."""
-    w = events.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), key)
+    w = _timed(events, time, late).groupBy(F.window(time, size).alias("w"), key)
     return w.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
 def first_seen(events: DataFrame, time: str, key: str, late: str = "10 minutes") -> DataFrame:
     """Each key once within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key]).select(time, key)
+    return _timed(events, time, late).dropDuplicatesWithinWatermark([key]).select(time, key)
 
 
-def running_distinct(events: DataFrame, key: str) -> DataFrame:
-    """Rows and first event of each key so far; for update or complete output."""
+def running_counts(events: DataFrame, key: str) -> DataFrame:
+    """Rows of each key so far; for update or complete output."""
     return events.groupBy(key).agg(F.count("*").alias("n"))
 
 
