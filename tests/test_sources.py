@@ -79,3 +79,9 @@ def test_streams(spark, tmp_path):
     assert 0 < got <= events.count()
     M.upsert(M.first_seen(stream, "ts", "user_id", "10000 days"), str(tmp_path / "c2"), str(tmp_path / "out")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("user_id").distinct().count()
+
+
+def test_retries_keep_the_better_score(spark):
+    scores = spark.createDataFrame([(1, 0.5), (2, 0.9)], "page int, combined double")
+    again = P.retried(scores, lambda df: df.withColumn("combined", F.lit(0.6)), times=1)
+    assert {r["page"]: r["combined"] for r in again.collect()} == {1: 0.6, 2: 0.9}
