@@ -22,6 +22,7 @@ get equal ids; an empty table gives no rows. Decoding restores any text, but for
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +51,7 @@ def _raw(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 class Model:
     """A model's normal pieces, sorted by their hashes. Pieces are numbered by rank: single characters, then by falling score."""
 
+    name: str  # tells models apart
     bpe: bool
     ids: np.ndarray  # by rank
     scores: np.ndarray
@@ -174,8 +176,9 @@ def build(sp, kind: int) -> Model:
     byte_ids = np.array([i for i in range(n) if sp.is_byte(i)], np.int32)
     outs = [bytes([int(pieces[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else pieces[i].replace(chr(BLANK), " ").encode() for i in range(n)]
     sizes = np.array(list(map(len, outs)))
+    name = hashlib.sha256(repr((kind, pieces, [sp.get_score(i) for i in range(n)])).encode()).hexdigest()
     return Model(
-        kind == _BPE, np.array(normal, np.int32), np.array([sp.get_score(i) for i in normal]), lengths, raw, left, right, keys[usable], usable, keys[order], order,
+        name, kind == _BPE, np.array(normal, np.int32), np.array([sp.get_score(i) for i in normal]), lengths, raw, left, right, keys[usable], usable, keys[order], order,
         np.unique(points[np.isin(np.arange(len(points)), offsets[:-1][lengths == 1])]), byte_ids, sp.unk_id(), np.frombuffer(b"".join(outs), np.uint8), np.cumsum(sizes) - sizes, sizes, int(lengths.max()),
     )
 
@@ -218,8 +221,18 @@ def viterbi(m: Model, points: np.ndarray, starts: np.ndarray, length: int) -> tu
     return out[np.arange(length) >= length - count[:, None]], count
 
 
+_encoders: dict[str, object] = {}
+
+
 def encoder(m: Model):
-    """texts -> (flat ids, number of ids of each text)."""
+    """texts -> (flat ids, number of ids of each text). A worker keeps it, with its cache of words, from task to task."""
+    if m.name not in _encoders:
+        _encoders.clear()
+        _encoders[m.name] = _encoder(m)
+    return _encoders[m.name]
+
+
+def _encoder(m: Model):
     cache = WordCache()
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -9,9 +9,11 @@ import numpy as np
 from .common import span_hashes
 
 #: Code points that one numpy step works on; a longer text makes its own step.
-POINTS = 1 << 20
+POINTS = 1 << 18
 #: Words that a cache keeps; a fuller one starts anew, which costs time and changes nothing else.
-WORDS = 3_000_000
+WORDS = 1_500_000
+#: New words that are kept apart from the others before both are merged.
+RECENT = 60_000
 
 
 def text_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -45,7 +47,8 @@ class WordCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.new_keys, self.new_slots = self.keys, self.slots
         self.starts, self.lengths, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
 
@@ -57,17 +60,21 @@ class WordCache:
         h, first, back = np.unique(h, return_index=True, return_inverse=True)
         if self.n + len(h) > WORDS:
             self._clear()
-        at = np.searchsorted(self.keys, h)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == h[known]
-        new = np.flatnonzero(~known)
-        slot = np.empty(len(h), np.int64)
-        slot[known] = self.slots[at[known]]
+        slot = np.full(len(h), -1, np.int64)
+        for keys, slots in ((self.keys, self.slots), (self.new_keys, self.new_slots)):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            if len(keys):
+                known = keys[at] == h
+                slot[known] = slots[at[known]]
+        new = np.flatnonzero(slot < 0)
         if len(new):
-            ids, counts = encode(starts[first[new]], ends[first[new]])
-            slot[new] = self._add(ids, counts)
-            self.keys = np.insert(self.keys, at[new], h[new])
-            self.slots = np.insert(self.slots, at[new], slot[new])
+            slot[new] = self._add(*encode(starts[first[new]], ends[first[new]]))
+            at = np.searchsorted(self.new_keys, h[new])
+            self.new_keys, self.new_slots = np.insert(self.new_keys, at, h[new]), np.insert(self.new_slots, at, slot[new])
+            if len(self.new_keys) > RECENT:
+                at = np.searchsorted(self.keys, self.new_keys)
+                self.keys, self.slots = np.insert(self.keys, at, self.new_keys), np.insert(self.slots, at, self.new_slots)
+                self.new_keys, self.new_slots = self.new_keys[:0], self.new_slots[:0]
         slot = slot[back]
         lengths = self.lengths[slot].astype(np.int64)
         return ragged(self.ids, self.starts[slot], lengths), lengths
