@@ -8,10 +8,11 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..shipping import ship
 
 Provider = Callable[[list[str]], list[str]]
 
@@ -38,6 +39,7 @@ def replies(df: DataFrame, prompt: str, provider: Provider, batch: int = 30, nam
                 out += got if len(got) == len(asked) else [""] * len(asked)
             yield part.assign(**{name: out})
 
+    ship(df.sparkSession)
     return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` string"]))
 
 
@@ -108,4 +110,5 @@ def embedding(text: Column | str, size: int = 64) -> Column:
             out.append([x / n for x in v])
         return pd.Series(out)
 
+    ship(SparkSession.active())
     return F.pandas_udf(run, "array<double>")(text)

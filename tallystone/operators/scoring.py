@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_similarity
+from ..shipping import ship
 
 TYPES = ["header", "entry", "total"]
 
@@ -116,6 +117,7 @@ def _by_page(pred: DataFrame, gt: DataFrame, out: str, score: Callable[[int, lis
             schema = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]]) for x in out.split(", ")])
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t.type) for i, t in enumerate(schema)], schema=schema)
 
+    ship(pages.sparkSession)
     return pages.mapInArrow(run, out)
 
 

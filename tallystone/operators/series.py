@@ -6,10 +6,11 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..shipping import ship
 
 
 def _w(order: str, by: Sequence[str]):
@@ -115,6 +116,7 @@ def t_probability(t: float, degrees: float) -> float:
 
 def pearson_p(r: Column | str, n: Column | str) -> Column:
     """The p value of a correlation of n pairs."""
+    ship(SparkSession.active())
     return F.pandas_udf(_pearson_p, "double")(r, n)
 
 
