@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Bytes of text that one numpy step works on; a longer document makes its own step.
 CHUNK = 2 << 20
 #: Rows of an Arrow batch. Documents are long, and Spark's default of 10,000 rows is for short ones.
@@ -44,7 +46,8 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows, so that a batch of long documents fits a Python worker."""
+    """Gets Python workers ready: Arrow batches of at most BATCH_ROWS rows, so that a batch of long documents fits one."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
