@@ -6,8 +6,9 @@ half as many hash evaluations make a signature. Values are banded; the number of
 that a linked pair shares no band with a probability of 1e-6 at most.
 
 1. Equal sets become one class (an aggregation), so copies meet no candidate search.
-2. In every bucket of a band each class is tied to the bucket's least class. The components of those ties are the
-   candidate groups: whatever is linked and shares a bucket lies in one group. No pairs are made.
+2. In every bucket of a band each class is tied to the bucket's least class, first in a few bands, then in the others
+   between the components found so far. The components of those ties are the candidate groups: whatever is linked and
+   shares a bucket lies in one group. No pairs are made.
 3. Full sets of the classes in groups are taken from the whole texts again, and dealt in parts of at most PART classes
    of one group. In a part all pairs are compared exactly, as bit sets; only a spanning forest of its links comes out.
 4. A group of several parts is finished exactly: each class outside the group's largest component so far meets every
@@ -36,6 +37,8 @@ from .common import LOWER, byte_hashes, chunks, col, materialize, mix, small_bat
 
 #: Values in a band, and the greatest probability that a linked pair shares none.
 ROWS, MISS = 6, 1e-6
+#: Bands whose ties are joined before those of the others.
+FIRST_BANDS = 6
 #: Classes of a group that one task compares with one another.
 PART = 400
 #: All bytes but blanks (0x20 and 0x09 to 0x0D) make words.
@@ -188,6 +191,13 @@ def _compare(members: DataFrame, keys: list[str], num: int, den: int) -> DataFra
     return members.groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
+def _ties(keyed: DataFrame) -> DataFrame:
+    """(a, b): the vertices (v, bands) of each bucket, tied to the bucket's least one."""
+    keyed = keyed.select("v", F.explode("bands").alias("k"))
+    least = keyed.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a <> z").select("k", "a")
+    return keyed.join(least, "k").where("a <> v").select("a", F.col("v").alias("b"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; linked means den * intersection >= num * union."""
     bands = bands_for(num / den)
@@ -195,11 +205,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     usable = sig.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    keyed = classes.select("rep", F.explode("bands").alias("k"))
-    least = keyed.groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("k", "a")
-    ties = keyed.join(least, "k").where("a <> rep").select("a", F.col("rep").alias("b"))
-    group = connected(ties, "ties")  # v: class, c: candidate group
-    group = materialize(group.join(group.groupBy("c").agg(F.count("*").alias("n")), "c"), "groups")
+    # The first bands join most of a large group, so that the others tie few vertices: ties stay near the number of classes.
+    some = connected(_ties(classes.select(F.col("rep").alias("v"), F.slice("bands", 1, FIRST_BANDS).alias("bands"))), "ties")
+    joined = materialize(classes.join(some, classes.rep == some.v, "left").select("rep", F.coalesce("c", "rep").alias("v"), "bands"), "joined")
+    rest = connected(_ties(joined.select("v", F.slice("bands", FIRST_BANDS + 1, bands).alias("bands"))), "ties")
+    group = joined.select("rep", F.col("v").alias("w")).join(rest, F.col("w") == rest.v, "left").select(F.col("rep").alias("v"), F.coalesce("c", "w").alias("c"))
+    group = materialize(group.join(group.groupBy("c").agg(F.count("*").alias("n")).where("n > 1"), "c"), "groups")
     sets = materialize(_sets(docs, id_col, text_col, words, group), "sets")
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / PART)).alias("p")
     first = sets.select("c", part, "rep", F.lit(0).alias("part"), F.col("rep").alias("label"), "s")
