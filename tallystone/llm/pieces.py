@@ -37,6 +37,8 @@ from .wordcache import WordCache, code_points, ragged, text_chunks
 BLANK = 0x2581
 NEVER = np.int64(1 << 40)
 _UNIGRAM, _BPE = 1, 2
+#: Leading bits of a key that the table of marks is indexed by, and the memory of border verdicts a worker keeps.
+MARK_BITS, MEMO_BITS = 20, 18
 
 
 def _raw(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,13 +72,18 @@ class Model:
     out_starts: np.ndarray
     out_lengths: np.ndarray
     longest: int
+    marks: np.ndarray  # by the leading bits of a key: whether any piece's key has them
 
     def find(self, raw: np.ndarray, lengths: np.ndarray, every: bool = False) -> np.ndarray:
         """Ranks of substrings, -1 where there is no such piece."""
         keys, ranks = (self.all_keys, self.all_ranks) if every else (self.keys, self.ranks)
         h = mix(raw + lengths.astype(np.uint64))
+        out = np.full(h.shape, -1, np.int64)
+        maybe = self.marks[h >> np.uint64(64 - MARK_BITS)]  # most substrings are no piece, and need no probe
+        h = h[maybe]
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, ranks[at], -1)
+        out[maybe] = np.where(keys[at] == h, ranks[at], -1)
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the merge rule leaves the border between pieces a and b (ranks) standing."""
@@ -173,17 +180,38 @@ def build(sp, kind: int) -> Model:
     keys = mix(raw + lengths.astype(np.uint64))
     order = np.argsort(keys)
     usable = order[made[order]]
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[keys >> np.uint64(64 - MARK_BITS)] = True
     byte_ids = np.array([i for i in range(n) if sp.is_byte(i)], np.int32)
     outs = [bytes([int(pieces[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else pieces[i].replace(chr(BLANK), " ").encode() for i in range(n)]
     sizes = np.array(list(map(len, outs)))
     name = hashlib.sha256(repr((kind, pieces, [sp.get_score(i) for i in range(n)])).encode()).hexdigest()
     return Model(
         name, kind == _BPE, np.array(normal, np.int32), np.array([sp.get_score(i) for i in normal]), lengths, raw, left, right, keys[usable], usable, keys[order], order,
-        np.unique(points[np.isin(np.arange(len(points)), offsets[:-1][lengths == 1])]), byte_ids, sp.unk_id(), np.frombuffer(b"".join(outs), np.uint8), np.cumsum(sizes) - sizes, sizes, int(lengths.max()),
+        np.unique(points[np.isin(np.arange(len(points)), offsets[:-1][lengths == 1])]), byte_ids, sp.unk_id(), np.frombuffer(b"".join(outs), np.uint8), np.cumsum(sizes) - sizes, sizes, int(lengths.max()), marks,
     )
 
 
-def viterbi(m: Model, points: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+class Borders:
+    """Remembers Model.compatible's verdicts in a table of fixed size; a newer pair takes an older one's slot."""
+
+    def __init__(self, m: Model) -> None:
+        self.m, self.table = m, np.full(1 << MEMO_BITS, -1, np.int64)  # pair * 2 + verdict
+
+    def stand(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = (a << 32) | b
+        slot = mix(pair.astype(np.uint64)) >> np.uint64(64 - MEMO_BITS)
+        found = self.table[slot]
+        ok, miss = (found & 1) == 1, np.flatnonzero(found >> 1 != pair)
+        if len(miss):
+            new, back = np.unique(pair[miss], return_inverse=True)
+            verdict = self.m.compatible(new >> 32, new & 0xFFFFFFFF)
+            ok[miss] = verdict[back]
+            self.table[slot[miss]] = pair[miss] << 1 | ok[miss]
+        return ok
+
+
+def viterbi(m: Model, borders: Borders, points: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ranks of words of one length (all of known characters), flat, and each word's number of pieces."""
     n = len(starts)
     grid = points[starts[:, None] + np.arange(length)]
@@ -200,11 +228,10 @@ def viterbi(m: Model, points: np.ndarray, starts: np.ndarray, length: int) -> tu
         rank, before = t[w, k], last[w, s[k]]
         value = np.full(t.shape, -np.inf)
         if m.bpe:
-            pair, back = np.unique((before << 32) | rank, return_inverse=True)
-            ok = (pair >> 32) < 0
+            ok = before < 0
             inner = ~ok
-            ok[inner] = m.compatible(pair[inner] >> 32, pair[inner] & 0xFFFFFFFF)
-            value[w, k] = np.where(ok[back], 0.0, -np.inf)
+            ok[inner] = borders.stand(before[inner], rank[inner])
+            value[w, k] = np.where(ok, 0.0, -np.inf)
         else:
             value[w, k] = score[w, s[k]] + m.scores[rank]
         best = value.argmax(1)
@@ -233,7 +260,7 @@ def encoder(m: Model):
 
 
 def _encoder(m: Model):
-    cache = WordCache()
+    cache, borders = WordCache(), Borders(m)
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         marked = [chr(BLANK) + t.replace(" ", chr(BLANK)) if t else "" for t in texts]
@@ -262,7 +289,7 @@ def _encoder(m: Model):
                 words = np.flatnonzero(size == length)
                 step = max(1, (1 << 18) // length)
                 for k in range(0, len(words), step):
-                    ranks, n = viterbi(m, points, a[words[k : k + step]], length)
+                    ranks, n = viterbi(m, borders, points, a[words[k : k + step]], length)
                     counts[words[k : k + step]] = n
                     flats.append((words[k : k + step], n, m.ids[ranks]))
             flat, at = np.zeros(int(counts.sum()), np.int32), np.cumsum(counts) - counts
