@@ -318,12 +318,23 @@ def decode(m: Model, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     return out
 
 
+def _plain(df: DataFrame, keep: list[str], last) -> DataFrame:
+    """The kept columns as k0, k1, ... and one more: mapInArrow takes no names with dots."""
+    return df.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keep)], last.alias("last"))
+
+
+def _named(df: DataFrame, keep: list[str]) -> DataFrame:
+    """_plain's columns under their own names again."""
+    return df.toDF(*keep, *df.columns[len(keep):])
+
+
 def encode_column(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in keep, then ids (array<int>), and whether decoding them gives the text back (null for null texts)."""
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(load(model_path))  # one vocabulary, a few MB
-    rows = docs.select(*[col(k) for k in keep], col(text_col).alias("__text"))
+    rows = _plain(docs, keep, col(text_col))
+    plain = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, m = encoder(model.value), model.value
@@ -334,10 +345,10 @@ def encode_column(docs: DataFrame, model_path: str, keep: list[str], text_col: s
                 same = [t.replace(chr(BLANK), " ") == x for t, x in zip(texts[i:j], decode(m, ids, n), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
                 flags = pa.array([s if v else None for s, v in zip(same, batch.column(len(keep)).is_valid().to_pylist()[i:j], strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(len(keep))], lists, flags], names=[*keep, "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(len(keep))], lists, flags], names=[*plain, "ids", "round_trip"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "ids array<int>", "round_trip boolean"]))
+    return _named(rows.mapInArrow(run, ", ".join([*kinds, "ids array<int>", "round_trip boolean"])), keep)
 
 
 def decode_column(tokens: DataFrame, model_path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -345,16 +356,17 @@ def decode_column(tokens: DataFrame, model_path: str, keep: list[str], ids_col:
     spark = tokens.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(load(model_path))
-    rows = tokens.select(*[col(k) for k in keep], col(ids_col).cast("array<int>").alias("__ids"))
+    rows = _plain(tokens, keep, col(ids_col).cast("array<int>"))
+    plain = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(len(keep))
             texts = [None if x is None else decode(model.value, np.asarray(x, np.int64), np.array([len(x)]))[0] for x in lists.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*plain, "text"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "text string"]))
+    return _named(rows.mapInArrow(run, ", ".join([*kinds, "text string"])), keep)
 
 
 def op1(docs: DataFrame, model_path: str) -> DataFrame:
