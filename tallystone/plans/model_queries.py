@@ -26,7 +26,7 @@ def g07(spark, sf):
     return G.weighted_vote(near, e.select(F.col("vec_id").alias("id"), "label"), "label").select(F.col("a").alias("vec_id"), "label", r6("confidence", "confidence"))
 
 
-@query("m02_standardised", "WITH x AS (SELECT vec_id, unnest(generate_series(0,63)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 1000000), s AS (SELECT *, avg(x) OVER (PARTITION BY i) AS m, stddev_pop(x) OVER (PARTITION BY i) AS d FROM x) SELECT vec_id, CAST(i AS INT) AS i, round((x-m)/d,6) AS z FROM s")
+@query("m02_standardised", "WITH x AS (SELECT vec_id, unnest(generate_series(0,63)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT *, avg(x) OVER (PARTITION BY i) AS m, stddev_pop(x) OVER (PARTITION BY i) AS d FROM x) SELECT vec_id, CAST(i AS INT) AS i, round((x-m)/d,6) AS z FROM s")
 def m02(spark, sf):
     return V.standardised(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", "i", r6("z", "z"))
 
