@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm import decontaminate, langid, line_dedup, minhash, pieces
-from tallystone.llm.common import shared_dir, table
+from tallystone.llm.common import materialize, shared_dir, table
 from tallystone.llm.queries import TOKENIZERS
 
 #: A document whose best language has less than this mean probability is of no known language.
@@ -31,9 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def _row() -> Column:
+    """A key of the rows of one id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that several sites share, and documents that hold nothing else; n_chars follows the text."""
-    out = line_dedup.remove_lines(docs, line_dedup.shared_lines(docs))
+    """Removes lines that several sites and several texts share, and documents that hold nothing else; n_chars follows the text.
+
+    Near duplicates count as one text here: a text copied over many sites keeps its lines, and near-dedup keeps one of its copies.
+    """
+    alike = minhash.components(docs.withColumn("__row", _row()), "__row")
+    classes = materialize(alike.select(F.col("doc_id").alias("row"), F.col("component_id").alias("class")).distinct(), "classes")
+    shared = line_dedup.shared_by_classes(docs, line_dedup.shared_lines(docs), classes, _row())
+    out = line_dedup.remove_lines(docs, materialize(shared, "boilerplate"))
     out = out.where("__removed = 0 or trim(text) <> ''").drop("__lines", "__removed")
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast("long")) if "n_chars" in out.columns else out
 

@@ -46,7 +46,22 @@ def shared_lines(docs: DataFrame, site_col: str = "source", text_col: str = "tex
 
     n_sites is the exact count for lines near the threshold and null for those that the sketch decided.
     """
-    lines = _exploded(docs, text_col, col(site_col).alias("site")).where("site is not null")
+    return _spread(_exploded(docs, text_col, col(site_col).alias("site")).where("site is not null"), sites, lg_k)
+
+
+def shared_by_classes(docs: DataFrame, shared: DataFrame, classes: DataFrame, row: Column, text_col: str = "text", least: int = SITES, lg_k: int = LG_K) -> DataFrame:
+    """Those of the shared lines that documents of at least `least` classes carry.
+
+    row is the key of a document, and classes holds (row, class) once for each. With copies in one class, a text that
+    is copied over many sites does not make its own lines boilerplate.
+    """
+    lines = _matching(_exploded(docs, text_col, row.alias("row")), shared.select("h", "g"))
+    lines = lines.join(classes, "row").select("h", "g", F.col("class").alias("site"))
+    return shared.join(_spread(materialize(lines, "classes"), least, lg_k).select("h", "g"), ["h", "g"], "left_semi")
+
+
+def _spread(lines: DataFrame, sites: int, lg_k: int) -> DataFrame:
+    """(h, g, estimate, n_sites) of the lines (h, g, site) with at least `sites` different sites."""
     # A line of one site has spread 1 and needs no sketch: least and greatest site settle that in a plain aggregation.
     ends = lines.groupBy("h", "g").agg(F.min(F.xxhash64("site")).alias("a"), F.max(F.xxhash64("site")).alias("b")).where("a <> b" if sites > 1 else "true")
     spread = materialize(ends.select("h", "g"), "spread")

@@ -44,6 +44,21 @@ def test_line_stage(spark, odd_docs, no_docs):
     assert P.line_cleaning(spark, no_docs, SF).count() == 0
 
 
+def test_copies_over_many_sites_outlive_the_line_stage(spark):
+    """Copies and near copies over 12 sites keep their lines; a line of other texts on 6 sites goes; one copy is left in the end."""
+    body = [f"w{i} x{i} y{i} z{i}" for i in range(60)]
+    near = lambda i: "\n".join([*body[:30], f"edit {i}", *body[30:]])
+    rows = [(i, "\n".join(["copied"] + body[::-1]), f"s{i}") for i in range(12)] + [(100 + i, near(i), f"s{i}") for i in range(12)]
+    rows += [(200 + i, f"all rights reserved\nown a{i} b{i} c{i} d{i} e{i}", f"s{i}") for i in range(6)] + [(None, "copied again", f"s{i}") for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = P.line_cleaning(spark, docs, SF)
+    want = [(d, t.replace("all rights reserved\n", ""), s) for d, t, s in rows]
+    key = lambda r: str(r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    left = [r["doc_id"] for r in P.near_dedup(spark, out, SF).collect() if r["doc_id"] is not None]
+    assert sorted(left) == [0, 100, *range(200, 206)]
+
+
 def test_near_stage(spark, odd_docs, no_docs):
     out = P.near_dedup(spark, odd_docs, SF)
     assert out.columns == odd_docs.columns
