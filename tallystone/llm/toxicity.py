@@ -3,7 +3,8 @@
 Folding undoes disguises one character at a time: case, full-width and accented letters, Greek and Cyrillic
 look-alikes, digits and signs for letters, and invisible characters inside words. The lexicon holds whole words and
 beginnings of words with weights learnt from labelled documents (smoothed log odds of the document frequencies), kept
-where the likelihood ratio is beyond chance for that many candidates. Exception phrases cancel the hits inside them.
+where the likelihood ratio is beyond chance for that many candidates. Exception phrases cancel the hits inside them;
+they are learnt from the same rows, as pairs of neighbouring words around a term that clean documents hold.
 A document's features are its weighted hits, as a sum and by length; a logistic curve over them is the score.
 
 Null and empty texts have no hits and get the curve's value at zero, so do texts without words. Texts are scored
@@ -137,7 +138,8 @@ def learn(rows: DataFrame, min_docs: int = 3, exceptions: list[str] | None = Non
     """A lexicon from rows of (text, toxic): terms, weights, and the curve of the score.
 
     Candidates are a document's folded words and their beginnings of 4 to max_prefix letters, counted once a
-    document. The counts are made by Spark; only terms that pass the tests come to the driver.
+    document. The counts are made by Spark; only terms that pass the tests come to the driver. Exception phrases are
+    learnt too, unless they are given.
     """
     small_batches(rows.sparkSession)
     rows = materialize(rows.select("text", "toxic"), "labelled")
@@ -173,7 +175,7 @@ def learn(rows: DataFrame, min_docs: int = 3, exceptions: list[str] | None = Non
     for term, (w, t, _) in sorted(terms.items(), key=lambda x: (-x[1][1], -len(x[0]), x[0])):
         if not any(term.startswith(k) or k.strip().startswith(term.strip()) and t <= 1.05 * terms[k][1] for k in kept):
             kept[term] = w
-    lexicon = Lexicon(kept, exceptions or [])
+    lexicon = Lexicon(kept, learn_exceptions(rows, Lexicon(kept), clean, toxic, min_docs) if exceptions is None else exceptions)
     a = lexicon.automaton
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +189,44 @@ def learn(rows: DataFrame, min_docs: int = 3, exceptions: list[str] | None = Non
     return lexicon
 
 
+def learn_exceptions(rows: DataFrame, lexicon: Lexicon, clean: int, toxic: int, min_docs: int = 3) -> list[str]:
+    """Phrases of two folded words, one of which starts a hit, that at least min_docs clean documents hold and no toxic one.
+
+    A phrase must be cleaner than the documents with a hit are, beyond chance for that many phrases: their clean share
+    to the power of the phrase's documents has to be improbable enough, by the likelihood ratio that terms are tested with.
+    """
+    if not lexicon.terms:
+        return []
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = lexicon.automaton()
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folded = fold(text or "")
+                starts = {end - n + 1 for end, (n, _) in a.iter(folded)}
+                found = {""} if starts else set()  # the empty phrase counts the documents with a hit
+                for at in starts:
+                    stop = folded.index(" ", at + 1)
+                    before, after = folded.rfind(" ", 0, at), folded.find(" ", stop + 1)
+                    if before >= 0:
+                        found.add(folded[before + 1 : stop])
+                    if after >= 0:
+                        found.add(folded[at + 1 : after])
+                for t in found:
+                    counts.setdefault(t, [0, 0])[label] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["phrase", "clean", "toxic"])
+
+    counted = materialize(rows.mapInArrow(phrases, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")), "phrases")
+    hit = counted.where("phrase = ''").first()
+    if hit is None or not hit["c"] or not hit["t"]:
+        return []
+    tested = counted.where(f"phrase <> '' and c >= {min_docs} and t = 0")
+    ratio = -2 * F.col("c") * math.log(hit["c"] / (hit["c"] + hit["t"]))
+    found = tested.where(ratio > 2 * math.log(max(counted.where(f"phrase <> '' and c + t >= {min_docs}").count(), 8)) + 2)
+    return sorted(r["phrase"] for r in found.collect())  # only phrases beyond chance
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, float, float]:
     """Newton's method with a little shrinkage of the slopes; slopes are not negative."""
     x = np.column_stack([x, np.ones(len(x))])

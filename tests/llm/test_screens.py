@@ -173,6 +173,21 @@ def test_lexicon_exceptions_and_length():
     assert lex.hits("trashcans trashy", a)[1] == 2 and lex.hits("", a) == (0.0, 0, 0)
 
 
+def test_exceptions_are_learnt_and_used_by_the_query(spark):
+    """A term inside a phrase of clean documents only is no hit; the term outside it still is."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    rng = random.Random(4)
+    fill = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(12))
+    ids = iter(i for i in range(10_000) if not held(i))
+    rows = [(next(ids), f"{fill()} you rubbish person {fill()}", 1) for _ in range(400)] + [(next(ids), f"{fill()} Rubbish bin {fill()}", 0) for _ in range(30)] + [(next(ids), fill(), 0) for _ in range(600)]
+    probe = [(20_001, "put it in the rubbish bin please"), (20_002, "you rubbish person"), (20_003, "the rubbish bin, a rubbish")]
+    docs = spark.createDataFrame([r[:2] for r in rows] + probe, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.op5(docs, labels).where("doc_id > 20000").collect()}
+    assert got[20_001]["n_hits"] == 0 and got[20_001]["predicted"] == 0
+    assert got[20_002]["n_hits"] >= 1 and got[20_002]["predicted"] == 1 and got[20_003]["n_hits"] == 1
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     r = toxicity.op5(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
