@@ -19,10 +19,16 @@ def j14(spark, sf):
     return n.select("a", "b", "rank", r6("similarity", "similarity"))
 
 
+@query("j14_nearest_of_all", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(generate_series(1,64), lambda i: a.embedding[i]::DOUBLE*b.embedding[i]::DOUBLE)) AS s FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s,9) DESC, b) AS rank FROM p) SELECT a, b, rank, round(s,6) AS similarity FROM r WHERE rank <= 5")
+def j14_all(spark, sf):
+    n = G.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 5)
+    return n.select("a", "b", "rank", r6("similarity", "similarity"))
+
+
 @query("g07_weighted_vote")
 def g07(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("g", F.lit(1) * (F.col("vec_id") % 4))
-    near = G.neighbours(e, [], "g", "vec_id", "embedding", 5)
+    e = table(spark, sf, "embeddings")
+    near = G.nearest(e, "vec_id", "embedding", 5)
     return G.weighted_vote(near, e.select(F.col("vec_id").alias("id"), "label"), "label").select(F.col("a").alias("vec_id"), "label", r6("confidence", "confidence"))
 
 

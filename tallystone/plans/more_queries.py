@@ -184,10 +184,16 @@ def g05(spark, sf):
     return n.select("a", "b", "rank", r6(-F.col("similarity"), "distance"))
 
 
+@query("g05_euclidean_of_all", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(generate_series(1,64), lambda i: pow(a.embedding[i]::DOUBLE-b.embedding[i]::DOUBLE,2)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(-d,9) DESC, b) AS rank FROM p) SELECT a, b, rank, round(d,6) AS distance FROM r WHERE rank <= 3")
+def g05_all(spark, sf):
+    n = G.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 3, euclidean=True)
+    return n.select("a", "b", "rank", r6(-F.col("similarity"), "distance"))
+
+
 @query("g06_g08_decisions")
 def g06(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").alias("g"), F.when(F.col("vec_id") % 3 == 0, "skip").otherwise("keep").alias("label"))
-    vote = G.weighted_vote(G.neighbours(e, [], "g", "vec_id", "embedding", 5), e.select(F.col("vec_id").alias("id"), "label"), "label")
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 3 == 0, "skip").otherwise("keep").alias("label"))
+    vote = G.weighted_vote(G.nearest(e, "vec_id", "embedding", 5), e.select(F.col("vec_id").alias("id"), "label"), "label")
     skipped = F.when((F.col("label") == "skip") & (F.col("confidence") >= 0.6), F.array(F.lit("gpt"))).otherwise(F.array().cast("array<string>"))
     chosen = vote.select("a", G.decision(skipped).alias("pipeline"))
     return chosen.groupBy("pipeline").agg(F.count("*").alias("n"), F.sum(G.calls(F.col("pipeline"))).alias("calls"))

@@ -1,9 +1,12 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallystone.operators import reliability as R
 from tallystone.operators import routing as G
 from tallystone.operators import scoring as E
 from tallystone.operators import text as T
+from tallystone.plans import registry
 
 
 def row(kind, amount, text, fraction=None):
@@ -66,3 +69,30 @@ def test_bigrams_and_idf(spark):
     docs = spark.createDataFrame([(1, "aa bb"), (2, "bb"), (3, "bb")], "d int, t string")
     w = {(r["d"], r["term"]): r["w"] for r in T.tfidf(T.term_counts(docs, "d", "t"), "d").collect()}
     assert w[(1, "aa")] / w[(1, "bb")] == pytest.approx(1.693147, rel=1e-5)
+
+
+@pytest.mark.parametrize("euclidean", [False, True])
+def test_nearest_are_of_all_vectors(spark, euclidean):
+    """Over several blocks, with copies of a vector, against the whole matrix; g07 votes with those neighbours."""
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding", "label")
+    extra = e.where("vec_id < 3").crossJoin(spark.range(6)).select((F.col("vec_id") * 10 + 100_000 + F.col("id")).alias("vec_id"), "embedding", "label")
+    rows = e.unionByName(extra).collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    ids = [r["vec_id"] for r in rows]
+
+    def brute(n, x, ids, euclidean):
+        s = -np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if euclidean else (x[:, None] * x[None]).sum(2)
+        return {(ids[i], ids[j], r + 1) for i in range(len(ids)) for r, j in enumerate(sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-round(s[i, j], 9), ids[j]))[:n])}
+
+    got = G.nearest(e.unionByName(extra), "vec_id", "embedding", 4, euclidean, block=150)
+    assert {(r["a"], r["b"], r["rank"]) for r in got.collect()} == brute(4, x, ids, euclidean)
+    if not euclidean:
+        n, label = len(rows) - 18, {r["vec_id"]: r["label"] for r in rows}
+        first = sorted(range(len(rows)), key=lambda i: ids[i])[:n]
+        x, ids, votes = x[first], [ids[i] for i in first], {}
+        at = {v: i for i, v in enumerate(ids)}
+        for a, b, _ in brute(5, x, ids, False):
+            v = votes.setdefault(a, {})
+            v[label[b]] = v.get(label[b], 0.0) + max(float((x[at[a]] * x[at[b]]).sum()), 0.0)
+        want = {a: min(v, key=lambda k: (-round(v[k] / (sum(v.values()) or 1.0), 9), k)) for a, v in votes.items()}
+        assert {r["vec_id"]: r["label"] for r in registry.QUERIES["g07_weighted_vote"](spark, "/root/testdata/sf0.001").collect()} == want
