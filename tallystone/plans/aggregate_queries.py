@@ -100,10 +100,19 @@ def a24(spark, sf):
     return table(spark, sf, "orders").groupingSets([["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
+def _last_orders(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderstatus = 'P' and o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").orderBy(F.asc_nulls_last("o_orderkey"), "c_custkey")
+
+
 @query("o05_nulls_last", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, max(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey=o_custkey AND o_orderstatus='P' AND o_totalprice>300000 GROUP BY 1) ORDER BY o_orderkey NULLS LAST, c_custkey LIMIT 500")
 def o05(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'P' and o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").orderBy(F.asc_nulls_last("o_orderkey"), "c_custkey").limit(500)
+    return _last_orders(spark, sf).limit(500)
+
+
+@query("o05_nulls_last_whole", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, max(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey=o_custkey AND o_orderstatus='P' AND o_totalprice>300000 GROUP BY 1) ORDER BY o_orderkey NULLS LAST, c_custkey")
+def o05_whole(spark, sf):
+    return _last_orders(spark, sf)
 
 
 @query("o08_stratified_sample", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (doc_id*7919) % 10007, doc_id) AS i FROM documents) WHERE i <= 5")

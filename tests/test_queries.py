@@ -46,6 +46,13 @@ def test_query(spark, duck, name):
     assert sorted(rows, key=repr) == sorted((tuple(norm(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_nulls_come_last_and_are_all_there(spark):
+    rows = registry.QUERIES["o05_nulls_last_whole"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/customer.parquet").count()
+    keys = [(r["o_orderkey"] is None, r["o_orderkey"] or 0, r["c_custkey"]) for r in rows]
+    assert keys == sorted(keys) and keys[-1][0] and not keys[0][0]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
