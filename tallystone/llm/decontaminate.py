@@ -10,7 +10,8 @@ postings, from rare to frequent. What remains are exact matches, as no start is
 Test phrases are handed to the tasks in slices of at most SLICE_BYTES of text, one pass over the index for each slice,
 so that a large test set costs passes and not memory. No term is shuffled, so frequent words burden no single task.
 
-A null or empty text has no words and no hits, and a null or empty test text no phrases. An empty documents table
+A null or empty text has no words and no hits, and a null or empty test text no phrases. Phrases of an item whose id is
+null hit like others, but the item is in no list of items. An empty documents table
 gives no rows. Repeated documents are judged one by one and repeated test texts all count. Texts are indexed whole.
 """
 
@@ -136,9 +137,9 @@ class Block:
         return at
 
 
-def _slices(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
+def _slices(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, str]]]:
     """The test rows as (id, text), in lists of about SLICE_BYTES at most."""
-    rows = items.select(col(id_col).cast("string").alias("item"), col(text_col).alias("text")).where("item is not null and text is not null")
+    rows = items.select(col(id_col).cast("string").alias("item"), col(text_col).alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // SLICE_BYTES) or 1
     for k in range(n):
@@ -146,7 +147,7 @@ def _slices(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
-def _phrases(items: list[tuple[str, str]], length: int) -> dict[int, tuple[np.ndarray, list[list[str]]]]:
+def _phrases(items: list[tuple[str | None, str]], length: int) -> dict[int, tuple[np.ndarray, list[list[str]]]]:
     """By length: distinct phrases as rows of term hashes, and the items of each."""
     found: dict[tuple, set[str]] = {}
     for item, text in items:
@@ -154,7 +155,9 @@ def _phrases(items: list[tuple[str, str]], length: int) -> dict[int, tuple[np.nd
         h, _ = word_hashes(b, np.array([0, len(b)]))
         n = min(length, len(h))
         for i in range(len(h) - n + 1 if n else 0):
-            found.setdefault(tuple(h[i : i + n].tolist()), set()).add(item)
+            owners = found.setdefault(tuple(h[i : i + n].tolist()), set())
+            if item is not None:
+                owners.add(item)
     by: dict[int, tuple[list, list]] = {}
     for k, v in found.items():
         terms, owners = by.setdefault(len(k), ([], []))

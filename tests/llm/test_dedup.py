@@ -103,6 +103,16 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert D.op8(odd_docs, bench.where("1 = 0")).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [D.SLICE_BYTES, 20])
+def test_items_without_an_id_hit(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(D, "SLICE_BYTES", slice_bytes)
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "x four five"), (3, "one two"), (4, "one two three four five")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (7, "four five"), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in D.op8(docs, bench).collect()}
+    none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
+    assert got == {1: (5, 3, 0, none, True), 2: (3, 2, 1, seven, True), 3: (2, 0, 0, none, False), 4: (5, 5, 1, seven, True)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x blue"), (3, "blue"), (4, "red"), (5, "blue red")], "doc_id long, text string")
     got = D.proximity(D.build_index(docs), [("rb", "red blue")], 3).collect()
