@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -98,33 +99,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 256
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        m = max(n, CHUNK + 1)
-        for k, b in enumerate((_BASE, _INVERSE)):
-            x = np.full(m, b, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end).
 
+    Eight bytes at a time are mixed into a state that starts from the length, so that no algebra ties the hashes of
+    different spans: spans of one length up to 8 bytes never collide, two others do with a probability of 2**-64.
+    """
+    n = ends - starts
+    padded = np.zeros(len(buf) // 8 + 2, np.uint64)
+    padded.view(np.uint8)[: len(buf)] = buf
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of 64-bit values, from one prefix sum."""
-    p, q = powers(len(values) + 1)
-    c = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p[:-1], out=c[1:])
-    return mix((c[ends] - c[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        k, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        x = padded[k] >> shift | padded[k + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        return x & _TAIL[np.minimum(left, 8)]
 
+    h = mix(load(starts, n) ^ mix(n.astype(np.uint64) + mix(np.array([seed], np.uint64))))
+    live, at = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+    while len(live):
+        h[live] = mix(h[live] ^ load(starts[live] + at, n[live] - at))
+        at += 8
+        live = live[n[live] > at]
+    for i in np.flatnonzero(n > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
-def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTES[buf], starts, ends)
+
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of runs of n (at most 64) 64-bit hashes: a sum with an odd factor for each place."""
+    total = np.full(len(starts), n, np.uint64)
+    for k in range(n):
+        total += values[starts + k] * _FACTORS[k]
+    return mix(total)
 
 
 #: A-Z to a-z, all other bytes as they are.

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_hashes, chunks, col, materialize, mix, small_batches, span_hashes, spans, utf8
+from .common import LOWER, byte_hashes, chunks, col, materialize, mix, run_hashes, small_batches, spans, utf8
 
 #: Values in a band, and the greatest probability that a linked pair shares none.
 ROWS, MISS = 6, 1e-6
@@ -61,7 +61,7 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarra
         first = np.arange(len(h))
         whole = first + words <= np.repeat(last, n)
         at = first[whole]
-        full = span_hashes(h, at, at + words)
+        full = run_hashes(h, at, words)
         k = np.bincount(row[whole], minlength=len(n))
     else:
         full, k = h, n
@@ -71,7 +71,7 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarra
         if k[i]:
             out.append(np.unique(full[ends_of[i] - k[i] : ends_of[i]]))
         elif n[i]:
-            out.append(span_hashes(h[last[i] - n[i] : last[i]], np.array([0]), np.array([n[i]])))
+            out.append(run_hashes(h, last[i : i + 1] - n[i], int(n[i])))
         else:
             out.append(h[:0])
     return out

@@ -2,7 +2,8 @@
 
 Words of equal length advance together, one character position a step. All substrings that end at the position are
 hashed from one prefix sum and looked up in the sorted keys of the pieces; each candidate extends the best path to its
-start, and the best candidate of each word is stored as its backpointer.
+start, and the best candidate of each word is stored as its backpointer. Only substrings as long as some piece are
+hashed, and the pieces of every best path are compared with the word itself: an error is raised if a key has lied.
 
 The score of a path follows the model's type, as the model file states it:
 
@@ -14,7 +15,7 @@ The score of a path follows the model's type, as the model file states it:
 
 Text is normalised as such models do that have no character map: a blank is put first, blanks become U+2581. Words end
 before a U+2581 that follows another character (no piece holds one inside; the loader checks that). A character
-without a piece becomes its bytes' pieces, or the unknown piece in models without those. Decoding turns ids into text.
+without a piece becomes its bytes' pieces; in models without those a run of them is one unknown piece. Decoding turns ids into text.
 
 Null and empty texts have no ids; decoding gives an empty text. Texts of any length are encoded whole; repeated rows
 get equal ids; an empty table gives no rows. Decoding restores any text, but for U+2581 itself, which becomes a blank.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix, powers, small_batches
+from .common import col, mix, small_batches
 from .wordcache import WordCache, code_points, ragged, text_chunks
 
 BLANK = 0x2581
@@ -41,6 +42,21 @@ _UNIGRAM, _BPE = 1, 2
 MARK_BITS, MEMO_BITS = 20, 18
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, _INVERSE)):
+            x = np.full(2 * n, b, np.uint64)
+            x[0] = 1
+            _powers[k] = np.cumprod(x, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def _raw(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of (code point + 1) * base**i over spans: joined texts have raw(a) + base**len(a) * raw(b)."""
     p, q = powers(len(points) + 1)
@@ -72,6 +88,8 @@ class Model:
     out_starts: np.ndarray
     out_lengths: np.ndarray
     longest: int
+    points: np.ndarray  # all pieces' code points, flat
+    places: np.ndarray  # where each rank's start
     marks: np.ndarray  # by the leading bits of a key: whether any piece's key has them
 
     def find(self, raw: np.ndarray, lengths: np.ndarray, every: bool = False) -> np.ndarray:
@@ -188,7 +206,7 @@ def build(sp, kind: int) -> Model:
     name = hashlib.sha256(repr((kind, pieces, [sp.get_score(i) for i in range(n)])).encode()).hexdigest()
     return Model(
         name, kind == _BPE, np.array(normal, np.int32), np.array([sp.get_score(i) for i in normal]), lengths, raw, left, right, keys[usable], usable, keys[order], order,
-        np.unique(points[np.isin(np.arange(len(points)), offsets[:-1][lengths == 1])]), byte_ids, sp.unk_id(), np.frombuffer(b"".join(outs), np.uint8), np.cumsum(sizes) - sizes, sizes, int(lengths.max()), marks,
+        np.unique(points[np.isin(np.arange(len(points)), offsets[:-1][lengths == 1])]), byte_ids, sp.unk_id(), np.frombuffer(b"".join(outs), np.uint8), np.cumsum(sizes) - sizes, sizes, int(lengths.max()), points, offsets[:-1], marks,
     )
 
 
@@ -290,6 +308,8 @@ def _encoder(m: Model):
                 step = max(1, (1 << 18) // length)
                 for k in range(0, len(words), step):
                     ranks, n = viterbi(m, borders, points, a[words[k : k + step]], length)
+                    if (ragged(m.points, m.places[ranks], m.lengths[ranks]) != points[(a[words[k : k + step], None] + np.arange(length)).reshape(-1)]).any():
+                        raise ValueError("two texts of a piece's length have one key: build the model with another base")
                     counts[words[k : k + step]] = n
                     flats.append((words[k : k + step], n, m.ids[ranks]))
             flat, at = np.zeros(int(counts.sum()), np.int32), np.cumsum(counts) - counts
@@ -300,6 +320,11 @@ def _encoder(m: Model):
             return flat, counts
 
         ids, n = cache.lookup(points, starts, ends, new)
+        if not len(m.byte_ids):  # a run of characters without a piece is one unknown id
+            of = np.repeat(np.arange(len(n)), n)
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == m.unknown) & (ids[:-1] == m.unknown) & (row[of[1:]] == row[of[:-1]])
+            ids, n = ids[~again], n - np.bincount(of[again], minlength=len(n))
         return ids, np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
 
     return encode

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import os
-
 from . import decontaminate, langid, line_dedup, media, minhash, pieces, pii, repair, toxicity, url_filter
 from .common import table
 
 
-#: Vocabulary files; the folder is a parameter of the deployment.
-TOKENIZERS = os.environ.get("TALLYSTONE_TOKENIZERS", "/opt/tokenizers")
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_sentencepiece(spark, sf_dir):
-    return pieces.op1(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.op1(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_pii(spark, sf_dir):
@@ -21,7 +22,7 @@ def op4_pii(spark, sf_dir):
 
 
 def op9_repair_tokens(spark, sf_dir):
-    return repair.op9(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return repair.op9(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_url_filter(spark, sf_dir):

@@ -1,12 +1,14 @@
 """Operator 9: token ids in Re-Pair compressed shards.
 
 Every text is encoded by a byte-level BPE tokenizer and ends with id 0. Documents go in ascending order of doc_id into
-shards of about SHARD ids. In a shard, frequent pairs of neighbouring symbols are replaced by new symbols again and
-again; the shard stores the pair that each new symbol stands for, and how many ids it expands to, so that a reader
-finds any range of ids by a sum of expansion lengths and expands that range only. Symbols are below 2**16.
+shards of about SHARD ids. In a shard, pairs of neighbouring symbols are replaced by new symbols until no pair occurs
+LEAST times; the shard stores the pair that each new symbol stands for, and how many ids it expands to, so that a
+reader finds any range of ids by a sum of expansion lengths and expands that range only. New symbols start above the
+tokenizer's greatest id, added tokens included; a shard's symbols take 2 bytes, or 4 where 2 do not hold them.
 
 Each distinct pre-token is encoded by the tokenizers library once a worker; texts are cut into pre-tokens in numpy by
 the byte-level scheme's pattern (BPE never joins across pre-tokens, so this changes no id; a test compares both).
+Texts that hold the string of an added token go to the library whole, which makes that token's id of it.
 
 A shard is one row: part and seq give its place, doc_ids and lengths its documents, blob the bytes (see pack). Null
 and empty texts have only the end id. Null ids come first and equal ids stand in the order of their texts' hashes; a
@@ -29,13 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, materialize, small_batches
-from .wordcache import WordCache, code_points, text_chunks
+from .wordcache import WordCache, code_points, ragged, text_chunks
 
 END = 0
 SHARD = 1 << 19
+#: A rule takes 8 bytes and saves a symbol of 2 each time that it is used: pairs of fewer occurrences save little.
+LEAST = 8
 #: Text bytes of a range partition.
 PART_BYTES = 48 << 20
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Fixed value: the byte-level scheme's pre-token pattern, with its notion of white space spelled out.
 _WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -84,50 +88,86 @@ def pre_tokens(texts: list[str], points: np.ndarray, offsets: np.ndarray) -> tup
     return starts, np.append(starts[1:], n), np.searchsorted(offsets, starts, "right") - 1
 
 
-def repair(ids: np.ndarray, vocab: int, rounds: int = 4, least: int = 24, top: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(seq: np.ndarray) -> np.ndarray:
+    """The key of the pair at each position."""
+    wide = np.uint32 if len(seq) and seq.max() < 1 << 16 else np.uint64
+    half = wide(16 if wide is np.uint32 else 32)
+    return seq[:-1].astype(wide) << half | seq[1:].astype(wide)
+
+
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Of positions in unbroken runs every other one, from each run's first."""
+    gap = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    place = np.arange(len(at)) - np.repeat(gap, np.diff(np.append(gap, len(at))))
+    return at[place % 2 == 0]
+
+
+def frequent(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key at each position, the distinct keys, and how often each can be replaced if no other is."""
+    key = _pairs(seq)
+    counted = key
+    twins = np.flatnonzero(seq[1:] == seq[:-1])
+    if len(twins):  # "a a a" holds the pair "a a" once
+        counted = np.delete(key, np.setdiff1d(twins, _alternate(twins), assume_unique=True))
+    counted = np.sort(counted)
+    first = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]])) if len(counted) else np.zeros(0, np.int64)
+    return key, counted[first], np.diff(np.append(first, len(counted)))
+
+
+def repair(ids: np.ndarray, vocab: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths): rule k stands for symbol vocab + k, a pair that expands to lengths[k] ids.
 
-    A round counts pairs in hashed slots, takes the first pair of each slot whose own count is large enough, and
-    replaces all of them at once; of overlapping occurrences every other one is replaced, from the left.
+    A round replaces all pairs that are at least half as frequent as the most frequent one; where their occurrences
+    overlap every other one is replaced, from the left, and a pair that loses most of its own so waits for a later
+    round. Rounds go on until no pair occurs least times.
     """
-    seq, rules, size = ids.astype(np.uint32), np.zeros((0, 2), np.int64), np.ones(vocab, np.int64)
-    bits = 18
-    for k in range(rounds):
-        room = top - vocab - len(rules)
-        if len(seq) < 2 or room <= 0:
+    if len(ids) and (ids.min() < 0 or ids.max() >= vocab):
+        raise ValueError("an id is outside the vocabulary")
+    seq, rules, size = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)], np.ones(vocab, np.int64)
+    while len(seq) > 1:
+        key, pairs, count = frequent(seq)
+        top = int(count.max())
+        if top < least:
             break
-        key = (seq[:-1] << np.uint32(16)) | seq[1:]
-        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-        owner = np.zeros(1 << bits, np.uint32)
-        owner[slot[::-1]] = key[::-1]
-        own = owner[slot] == key
-        count = np.bincount(slot[own], minlength=1 << bits)
-        chosen = np.flatnonzero(count >= max(least, len(seq) >> (10 + k)))
-        if len(chosen) > room:
-            chosen = chosen[np.argsort(-count[chosen], kind="stable")[:room]]
-        if not len(chosen):
-            continue
-        symbol = np.zeros(1 << bits, np.uint32)  # 0: not chosen; new symbols are over 0
-        symbol[chosen] = vocab + len(rules) + np.arange(len(chosen))
-        new = symbol[slot] * own
-        at = np.flatnonzero(new)
-        gap = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # where runs of hits begin
-        place = np.arange(len(at)) - np.repeat(gap, np.diff(np.append(gap, len(at))))
-        at = at[place % 2 == 0]
-        first, second = owner[chosen] >> np.uint32(16), owner[chosen] & np.uint32(0xFFFF)
-        rules = np.concatenate([rules, np.column_stack([first, second]).astype(np.int64)])
-        size = np.concatenate([size, size[first] + size[second]])
+        enough = max(least, top // 2)
+        chosen = pairs[count >= enough]
+        # most positions hold no chosen pair: a table of marks tells most of them before the search
+        marks = np.zeros(1 << 16, bool)
+        slot = ((key * key.dtype.type(0x9E3779B1)) & key.dtype.type(0xFFFFFFFF)) >> key.dtype.type(16)
+        marks[((chosen * key.dtype.type(0x9E3779B1)) & key.dtype.type(0xFFFFFFFF)) >> key.dtype.type(16)] = True
+        at = np.flatnonzero(marks[slot])
+        number = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
+        hit = chosen[number] == key[at]
+        at, number = at[hit], number[hit]
+        which = np.full(len(seq), -1, np.int64)
+        which[at] = number
+        picked = _alternate(at)
+        uses = np.bincount(which[picked], minlength=len(chosen))
+        kept = 2 * uses >= enough
+        if not kept.all():
+            if not kept.any():
+                kept = np.arange(len(chosen)) == np.argmax(count[count >= enough])
+            picked = _alternate(at[kept[number]])
+            uses = np.bincount(which[picked], minlength=len(chosen))
+            kept = uses > 0
+        symbol = vocab + sum(map(len, rules)) + np.cumsum(kept) - 1
+        half = chosen.dtype.type(16 if chosen.dtype == np.uint32 else 32)
+        pair = np.column_stack([chosen >> half, chosen & ((chosen.dtype.type(1) << half) - chosen.dtype.type(1))])[kept].astype(np.int64)
+        rules.append(pair)
+        size = np.concatenate([size, size[pair].sum(1)])
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq[at] = new[at]
+        keep[picked + 1] = False
+        seq[picked] = symbol[which[picked]]
         seq = seq[keep]
-    return seq.astype(np.uint16), rules.astype(np.uint16), size[vocab:].astype(np.uint32)
+    return seq, np.concatenate(rules), size[vocab:]
 
 
 def pack(ids: np.ndarray, vocab: int) -> bytes:
-    """MAGIC, vocab, numbers of rules, symbols and ids (u32 each), rules (u16 pairs), lengths (u32), symbols (u16)."""
+    """MAGIC, then u32: vocab, bytes a symbol (2 or 4), numbers of rules, symbols and ids; rules (pairs of symbols), lengths (u32), symbols."""
     seq, rules, lengths = repair(ids, vocab)
-    return MAGIC + struct.pack("<IIII", vocab, len(rules), len(seq), len(ids)) + rules.tobytes() + lengths.tobytes() + seq.tobytes()
+    width = 2 if vocab + len(rules) <= 1 << 16 else 4
+    kind = np.uint16 if width == 2 else np.uint32
+    return MAGIC + struct.pack("<IIIII", vocab, width, len(rules), len(seq), len(ids)) + rules.astype(kind).tobytes() + lengths.astype(np.uint32).tobytes() + seq.astype(kind).tobytes()
 
 
 class Shard:
@@ -136,21 +176,36 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
             raise ValueError("not a shard")
-        self.vocab, n, m, self.n_ids = struct.unpack_from("<IIII", blob, 4)
-        self.rules = np.frombuffer(blob, np.uint16, 2 * n, 20).reshape(n, 2)
-        self.size = np.concatenate([np.ones(self.vocab, np.int64), np.frombuffer(blob, np.uint32, n, 20 + 4 * n)])
-        self.symbols = np.frombuffer(blob, np.uint16, m, 20 + 8 * n)
-        self.ends = None
+        self.vocab, width, n, m, self.n_ids = struct.unpack_from("<IIIII", blob, 4)
+        kind = np.uint16 if width == 2 else np.uint32
+        self.rules = np.frombuffer(blob, kind, 2 * n, 24).reshape(n, 2)
+        lengths = np.frombuffer(blob[24 + 2 * width * n : 24 + (2 * width + 4) * n], np.uint32)
+        self.size = np.concatenate([np.ones(self.vocab, np.int64), lengths])
+        self.symbols = np.frombuffer(blob[24 + (2 * width + 4) * n :], kind, m)
+        self.ends = self.table = None
+
+    def _step(self, seq: np.ndarray) -> np.ndarray:
+        """seq with each rule's symbol replaced by its pair."""
+        big = seq >= self.vocab
+        n = 1 + big
+        out = np.repeat(seq, n)
+        at = np.cumsum(n)[big] - 1
+        pair = self.rules[seq[big] - self.vocab]
+        out[at - 1], out[at] = pair[:, 0], pair[:, 1]
+        return out
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        seq = seq.astype(np.int64)
-        while (big := seq >= self.vocab).any():
-            n = 1 + big
-            out = np.repeat(seq, n)
-            at = np.cumsum(n)[big] - 1
-            pair = self.rules[seq[big] - self.vocab]
-            out[at - 1], out[at] = pair[:, 0], pair[:, 1]
-            seq = out
+        seq, own = seq.astype(np.int64), self.size[self.vocab :]
+        if self.table is None and own.sum() <= 4 * max(self.n_ids, 1 << 16):  # all rules' expansions, once
+            flat = self.rules.reshape(-1).astype(np.int64)
+            while (flat >= self.vocab).any():
+                flat = self._step(flat)
+            self.table = np.concatenate([np.arange(self.vocab), flat])
+            self.places = np.concatenate([np.arange(self.vocab), self.vocab + np.cumsum(own) - own])
+        if self.table is not None:
+            return ragged(self.table, self.places[seq], self.size[seq])
+        while (seq >= self.vocab).any():
+            seq = self._step(seq)
         return seq
 
     def read(self, start: int = 0, n: int | None = None) -> np.ndarray:
@@ -166,30 +221,50 @@ class Shard:
 
 @lru_cache(maxsize=2)
 def encoder(tokenizer_json: str):
-    """texts -> (flat ids, number of ids of each text). A worker keeps it, with its cache of words, from task to task."""
+    """(encode, vocab): encode maps texts to (flat ids, number of ids of each text); all ids are below vocab.
+
+    A worker keeps it, with its cache of words, from task to task.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     cache = WordCache()
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points, offsets = code_points(texts)
         joined = "".join(texts)
         starts, ends, row = pre_tokens(texts, points, offsets)
 
         def new(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tokenizer.encode_batch_fast([joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], add_special_tokens=False)]
-            counts = np.array([len(x) for x in found])
-            return np.fromiter((i for x in found for i in x), np.int32, int(counts.sum())), counts
+            return _flat(tokenizer.encode_batch_fast([joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], add_special_tokens=False))
 
         ids, n = cache.lookup(points, starts, ends, new)
         return ids, np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
 
-    return encode
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+        if not odd:
+            return plain(texts)
+        texts, whole = list(texts), [texts[i] for i in odd]
+        for i in odd:
+            texts[i] = ""
+        ids, n = plain(texts)
+        more, counts = _flat(tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        ids = np.insert(ids, np.repeat(np.cumsum(n)[odd], counts), more)
+        n[odd] = counts
+        return ids, n
+
+    return encode, max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+
+
+def _flat(found: list) -> tuple[np.ndarray, np.ndarray]:
+    ids = [e.ids for e in found]
+    counts = np.array([len(x) for x in ids], np.int64)
+    return np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), counts
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
@@ -204,8 +279,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         part, seq = TaskContext.get().partitionId(), 0
         encode, vocab = None, 0
         names, lengths, ids = [], [], []
@@ -221,8 +294,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         total = 0
         for batch in batches:
             if encode is None:
-                encode = encoder(model.value)
-                vocab = len(json.loads(model.value)["model"]["vocab"])
+                encode, vocab = encoder(model.value)
             texts = batch.column(1).to_pylist()
             for i, j in text_chunks(texts):
                 flat, n = encode(texts[i:j])

@@ -1,12 +1,17 @@
-"""Texts as code points in numpy, and a cache from word hashes to lists of token ids."""
+"""Texts as code points in numpy, and a cache from words to lists of token ids.
+
+Words are found by a 64-bit hash and told apart by a second, independent one: a word whose first hash is another
+word's is encoded by itself and never takes the other's ids. Both hashes have seeds that a process draws anew.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from .common import span_hashes
+from .common import byte_hashes
 
 #: Code points that one numpy step works on; a longer text makes its own step.
 POINTS = 1 << 18
@@ -40,6 +45,17 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + shift]
 
 
+_SEEDS = [int.from_bytes(os.urandom(8), "little") for _ in range(2)]
+Encode = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def word_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word [start, end) of the points."""
+    data = np.ascontiguousarray(points).view(np.uint8)
+    first, second = (byte_hashes(data, 4 * starts, 4 * ends, seed) for seed in _SEEDS)
+    return first, second
+
+
 class WordCache:
     """Encodes words once: encode gets new words (start and end offsets) and returns flat ids and their counts."""
 
@@ -50,14 +66,15 @@ class WordCache:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.new_keys, self.new_slots = self.keys, self.slots
         self.starts, self.lengths, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.checks = np.zeros(1 << 16, np.uint64)
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def lookup(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Encode) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words [start, end) of points, flat, and each word's number of ids."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        h = span_hashes(points.astype(np.uint64) + np.uint64(1), starts, ends)
-        h, first, back = np.unique(h, return_index=True, return_inverse=True)
+        key, check = word_keys(points, starts, ends)
+        h, first, back = np.unique(key, return_index=True, return_inverse=True)
         if self.n + len(h) > WORDS:
             self._clear()
         slot = np.full(len(h), -1, np.int64)
@@ -68,7 +85,7 @@ class WordCache:
                 slot[known] = slots[at[known]]
         new = np.flatnonzero(slot < 0)
         if len(new):
-            slot[new] = self._add(*encode(starts[first[new]], ends[first[new]]))
+            slot[new] = self._add(check[first[new]], *encode(starts[first[new]], ends[first[new]]))
             at = np.searchsorted(self.new_keys, h[new])
             self.new_keys, self.new_slots = np.insert(self.new_keys, at, h[new]), np.insert(self.new_slots, at, slot[new])
             if len(self.new_keys) > RECENT:
@@ -77,16 +94,24 @@ class WordCache:
                 self.new_keys, self.new_slots = self.new_keys[:0], self.new_slots[:0]
         slot = slot[back]
         lengths = self.lengths[slot].astype(np.int64)
-        return ragged(self.ids, self.starts[slot], lengths), lengths
-
-    def _add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        wrong = np.flatnonzero(self.checks[slot] != check)
+        if not len(wrong):
+            return ragged(self.ids, self.starts[slot], lengths), lengths
+        own, counts = encode(starts[wrong], ends[wrong])
+        flat = np.concatenate([self.ids[: self.used], own])
+        at = self.starts[slot]
+        at[wrong], lengths[wrong] = self.used + np.cumsum(counts) - counts, counts
+        return ragged(flat, at, lengths), lengths
+
+    def _add(self, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         n, used = self.n + len(counts), self.used + len(ids)
         if n > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
+            self.starts, self.lengths, self.checks = (np.resize(x, 2 * n) for x in (self.starts, self.lengths, self.checks))
         if used > len(self.ids):
             self.ids = np.resize(self.ids, 2 * used)
         self.ids[self.used : used] = ids
         self.lengths[self.n : n] = counts
+        self.checks[self.n : n] = checks
         self.starts[self.n : n] = self.used + np.cumsum(counts) - counts
         out = np.arange(self.n, n)
         self.n, self.used = n, used
