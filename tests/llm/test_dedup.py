@@ -56,7 +56,18 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(AZ))
 
 
-def brute_hits(docs, items, length=10):
+def brute_near_items(docs, items, length=10, near=20):
+    """By document: the items with a phrase whose first word has all its others in the near words from there."""
+    phrases = {(str(item), tuple(w[i : i + min(length, len(w))])) for item, text in items if item is not None and (w := words(text)) for i in range(len(w) - min(length, len(w)) + 1)}
+    out = []
+    for _, text in docs:
+        w = words(text)
+        out.append({item for item, p in phrases if any(w[i] == p[0] and set(p) <= set(w[i : i + near]) for i in range(len(w)))})
+    return out
+
+
+def brute_hits(docs, items, length=10, near=20):
+    close = brute_near_items(docs, items, length, near)
     grams = defaultdict(set)
     for item, text in items:
         w = words(text)
@@ -64,14 +75,14 @@ def brute_hits(docs, items, length=10):
         for i in range(len(w) - n + 1 if n else 0):
             grams[tuple(w[i : i + n])].add(str(item))
     out = []
-    for d, text in docs:
+    for (d, text), c in zip(docs, close):
         w, hit, found = words(text), set(), set()
         for n in {len(g) for g in grams}:
             for i in range(len(w) - n + 1):
                 if (g := tuple(w[i : i + n])) in grams:
                     hit.update(range(i, i + n))
                     found |= grams[g]
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(c)))
     return out
 
 
@@ -110,13 +121,52 @@ def test_items_without_an_id_hit(spark, monkeypatch, slice_bytes):
     bench = spark.createDataFrame([(None, "one two three"), (7, "four five"), (None, None)], "item_id long, text string")
     got = {r["doc_id"]: tuple(r)[1:] for r in D.op8(docs, bench).collect()}
     none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
-    assert got == {1: (5, 3, 0, none, True), 2: (3, 2, 1, seven, True), 3: (2, 0, 0, none, False), 4: (5, 5, 1, seven, True)}
+    assert got == {1: (5, 3, 0, none, True, 0), 2: (3, 2, 1, seven, True, 1), 3: (2, 0, 0, none, False, 0), 4: (5, 5, 1, seven, True, 1)}
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x blue"), (3, "blue"), (4, "red"), (5, "blue red")], "doc_id long, text string")
-    got = D.proximity(D.build_index(docs), [("rb", "red blue")], 3).collect()
-    assert {r["doc_id"] for r in got} == {1, 5}
+    docs = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x blue"), (3, "blue"), (4, "red"), (5, "blue red"), (6, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([("rb", "red blue"), ("none", ""), (None, "red")], "query string, text string")
+    got = D.proximity(D.build_index(docs), queries, near=4).collect()
+    assert {tuple(r) for r in got} == {(1, "rb")}
+
+
+@pytest.mark.parametrize("near", [10, 13, 40])
+def test_proximity_is_that_of_brute_force(spark, near):
+    rng = random.Random(near)
+    vocab = [f"w{i}" for i in range(14)]
+    w = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    docs, items = [(i, w(rng.randint(0, 70))) for i in range(60)], [(i, w(rng.choice([1, 2, 5, 8, 10, 12]))) for i in range(25)]
+    found = D.find(D.build_index(spark.createDataFrame(docs, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string"), near=near)
+    assert {r["doc_id"]: set(r["near_ids"]) for r in found.collect()} == dict(enumerate(brute_near_items(docs, items, 10, near)))
+
+
+def thue_morse(k, a="a", b="b"):
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_a_self_similar_pattern_stay_apart(spark):
+    """Thue-Morse words and their swaps: a polynomial hash modulo a power of two gives both the same value."""
+    long = [w for k in (6, 10, 11, 13) for w in thue_morse(k)]
+    docs = [(i, f"one two {w} three four") for i, w in enumerate(long)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = [(0, f"two {long[2]} three"), (1, f"{long[5]} three four"), (2, long[6])]
+    assert sorted(map(tuple, D.op8(df, spark.createDataFrame(bench, "item_id long, text string")).collect())) == sorted(brute_hits(docs, bench))
+    near = docs + [(100 + i, " ".join(w)) for i, w in enumerate(long[:6])]  # sequences of one-letter words too
+    got = [(False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in M.components(spark.createDataFrame(near, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute_components(near, 5, 80, 100)
+
+
+def test_a_block_whose_words_share_a_hash_is_hashed_anew(monkeypatch):
+    from tallystone.llm import common
+
+    monkeypatch.setattr(D, "byte_hashes", lambda b, s, e, seed=0: common.byte_hashes(b, s, e, seed) % np.uint64(3 if seed < 2 else 1 << 60))
+    text = np.frombuffer(b"alpha-beta-gammagamma-deltadelta-alpha", np.uint8)
+    starts, ends, _ = D.spans(text, np.array([0, len(text)]), D.WORD)
+    seed, h, order, first = D._terms(text, starts, ends)
+    assert seed == 2 and len(first) == 4
 
 
 # --- near duplicates

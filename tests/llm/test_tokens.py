@@ -20,6 +20,12 @@ def random_texts(n, seed=1):
     return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(n)]
 
 
+def thue_morse(k, a="a", b="b"):
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
 def by_text(ids, counts):
     ends = np.cumsum(counts)
     return [ids[e - n : e].tolist() for e, n in zip(ends, counts)]
@@ -29,7 +35,7 @@ def test_bpe_viterbi_gives_the_librarys_ids(vocab):
     path = vocab("piece_bpe_32k.model")
     m = pieces.load(path)
     assert m.bpe
-    texts = STRINGS + random_texts(400)
+    texts = STRINGS + random_texts(400) + [w for k in (9, 10, 11, 13) for w in thue_morse(k)] + [" ".join(thue_morse(11))]
     ids, n = pieces.encoder(m)(texts)
     assert by_text(ids, n) == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
     assert pieces.decode(m, ids, n) == [t.replace("▁", " ") for t in texts]
@@ -70,6 +76,33 @@ def test_unigram_viterbi_finds_the_best_sum(vocab):
         assert sum(Tiny.table[i][1] for i in got) == pytest.approx(sum(map(best, [*words, cur])))
 
 
+def test_words_that_share_a_hash_keep_their_own_ids(vocab, monkeypatch):
+    """With a first hash of three values only, the second one tells words apart."""
+    from tallystone.llm import wordcache
+
+    keys = wordcache.word_keys
+    monkeypatch.setattr(wordcache, "word_keys", lambda p, a, b: ((x := keys(p, a, b))[0] % np.uint64(3), x[1]))
+    m = pieces.load(vocab("piece_bpe_32k.model"))
+    encode, sp = pieces._encoder(m), sentencepiece.SentencePieceProcessor(model_file=vocab("piece_bpe_32k.model"))
+    for seed in range(3):
+        texts = random_texts(50, seed)
+        assert by_text(*encode(texts)) == sp.encode(texts)
+
+
+def test_a_run_of_unknown_characters_is_one_piece():
+    class Tiny:
+        table = [("<unk>", 0.0), ("▁", -1.0), ("a", -2.0)]
+        get_piece_size = lambda s: len(s.table)
+        id_to_piece = lambda s, i: s.table[i][0]
+        get_score = lambda s, i: s.table[i][1]
+        is_unknown = lambda s, i: i == 0
+        is_control = is_byte = is_unused = lambda s, i: False
+        unk_id = lambda s: 0
+
+    ids, n = pieces._encoder(pieces.build(Tiny(), 1))(["xyza", "x", "ax y", "y"])
+    assert by_text(ids, n) == [[1, 0, 2], [1, 0], [1, 2, 0, 1, 0], [1, 0]]
+
+
 def test_sentencepiece_columns(spark, odd_docs, no_docs, vocab):
     path = vocab("piece_bpe_32k.model")
     rows = pieces.encode_column(odd_docs, path, ["doc_id", "a.b"]).collect()
@@ -85,14 +118,14 @@ def test_sentencepiece_columns(spark, odd_docs, no_docs, vocab):
 
 @pytest.fixture(scope="module")
 def bpe(vocab):
-    t = Tokenizer.from_file(vocab("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocab("byte_bpe_50k.json"))
 
 
 def test_pre_tokens_change_no_id(vocab, bpe):
-    texts = STRINGS + random_texts(600, 2)
-    ids, n = repair.encoder(open(vocab("byte_bpe_50k.json")).read())(texts)
+    texts = STRINGS + random_texts(600, 2) + [w for k in (9, 10, 11, 13) for w in thue_morse(k)] + ["hello <|endoftext|> there", "<|endoftext|><|endoftext|>don't", "<|endoftext", "a" * 60_000]
+    encode, vocab_size = repair.encoder(open(vocab("byte_bpe_50k.json")).read())
+    ids, n = encode(texts)
+    assert vocab_size == 50257
     assert by_text(ids, n) == [e.ids for e in bpe.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -110,6 +143,28 @@ def test_repair_round_trip_and_random_access(n, kinds):
         assert size == s.size[x] + s.size[y]
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 40, 70_000])
+def test_repair_leaves_no_frequent_pair(kinds):
+    rng = np.random.default_rng(kinds)
+    ids = np.concatenate([rng.integers(0, kinds, 20_000), np.tile(rng.integers(0, kinds, 30), 50), np.zeros(999, int)])
+    s = repair.Shard(repair.pack(ids, max(kinds, 2)))
+    assert (s.read() == ids).all()
+    counts, left = {}, s.symbols.tolist()
+    last = None
+    for i, p in enumerate(zip(left, left[1:])):
+        if p[0] == p[1] and last == (p, i - 1):  # overlaps the one before
+            last = None
+            continue
+        counts[p], last = counts.get(p, 0) + 1, (p, i)
+    assert max(counts.values(), default=0) < repair.LEAST
+    assert s.symbols.dtype == (np.uint16 if s.vocab + len(s.rules) <= 1 << 16 else np.uint32)
+
+
+def test_repair_refuses_ids_outside_the_vocabulary():
+    with pytest.raises(ValueError):
+        repair.pack(np.array([1, 70_000]), 50257)
+
+
 def test_repair_compresses_repeats():
     ids = np.tile(np.arange(50), 4000)
     assert len(repair.pack(ids, 50257)) < len(ids) / 2
@@ -117,6 +172,8 @@ def test_repair_compresses_repeats():
 
 def test_repair_query(spark, odd_docs, no_docs, vocab, bpe):
     path = vocab("byte_bpe_50k.json")
+    special = spark.createDataFrame([(700, "say <|endoftext|> twice <|endoftext|>"), (701, "plain")], "doc_id long, text string")
+    odd_docs = odd_docs.unionByName(special, allowMissingColumns=True)
     shards = repair.write_shards(odd_docs, path, shard=500)
     got = [tuple(r) for r in repair.read_documents(shards).orderBy("start").collect()]
     rows = odd_docs.select("doc_id", "text").collect()
