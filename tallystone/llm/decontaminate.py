@@ -348,9 +348,9 @@ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(
 positions AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 near AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_near
-  FROM (SELECT doc_id, w[i] AS first, w[i:i + 19] AS span FROM positions) p
+  FROM (SELECT doc_id, w, i, w[i] AS first FROM positions) p
   JOIN (SELECT DISTINCT item_id, w[i:i + n - 1] AS phrase, w[i] AS first FROM starts) x USING (first)
-  WHERE list_has_all(span, phrase) GROUP BY doc_id),
+  WHERE list_has_all(w[i:i + 19], phrase) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
