@@ -38,12 +38,55 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def mark() -> int:
+    """A point in the sequence of stored tables, for release."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables that were stored since a mark, but for those in keep: nothing may read the others any more."""
+    kept = {k._stored_at for k in keep}
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in [p for p in _written[since:] if p not in kept]:
+        place = files.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _written.remove(path)
+
+
+#: Keys that a join looks up from a broadcast table are fewer than HOT_KEYS: each holds more than that share of all
+#: rows, and more than HOT_ROWS of them. A shuffled key holds less.
+HOT_KEYS, HOT_ROWS = 50_000, 2_000
+
+
+def lookup(left: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", small: int = 0) -> DataFrame:
+    """left joined with a stored table of one row a key, in which n is about the number of left's rows of that key.
+
+    A table of at most `small` rows is broadcast. Otherwise its hot keys are, a number that HOT_KEYS bounds whatever the
+    size, and the rest is shuffled, so that no task gets all rows of a hot key. n is not in the result.
+    """
+    if small and table.count() <= small:
+        return left.join(F.broadcast(table.drop("n")), keys, how)
+    total = table.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_ROWS, total / HOT_KEYS)
+    hot, cold = table.where(F.col("n") > least).drop("n"), table.where(F.col("n") <= least).drop("n")
+    if not hot.limit(1).count():
+        return left.join(cold, keys, how)
+    out = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return out.unionByName(left.join(F.broadcast(hot), keys))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -16,13 +16,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize
+from .common import col, lookup, materialize
 
 #: A line is boilerplate if this many sites carry it.
 SITES = 5
 #: Sketches of 2**LG_K registers.
 LG_K = 10
-#: Shared lines up to this number are looked up from a broadcast table (24 bytes each), more by a shuffled join.
+#: Shared lines up to this number are looked up from a broadcast table (24 bytes each). Of more, the hot ones are (see
+#: lookup), and the rest by a shuffled join.
 BROADCAST_ROWS = 200_000
 
 
@@ -42,9 +43,10 @@ def _exploded(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
 
 
 def shared_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
-    """(h, g, estimate, n_sites): hashes of the lines that at least `sites` sites carry.
+    """(h, g, estimate, n_sites, n): hashes of the lines that at least `sites` sites carry.
 
-    n_sites is the exact count for lines near the threshold and null for those that the sketch decided.
+    n_sites is the exact count for lines near the threshold and null for those that the sketch decided; n counts the
+    line's occurrences.
     """
     return _spread(_exploded(docs, text_col, col(site_col).alias("site")).where("site is not null"), sites, lg_k)
 
@@ -55,45 +57,44 @@ def shared_by_classes(docs: DataFrame, shared: DataFrame, classes: DataFrame, ro
     row is the key of a document, and classes holds (row, class) once for each. With copies in one class, a text that
     is copied over many sites does not make its own lines boilerplate.
     """
-    lines = _matching(_exploded(docs, text_col, row.alias("row")), shared.select("h", "g"))
+    lines = _matching(_exploded(docs, text_col, row.alias("row")), shared)
     lines = lines.join(classes, "row").select("h", "g", F.col("class").alias("site"))
     return shared.join(_spread(materialize(lines, "classes"), least, lg_k).select("h", "g"), ["h", "g"], "left_semi")
 
 
 def _spread(lines: DataFrame, sites: int, lg_k: int) -> DataFrame:
-    """(h, g, estimate, n_sites) of the lines (h, g, site) with at least `sites` different sites."""
+    """(h, g, estimate, n_sites, n) of the lines (h, g, site) with at least `sites` different sites."""
     # A line of one site has spread 1 and needs no sketch: least and greatest site settle that in a plain aggregation.
-    ends = lines.groupBy("h", "g").agg(F.min(F.xxhash64("site")).alias("a"), F.max(F.xxhash64("site")).alias("b")).where("a <> b" if sites > 1 else "true")
-    spread = materialize(ends.select("h", "g"), "spread")
+    ends = lines.groupBy("h", "g").agg(F.min(F.xxhash64("site")).alias("a"), F.max(F.xxhash64("site")).alias("b"), F.count("*").alias("n")).where("a <> b" if sites > 1 else "true")
+    spread = materialize(ends.select("h", "g", "n"), "spread")
     several = _matching(lines, spread)
-    sketched = several.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("s"))
-    sketched = materialize(sketched.select("h", "g", F.hll_sketch_estimate("s").alias("estimate")), "sketches")
+    sketched = several.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("s"), F.count("*").alias("n"))
+    sketched = materialize(sketched.select("h", "g", F.hll_sketch_estimate("s").alias("estimate"), "n"), "sketches")
     margin = 6 * 1.04 / math.sqrt(1 << lg_k)  # six standard errors of the estimate, and one site
     low, high = sites * (1 - margin) - 1, sites * (1 + margin) + 1
-    sure = sketched.where(F.col("estimate") > high).select("h", "g", "estimate", F.lit(None).cast("long").alias("n_sites"))
+    sure = sketched.where(F.col("estimate") > high).select("h", "g", "estimate", F.lit(None).cast("long").alias("n_sites"), "n")
     near = sketched.where(F.col("estimate").between(low, high))
-    counted = _matching(lines, near.select("h", "g")).distinct().groupBy("h", "g").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= sites)
-    exact = near.join(counted, ["h", "g"]).select("h", "g", "estimate", "n_sites")
+    counted = _matching(lines, near).distinct().groupBy("h", "g").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= sites)
+    exact = near.join(counted, ["h", "g"]).select("h", "g", "estimate", "n_sites", "n")
     return materialize(sure.unionByName(exact), "boilerplate")
 
 
 def _matching(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Lines whose hash is wanted; the smaller side is broadcast only if its counted rows are within the bound."""
-    small = wanted.count() <= BROADCAST_ROWS
-    return lines.join(F.broadcast(wanted) if small else wanted, ["h", "g"], "left_semi")
+    """Lines whose hash is wanted: wanted has one row a hash, and n, about the number of lines of that hash."""
+    return lookup(lines, wanted.select("h", "g", "n"), ["h", "g"], small=BROADCAST_ROWS)
 
 
 def remove_lines(docs: DataFrame, shared: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the shared lines; n_lines and n_removed of each text are in __lines and __removed."""
     # Each row is looked up by the hash of its whole text, so that ids may be null or repeated.
-    key = F.struct(F.xxhash64(col(text_col)).alias("x"), F.hash(col(text_col)).alias("y"), F.length(col(text_col)).alias("n"))
-    hits = _exploded(docs, text_col, key.alias("k"))
-    hits = _matching(hits, shared.select("h", "g")).distinct()
-    drops = hits.groupBy("k").agg(F.collect_set(F.struct("h", "g")).alias("__drop"))  # at most the lines of one text
-    drops = materialize(drops.select(F.col("k.x").alias("__x"), F.col("k.y").alias("__y"), F.col("k.n").alias("__n"), "__drop"), "drops")
-    keyed = docs.withColumns({"__kx": F.xxhash64(col(text_col)), "__ky": F.hash(col(text_col)), "__kn": F.length(col(text_col))})
-    small = drops.count() <= BROADCAST_ROWS // 20
-    joined = keyed.join(F.broadcast(drops) if small else drops, (F.col("__kx") == F.col("__x")) & (F.col("__ky") == F.col("__y")) & (F.col("__kn") == F.col("__n")), "left")
+    key = ["__x", "__y", "__n"]
+    texts = [F.xxhash64(col(text_col)).alias("__x"), F.hash(col(text_col)).alias("__y"), F.length(col(text_col)).alias("__n")]
+    hits = _matching(_exploded(docs, text_col, *texts), shared).groupBy(*key, "h", "g").agg(F.count("*").alias("n"))
+    # at most the lines of one text; n is at least the number of documents of that text
+    drops = materialize(hits.groupBy(*key).agg(F.collect_list(F.struct("h", "g")).alias("__drop"), F.max("n").alias("n")), "drops")
+    few = drops.agg(F.sum(F.size("__drop"))).first()[0] or 0
+    keyed = docs.withColumns(dict(zip(key, [F.xxhash64(col(text_col)), F.hash(col(text_col)), F.length(col(text_col))], strict=True)))
+    joined = lookup(keyed, drops, key, "left", small=BROADCAST_ROWS if few <= BROADCAST_ROWS else 0)
     lines = _lines(col(text_col))
     kept = F.filter(lines, lambda x: ~F.array_contains("__drop", F.struct(F.xxhash64(trimmed(x)).alias("h"), F.hash(trimmed(x)).alias("g"))))
     text = F.when(F.col("__drop").isNull(), col(text_col)).otherwise(F.array_join(kept, "\n"))

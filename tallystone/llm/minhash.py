@@ -15,7 +15,14 @@ that a linked pair shares no band with a probability of 1e-6 at most.
    part of the group. Components of all links give each document the least id that it reaches.
 
 Components are found by label propagation with shortcuts in DataFrames, written to the shared folder each round.
-Nothing about all documents comes to the driver, and no bucket, group or candidate list is capped.
+Buckets, labels, groups and sets of copies that hold many rows are looked up from broadcast tables of a bounded number
+of keys, so that their rows stay where they are; no task gets a whole one. Tables that nothing reads any more are
+deleted. Nothing about all documents comes to the driver, and no bucket, group or candidate list is capped.
+
+The steps' words and shingles are 64-bit hashes (see byte_hashes and run_hashes); two of the shingles that a comparison
+meets are taken for one with a probability of 2**-64 a pair, and two sets for equal ones with 2**-128.
+A miss has a probability of 1e-6 for a pair of large sets at the similarity asked for; of small sets, whose least and
+greatest values are not independent, one of up to 1.2e-6. A higher similarity has a far smaller one.
 
 Null and blank texts have an empty set and are linked with nothing. A null id has no component and is kept; it neither
 links nor is linked. Rows that repeat an id are judged by their own texts; classes with the same least id count as
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_hashes, chunks, col, materialize, mix, run_hashes, small_batches, spans, utf8
+from .common import LOWER, byte_hashes, chunks, col, lookup, mark, materialize, mix, release, run_hashes, small_batches, spans, utf8
 
 #: Values in a band, and the greatest probability that a linked pair shares none.
 ROWS, MISS = 6, 1e-6
@@ -41,6 +48,8 @@ ROWS, MISS = 6, 1e-6
 FIRST_BANDS = 6
 #: Classes of a group that one task compares with one another.
 PART = 400
+#: Shingles of a group that one task holds.
+PART_SHINGLES = 12_000_000
 #: All bytes but blanks (0x20 and 0x09 to 0x0D) make words.
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -122,16 +131,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
 
 def connected(edges: DataFrame, tag: str) -> DataFrame:
     """(v, c): the least vertex that each vertex of the edges (a, b) reaches."""
+    spark, since = edges.sparkSession, mark()
     both = materialize(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), tag)
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("c")), tag)
+    # n is a vertex's number of neighbours, the rows that look its label up
+    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("c"), F.count("*").alias("n")), tag)
     while True:
-        seen = both.join(labels, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        step = labels.join(seen, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        root = labels.select(F.col("v").alias("c"), F.col("c").alias("r"))
-        step = materialize(step.join(root, "c", "left").select("v", "old", F.least("c", F.coalesce("r", "c")).alias("c")), tag)
-        labels = step.select("v", "c")
+        before = labels
+        seen = lookup(both, labels.select(F.col("v").alias("b"), "c", "n"), ["b"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
+        step = materialize(labels.join(seen, "v").select("v", "n", F.col("c").alias("old"), F.least("c", "m").alias("c")), tag)
+        used = step.groupBy("c").agg(F.count("*").alias("n"))
+        root = materialize(used.join(step.select(F.col("v").alias("c"), F.col("c").alias("r")), "c"), tag)
         if not step.where("c <> old").limit(1).count():
-            return labels
+            out = materialize(step.select("v", "c"), tag)
+            release(spark, since, out)
+            return out
+        moved = lookup(step.select("v", F.col("n").alias("degree"), "c"), root, ["c"])
+        labels = materialize(moved.select("v", F.least("c", "r").alias("c"), F.col("degree").alias("n")), tag)
+        release(spark, since, both, labels)
 
 
 def _bits(sets: list[np.ndarray]) -> np.ndarray:
@@ -194,64 +210,70 @@ def _compare(members: DataFrame, keys: list[str], num: int, den: int) -> DataFra
 def _ties(keyed: DataFrame) -> DataFrame:
     """(a, b): the vertices (v, bands) of each bucket, tied to the bucket's least one."""
     keyed = keyed.select("v", F.explode("bands").alias("k"))
-    least = keyed.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a <> z").select("k", "a")
-    return keyed.join(least, "k").where("a <> v").select("a", F.col("v").alias("b"))
+    least = keyed.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count("*").alias("n")).where("a <> z").select("k", "a", "n")
+    return lookup(keyed, materialize(least, "buckets"), ["k"]).where("a <> v").select("a", F.col("v").alias("b"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; linked means den * intersection >= num * union."""
+    spark, since = docs.sparkSession, mark()
     bands = bands_for(num / den)
     sig = materialize(signatures(docs, id_col, text_col, words, bands), "signatures")
     usable = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("size"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
     # The first bands join most of a large group, so that the others tie few vertices: ties stay near the number of classes.
     some = connected(_ties(classes.select(F.col("rep").alias("v"), F.slice("bands", 1, FIRST_BANDS).alias("bands"))), "ties")
-    joined = materialize(classes.join(some, classes.rep == some.v, "left").select("rep", F.coalesce("c", "rep").alias("v"), "bands"), "joined")
+    joined = materialize(classes.join(some, classes.rep == some.v, "left").select("rep", "size", F.coalesce("c", "rep").alias("v"), "bands"), "joined")
     rest = connected(_ties(joined.select("v", F.slice("bands", FIRST_BANDS + 1, bands).alias("bands"))), "ties")
-    group = joined.select("rep", F.col("v").alias("w")).join(rest, F.col("w") == rest.v, "left").select(F.col("rep").alias("v"), F.coalesce("c", "w").alias("c"))
-    group = materialize(group.join(group.groupBy("c").agg(F.count("*").alias("n")).where("n > 1"), "c"), "groups")
+    group = joined.select("rep", "size", F.col("v").alias("w")).join(rest, F.col("w") == rest.v, "left").select("rep", "size", F.coalesce("c", "w").alias("c"))
+    group = materialize(group, "grouped")
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("long").alias("parts")
+    dealt = group.groupBy("c").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1").select("c", "n", F.col("n").alias("members"), parts)
+    group = materialize(lookup(group.select("rep", "c"), materialize(dealt, "groups"), ["c"]), "groups")
     sets = materialize(_sets(docs, id_col, text_col, words, group), "sets")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / PART)).alias("p")
-    first = sets.select("c", part, "rep", F.lit(0).alias("part"), F.col("rep").alias("label"), "s")
+    first = sets.select("c", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("p"), "rep", F.lit(0).alias("part"), F.col("rep").alias("label"), "s")
     links = materialize(_compare(first, ["c", "p"], num, den), "links")
-    large = sets.where(F.col("n") > PART)
+    large = sets.where("parts > 1")
     if large.limit(1).count():
         links = _finish(large, links, num, den)
     label = connected(links, "linked")
-    found = classes.join(label, classes.rep == label.v, "left").select("s1", "s2", F.coalesce("c", "rep").alias("component_id"))
+    found = classes.join(label, classes.rep == label.v, "left").select("s1", "s2", F.coalesce("c", "rep").alias("component_id"), "n")
+    found = materialize(found, "found")
+    release(spark, since, sig, found)
     own = F.coalesce("component_id", "doc_id")
-    return sig.join(found, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id"))).alias("component_id"))
+    out = lookup(sig.select("doc_id", "n_shingles", "s1", "s2"), found, ["s1", "s2"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def _finish(large: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     """All links that groups of several parts still lack between their components."""
     label = connected(links, "linked")
-    rows = large.select("c", "n", "rep", "s").join(label.select(F.col("v").alias("rep"), F.col("c").alias("l")), "rep", "left")
-    rows = materialize(rows.select("c", "n", "rep", "s", F.coalesce("l", "rep").alias("label")), "large")
-    sizes = rows.groupBy("c", "label").agg(F.countDistinct("rep").alias("m"))
-    main = sizes.groupBy("c").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"), F.max("m").alias("m"))
-    rows = rows.join(main, "c").where("n > m")
+    rows = large.select("c", "members", "parts", "rep", "s").join(label.select(F.col("v").alias("rep"), F.col("c").alias("l")), "rep", "left")
+    rows = materialize(rows.select("c", "members", "parts", "rep", "s", F.coalesce("l", "rep").alias("label")), "large")
+    sizes = rows.groupBy("c", "label").agg(F.countDistinct("rep").alias("m"), F.any_value("members").alias("n"))
+    main = materialize(sizes.groupBy("c").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"), F.max("m").alias("m"), F.max("n").alias("n")), "main")
+    rows = lookup(rows, main, ["c"]).where("members > m")
     # Those outside the largest component, in parts, meet every part of the group.
-    deal, inner = F.ceil(F.col("n") / PART).cast("int"), F.ceil((F.col("n") - F.col("m")) / PART).cast("int")
-    outside = rows.where("label <> main").select("c", F.pmod(F.xxhash64("rep"), inner).alias("p"), F.explode(F.sequence(F.lit(0), deal - 1)).alias("q"), "rep", F.lit(0).alias("part"), "label", "s")
-    others = rows.select("c", F.explode(F.sequence(F.lit(0), inner - 1)).alias("p"), F.pmod(F.xxhash64("rep"), deal).alias("q"), "rep", F.lit(1).alias("part"), "label", "s")
-    both = outside.select("c", F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"), "rep", "part", "label", "s").unionByName(others.select("c", F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"), "rep", "part", "label", "s"))
-    return materialize(links.unionByName(_compare(both, ["c", "p", "q"], num, den)), "links")
+    deal, inner = F.col("parts"), F.ceil(F.col("parts") * (F.col("members") - F.col("m")) / F.col("members")).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    outside = rows.where("label <> main").select("c", F.pmod(F.xxhash64("rep"), inner).alias("p"), every(deal).alias("q"), "rep", F.lit(0).alias("part"), "label", "s")
+    others = rows.select("c", every(inner).alias("p"), F.pmod(F.xxhash64("rep"), deal).alias("q"), "rep", F.lit(1).alias("part"), "label", "s")
+    return materialize(links.unionByName(_compare(outside.unionByName(others), ["c", "p", "q"], num, den)), "links")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, group: DataFrame) -> DataFrame:
-    """(c, n, rep, s): the full sets of the classes in candidate groups."""
-    rows = docs.select(col(id_col).cast("long").alias("rep"), col(text_col).alias("text")).join(group.select(F.col("v").alias("rep"), "c", "n"), "rep")
+    """(c, members, parts, rep, s): the full sets of the classes in candidate groups."""
+    rows = docs.select(col(id_col).cast("long").alias("rep"), col(text_col).alias("text")).join(group, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = utf8(batch.column(2))
+            buf, offsets = utf8(batch.column(4))
             for i, j in chunks(offsets):
                 sets = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in (0, 1, 3)], pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "n", "rep", "s"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(4)], pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "members", "parts", "rep", "s"])
 
-    return rows.select("c", "n", "text", "rep").mapInArrow(run, "c long, n long, rep long, s binary").where("octet_length(s) > 0")
+    return rows.select("c", "members", "parts", "rep", "text").mapInArrow(run, "c long, members long, parts long, rep long, s binary").where("octet_length(s) > 0")
 
 
 def op10(docs: DataFrame) -> DataFrame:

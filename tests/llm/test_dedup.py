@@ -41,6 +41,20 @@ def test_line_dedup(spark, odd_docs, sites):
     assert got == sorted((r[0] or -1, t or "") for r, t in zip(rows, brute_lines(rows, sites)))
 
 
+def test_line_dedup_with_hot_lines_and_shuffled_ones(spark, monkeypatch):
+    """No table is small enough to broadcast: hot lines and hot texts are, the others are shuffled."""
+    from tallystone.llm import common
+
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rng = random.Random(9)
+    rows = [(i, "\n".join(["hot", *(f"line {rng.randint(0, 40)}" for _ in range(6)), f"own {i}"]), f"s{rng.randint(0, 6)}") for i in range(60)]
+    rows += [(100 + i, "hot\nline 1\ncopied text", f"s{i % 7}") for i in range(30)] + [(200, None, "s1"), (201, "", None), (202, "hot\nline 2", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r["doc_id"], r["text"] or "") for r in L.remove_lines(docs, L.shared_lines(docs)).collect())
+    assert got == sorted((r[0], t or "") for r, t in zip(rows, brute_lines(rows, 5)))
+
+
 def test_line_dedup_many_sites_are_decided_by_the_sketch(spark):
     rows = [(i, f"common\nown {i}", f"s{i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -231,6 +245,37 @@ def test_near_duplicates_chain_over_parts(spark, monkeypatch):
     assert sorted(got, key=str) == brute_components(rows, 5, 85, 100)
 
 
+def test_near_duplicates_with_hot_keys(spark, monkeypatch):
+    """Buckets, labels, groups and copies of more than three rows are looked up from broadcast tables."""
+    from tallystone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = families(7, n=8, size=25) + [(5000 + i, "the very same words in each of these") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in M.components(df).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 5, 80, 100)
+
+
+def test_parts_are_bounded_by_shingles_too(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_SHINGLES", 100)
+    rows = families(8, n=10, size=6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in M.components(df, num=85).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 5, 85, 100)
+
+
+def test_superseded_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from tallystone.llm import common
+
+    df = spark.createDataFrame(families(3, n=6), "doc_id long, text string")
+    M.components(df).count()
+    base = common.shared_dir(spark)
+    mine = [p for p in common._written if os.path.isdir(p)]
+    assert mine == common._written and not any(os.path.basename(p).split("-")[0] in ("ties", "sets", "links", "joined") for p in mine) and base
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
     got = [(r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in M.components(odd_docs).collect()]
