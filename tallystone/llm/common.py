@@ -153,6 +153,11 @@ def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     Eight bytes at a time are mixed into a state that starts from the length, so that no algebra ties the hashes of
     different spans: spans of one length up to 8 bytes never collide, two others do with a probability of 2**-64.
     """
+    return byte_hash_lanes(buf, starts, ends, (seed,))[0]
+
+
+def byte_hash_lanes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """byte_hashes for several seeds at once."""
     n = ends - starts
     padded = np.zeros(len(buf) // 8 + 2, np.uint64)
     padded.view(np.uint8)[: len(buf)] = buf
@@ -162,15 +167,20 @@ def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         x = padded[k] >> shift | padded[k + 1] << np.uint64(1) << (np.uint64(63) - shift)
         return x & _TAIL[np.minimum(left, 8)]
 
-    h = mix(load(starts, n) ^ mix(n.astype(np.uint64) + mix(np.array([seed], np.uint64))))
+    x, size = load(starts, n), n.astype(np.uint64)
+    out = [mix(x ^ mix(size + mix(np.array([seed], np.uint64)))) for seed in seeds]
     live, at = np.flatnonzero((n > 8) & (n <= _LONG)), 8
     while len(live):
-        h[live] = mix(h[live] ^ load(starts[live] + at, n[live] - at))
+        x = load(starts[live] + at, n[live] - at)
+        for h in out:
+            h[live] = mix(h[live] ^ x)
         at += 8
         live = live[n[live] > at]
     for i in np.flatnonzero(n > _LONG).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
-    return h
+        part = buf[starts[i] : ends[i]].tobytes()
+        for h, seed in zip(out, seeds, strict=True):
+            h[i] = int.from_bytes(hashlib.blake2b(part, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)

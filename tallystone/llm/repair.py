@@ -6,7 +6,8 @@ LEAST times; the shard stores the pair that each new symbol stands for, and how
 reader finds any range of ids by a sum of expansion lengths and expands that range only. New symbols start above the
 tokenizer's greatest id, added tokens included; a shard's symbols take 2 bytes, or 4 where 2 do not hold them.
 
-Each distinct pre-token is encoded by the tokenizers library once a worker; texts are cut into pre-tokens in numpy by
+Each distinct pre-token is encoded by the tokenizers library once a worker, those of a blank and letters JOINED at a
+time, as the library cuts their joined text into the same pre-tokens; texts are cut into pre-tokens in numpy by
 the byte-level scheme's pattern (BPE never joins across pre-tokens, so this changes no id; a test compares both).
 Texts that hold the string of an added token go to the library whole, which makes that token's id of it.
 
@@ -21,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -37,8 +39,10 @@ END = 0
 SHARD = 1 << 19
 #: A rule takes 8 bytes and saves a symbol of 2 each time that it is used: pairs of fewer occurrences save little.
 LEAST = 8
-#: Text bytes of a range partition.
-PART_BYTES = 48 << 20
+#: Text bytes of a range partition, and how many bytes of text a stored byte may hold.
+PART_BYTES, RATIO = 48 << 20, 4
+#: Pre-tokens that go to the library in one text.
+JOINED = 64
 MAGIC = b"RPG2"
 #: Fixed value: the byte-level scheme's pre-token pattern, with its notion of white space spelled out.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -102,58 +106,72 @@ def _alternate(at: np.ndarray) -> np.ndarray:
     return at[place % 2 == 0]
 
 
-def frequent(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The key at each position, the distinct keys, and how often each can be replaced if no other is."""
+_SLOT_BITS = 18
+
+
+def frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of frequent pairs, the number of the pair at each, the pairs' keys, how often each can be replaced if no
+    other is, and the count from which on pairs are frequent: a quarter of the greatest, least at least. No pair if none is.
+
+    Pairs are counted in hashed slots first; only those in a slot with enough are counted one by one.
+    """
     key = _pairs(seq)
-    counted = key
-    twins = np.flatnonzero(seq[1:] == seq[:-1])
-    if len(twins):  # "a a a" holds the pair "a a" once
-        counted = np.delete(key, np.setdiff1d(twins, _alternate(twins), assume_unique=True))
-    counted = np.sort(counted)
-    first = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]])) if len(counted) else np.zeros(0, np.int64)
-    return key, counted[first], np.diff(np.append(first, len(counted)))
+    slot = (key * key.dtype.type(0x9E3779B97F4A7C15 & (0xFFFFFFFF if key.itemsize == 4 else (1 << 64) - 1))) >> key.dtype.type(8 * key.itemsize - _SLOT_BITS)
+    held = np.bincount(slot, minlength=1 << _SLOT_BITS)
+    enough = max(least, int(held.max()) // 4)
+    while True:
+        at = np.flatnonzero((held >= enough)[slot])
+        k = key[at]
+        twins = seq[at] == seq[at + 1]
+        counted = k[~twins]
+        if twins.any():  # "a a a" holds the pair "a a" once
+            counted = np.concatenate([counted, key[_alternate(at[twins])]])
+        counted = np.sort(counted)
+        first = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1]])) if len(counted) else np.zeros(0, np.int64)
+        pairs, count = counted[first], np.diff(np.append(first, len(counted)))
+        top = int(count.max()) if len(count) else 0
+        if top >= least or enough == least:
+            break
+        enough = least
+    enough = max(least, min(enough, top // 2))
+    pairs, count = pairs[count >= enough], count[count >= enough]
+    if not len(pairs):
+        return at[:0], at[:0], pairs, count, enough
+    number = np.minimum(np.searchsorted(pairs, k), len(pairs) - 1)
+    hit = pairs[number] == k
+    return at[hit], number[hit], pairs, count, enough
 
 
 def repair(ids: np.ndarray, vocab: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths): rule k stands for symbol vocab + k, a pair that expands to lengths[k] ids.
 
-    A round replaces all pairs that are at least half as frequent as the most frequent one; where their occurrences
+    A round replaces all pairs that are at least a quarter as frequent as the most frequent one; where their occurrences
     overlap every other one is replaced, from the left, and a pair that loses most of its own so waits for a later
     round. Rounds go on until no pair occurs least times.
     """
     if len(ids) and (ids.min() < 0 or ids.max() >= vocab):
         raise ValueError("an id is outside the vocabulary")
-    seq, rules, size = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)], np.ones(vocab, np.int64)
+    seq, rules, made, size = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)], 0, np.ones(vocab, np.int64)
     while len(seq) > 1:
-        key, pairs, count = frequent(seq)
-        top = int(count.max())
-        if top < least:
+        at, number, pairs, count, enough = frequent(seq, least)
+        if not len(pairs):
             break
-        enough = max(least, top // 2)
-        chosen = pairs[count >= enough]
-        # most positions hold no chosen pair: a table of marks tells most of them before the search
-        marks = np.zeros(1 << 16, bool)
-        slot = ((key * key.dtype.type(0x9E3779B1)) & key.dtype.type(0xFFFFFFFF)) >> key.dtype.type(16)
-        marks[((chosen * key.dtype.type(0x9E3779B1)) & key.dtype.type(0xFFFFFFFF)) >> key.dtype.type(16)] = True
-        at = np.flatnonzero(marks[slot])
-        number = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[number] == key[at]
-        at, number = at[hit], number[hit]
-        which = np.full(len(seq), -1, np.int64)
+        which = np.empty(len(seq), np.int32)
         which[at] = number
         picked = _alternate(at)
-        uses = np.bincount(which[picked], minlength=len(chosen))
+        uses = np.bincount(which[picked], minlength=len(pairs))
         kept = 2 * uses >= enough
         if not kept.all():
             if not kept.any():
-                kept = np.arange(len(chosen)) == np.argmax(count[count >= enough])
+                kept = np.arange(len(pairs)) == np.argmax(count)
             picked = _alternate(at[kept[number]])
-            uses = np.bincount(which[picked], minlength=len(chosen))
+            uses = np.bincount(which[picked], minlength=len(pairs))
             kept = uses > 0
-        symbol = vocab + sum(map(len, rules)) + np.cumsum(kept) - 1
-        half = chosen.dtype.type(16 if chosen.dtype == np.uint32 else 32)
-        pair = np.column_stack([chosen >> half, chosen & ((chosen.dtype.type(1) << half) - chosen.dtype.type(1))])[kept].astype(np.int64)
+        symbol = (vocab + made + np.cumsum(kept) - 1).astype(np.uint32)
+        half = pairs.dtype.type(4 * pairs.itemsize)
+        pair = np.column_stack([pairs >> half, pairs & ((pairs.dtype.type(1) << half) - pairs.dtype.type(1))])[kept].astype(np.int64)
         rules.append(pair)
+        made += len(pair)
         size = np.concatenate([size, size[pair].sum(1)])
         keep = np.ones(len(seq), bool)
         keep[picked + 1] = False
@@ -239,9 +257,34 @@ def encoder(tokenizer_json: str):
         joined = "".join(texts)
         starts, ends, row = pre_tokens(texts, points, offsets)
 
-        def new(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def singly(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return _flat(tokenizer.encode_batch_fast([joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], add_special_tokens=False))
 
+        def new(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            letters = np.concatenate([[0], np.cumsum(_classes()[points] == 1)])
+            plain = (points[a] == 32) & (b - a > 1) & (letters[b] - letters[np.minimum(a + 1, b)] == b - a - 1)
+            one, many = np.flatnonzero(~plain), np.flatnonzero(plain)
+            if len(many) < JOINED:
+                return singly(a, b)
+            size = b[many] - a[many]
+            text, ends = ragged(points, a[many], size).tobytes().decode("utf-32-le"), np.concatenate([[0], np.cumsum(size)])
+            first = list(range(0, len(many), JOINED))
+            cuts = ends[[*first, len(many)]].tolist()
+            found = tokenizer.encode_batch([text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)
+            word = [e.word_ids for e in found]
+            if any(w[-1] + 1 != n for w, n in zip(word, np.diff([*first, len(many)]).tolist(), strict=True)):
+                return singly(a, b)
+            ids, n = _flat(found)
+            of = np.fromiter(chain.from_iterable(word), np.int64, len(ids)) + np.repeat(first, n)
+            more, k = singly(a[one], b[one])
+            counts = np.zeros(len(a), np.int64)
+            counts[many], counts[one] = np.bincount(of, minlength=len(many)), k
+            out, at = np.empty(len(ids) + len(more), np.int32), np.cumsum(counts) - counts
+            for which, flat in ((many, ids), (one, more)):
+                own = counts[which]
+                out[np.arange(len(flat)) + np.repeat(at[which] - (np.cumsum(own) - own), own)] = flat
+            return out, counts
+
         ids, n = cache.lookup(points, starts, ends, new)
         return ids, np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
 
@@ -264,7 +307,7 @@ def encoder(tokenizer_json: str):
 def _flat(found: list) -> tuple[np.ndarray, np.ndarray]:
     ids = [e.ids for e in found]
     counts = np.array([len(x) for x in ids], np.int64)
-    return np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), counts
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
@@ -273,7 +316,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     small_batches(spark)
     model = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())  # one vocabulary file, a few MB
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"), F.xxhash64(col(text_col)).alias("h"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = RATIO * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, without a scan
+    if size > 1 << 50:  # not known
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h")
     kind = rows.schema["id"].dataType.simpleString()

@@ -1,7 +1,8 @@
 """Texts as code points in numpy, and a cache from words to lists of token ids.
 
-Words are found by a 64-bit hash and told apart by a second, independent one: a word whose first hash is another
-word's is encoded by itself and never takes the other's ids. Both hashes have seeds that a process draws anew.
+Words are found by a 64-bit hash and told apart by a second, independent one, so that no word takes the ids of another
+with the same first hash. Both hashes have seeds that a process draws anew. The words' slots are in a table with open
+addressing; a word without a place among PROBES is encoded each time that it comes.
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from .common import byte_hashes
+from .common import byte_hash_lanes
 
 #: Code points that one numpy step works on; a longer text makes its own step.
 POINTS = 1 << 18
 #: Words that a cache keeps; a fuller one starts anew, which costs time and changes nothing else.
 WORDS = 1_500_000
-#: New words that are kept apart from the others before both are merged.
-RECENT = 60_000
+#: The table has 2**TABLE_BITS places.
+TABLE_BITS, PROBES = 22, 12
 
 
 def text_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -45,14 +46,16 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + shift]
 
 
-_SEEDS = [int.from_bytes(os.urandom(8), "little") for _ in range(2)]
+_SEEDS = [int.from_bytes(os.urandom(7), "little") for _ in range(2)]
 Encode = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def word_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each word [start, end) of the points."""
-    data = np.ascontiguousarray(points).view(np.uint8)
-    first, second = (byte_hashes(data, 4 * starts, 4 * ends, seed) for seed in _SEEDS)
+    """Two hashes of each word [start, end) of the points. Points take as few bytes as the greatest needs; seeds tell sizes apart."""
+    top = int(points.max()) if len(points) else 0
+    size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    data = points.astype(f"u{size}").view(np.uint8)
+    first, second = byte_hash_lanes(data, size * starts, size * ends, tuple(s + size for s in _SEEDS))
     return first, second
 
 
@@ -63,10 +66,9 @@ class WordCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.new_keys, self.new_slots = self.keys, self.slots
+        self.table = np.zeros(1 << TABLE_BITS, np.int32)  # slot + 1, or 0
+        self.keys, self.checks = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
         self.starts, self.lengths, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
-        self.checks = np.zeros(1 << 16, np.uint64)
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
 
     def lookup(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Encode) -> tuple[np.ndarray, np.ndarray]:
@@ -74,45 +76,44 @@ class WordCache:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         key, check = word_keys(points, starts, ends)
-        h, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if self.n + len(h) > WORDS:
+        if self.n > WORDS:
             self._clear()
-        slot = np.full(len(h), -1, np.int64)
-        for keys, slots in ((self.keys, self.slots), (self.new_keys, self.new_slots)):
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            if len(keys):
-                known = keys[at] == h
-                slot[known] = slots[at[known]]
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            slot[new] = self._add(check[first[new]], *encode(starts[first[new]], ends[first[new]]))
-            at = np.searchsorted(self.new_keys, h[new])
-            self.new_keys, self.new_slots = np.insert(self.new_keys, at, h[new]), np.insert(self.new_slots, at, slot[new])
-            if len(self.new_keys) > RECENT:
-                at = np.searchsorted(self.keys, self.new_keys)
-                self.keys, self.slots = np.insert(self.keys, at, self.new_keys), np.insert(self.slots, at, self.new_slots)
-                self.new_keys, self.new_slots = self.new_keys[:0], self.new_slots[:0]
-        slot = slot[back]
+        slot = np.full(len(key), -1, np.int64)
+        place, live = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.arange(len(key))
+        for _ in range(PROBES):
+            found = self.table[place] - 1
+            known = (found >= 0) & (self.keys[found] == key[live]) & (self.checks[found] == check[live])
+            slot[live[known]] = found[known]
+            live, place = live[go := (found >= 0) & ~known], (place[go] + 1) & ((1 << TABLE_BITS) - 1)
+            if not len(live):
+                break
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            order = miss[np.lexsort((check[miss], key[miss]))]
+            new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])])
+            first = order[new]
+            slot[order] = self._add(key[first], check[first], *encode(starts[first], ends[first]))[np.cumsum(new) - 1]
         lengths = self.lengths[slot].astype(np.int64)
-        wrong = np.flatnonzero(self.checks[slot] != check)
-        if not len(wrong):
-            return ragged(self.ids, self.starts[slot], lengths), lengths
-        own, counts = encode(starts[wrong], ends[wrong])
-        flat = np.concatenate([self.ids[: self.used], own])
-        at = self.starts[slot]
-        at[wrong], lengths[wrong] = self.used + np.cumsum(counts) - counts, counts
-        return ragged(flat, at, lengths), lengths
-
-    def _add(self, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return ragged(self.ids, self.starts[slot], lengths), lengths
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         n, used = self.n + len(counts), self.used + len(ids)
         if n > len(self.starts):
-            self.starts, self.lengths, self.checks = (np.resize(x, 2 * n) for x in (self.starts, self.lengths, self.checks))
+            self.starts, self.lengths, self.keys, self.checks = (np.resize(x, 2 * n) for x in (self.starts, self.lengths, self.keys, self.checks))
         if used > len(self.ids):
             self.ids = np.resize(self.ids, 2 * used)
         self.ids[self.used : used] = ids
         self.lengths[self.n : n] = counts
-        self.checks[self.n : n] = checks
+        self.keys[self.n : n], self.checks[self.n : n] = keys, checks
         self.starts[self.n : n] = self.used + np.cumsum(counts) - counts
         out = np.arange(self.n, n)
         self.n, self.used = n, used
+        place, left = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64), out
+        for _ in range(PROBES):
+            free = self.table[place] == 0
+            self.table[place[free]] = left[free] + 1
+            go = self.table[place] != left + 1  # taken, or lost to another new word
+            place, left = (place[go] + 1) & ((1 << TABLE_BITS) - 1), left[go]
+            if not len(left):
+                break
         return out
