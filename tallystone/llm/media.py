@@ -126,15 +126,37 @@ def _gzip(b: bytes, i: int) -> int:
     return 0
 
 
-def _zip(b: bytes, i: int) -> int:
-    at, first = b.find(b"PK\x05\x06", i + 4), 0
-    while at >= 0 and at + 22 <= len(b):
-        _, _, n, size, offset, note = struct.unpack_from("<HHHIIH", b, at + 6)[0:6]
-        first = at - size
-        if n and i + offset == first and b[first : first + 4] == b"PK\x01\x02" and at + 22 + note <= len(b):
-            return at + 22 + note - i
-        at = b.find(b"PK\x05\x06", at + 4)
-    return 0
+class Finder:
+    """bytes.find for searches from ascending places: text between a place and the next match is read once."""
+
+    def __init__(self, b: bytes):
+        self.b, self.last, self._archives = b, {}, None
+
+    def __call__(self, what: bytes, start: int) -> int:
+        a, at = self.last.get(what, (0, 0))
+        if not (a <= start and (at < 0 or start <= at)) or what not in self.last:
+            at = self.b.find(what, start)
+            self.last[what] = start, at
+        return at
+
+    def archives(self) -> dict[int, int]:
+        """Where zip archives would begin, by their end records, and the first end of each."""
+        if self._archives is not None:
+            return self._archives
+        found, b = {}, self.b
+        at = b.find(b"PK\x05\x06")
+        while at >= 0 and at + 22 <= len(b):
+            n, size, offset, note = struct.unpack_from("<HIIH", b, at + 10)
+            first = at - size
+            if n and first >= 0 and b[first : first + 4] == b"PK\x01\x02" and at + 22 + note <= len(b):
+                found.setdefault(first - offset, at + 22 + note)
+            at = b.find(b"PK\x05\x06", at + 4)
+        self._archives = found
+        return found
+
+
+def _zip(b: bytes, i: int, find: Finder) -> int:
+    return max(find.archives().get(i, i) - i, 0)
 
 
 def _ogg(b: bytes, i: int) -> int:
@@ -150,8 +172,8 @@ def _ogg(b: bytes, i: int) -> int:
     return 0
 
 
-def _pdf(b: bytes, i: int) -> int:
-    end, start = b.find(b"%%EOF", i), b.find(b"startxref", i)
+def _pdf(b: bytes, i: int, find: Finder) -> int:
+    end, start = find(b"%%EOF", i), find(b"startxref", i)
     return end + 5 - i if 0 <= start < end else 0
 
 
@@ -185,10 +207,11 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(b: bytes, a: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """The media in b that are not inside one another, as (offset, length, type)."""
+    find = Finder(b)
     hits = sorted((end - n + 1, k, kind, check) for end, (n, checks) in a.iter(b.decode("latin-1")) for k, (kind, check) in enumerate(checks))
     found, free = [], 0
     for i, _, kind, check in hits:
-        if i >= free and (n := check(b, i)):
+        if i >= free and (n := check(b, i, find) if check in (_zip, _pdf) else check(b, i)):
             found.append((i, n, kind))
             free = i + n
     return found

@@ -1,7 +1,9 @@
 """Operator 5: toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding undoes disguises one character at a time: case, full-width and accented letters, Greek and Cyrillic
-look-alikes, digits and signs for letters, and invisible characters inside words. The lexicon holds whole words and
+Folding undoes disguises one character at a time: case, full-width, mathematical, circled and other styled letters,
+Greek and Cyrillic look-alikes, digits and signs for letters, and invisible characters inside words. Accented Latin
+letters and signs at a word's ends may be meant as they are: such a word is matched as it is written, without the
+signs, and where that is no hit, without accents and with the signs as letters. The lexicon holds whole words and
 beginnings of words with weights learnt from labelled documents (smoothed log odds of the document frequencies), kept
 where the likelihood ratio is beyond chance for that many candidates. Exception phrases cancel the hits inside them;
 they are learnt from the same rows, as pairs of neighbouring words around a term that clean documents hold.
@@ -52,6 +54,11 @@ def _folds() -> dict[int, str]:
             table[ord(c)] = x
         elif c.lower() != c:
             table[ord(c)] = c.lower()
+    for c in [*range(0x2100, 0x2150), *range(0x2460, 0x2500), *range(0x1D400, 0x1D800), *range(0x1F110, 0x1F150)]:
+        x = unicodedata.normalize("NFKD", chr(c)).lower()
+        x = "".join(LOOKALIKES.get(y, y) for y in x if not unicodedata.combining(y)).strip("()")
+        if x.isascii() and x.isalnum():
+            table[c] = x
     for c in range(0xFF01, 0xFF5F):
         table[c] = chr(c - 0xFEE0).lower()
     for c in range(65, 91):
@@ -69,11 +76,38 @@ def _plain() -> dict[int, str]:
 
 def fold(text: str) -> str:
     """Folded words, each with a space before it and after it. Digits and signs fold only inside words with letters."""
-    text = text.translate(_plain())
-    if any(c in text for c in DIGITS):
-        text = " ".join(_digits(w) for w in text.split())
-        return f" {text} "
-    return f" {' '.join(text.split())} "
+    return folded(text)[0]
+
+
+def folded(text: str) -> tuple[str, list[tuple[int, str]]]:
+    """Folded words with spaces around them, and other readings of some: the word's number and the reading."""
+    words = text.translate(_plain()).split()
+    joined = " ".join(words)
+    signs, accents = any(c in joined for c in DIGITS), not joined.isascii()
+    if not signs and not accents:
+        return f" {joined} ", []
+    out, others = [], []
+    for w in words:
+        x = _digits(w) if signs else w
+        if not x:
+            continue
+        y = x
+        if signs and w[0] in "$@!|" or w[-1] in "$@":
+            core = w.rstrip("!|")
+            if any(map(str.isalpha, core)):
+                y = "".join(DIGITS.get(c, c) for c in core)
+        if accents and not y.isascii():
+            y = _bare(y)
+        if y != x:
+            others.append((len(out), y))
+        out.append(x)
+    return f" {' '.join(out)} ", others
+
+
+@lru_cache(maxsize=1 << 16)
+def _bare(word: str) -> str:
+    """The word without accents."""
+    return "".join(LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
 def _digits(word: str) -> str:
@@ -102,19 +136,28 @@ class Lexicon:
 
     def hits(self, text: str, a: ahocorasick.Automaton) -> tuple[float, int, int]:
         """Summed weights of the hits, their number, and the number of words. Of hits that start at one word the heaviest counts."""
-        folded = fold(text)
-        words = folded.count(" ") - 1 if len(folded) > 2 else 0
+        main, others = folded(text)
+        words = main.count(" ") - 1 if len(main) > 2 else 0
         if not len(a):
             return 0.0, 0, words
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
-        for end, (n, weight) in a.iter(folded):
+        for end, (n, weight) in a.iter(main):
             at = end - n + 1
             if weight is None:
                 spared.append((at, end))
             elif weight > best.get(at, 0.0):
                 best[at] = weight
         kept = [w for at, w in best.items() if not any(i <= at < j for i, j in spared)]
+        if others:
+            text, more = f" {' '.join(w for _, w in others)} ", {}
+            for end, (n, weight) in a.iter(text):
+                if weight is not None:
+                    word = others[text.count(" ", 0, end - n + 1)][0]
+                    more[word] = max(weight, more.get(word, 0.0))
+            if more:
+                hit = {main.count(" ", 0, at) for at in best}
+                kept += [w for word, w in more.items() if word not in hit]
         return sum(kept), len(kept), words
 
     def features(self, text: str, a: ahocorasick.Automaton) -> tuple[float, float]:
@@ -203,16 +246,16 @@ def learn_exceptions(rows: DataFrame, lexicon: Lexicon, clean: int, toxic: int,
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                folded = fold(text or "")
-                starts = {end - n + 1 for end, (n, _) in a.iter(folded)}
+                main = fold(text or "")
+                starts = {end - n + 1 for end, (n, _) in a.iter(main)}
                 found = {""} if starts else set()  # the empty phrase counts the documents with a hit
                 for at in starts:
-                    stop = folded.index(" ", at + 1)
-                    before, after = folded.rfind(" ", 0, at), folded.find(" ", stop + 1)
+                    stop = main.index(" ", at + 1)
+                    before, after = main.rfind(" ", 0, at), main.find(" ", stop + 1)
                     if before >= 0:
-                        found.add(folded[before + 1 : stop])
+                        found.add(main[before + 1 : stop])
                     if after >= 0:
-                        found.add(folded[at + 1 : after])
+                        found.add(main[at + 1 : after])
                 for t in found:
                     counts.setdefault(t, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["phrase", "clean", "toxic"])

@@ -4,7 +4,9 @@ A list of (host, path) keys is encoded by a cascade over the complete universe o
 for. Level 1 holds the listed keys; level 2 holds the unlisted keys of the corpus that level 1 lets through;
 level 3 the listed keys that level 2 lets through, and so on until a level lets nothing wrong through. A key is
 listed if the first level that rejects it has an even number, so membership is exact for every key of the corpus,
-without a join against the list: each level is a bit array that a scalar subquery hands to the scan.
+without a join against the list: each level is a bit array that a scalar subquery hands to the scan. Level 1 gets the
+more bits a key the larger the universe is, so many that it lets no more unlisted keys through than the list has (or
+LEAST_PASSING); so every level is bounded by the list, and its size grows with the corpus by a logarithm only.
 
 A host is looked up by those of its suffixes that have as many labels as some listed host, a path by those of its
 prefixes that are as long as some listed path; both are sets of numbers that grow with the list's shape, not with
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import col, materialize
 
-#: Most listed keys of one filter: at 10 bits a key its first level stays under 2 MB.
+#: Most listed keys of one filter: at 10 to 43 bits a key (43 for 10**15 keys of the corpus) its first level is 1 to 5 MB.
 LIST_BOUND = 1_000_000
+#: Unlisted keys that level 1 may let through however short the list is, and its greatest rate of them.
+LEAST_PASSING, FIRST_RATE = 1000, 1e-3
 #: Listed (verdict, host, path): block or allow a host with all its subdomains, where the path starts so.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 _AZ, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +58,7 @@ class Level:
         bits = max(64, math.ceil(-max(n, 1) * math.log(fpr) / math.log(2) ** 2))
         self.words = (bits + 63) // 64
         self.hashes = max(1, round(self.words * 64 / max(n, 1) * math.log(2)))
-        self.hashes = min(self.hashes, 12)
+        self.hashes = min(self.hashes, 30)
         self.number = number
         words = keys.select(F.explode(F.array(*self._positions(F.col("key")))).alias("bit")).select(
             F.expr("int(bit div 64)").alias("word"), F.expr("shiftleft(1L, int(bit % 64))").alias("mask")
@@ -85,10 +89,11 @@ class Level:
 class BloomCascade:
     """Exact membership of corpus keys in a list: see the module's text.
 
-    listed and universe have one string column, key; universe need not be distinct.
+    listed and universe have one string column, key; universe need not be distinct. asked is at least the universe's
+    number of keys; it is counted if not given.
     """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame):
+    def __init__(self, listed: DataFrame, universe: DataFrame, asked: int | None = None):
         listed = materialize(listed.select("key").where("key is not null").distinct(), "listed")
         self.size = listed.count()
         if self.size > LIST_BOUND:
@@ -96,7 +101,8 @@ class BloomCascade:
         self.levels: list[Level] = []
         if not self.size:
             return
-        self.levels.append(Level(listed, self.size, 1e-3, 1))
+        asked = universe.count() if asked is None else asked
+        self.levels.append(Level(listed, self.size, min(FIRST_RATE, max(self.size, LEAST_PASSING) / max(asked, 1)), 1))
         # Keys that level 1 lets through, listed or not: one aggregation tells them apart, without a join.
         passing = universe.select("key").where(self.levels[0].contains(F.col("key"))).select("key", F.lit(0).alias("l"))
         both = passing.unionByName(listed.select("key", F.lit(1).alias("l"))).groupBy("key").agg(F.max("l").alias("l"))
@@ -132,10 +138,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     names = [f"key{i}" for i in range(len(keys))]
     rows = rows.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)])
     universe = rows.select(F.explode(F.array_compact(F.array(*names))).alias("key"))
+    asked = pages.count() * len(keys)
     found = []
     for verdict in sorted({v for v, _, _ in rules}):
         listed = spark.range(1).select(F.explode(F.array(*[F.lit(f"{h} {p}") for v, h, p in rules if v == verdict])).alias("key"))
-        cascade = BloomCascade(listed, universe)
+        cascade = BloomCascade(listed, universe, asked)
         for n in names:
             key = F.struct(F.length(n).alias("n"), F.replace(F.col(n), F.lit(" "), F.lit("")).alias("rule"), F.lit(verdict).alias("verdict"))
             found.append(F.when(F.col(n).isNotNull() & cascade.contains(F.col(n)), key))

@@ -1,12 +1,16 @@
 """Each stage on its own input, and the whole pipeline, against brute force."""
 
+import re
+from collections import Counter
+
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
-from .test_dedup import brute_components, brute_hits, brute_lines
+from .test_dedup import AZ, brute_hits, brute_lines
+from .test_screens import brute_language
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,9 +20,38 @@ def rows(df):
 
 
 def brute_near(kept, num):
-    comps = brute_components([(d, t) for d, t, _ in kept], 5, num, 100)
-    by = {d: c for none, d, _, c in comps if not none}
-    return [r for r in kept if r[0] is None or by[r[0]] == r[0]]
+    """One row of each group: the one with the least id, and of equal rows one; rows without an id or without words stay.
+
+    Of several texts with the least id any may stay: each group is given as its ids and texts that could.
+    """
+    sets = []
+    for _, t, _ in kept:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(AZ))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(kept)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    usable = [i for i, r in enumerate(kept) if r[0] is not None and sets[i]]
+    for i in usable:
+        for j in usable:
+            if j < i and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in usable:
+        groups.setdefault(find(i), []).append(kept[i])
+    chosen = [sorted({(r[0], r[1]) for r in g if r[0] == min(x[0] for x in g)}) for g in groups.values()]
+    return chosen, [(r[0], r[1]) for i, r in enumerate(kept) if i not in usable]
+
+
+def near_agrees(got, kept, num):
+    """Whether the (doc_id, text) rows got are one of each group of the rows kept, and the rows in no group."""
+    got, (groups, single) = Counter((r[0], r[1]) for r in got), brute_near(kept, num)
+    single = Counter(single)
+    return all(sum(got[x] for x in g) == 1 for g in groups) and sum(got.values()) == len(groups) + sum(single.values()) and all(got[k] == n for k, n in single.items())
 
 
 def test_language_stage(spark, odd_docs, no_docs):
@@ -31,6 +64,19 @@ def test_language_stage(spark, odd_docs, no_docs):
     assert P.language_id(spark, no_docs, SF).count() == 0
 
 
+def test_language_stage_against_brute_force(spark):
+    """The stage's network, applied by hand to short documents and to probes that no language should claim."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    probes = [(10_000_001, "12345 67890"), (10_000_002, None), (10_000_003, "漢字漢字 漢字"), (10_000_004, "zq xj kv")]
+    few = docs.unionByName(spark.createDataFrame(probes, "doc_id long, text string"), allowMissingColumns=True)
+    net = P.langid.fit(few, F.expr("crc32(cast(doc_id as string)) % 5 <> 0"))
+    kept = {r["doc_id"] for r in P.language_id(spark, few, SF).select("doc_id").collect()}
+    for r in few.where("coalesce(length(text), 0) < 400").collect():
+        label, score = brute_language(net, r["text"] or "")
+        if abs(score - P.MIN_LANGUAGE) > 1e-3:
+            assert (r["doc_id"] in kept) == (label != "und" and score >= P.MIN_LANGUAGE), r["doc_id"]
+
+
 def test_line_stage(spark, odd_docs, no_docs):
     docs = odd_docs.withColumn("n_chars", F.length("text").cast("long"))
     out = P.line_cleaning(spark, docs, SF)
@@ -62,11 +108,20 @@ def test_copies_over_many_sites_outlive_the_line_stage(spark):
 def test_near_stage(spark, odd_docs, no_docs):
     out = P.near_dedup(spark, odd_docs, SF)
     assert out.columns == odd_docs.columns
-    key = lambda r: str(r[:2])
-    assert sorted(rows(out), key=key) == sorted(brute_near(rows(odd_docs), 80), key=key)
+    assert near_agrees(rows(out), rows(odd_docs), 80)
     assert P.near_dedup(spark, no_docs, SF).count() == 0
 
 
+def test_near_stage_judges_rows_of_one_id_by_their_texts(spark):
+    x, y = "a b c d e f g h i j", "k l m n o p q r s t"
+    z = y + " u"  # 6 of 7 shingles
+    make = lambda r: spark.createDataFrame([(d, t, "s") for d, t in r], "doc_id long, text string, source string")
+    left = lambda r: sorted((d["doc_id"], d["text"]) for d in P.near_dedup(spark, make(r), SF).collect())
+    assert left([(3, x), (5, x), (5, y)]) == [(3, x), (5, y)]
+    assert left([(5, y), (5, y), (5, x), (7, "")]) == [(5, x), (5, y), (7, "")]
+    assert len(left([(5, y), (5, z), (9, y), (9, z)])) == 1 and left([(2, z), (5, y), (5, x)]) == [(2, z), (5, x)]
+
+
 def test_decontamination_stage(spark, odd_docs, no_docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()
     planted = spark.createDataFrame([(500, "before " + bench[0]["text"] + " after"), (None, bench[1]["text"])], "doc_id long, text string")
@@ -85,7 +140,9 @@ def test_run(spark, vocab):
     assert first.count() == docs.count()  # all of these are in a known language
     kept = rows(docs)
     kept = [(d, x, s) for (d, t, s), x in zip(kept, brute_lines(kept, 5)) if x == t or x.strip(" ")]
-    kept = brute_near(kept, 80)
+    groups, single = brute_near(kept, 80)
+    assert all(len(g) == 1 for g in groups)
+    kept = [(*g[0], None) for g in groups] + [(*r, None) for r in single]
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     kept = [r for r, h in zip(kept, brute_hits([(r[0], r[1]) for r in kept], bench)) if not h[5]]
     sp = sentencepiece.SentencePieceProcessor(model_file=vocab("piece_bpe_32k.model"))

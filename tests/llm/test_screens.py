@@ -1,9 +1,13 @@
 """Operators 2-6 against brute force and held-out accuracy."""
 
 import hashlib
+import io
+import math
 import random
 import re
 import struct
+import time
+import wave
 import zlib
 
 import numpy as np
@@ -48,6 +52,15 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert got == {f"k{i}" for i in range(0, 3500, 7)}
 
 
+def test_levels_stay_bounded_by_the_list(spark):
+    """With a universe said to be huge, level 1 grows by a few bits a key and lets next to nothing through."""
+    listed = spark.range(300).select(F.concat(F.lit("k"), F.col("id") * 7).alias("key"))
+    universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    c = url_filter.BloomCascade(listed, universe, asked=10**12)
+    assert len(c.levels) <= 3 and c.levels[0].words * 64 < 300 * 45 and c.levels[0].hashes <= 30 and all(x.words <= 4 for x in c.levels[1:])
+    assert universe.where(c.contains(F.col("key"))).count() == 300
+
+
 # --- media
 
 
@@ -73,18 +86,54 @@ def test_sniffing_and_carving():
     assert media.sniff(bytes(broken), a) == []
 
 
+def independent_wav(payload):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((1, 1, 8000, 0, "NONE", "not compressed"))
+        w.writeframes(payload)
+    return out.getvalue()
+
+
+def independent_feature(payload):
+    crossings = sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:]))
+    bins = [sum(16 * k <= x < 16 * k + 16 for x in payload) for k in range(16)]
+    return ":".join(map(str, [sum(payload), crossings, sum((x - 128) ** 2 for x in payload), *bins]))
+
+
 def test_media_query(spark, odd_docs, no_docs):
     rows = media.op3(spark, odd_docs).collect()
     texts = sorted((r["doc_id"] or 0, (r["text"] or "").encode()) for r in odd_docs.select("doc_id", "text").collect())
     for r, (_, b) in zip(sorted(rows, key=lambda r: (r["doc_id"] or 0, r["n_bytes"])), texts):
         p = b.ljust(max(192, -(-len(b) // 192) * 192))
-        w = media.wav(p)
+        w = independent_wav(p)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         assert (r["media_bytes"], r["media_sha256"], r["media_type"], r["declared_ok"]) == (len(w), hashlib.sha256(w).hexdigest(), "audio/wav", True)
-        assert media.wav_samples(w) == p and r["feature"] == media.feature(p)
+        assert media.wav_samples(w) == p and r["feature"] == independent_feature(p)
     assert media.op3(spark, no_docs).count() == 0
 
 
+@pytest.mark.parametrize("unit", [b"%PDF-", b"PK\x03\x04PK\x05\x06", b"RIFF", b"BM", b"GIF89a", b"OggS"])
+def test_repeated_magic_takes_linear_time(unit):
+    a = media.automaton()
+    began = time.perf_counter()
+    media.sniff(unit * (1_000_000 // len(unit)), a)
+    assert time.perf_counter() - began < 5
+
+
+def test_carving_archives_and_pages():
+    zipped = io.BytesIO()
+    import zipfile
+
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("a.txt", "x" * 50)
+        z.writestr("b.txt", "y")
+    pdf = b"%PDF-1.4 body startxref\n9\n%%EOF"
+    b = b"PK\x03\x04 no PK\x05\x06" + zipped.getvalue() + b"%PDF-" + zipped.getvalue() + pdf + b" %PDF-"
+    found = media.sniff(b, media.automaton())
+    assert [b[i : i + n] for i, n, t in found if t == "application/zip"][0] == zipped.getvalue()
+    assert found[-1][2] == "application/pdf" and b[found[-1][0] :].endswith(b"%%EOF %PDF-")
+
+
 def test_declared_types_are_corrected(spark):
     df = spark.createDataFrame([(1, bytearray(png(2)), "image/gif"), (2, None, "x"), (3, bytearray(b"plain"), None)], "id long, media binary, declared string")
     got = {r["id"]: (r["type"], r["declared_ok"]) for r in media.inspect(df, ["id"]).collect()}
@@ -111,6 +160,16 @@ def test_base_spans_are_those_of_the_patterns():
         assert [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.base_spans(t)] == brute_base(t), t
 
 
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000, "a" * 1_000_000 + "@", "a" * 1_000_000 + "@b.c", "+1" + " " * 1_000_000, "1." * 500_000, "a@" * 500_000, "A" * 1_000_000], ids=range(8))
+def test_long_runs_take_linear_time(text, field):
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    pii.Tagger(field).spans([text])
+    assert time.perf_counter() - began < 5
+    if text.endswith("@b.c"):
+        assert base == [(0, 0, len(text))]
+
+
 @pytest.fixture(scope="module")
 def field():
     return pii.train(pii.labelled_table())
@@ -133,6 +192,21 @@ def test_field_on_unseen_rows(field):
     assert right / total > 0.85 and right / found > 0.85
 
 
+@pytest.mark.parametrize("text,want", [("hello my name is john smith and I live", "name:john smith"), ("Dear anna maria, how are", "name:anna maria"), ("signed by peter paulsen on monday", "name:peter paulsen"), ("password correcthorse is", "secret:correcthorse"), ("the password policy is a secret of the trade", None), ("dear to the heart", None), ("Ha Ha Ha Ha Ha Ha Ha Ha Ha Ha Ha Ha Ha Ha Ha Ha ha", None), ("the&&& with### from***", None)])
+def test_lower_case_names_and_secrets(field, text, want):
+    assert [f"{pii.KINDS[k]}:{text[a:b]}" for k, a, b in pii.Tagger(field).spans([text])[0]] == [want] * (want is not None)
+
+
+def test_planted_secrets_of_the_documents(spark, field):
+    """The documents hold assignments of 40 hexadecimal digits; nothing else there is a secret, and nobody is named."""
+    texts = [r["text"] or "" for r in table(spark, SF, "documents").select("text").collect()]
+    found = pii.Tagger(field).spans(texts)
+    planted = {(i, m.start(1), m.end(1)) for i, t in enumerate(texts) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    got = {(i, a, b) for i, (t, s) in enumerate(zip(texts, found)) for k, a, b in s if k == 6 and not any(x < b and a < y for _, x, y in pii.base_spans(t))}
+    assert planted and planted <= got and len(got - planted) <= len(planted) // 4
+    assert sum(k == 5 for s in found for k, _, _ in s) <= len(texts) // 200
+
+
 def test_chain_decoding_is_the_best_path(field):
     rng = np.random.default_rng(1)
     e = rng.normal(0, 3, (20, 3, len(pii.LABELS)))
@@ -166,6 +240,44 @@ def test_folding():
     assert toxicity.fold("") == "  " or toxicity.fold("") == " "
 
 
+def test_styled_letters_signs_at_the_ends_and_accents():
+    assert toxicity.folded("$tupid ïdiot idiot! 𝐢𝐝𝐢𝐨𝐭 ⓘⓓⓘⓞⓣ $100 as$ !diot") == (" tupid ïdiot idiot idiot idiot 100 as diot ", [(0, "stupid"), (1, "idiot"), (6, "ass"), (7, "idiot")])
+    lex = toxicity.Lexicon({" idiot ": 4.0, " stupid": 3.0}, [], (1.0, 1.0, -3.0))
+    a = lex.automaton()
+    assert lex.hits("$tupid ïdiot", a) == (7.0, 2, 2) and lex.hits("idiot$ 𝖎𝖉𝖎𝖔𝖙", a) == (8.0, 2, 2) and lex.hits("tupid $ !", a)[1] == 0
+
+
+def brute_score(lex, text):
+    """Every word against every term, by hand."""
+    main, others = toxicity.folded(text)
+    words = main.split()
+    readings = [[w] for w in words]
+    for k, w in others:
+        readings[k].append(w)
+    phrases = [toxicity.fold(p).split() for p in lex.exceptions]
+    spared = {k + j for p in phrases for k in range(len(words)) if words[k : k + len(p)] == p for j in range(len(p))}
+    weight = lambda w: max([x for t, x in lex.terms.items() if f" {w} ".startswith(t)], default=0.0)
+    total = 0.0
+    for k, r in enumerate(readings):
+        first = weight(r[0])
+        total += (0.0 if k in spared else first) if first else max(map(weight, r[1:]), default=0.0)
+    z = lex.curve[0] * math.log(1 + total) + lex.curve[1] * math.log(1 + 100 * total / (len(words) + 20)) + lex.curve[2]
+    return 1 / (1 + math.exp(-z)) if lex.terms else 0.0
+
+
+def test_toxicity_query_is_that_of_brute_force(spark, odd_docs):
+    docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels")
+    lex = toxicity.learn(toxicity.training_rows(docs, labels))
+    probes = [(10_000_001, "$tupid ïdiot wörthless wor7hless tra$h loser, l0ser!"), (10_000_002, None), (10_000_003, "")]
+    docs = docs.unionByName(spark.createDataFrame(probes, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = toxicity.op5(docs, labels).collect()
+    assert len(rows) == len(texts) and any(r["n_hits"] for r in rows)
+    for r in rows:
+        want = brute_score(lex, texts[r["doc_id"]])
+        assert r["score"] == pytest.approx(want) and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_lexicon_exceptions_and_length():
     lex = toxicity.Lexicon({" idiot ": 4.0, " trash": 3.0}, ["trash can"], (1.0, 1.0, -3.0))
     a = lex.automaton()
@@ -214,6 +326,35 @@ def test_langid_held_out(spark):
     assert (r.lang == r.lang_pred).mean() > 0.97
 
 
+def brute_language(net, text):
+    """Filters slid by hand over every window of the text's bytes; (label, score)."""
+    b = text.encode()
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    total = np.zeros(len(net.labels))
+    for at in range(0, len(b), langid.WINDOW):
+        part = b[at : at + langid.WINDOW]
+        x = [*part, *[0] * (langid.WINDOW - len(part))]
+        h = []
+        for w, f in zip(langid.WIDTHS, net.filters):
+            place = [np.concatenate([net.embed[c] for c in x[i : i + w]]) for i in range(langid.WINDOW - w + 1)]
+            h += [max(float(p @ f[:, k]) for p in place) for k in range(f.shape[1])]
+        z = np.array([*np.maximum(np.array(h) + net.bias, 0), 1.0]) @ net.out
+        p = np.exp(z - z.max())
+        total += p / p.sum() * len(part)
+    return net.labels[int(total.argmax())], float(total.max() / total.sum())
+
+
+def test_langid_query_is_that_of_brute_force(spark, odd_docs):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    net = langid.fit(docs, F.expr("crc32(cast(doc_id as string)) % 5 <> 0"))
+    probes = [(10_000_001, "x", None), (10_000_002, "ñandú " * 70, "es"), (10_000_003, "12 34", "en"), (10_000_004, None, "en"), (10_000_005, "", None)]
+    few = docs.where("length(text) < 900").orderBy("doc_id").limit(25).unionByName(spark.createDataFrame(probes, "doc_id long, text string, lang string"))
+    for r in langid.predict(few, net).join(few.select("doc_id", "text"), "doc_id").collect():
+        label, score = brute_language(net, r["text"] or "")
+        assert r["lang_pred"] == label and r["score"] == pytest.approx(score, abs=1e-4)
+
+
 def test_langid_gradient():
     """The trained loss falls, and pooling sees every position."""
     rng = np.random.default_rng(0)
