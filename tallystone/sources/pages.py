@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -19,9 +19,12 @@ ROW = (
 PAGE = f"page_id STRING, layout_type STRING, rows ARRAY<STRUCT<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in ROW.split(', '))}>>, _corrupt_record STRING"
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row a readable page file; files that are not JSON are left out. A missing page_id is the file's name."""
-    raw = spark.read.schema(PAGE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row a readable page; what is not JSON is left out. A missing page_id is the file's name.
+
+    A file holds one page, or with lines one page a line, as write_pages writes them: a few large files that split.
+    """
+    raw = spark.read.schema(PAGE).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_enriched)?\.json$", 1)
     return raw.where("_corrupt_record is null and rows is not null").select(F.coalesce("page_id", name).alias("page_id"), "layout_type", "rows")
 
@@ -98,12 +101,42 @@ def read_scores(spark: SparkSession, path: str, tag: str, renames: dict[str, str
     return df.withColumns(scored).withColumn("pipeline", F.lit(tag))
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(page, vector) of a JSON object from page to a list of numbers."""
-    text = spark.read.option("wholetext", True).text(path)
+def read_vectors(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(page, vector) of a JSON object from page to a list of numbers, or with lines of one such object a line."""
+    text = spark.read.option("wholetext", not lines).text(path)
     return text.select(F.explode(F.from_json("value", "map<string, array<double>>")).alias("page", "vector"))
 
 
+def missing_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
+    """The wanted columns that a table lacks, in their order; a caller raises or leaves the table out."""
+    return [c for c in wanted if c not in df.columns]
+
+
+def clean_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Cells of a sheet as texts: nulls and NaN are empty, whole floating numbers lose their fraction."""
+
+    def cell(c: str) -> Column:
+        kind = df.schema[c].dataType.simpleString()
+        if kind in ("double", "float"):
+            x = F.col(c).cast("double")
+            whole = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.floor(x).cast("long").cast("string"))
+            return F.when(x.isNull() | F.isnan(x), "").otherwise(F.coalesce(whole, x.cast("string")))
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    return df.withColumns({c: cell(c) for c in columns})
+
+
+def sheet_rows(spark: SparkSession, path: str, renames: dict[str, str] | None = None) -> DataFrame:
+    """The rows of an exported workbook: a folder of CSV files with a header, one sheet a file; the sheet's name is the page's."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    for old, new in (renames or {}).items():
+        df = df.withColumnRenamed(old, new)
+    lacking = missing_columns(df, ["row_type", "description"])
+    if lacking:
+        raise ValueError(f"a sheet lacks the columns {', '.join(lacking)}")
+    return df.withColumn("page_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.csv$", 1))
+
+
 def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     """(page, path, length) of image files; their bytes are read only if asked for."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
