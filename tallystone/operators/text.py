@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalars import ratio
+from ..storage import stored
 from .shares import top
 
 
@@ -38,6 +39,16 @@ def tokens(text: str | Column, least: int = 2, stops: Sequence[str] = ()) -> Col
     return F.filter(t, lambda x: ~x.isin(*stops)) if stops else t
 
 
+def words(text: str | Column, latin: bool = False, stops: Sequence[str] = ()) -> Column:
+    """Whole words of two or more letters, digits or underscores in the lower-cased text, without stop words.
+
+    With latin only words of a-z alone: `x86` and `élan` give no token, not even a part of one.
+    """
+    t = F.regexp_extract_all(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    t = F.filter(t, lambda x: x.rlike("^[a-z]+$")) if latin else t
+    return F.filter(t, lambda x: ~x.isin(*stops)) if stops else t
+
+
 def bigrams(words: Column) -> Column:
     return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit("\x00"))))
 
@@ -59,11 +70,18 @@ def distinctive(counts: DataFrame, group: str, term: str, least: int = 5, n: int
     return top(rows, [group], n, F.desc(F.round("lift", 9)), F.asc(term)).select(group, term, "cnt", "lift", "rank")
 
 
-def term_counts(df: DataFrame, doc: str, text: str, least: int = 2, stops: Sequence[str] = (), pairs: bool = False) -> DataFrame:
-    """(doc, term, tf): counted map side first, so that a hot document or term costs one row a task."""
-    words = tokens(text, least, stops)
-    both = F.concat(words, F.filter(bigrams(words), lambda x: ~x.contains("\x00"))) if pairs else words
-    return df.select(doc, F.explode(both).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+def _terms(found: Column, pairs: bool) -> Column:
+    return F.concat(found, F.filter(bigrams(found), lambda x: ~x.contains("\x00"))) if pairs else found
+
+
+def term_counts(df: DataFrame, doc: str | Sequence[str], text: str, least: int = 2, stops: Sequence[str] = (), pairs: bool = False, found: Column | None = None) -> DataFrame:
+    """(doc, term, tf): counted map side first, so that a hot document or term costs one row a task.
+
+    Terms are the tokens of at least that length, or those of found; doc may be several columns.
+    """
+    keys = [doc] if isinstance(doc, str) else list(doc)
+    both = _terms(tokens(text, least, stops) if found is None else found, pairs)
+    return df.select(*keys, F.explode(both).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(tf: DataFrame, min_df: int, size: int | None) -> DataFrame:
@@ -74,11 +92,13 @@ def vocabulary(tf: DataFrame, min_df: int, size: int | None) -> DataFrame:
 
 def tfidf(tf: DataFrame, doc: str, n_docs: DataFrame | None = None, min_df: int = 1, size: int | None = None) -> DataFrame:
     """Smooth idf ln((1 + n) / (1 + df)) + 1 and rows of unit length: (doc, term, w)."""
+    tf = stored(tf, "tf")  # read three times: the texts are cut into terms once
     n = tf.agg(F.countDistinct(doc).alias("n")) if n_docs is None else n_docs
     v = vocabulary(tf, min_df, size).crossJoin(F.broadcast(n))  # n is one row
     rows = tf.join(v.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
-    return rows.select(doc, "term", (F.col("w") / norm).alias("w"))
+    # a document's length is summed map side, so that a large document is no single task's
+    norm = rows.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return rows.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def cosine(weights: DataFrame, doc: str) -> DataFrame:
@@ -90,7 +110,7 @@ def cosine(weights: DataFrame, doc: str) -> DataFrame:
 
 def log_odds(tf: DataFrame, group: str, sides: tuple[str, str], smooth: float = 0.5) -> DataFrame:
     """Each term's smoothed log odds between two groups: (term, n_first, n_second, log_odds)."""
-    p = tf.groupBy("term").pivot(group, list(sides)).agg(F.sum("tf")).fillna(0)
+    p = stored(tf.groupBy("term").pivot(group, list(sides)).agg(F.sum("tf")).fillna(0), "odds")
     a, b = (F.col(s).cast("double") for s in sides)
     sums = p.agg(F.sum(a).alias("__a"), F.sum(b).alias("__b"), F.count("*").alias("__v"))  # one row
     p = p.crossJoin(F.broadcast(sums))
@@ -98,6 +118,40 @@ def log_odds(tf: DataFrame, group: str, sides: tuple[str, str], smooth: float =
     return p.select("term", F.col(sides[0]).alias("n_first"), F.col(sides[1]).alias("n_second"), odds.alias("log_odds"))
 
 
+def contrast(df: DataFrame, doc: str, side: str, sides: tuple[str, str], scope: str, found: Column, min_df: int = 5, size: int = 6000, least_rows: int = 50, smooth: float = 0.5) -> DataFrame:
+    """(scope, term, n_first, n_second, log_odds): how much more often a term is used on one side than on the other.
+
+    Terms are words and pairs in at least min_df documents, the size most frequent ones; the ratio is that of their
+    smoothed shares of all terms. It is made for all rows (scope `overall`) and for each scope of at least least_rows
+    rows that has both sides. Every term is in every scope, with zeros where it does not occur.
+    """
+    rows = df.where(F.col(side).isin(*sides))
+    tf = stored(rows.select(F.col(doc).alias("d"), F.col(side).alias("side"), F.col(scope).alias("scope"), F.explode(_terms(found, True)).alias("term")).groupBy("d", "side", "scope", "term").agg(F.count("*").alias("tf")), "contrast")
+    v = stored(vocabulary(tf, min_df, size).select("term"), "vocabulary")  # at most size rows
+    used = tf.join(F.broadcast(v), "term").groupBy("scope", "term").agg(*[F.sum(F.when(F.col("side") == s, F.col("tf")).otherwise(0)).alias(k) for s, k in zip(sides, ("a", "b"), strict=True)])
+    used = stored(used, "contrast")  # at most size rows a scope
+    n = rows.groupBy(F.col(scope).alias("scope")).agg(F.count("*").alias("n"), *[F.count_if(F.col(side) == s).alias(k) for s, k in zip(sides, ("x", "y"), strict=True)])
+    scopes = n.where(f"n >= {least_rows} and x > 0 and y > 0 and scope is not null").select(F.col("scope").cast("string").alias("scope"))
+    every = n.agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where("x > 0 and y > 0").select(F.lit("overall").alias("scope"))
+    counts = used.select(F.col("scope").cast("string").alias("scope"), "term", "a", "b").unionByName(used.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(F.lit("overall").alias("scope"), "term", "a", "b"))
+    grid = scopes.unionByName(every).crossJoin(F.broadcast(v))  # a few scopes times the vocabulary
+    full = grid.join(counts, ["scope", "term"], "left").fillna(0, ["a", "b"])
+    w = Window.partitionBy("scope")  # a scope has the vocabulary's terms
+    share = lambda k: (F.col(k) + smooth) / (F.sum(k).over(w) + smooth * F.count("*").over(w))
+    return full.select("scope", "term", F.col("a").alias("n_first"), F.col("b").alias("n_second"), F.log(share("a") / share("b")).alias("log_odds"))
+
+
+def payee_types(df: DataFrame, key: str, category: str, categories: Sequence, kinds: Mapping[str, Column]) -> DataFrame:
+    """(key, category, n, a rate in per cent for each kind): for all rows (category `all`) and for each of the categories; nulls where there is none."""
+    flags = {k: c.cast("double") for k, c in kinds.items()}
+    rows = df.select(key, F.col(category).cast("string").alias("category"), *[c.alias(k) for k, c in flags.items()])
+    sums = rows.groupBy(key, "category").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in kinds])
+    total = sums.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", *kinds)]).withColumn("category", F.lit("all"))
+    wanted = total.select(key, F.explode(F.array(*[F.lit(str(c)) for c in categories])).alias("category"))  # a few rows a key
+    out = wanted.join(sums, [key, "category"], "left").fillna(0, ["n"]).unionByName(total.select(key, "category", "n", *kinds))
+    return out.select(key, "category", "n", *[ratio(F.col(k) * 100.0, F.col("n")).alias(k) for k in kinds])
+
+
 def complexity(df: DataFrame, key: str, text: str, patterns: Mapping[str, Column]) -> DataFrame:
     """Mean and median number of words, and the rate of rows that match each pattern."""
     rows = df.withColumn("__n", F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda x: x != "")))

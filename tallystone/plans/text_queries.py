@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
+from ..functions.stopwords import english
 from ..operators import series as W
 from ..operators import shares as A
 from ..operators import text as T
+from ..storage import stored
 from .bindings import table
 from .registry import query, r6
 
@@ -76,55 +78,102 @@ def t09(spark, sf):
     return c.select("decade", sum(((F.col(w) > 0).cast("int") for w in WORDS), F.lit(0)).alias("distinct_types"))
 
 
-@query("t10_payee_types", DOCS + "SELECT lang, decade, round(avg(regexp_matches(t,'(^|[^\\p{L}\\p{N}_])(the|le)([^\\p{L}\\p{N}_]|$)')::INT),6) AS personal_rate, round(avg((regexp_matches(t,'(^|[^\\p{L}\\p{N}_])(the|le)([^\\p{L}\\p{N}_]|$)') AND contains(t,'tion'))::INT),6) AS trade_rate FROM d GROUP BY lang, decade")
+_PERSON, _TRADE, _HOUSE = (r"(^|[^\p{L}\p{N}_])(" + x + r")([^\p{L}\p{N}_]|$)" for x in ("the|le", "tion|est", "de|la"))
+
+
+@query("t10_payee_types", DOCS + f", f AS (SELECT decade, CAST(cat AS VARCHAR) AS category, regexp_matches(t,'{_PERSON}') AS p, regexp_matches(t,'{_TRADE}') AS q, regexp_matches(t,'{_HOUSE}') AS r FROM d), g AS (SELECT decade, category, p, q, r FROM f WHERE category IN ('0','1','2','9') UNION ALL SELECT decade, 'all', p, q, r FROM f), k AS (SELECT decade, category FROM (SELECT DISTINCT decade FROM f), (VALUES ('0'),('1'),('2'),('9'),('all')) c(category)) SELECT decade, category, count(p) AS n, round(100*avg(p::INT),6) AS personal_rate, round(100*avg((p AND q)::INT),6) AS trade_rate, round(100*avg(r::INT),6) AS institutional_rate FROM k LEFT JOIN g USING (decade, category) GROUP BY ALL")
 def t10(spark, sf):
-    p = F.lower(F.coalesce("text", F.lit(""))).rlike(r"\b(the|le)\b")
-    d = docs(spark, sf).select("lang", "decade", p.alias("p"), F.lower(F.coalesce("text", F.lit(""))).contains("tion").alias("q"))
-    return d.groupBy("lang", "decade").agg(r6(F.avg(F.col("p").cast("double")), "personal_rate"), r6(F.avg((F.col("p") & F.col("q")).cast("double")), "trade_rate"))
+    t = F.lower(F.coalesce("text", F.lit("")))
+    kinds = {"personal_rate": t.rlike(_PERSON), "trade_rate": t.rlike(_PERSON) & t.rlike(_TRADE), "institutional_rate": t.rlike(_HOUSE)}
+    return T.payee_types(docs(spark, sf), "decade", "cat", [0, 1, 2, 9], kinds).select("decade", "category", "n", *[r6(k, k) for k in kinds])
+
+
+@query("t11_category_rates", DOCS + "SELECT decade, count(*) AS total, " + ", ".join(f"round(1000.0*count(*) FILTER (contains(t,'{w}'))/count(*),6) AS \"{w}\"" for w in WORDS) + " FROM d WHERE cat = 3 GROUP BY decade")
+def t11(spark, sf):
+    c = T.keyword_rates(docs(spark, sf).where("cat = 3"), "decade", "text", WORDS)
+    return c.select("decade", "total", *[r6(F.col(w), w) for w in WORDS])
+
 
+STOPS = sorted({*english(), *K.LEDGER_STOPS})
+_STOPS = ", ".join(repr(x) for x in STOPS)
+#: Whole words without stop words, as SQL over t; of a-z only, or any.
+_LATIN = f"list_filter(regexp_extract_all(t,'[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: regexp_full_match(x,'[a-z]+') AND x NOT IN ({_STOPS}))"
+_ANY = f"list_filter(regexp_extract_all(t,'[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOPS}))"
+_BOTH = "list_concat(w, list_transform(generate_series(1, len(w)-1), lambda i: w[i] || ' ' || w[i+1]))"
 
-@query("t12_top_words", DOCS + """, w AS (SELECT DISTINCT doc_id, decade, unnest(regexp_extract_all(t,'[a-z]{5,}')) AS term FROM d), v AS (SELECT term FROM w GROUP BY term ORDER BY count(*) DESC, term LIMIT 40), n AS (SELECT decade, count(*) AS n FROM d GROUP BY decade)
-SELECT decade, term, round(1000.0*count(*)/any_value(n),6) AS rate FROM w JOIN v USING (term) JOIN n USING (decade) GROUP BY decade, term""")
+
+@query("t12_top_words", DOCS + f""", w AS (SELECT DISTINCT doc_id, decade, unnest(list_filter(regexp_extract_all(t,'[a-z]{{5,}}'), lambda x: x NOT IN ({_STOPS}))) AS term FROM d), v AS (SELECT term FROM w GROUP BY term ORDER BY count(*) DESC, term LIMIT 40), n AS (SELECT decade, count(*) AS n FROM d GROUP BY decade)
+SELECT n.decade, v.term, round(1000.0*count(w.doc_id)/any_value(n),6) AS rate FROM v CROSS JOIN n LEFT JOIN w ON w.term = v.term AND w.decade = n.decade GROUP BY n.decade, v.term""")
 def t12(spark, sf):
     d = docs(spark, sf)
-    c = d.select("decade", F.explode(F.array_distinct(T.tokens("text", 5))).alias("term")).groupBy("decade", "term").agg(F.count("*").alias("k"))
+    c = stored(d.select("decade", F.explode(F.array_distinct(T.tokens("text", 5, STOPS))).alias("term")).groupBy("decade", "term").agg(F.count("*").alias("k")), "words")
     v = c.groupBy("term").agg(F.sum("k").alias("s")).orderBy(F.desc("s"), "term").limit(40).select("term")
     n = d.groupBy("decade").agg(F.count("*").alias("n"))
-    return c.join(F.broadcast(v), "term").join(n, "decade").select("decade", "term", r6(F.col("k") * 1000.0 / F.col("n"), "rate"))
+    grid = n.crossJoin(F.broadcast(v)).join(c, ["decade", "term"], "left")  # forty terms a decade
+    return grid.select("decade", "term", r6(F.coalesce("k", F.lit(0)) * 1000.0 / F.col("n"), "rate"))
+
+
+@query("t16_token_patterns", DOCS + f""", w AS (SELECT 'latin' AS pattern, lang, unnest({_LATIN}) AS term FROM d UNION ALL SELECT 'any', lang, unnest({_ANY}) FROM d) SELECT pattern, lang, count(*) AS n, count(DISTINCT term) AS n_terms, min(term) AS first_term FROM w GROUP BY ALL""")
+def t16(spark, sf):
+    d = docs(spark, sf)
+    both = [d.select(F.lit(k).alias("pattern"), "lang", F.explode(T.words("text", k == "latin", STOPS)).alias("term")) for k in ("latin", "any")]
+    return both[0].unionByName(both[1]).groupBy("pattern", "lang").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_terms"), F.min("term").alias("first_term"))
+
+
+@query("t17_stop_words", DOCS + f"SELECT lang, sum(len(list_filter(regexp_extract_all(t,'[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x IN ({_STOPS})))) AS n_stops, {len(STOPS)} AS n_list FROM d GROUP BY lang")
+def t17(spark, sf):
+    n = F.size(T.words("text")) - F.size(T.words("text", stops=STOPS))
+    return docs(spark, sf).groupBy("lang").agg(F.sum(n).alias("n_stops"), F.lit(len(STOPS)).alias("n_list"))
 
 
 _TF = DOCS + f""", k AS (SELECT doc_id, lang, list_filter(regexp_extract_all(t,'[a-z]{{2,}}'), lambda x: x NOT IN ({', '.join(repr(x) for x in K.LEDGER_STOPS)})) AS w FROM d WHERE doc_id < 1000000000),
-tf AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest(list_concat(w, list_transform(generate_series(1, len(w)-1), lambda i: w[i] || ' ' || w[i+1]))) AS term FROM k) GROUP BY ALL)"""
+tf AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest({_BOTH}) AS term FROM k) GROUP BY ALL)"""
+_TF_LATIN = DOCS + f", k AS (SELECT doc_id, lang, {_LATIN} AS w FROM d), tf AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest({_BOTH}) AS term FROM k) GROUP BY ALL)"
 
 
 def _tf(spark, sf):
-    return T.term_counts(docs(spark, sf), "lang", "text", 2, K.LEDGER_STOPS, pairs=True)
+    """Words of a-z and pairs of them, without stop words."""
+    return stored(T.term_counts(docs(spark, sf), "lang", "text", pairs=True, found=T.words("text", True, STOPS)), "tf")
 
 
-@query("t13_relative_frequency", _TF + """, v AS (SELECT term FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 500), f AS (SELECT lang, term, tf/sum(tf) OVER (PARTITION BY lang) AS relative_freq FROM tf JOIN v USING (term)),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(relative_freq,9) DESC, term) AS rank FROM f) SELECT lang, rank, term, round(relative_freq,6) AS relative_freq FROM r WHERE rank <= 30""")
-def t13(spark, sf):
+def _era_terms(size: int, top: int) -> str:
+    return _TF_LATIN + f""", v AS (SELECT term FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT {size}), f AS (SELECT lang, term, tf/sum(tf) OVER (PARTITION BY lang) AS relative_freq FROM tf JOIN v USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(relative_freq,9) DESC, term) AS rank FROM f) SELECT lang, rank, term, round(relative_freq,6) AS relative_freq FROM r WHERE rank <= {top}"""
+
+
+def _era_top(spark, sf, size: int, top: int):
     tf = _tf(spark, sf)
-    v = T.vocabulary(tf, 2, 500).select("term")
-    f = A.shares(tf.join(F.broadcast(v), "term"), ["lang"], relative_freq="tf")  # 500 terms
-    return A.top(f, ["lang"], 30, F.desc(F.round("relative_freq", 9)), F.asc("term")).select("lang", "rank", "term", r6("relative_freq", "relative_freq"))
+    v = T.vocabulary(tf, 2, size).select("term")
+    f = A.shares(tf.join(F.broadcast(v), "term"), ["lang"], relative_freq="tf")  # at most size terms
+    return A.top(f, ["lang"], top, F.desc(F.round("relative_freq", 9)), F.asc("term")).select("lang", "rank", "term", r6("relative_freq", "relative_freq"))
+
+
+@query("t13_relative_frequency", _era_terms(5000, 30))
+def t13(spark, sf):
+    return _era_top(spark, sf, 5000, 30)
 
 
-@query("t14_emerging_terms", _TF + """, v AS (SELECT term FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 500), f AS (SELECT lang, term, tf/sum(tf) OVER (PARTITION BY lang) AS x FROM tf JOIN v USING (term)), p AS (SELECT term, coalesce(sum(x) FILTER (lang='en'),0) AS en, coalesce(sum(x) FILTER (lang='fr'),0) AS fr, coalesce(sum(x) FILTER (lang='de'),0) AS de FROM f GROUP BY term),
-a AS (SELECT term FROM p ORDER BY round(fr-en,9) DESC, term LIMIT 20), b AS (SELECT term FROM p ORDER BY round(de-en,9) DESC, term LIMIT 20) SELECT term, round(en,6) AS en, round(fr,6) AS fr, round(de,6) AS de FROM p WHERE term IN (SELECT term FROM a UNION SELECT term FROM b)""")
+@query("t13_relative_frequency_3000", _era_terms(3000, 40))
+def t13_small(spark, sf):
+    return _era_top(spark, sf, 3000, 40)
+
+
+@query("t14_emerging_terms", _TF_LATIN + """, v AS (SELECT term FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 5000), f AS (SELECT lang, term, tf/sum(tf) OVER (PARTITION BY lang) AS x FROM tf JOIN v USING (term)), p AS (SELECT term, coalesce(sum(x) FILTER (lang='en'),0) AS en, coalesce(sum(x) FILTER (lang='fr'),0) AS fr, coalesce(sum(x) FILTER (lang='de'),0) AS de FROM f GROUP BY term)
+(SELECT term, 'fr_vs_en' AS change, round(en,6) AS en, round(fr,6) AS fr, round(de,6) AS de FROM p ORDER BY round(p.fr-p.en,9) DESC, term LIMIT 80) UNION ALL (SELECT term, 'de_vs_en', round(en,6), round(fr,6), round(de,6) FROM p ORDER BY round(p.de-p.en,9) DESC, term LIMIT 80)""")
 def t14(spark, sf):
     tf = _tf(spark, sf)
-    f = A.shares(tf.join(F.broadcast(T.vocabulary(tf, 2, 500).select("term")), "term"), ["lang"], x="tf")
-    p = A.wide(f, ["term"], "lang", ["en", "fr", "de"], F.sum("x"))
-    a, b = (p.orderBy(F.desc(F.round(F.col(k) - F.col("en"), 9)), "term").limit(20) for k in ("fr", "de"))
-    return a.union(b).distinct().select("term", r6("en", "en"), r6("fr", "fr"), r6("de", "de"))
+    f = A.shares(tf.join(F.broadcast(T.vocabulary(tf, 2, 5000).select("term")), "term"), ["lang"], x="tf")
+    p = stored(A.wide(f, ["term"], "lang", ["en", "fr", "de"], F.sum("x")), "emerging")  # at most 5,000 terms
+    a, b = (p.orderBy(F.desc(F.round(F.col(k) - F.col("en"), 9)), "term").limit(80).withColumn("change", F.lit(f"{k}_vs_en")) for k in ("fr", "de"))
+    return a.unionByName(b).select("term", "change", r6("en", "en"), r6("fr", "fr"), r6("de", "de"))
 
 
-_TFIDF = _TF + """, n AS (SELECT count(DISTINCT lang) AS n FROM tf), v AS (SELECT term, ln((1+n)/(1+count(*)))+1 AS idf FROM tf, n GROUP BY term, n HAVING count(*) >= 1 ORDER BY sum(tf) DESC, term LIMIT 2000), w0 AS (SELECT lang, term, tf*idf AS w FROM tf JOIN v USING (term)), w AS (SELECT lang, term, w/sqrt(sum(w*w) OVER (PARTITION BY lang)) AS w FROM w0)"""
+_TFIDF = _TF_LATIN + """, n AS (SELECT count(DISTINCT lang) AS n FROM tf), v AS (SELECT term, ln((1+n)/(1+count(*)))+1 AS idf FROM tf, n GROUP BY term, n HAVING count(*) >= 1 ORDER BY sum(tf) DESC, term LIMIT 5000), w0 AS (SELECT lang, term, tf*idf AS w FROM tf JOIN v USING (term)), w AS (SELECT lang, term, w/sqrt(sum(w*w) OVER (PARTITION BY lang)) AS w FROM w0)"""
 
 
 def _tfidf(spark, sf):
-    return T.tfidf(_tf(spark, sf), "lang", size=2000)
+    counts = T.term_counts(docs(spark, sf), "lang", "text", pairs=True, found=T.words("text", True, STOPS))
+    return T.tfidf(counts, "lang", size=5000)
 
 
 @query("t15_tfidf", _TFIDF + " SELECT lang, term, round(w,6) AS w FROM w")
@@ -142,10 +191,22 @@ def m08(spark, sf):
     return T.cosine(_tfidf(spark, sf), "lang").select("a", "b", r6("similarity", "similarity"))
 
 
-@query("t19_direction_contrast", _TF + """, p AS (SELECT term, coalesce(sum(tf) FILTER (lang='en'),0)::DOUBLE AS a, coalesce(sum(tf) FILTER (lang='fr'),0)::DOUBLE AS b FROM tf WHERE lang IN ('en','fr') GROUP BY term), s AS (SELECT sum(a) sa, sum(b) sb, count(*) v FROM p),
-o AS (SELECT term, a, b, ln((a+0.5)/(sa-a+0.5*v)) - ln((b+0.5)/(sb-b+0.5*v)) AS lo FROM p, s) (SELECT term, CAST(a AS BIGINT) AS n_first, CAST(b AS BIGINT) AS n_second, round(lo,6) AS log_odds FROM o ORDER BY round(lo,9) DESC, term LIMIT 50)""")
+@query("t19_direction_contrast", DOCS + f""", b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'income' ELSE 'expenditure' END AS side, lang AS scope, {_ANY} AS w FROM d WHERE doc_id % 3 < 2),
+x AS (SELECT doc_id, side, scope, term, count(*) AS tf FROM (SELECT doc_id, side, scope, unnest({_BOTH}) AS term FROM b) GROUP BY ALL), v AS (SELECT term FROM x GROUP BY term HAVING count(*) >= 5 ORDER BY sum(tf) DESC, term LIMIT 6000),
+s AS (SELECT scope FROM b WHERE scope IS NOT NULL GROUP BY scope HAVING count(*) >= 50 AND count(DISTINCT side) = 2), y AS (SELECT x.scope, side, term, tf FROM x JOIN s ON x.scope = s.scope UNION ALL SELECT 'overall', side, term, tf FROM x),
+g AS (SELECT scope, term FROM (SELECT scope FROM s UNION ALL SELECT 'overall') , v), c AS (SELECT g.scope, g.term, coalesce(sum(tf) FILTER (side='income'),0) AS a, coalesce(sum(tf) FILTER (side='expenditure'),0) AS b FROM g LEFT JOIN y ON g.scope=y.scope AND g.term=y.term GROUP BY ALL)
+SELECT scope, term, CAST(a AS BIGINT) AS n_first, CAST(b AS BIGINT) AS n_second, round(ln(((a+0.5)/(sum(a) OVER k + 0.5*count(*) OVER k))/((b+0.5)/(sum(b) OVER k + 0.5*count(*) OVER k))),6) AS log_odds FROM c WINDOW k AS (PARTITION BY scope)""")
 def t19(spark, sf):
-    o = T.log_odds(_tf(spark, sf).where("lang in ('en', 'fr')"), "lang", ("en", "fr"))
+    d = docs(spark, sf).withColumn("side", F.when(F.col("doc_id") % 3 == 0, "income").when(F.col("doc_id") % 3 == 1, "expenditure"))
+    o = T.contrast(d, "doc_id", "side", ("income", "expenditure"), "lang", T.words("text", stops=STOPS))
+    return o.select("scope", "term", "n_first", "n_second", r6("log_odds", "log_odds"))
+
+
+@query("t19_log_odds", _TF + """, p AS (SELECT term, coalesce(sum(tf) FILTER (lang='en'),0)::DOUBLE AS a, coalesce(sum(tf) FILTER (lang='fr'),0)::DOUBLE AS b FROM tf WHERE lang IN ('en','fr') GROUP BY term), s AS (SELECT sum(a) sa, sum(b) sb, count(*) v FROM p),
+o AS (SELECT term, a, b, ln((a+0.5)/(sa-a+0.5*v)) - ln((b+0.5)/(sb-b+0.5*v)) AS lo FROM p, s) (SELECT term, CAST(a AS BIGINT) AS n_first, CAST(b AS BIGINT) AS n_second, round(lo,6) AS log_odds FROM o ORDER BY round(lo,9) DESC, term LIMIT 50)""")
+def t19_odds(spark, sf):
+    tf = T.term_counts(docs(spark, sf).where("lang in ('en', 'fr')"), "lang", "text", 2, K.LEDGER_STOPS, pairs=True)
+    o = T.log_odds(tf, "lang", ("en", "fr"))
     return o.orderBy(F.desc(F.round("log_odds", 9)), "term").limit(50).select("term", "n_first", "n_second", r6("log_odds", "log_odds"))
 
 
