@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def _known(x: str) -> Column:
     return F.coalesce(F.col(x).cast("string"), F.lit("unknown"))
@@ -42,25 +44,54 @@ def agreement(df: DataFrame, raters: Sequence[str]) -> DataFrame:
     return g.withColumn("agree_rate", F.col("n_agree") / F.col("n_items"))
 
 
-def bootstrap(df: DataFrame, page: str, stratum: str, num: Column, den: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(stratum, estimate, ci_lower, ci_upper): ratios of sums over pages drawn with replacement.
+#: Modulus and factors of the draws' hash; all products stay below 2**63.
+_P, _A, _B, _C = 2147483647, 1000003, 7919, 48271
+
+
+def draw_hash(draw: Column, slot: Column, seed: int) -> Column:
+    """A number below 2**31 for a draw and a slot: two squarings modulo a prime, which SQL engines can repeat."""
+    u = (draw * _A + slot * _B + seed) % _P
+    u = (u * u + draw) % _P
+    u = (u * _C + slot) % _P
+    return (u * u + 12345) % _P
+
+
+def numbered(pages: DataFrame, page: str, bucket: Column) -> DataFrame:
+    """pages with __i, their place in the order of (bucket, page): counted in buckets, so that no task sorts all pages."""
+    b = pages.withColumn("__b", bucket)
+    sizes = b.groupBy("__b").agg(F.count("*").alias("__n"))  # one row a bucket
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(page)) - 1
+    return b.withColumn("__r", rank).join(F.broadcast(first), "__b").withColumn("__i", F.col("__first") + F.col("__r")).drop("__b", "__r", "__first")
 
-    Pages are summed once; each draw weighs a page by how often hashes pick it, as a Poisson count of mean 1, so that
-    no sample is ever built and the work is draws times pages and strata, spread over all tasks.
+
+def bootstrap(df: DataFrame, page: str, stratum: str, num: Column, den: Column, draws: int = 1000, seed: int = 42, bucket: Column | None = None) -> DataFrame:
+    """(stratum, estimate, ci_lower, ci_upper): ratios of sums over as many pages as there are, drawn with replacement.
+
+    Pages are summed and numbered once; every draw has a slot a page, and a hash tells which page is in it. Draws are
+    summed where they are made, so that the work is draws times pages, spread over all tasks, and no sample is stored.
+    With fewer than 10 draws that have a value there is no interval.
     """
     sums = df.groupBy(page, stratum).agg(F.sum(num).alias("a"), F.sum(den).alias("b"))
-    u = F.pmod(F.xxhash64(F.col(page), F.col("draw"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cdf, steps, p = 0.0, [], 2.718281828459045**-1
-    for k in range(8):
-        cdf += p
-        steps.append((cdf, k))
-        p /= k + 1
-    weight = F.when(u < steps[0][0], 0)
-    for c, k in steps[1:]:
-        weight = weight.when(u < c, k)
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight.otherwise(8))
-    each = drawn.groupBy(stratum, "draw").agg(F.sum(F.col("a") * F.col("w")).alias("a"), F.sum(F.col("b") * F.col("w")).alias("b"))
+    sums = stored(sums, "sums")
+    place = bucket if bucket is not None else F.pmod(F.xxhash64(page), F.lit(256))
+    pages = stored(numbered(sums.select(page).distinct(), page, place), "pages")
+    n = pages.count()
+    values = pages.select(page, F.col("__i").alias("i")).join(sums, page).select("i", stratum, "a", "b")
+    spark = df.sparkSession
+    slots = spark.range(0, draws * n, 1, max(spark.sparkContext.defaultParallelism, draws * n // 5_000_000)) if n else spark.range(0)
+    size = F.lit(max(n, 1))
+    draw, slot = F.expr(f"id div {max(n, 1)}").alias("draw"), (F.col("id") % size).alias("slot")
+    picked = slots.select(draw, slot).select("draw", (draw_hash(F.col("draw"), F.col("slot"), seed) % size).alias("i"))
+    each = picked.join(values, "i").groupBy(stratum, "draw").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     each = each.select(stratum, F.try_divide("a", F.nullif(F.col("b"), F.lit(0.0))).alias("x"))
     ci = each.groupBy(stratum).agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("x").alias("n"))
     estimate = sums.groupBy(stratum).agg(F.try_divide(F.sum("a"), F.nullif(F.sum("b"), F.lit(0.0))).alias("estimate"))
-    return estimate.join(ci, stratum).select(stratum, "estimate", *[F.when(F.col("n") >= 10, F.col("q")[i]).alias(k) for i, k in enumerate(("ci_lower", "ci_upper"))])
+    return estimate.join(ci, stratum, "left").select(stratum, "estimate", *[F.when(F.col("n") >= 10, F.col("q")[i]).alias(k) for i, k in enumerate(("ci_lower", "ci_upper"))])
+
+
+def confusion(df: DataFrame, a: str, b: str, labels: Sequence[str]) -> DataFrame:
+    """(a, one column a label): how often each label of a meets each of b."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return known.groupBy(a).agg(*[F.count_if(F.col(b) == x).alias(x) for x in labels])

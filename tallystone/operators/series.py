@@ -33,6 +33,15 @@ def change(x: str, order: str = "year", by: Sequence[str] = ()) -> Column:
     return (ratio(F.col(x), before) - 1) * 100
 
 
+def percent_change(x: str, order: str = "year", by: Sequence[str] = ()) -> Column:
+    """Change against the row before in per cent, gaps filled from the last value; infinite over a zero, NaN from zero to zero."""
+    w = _w(order, by).rowsBetween(Window.unboundedPreceding, 0)
+    now = F.last(F.col(x).cast("double"), ignorenulls=True).over(w)
+    before = F.last(F.col(x).cast("double"), ignorenulls=True).over(_w(order, by).rowsBetween(Window.unboundedPreceding, -1))
+    over = F.when(now == 0, float("nan")).when(now > 0, float("inf")).otherwise(float("-inf"))
+    return F.when(before.isNull() | now.isNull(), None).when(before == 0, over).otherwise((now / F.nullif(before, F.lit(0.0)) - 1) * 100)
+
+
 def running(x: str | Column, order: str = "year", by: Sequence[str] = ()) -> Column:
     return F.sum(x).over(_w(order, by).rowsBetween(Window.unboundedPreceding, 0))
 
@@ -131,8 +140,15 @@ def _pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def ols(df: DataFrame, y: str, x: str) -> DataFrame:
-    """Slope, intercept, r and the slope's standard error of a simple regression."""
+    """Slope, intercept, r, the slope's standard error and its two-sided p value of a simple regression."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     s = pairs.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"), F.count("*").alias("n"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
     error = F.sqrt(ratio((1 - F.col("r") * F.col("r")) * F.col("syy"), (F.col("n") - 2) * F.col("sxx")))
-    return s.select("slope", "intercept", "r", "n", error.alias("stderr"))
+    return s.select("slope", "intercept", "r", "n", error.alias("stderr"), pearson_p("r", F.col("n").cast("double")).alias("p_value"))
+
+
+def correlations(df: DataFrame, vec: str) -> DataFrame:
+    """(i, j, r): the correlation of every two dimensions, i < j; one pass, pairs of a row are summed where they are made."""
+    x = df.select(F.col(vec).cast("array<double>").alias("v")).select("v", F.posexplode("v").alias("i", "x"))
+    pairs = x.select("i", "x", F.posexplode("v").alias("j", "y")).where("i < j")
+    return pairs.groupBy("i", "j").agg(F.corr("x", "y").alias("r"))

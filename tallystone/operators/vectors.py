@@ -13,9 +13,15 @@ def long_form(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return df.select(id_col, F.posexplode(vec).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-def standardised(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """(id, i, z): each dimension less its mean, over its population deviation; 0 where it does not vary."""
+def standardised(df: DataFrame, id_col: str, vec: str, fill: bool = False) -> DataFrame:
+    """(id, i, z): each dimension less its mean, over its population deviation; 0 where it does not vary.
+
+    With fill missing numbers are their dimension's median.
+    """
     rows = long_form(df, id_col, vec)
+    if fill:
+        median = rows.groupBy("i").agg(F.median("x").alias("__m"))  # as many rows as dimensions
+        rows = rows.join(F.broadcast(median), "i").withColumn("x", F.coalesce("x", "__m")).drop("__m")
     s = rows.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d"))  # as many rows as dimensions
     z = F.when(F.col("d") == 0, 0.0).otherwise((F.col("x") - F.col("m")) / F.nullif(F.col("d"), F.lit(0.0)))
     return rows.join(F.broadcast(s), "i").select(id_col, "i", z.alias("z"))

@@ -147,10 +147,25 @@ def q14(spark, sf):
     return W.lead_lag(_income_mix(spark, sf, "income"), "land_rent", "financial").where("n >= 10").select(F.col("lag").cast("bigint").alias("lag"), r6("pearson_r", "pearson_r"), "n")
 
 
-@query("a14_lead_lag_significance")
+#: The two-sided probability of Student's t with v degrees of freedom by its finite series, as SQL over r (a correlation) and v.
+_P_VALUE = """CASE WHEN v < 1 THEN NULL WHEN abs(r) >= 1 THEN 0 WHEN v % 2 = 0 THEN 1 - abs(r) * list_sum(list_transform(generate_series(0, v // 2 - 1), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5)) * pow(1 - r * r, k)))
+  ELSE 1 - 2 / pi() * (asin(abs(r)) + CASE WHEN v = 1 THEN 0 ELSE abs(r) * sqrt(1 - r * r) * list_sum(list_transform(generate_series(0, (v - 3) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + lgamma(0.5) - ln(2)) * pow(1 - r * r, k))) END) END"""
+
+
+@query("a14_lead_lag_significance", ENTRIES + f""", s AS (SELECT row_number() OVER (ORDER BY year) i, * FROM (SELECT year, {_CATSUM} FROM entries WHERE direction='income' GROUP BY year)), c AS (SELECT lag, corr(a.land_rent, b.financial) AS r, count(*) AS n, CAST(count(*) - 2 AS BIGINT) AS v FROM (SELECT unnest(generate_series(-10,10)) AS lag) l, s a JOIN s b ON b.i = a.i + lag GROUP BY lag)
+SELECT lag, round(r,6) AS pearson_r, round({_P_VALUE},6) AS p_value, CASE WHEN lag=0 THEN 'SIMULTANEOUS' WHEN lag>0 THEN 'LEADS' ELSE 'REACTIVE' END AS verdict FROM c""")
 def a14(spark, sf):
     out = W.lead_lag(_income_mix(spark, sf, "income"), "land_rent", "financial")
-    return out.select("lag", "pearson_r", W.pearson_p("pearson_r", F.col("n").cast("double")).alias("p_value"), F.when(F.col("lag") == 0, "SIMULTANEOUS").when(F.col("lag") > 0, "LEADS").otherwise("REACTIVE").alias("verdict"))
+    return out.select(F.col("lag").cast("bigint").alias("lag"), r6("pearson_r", "pearson_r"), r6(W.pearson_p("pearson_r", F.col("n").cast("double")), "p_value"), F.when(F.col("lag") == 0, "SIMULTANEOUS").when(F.col("lag") > 0, "LEADS").otherwise("REACTIVE").alias("verdict"))
+
+
+@query("w08_percent_change", ENTRIES + """, s AS (SELECT year, CASE WHEN year % 5 = 0 THEN NULL WHEN year % 7 = 0 THEN 0 ELSE sum(amount_w) END AS x FROM entries GROUP BY year), f AS (SELECT year, last_value(x IGNORE NULLS) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x, last_value(x IGNORE NULLS) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s)
+SELECT year, round(CASE WHEN b = 0 THEN NULL ELSE (x/nullif(b,0)-1)*100 END,6) AS change, coalesce(b = 0 AND x > 0, false) AS infinite, coalesce(b = 0 AND x = 0, false) AS undefined FROM f""")
+def w08(spark, sf):
+    s = entries(spark, sf).groupBy("year").agg(F.sum("amount_w").alias("x")).withColumn("x", F.when(F.col("year") % 5 == 0, None).when(F.col("year") % 7 == 0, 0.0).otherwise(F.col("x")))
+    c = s.select("year", W.percent_change("x").alias("c"))
+    finite = F.when(~F.isnan("c") & (F.abs("c") != float("inf")), F.col("c"))
+    return c.select("year", r6(finite, "change"), F.coalesce(F.col("c") == float("inf"), F.lit(False)).alias("infinite"), F.coalesce(F.isnan("c"), F.lit(False)).alias("undefined"))
 
 
 @query("q15_rolling_correlation", ENTRIES + f""", s AS (SELECT year, {_CATSUM} FROM entries WHERE direction='income' GROUP BY year), lim AS (SELECT min(year) lo, max(year) hi FROM s)
@@ -167,6 +182,13 @@ def q16(spark, sf):
     return p.select("category", r6("pre_industrial", "pre_avg"), r6("late_industrial", "late_avg"), r6(S.ratio(F.col("late_industrial") - F.col("pre_industrial"), F.col("pre_industrial")) * 100, "pct_vs_pre"))
 
 
+@query("a15_ols_significance", ENTRIES + f""", s AS (SELECT year, {_CATSUM} FROM entries WHERE direction='expenditure' GROUP BY year), d AS (SELECT (educational+salary_stipend) - lag(educational+salary_stipend) OVER (ORDER BY year) AS m, (ecclesiastical+domestic) - lag(ecclesiastical+domestic) OVER (ORDER BY year) AS t FROM s), c AS (SELECT corr(m,t) AS r, regr_slope(m,t) AS slope, CAST(count(m) - 2 AS BIGINT) AS v FROM d WHERE m IS NOT NULL)
+SELECT round(slope,6) AS slope, round({_P_VALUE},6) AS p_value FROM c""")
+def a15(spark, sf):
+    s = _income_mix(spark, sf, "expenditure").select("year", (F.col("educational") + F.col("salary_stipend")).alias("modern"), (F.col("ecclesiastical") + F.col("domestic")).alias("trad"))
+    return W.ols(s.select(W.difference("modern").alias("m"), W.difference("trad").alias("t")), "m", "t").select(r6("slope", "slope"), r6("p_value", "p_value"))
+
+
 @query("q17_ols", ENTRIES + f""", s AS (SELECT year, {_CATSUM} FROM entries WHERE direction='expenditure' GROUP BY year), d AS (SELECT (educational+salary_stipend) - lag(educational+salary_stipend) OVER (ORDER BY year) AS m, (ecclesiastical+domestic) - lag(ecclesiastical+domestic) OVER (ORDER BY year) AS t FROM s)
 SELECT round(regr_slope(m,t),6) AS slope, round(regr_intercept(m,t),6) AS intercept, round(corr(m,t),6) AS r, count(m) AS n, round(sqrt((1-corr(m,t)*corr(m,t))*regr_syy(m,t)/((count(m)-2)*regr_sxx(m,t))),6) AS stderr FROM d WHERE m IS NOT NULL""")
 def q17(spark, sf):

@@ -9,7 +9,7 @@ from ..operators import routing as G
 from ..operators import scoring as E
 from ..operators import vectors as V
 from .aggregate_queries import scores
-from .bindings import entries, rows, table
+from .bindings import ENTRIES, entries, rows, table
 from .registry import query, r6
 
 
@@ -136,10 +136,16 @@ def r03(spark, sf):
     return R.agreement(_raters(spark, sf), ["a", "b", "c"]).select("label", "n_items", "n_agree", r6("agree_rate", "agree_rate"))
 
 
-@query("r05_bootstrap")
+@query("r05_bootstrap", ENTRIES + """, e AS (SELECT page_id, decade, CASE WHEN direction='income' THEN amount_w ELSE 0 END AS x, amount_w AS y FROM entries WHERE direction IN ('income','expenditure')), s AS (SELECT page_id, decade, sum(x) AS a, sum(y) AS b FROM e GROUP BY ALL),
+p AS (SELECT page_id, row_number() OVER (ORDER BY page_id % 256, page_id) - 1 AS i FROM (SELECT DISTINCT page_id FROM s)), m AS (SELECT count(*) AS n FROM p),
+u0 AS (SELECT id // n AS d, id % n AS j, n FROM m, (SELECT unnest(range(0, (SELECT CAST(n * 1000 AS BIGINT) FROM m))) AS id)), u1 AS (SELECT d, j, n, (d * 1000003 + j * 7919 + 42) % 2147483647 AS u FROM u0), u2 AS (SELECT d, j, n, (((u * u + d) % 2147483647) * 48271 + j) % 2147483647 AS u2 FROM u1),
+k AS (SELECT d, ((u2 * u2 + 12345) % 2147483647) % n AS i FROM u2), x AS (SELECT decade, d, sum(a)/nullif(sum(b),0) AS x FROM k JOIN p USING (i) JOIN s USING (page_id) GROUP BY ALL),
+c AS (SELECT decade, quantile_cont(x,0.025) AS lo, quantile_cont(x,0.975) AS hi, count(x) AS n FROM x GROUP BY decade)
+SELECT decade, round((SELECT sum(a)/nullif(sum(b),0) FROM s t WHERE t.decade=c.decade),6) AS estimate, round(CASE WHEN n >= 10 THEN lo END,6) AS ci_lower, round(CASE WHEN n >= 10 THEN hi END,6) AS ci_upper FROM c""")
 def r05(spark, sf):
-    e = entries(spark, sf).where("direction in ('income', 'expenditure')").withColumn("unit", F.col("page_id") % 100)
-    return R.bootstrap(e, "unit", "decade", F.when(F.col("direction") == "income", F.col("amount_w")).otherwise(0.0), F.col("amount_w"), draws=200)
+    e = entries(spark, sf).where("direction in ('income', 'expenditure')")
+    b = R.bootstrap(e, "page_id", "decade", F.when(F.col("direction") == "income", F.col("amount_w")).otherwise(0.0), F.col("amount_w"), bucket=F.col("page_id") % 256)
+    return b.select("decade", *[r6(c, c) for c in ("estimate", "ci_lower", "ci_upper")])
 
 
 @query("s01_scan_explode", "SELECT l_orderkey AS page_id, count(*) AS n_rows, sum(1 + l_linenumber % 2) AS n_years FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1")

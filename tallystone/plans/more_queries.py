@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scalars as S
 from ..operators import providers as P
+from ..operators import reliability as R
 from ..operators import routing as G
 from ..operators import series as W
 from ..operators import shares as A
@@ -15,6 +16,7 @@ from ..operators import text as T
 from ..operators import vectors as V
 from .aggregate_queries import scores
 from .bindings import ENTRIES, entries, table
+from .page_queries import _STEP_TF
 from .registry import query, r6
 from .text_queries import _TF, DOCS, docs
 
@@ -146,6 +148,31 @@ def r12(spark, sf):
     return h.rollup("implied").agg(F.count("*").alias("n_rows"), F.avg("same").alias("r")).select(F.coalesce("implied", F.lit("OVERALL")).alias("header_direction"), "n_rows", r6("r", "agree_rate"))
 
 
+@query("r12_confusion_matrix", _HV + " SELECT implied, count(*) FILTER (direction='income') AS income, count(*) FILTER (direction='expenditure') AS expenditure FROM h WHERE implied IS NOT NULL GROUP BY implied")
+def r12_confusion(spark, sf):
+    h = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, "income").when(F.col("o_orderkey") % 3 == 1, "expenditure").alias("implied"), F.when(F.col("o_orderstatus") == "F", "income").otherwise("expenditure").alias("direction"))
+    return R.confusion(h, "implied", "direction", ["income", "expenditure"])
+
+
+@query("a16_correlation_matrix", "WITH x AS (SELECT vec_id, unnest(generate_series(0,63)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(corr(a.x,b.x),6) AS r FROM x a JOIN x b ON a.vec_id=b.vec_id AND a.i<b.i GROUP BY ALL")
+def a16(spark, sf):
+    return W.correlations(table(spark, sf, "embeddings"), "embedding").select("i", "j", r6("r", "r"))
+
+
+@query("m02_median_fill", "WITH x AS (SELECT vec_id, unnest(generate_series(0,63)) AS i, unnest(embedding)::DOUBLE AS x0 FROM embeddings), y AS (SELECT vec_id, i, CASE WHEN (vec_id + i) % 9 = 0 THEN NULL ELSE x0 END AS x FROM x), f AS (SELECT vec_id, i, coalesce(x, quantile_cont(x,0.5) OVER (PARTITION BY i)) AS x FROM y) SELECT vec_id, CAST(i AS INT) AS i, round((x-avg(x) OVER (PARTITION BY i))/stddev_pop(x) OVER (PARTITION BY i),6) AS z FROM f")
+def m02_fill(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i) % 9 != 0, x)).alias("embedding"))
+    return V.standardised(e, "vec_id", "embedding", fill=True).select("vec_id", "i", r6("z", "z"))
+
+
+@query("m08_top_neighbours", _STEP_TF + ", s AS (SELECT a.step AS a, b.step AS b, sum(a.w*b.w) AS x FROM w a JOIN w b ON a.term=b.term AND a.step<>b.step GROUP BY ALL) SELECT a, b, rank, round(x,6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(x,9) DESC, b) AS rank FROM s) WHERE rank <= 5")
+def m08_top(spark, sf):
+    d = table(spark, sf, "documents").withColumn("step", F.col("doc_id") % 30)
+    s = T.cosine(T.tfidf(T.term_counts(d, "step", "text", 2, K.LEDGER_STOPS), "step"), "step")
+    both = s.unionByName(s.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    return A.top(both, ["a"], 5, F.desc(F.round("similarity", 9)), F.asc("b")).select("a", "b", "rank", r6("similarity", "similarity"))
+
+
 @query("r17_educational_direction", ENTRIES + "SELECT threshold, era, round(coalesce(sum(year_weight) FILTER (direction='income'),0)/sum(year_weight),6) AS income_pct, count(*) FILTER (direction='income') AS n_income FROM entries, (VALUES (0.0::DOUBLE),(0.3::DOUBLE),(0.6::DOUBLE)) t(threshold) WHERE category='educational' AND direction IN ('income','expenditure') AND confidence IS NOT NULL AND round(confidence,6) >= threshold GROUP BY ALL")
 def r17(spark, sf):
     e = entries(spark, sf).where("category = 'educational' and direction in ('income', 'expenditure') and confidence is not null").withColumn("level", F.round("confidence", 6))
