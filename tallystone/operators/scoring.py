@@ -1,7 +1,7 @@
 """Scoring extracted pages against expected ones: counts, headers, amounts and fractions.
 
 Count scores are plain aggregations. Matching is greedy and depends on the order of rows, so it runs page by page in
-Arrow batches of many pages.
+Arrow batches of many pages. Rows of a page are in the order of their indices, then types, texts, amounts and fractions.
 """
 
 from __future__ import annotations
@@ -110,9 +110,9 @@ def _by_page(pred: DataFrame, gt: DataFrame, out: str, score: Callable[[int, lis
         for batch in batches:
             found = []
             for page, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.sort(key=lambda r: (r["row_index"] is None, r["row_index"] or 0))
                 for r in rows:
                     r["description"] = r["description"] or ""
+                rows.sort(key=lambda r: [(r[c] is None, r[c] or 0) for c in ("row_index",)] + [r["row_type"] or "", r["description"], *((r[c] is None, r[c] or 0) for c in ("amount", "fraction"))])
                 found += score(page, [r for r in rows if r["p"]], [r for r in rows if not r["p"]])
             schema = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]]) for x in out.split(", ")])
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t.type) for i, t in enumerate(schema)], schema=schema)

@@ -96,12 +96,44 @@ def e01(spark, sf):
     return E.structure_score(_rows(spark, sf, True), _rows(spark, sf, False)).select("page", r6("row_count_score", "row_count_score"), r6("type_count_score", "type_count_score"))
 
 
-@query("e02_e06_page_scores")
+_LEV = "CASE WHEN length({a})+length({b})=0 THEN 1.0 ELSE 1-2.0*levenshtein({a},{b})/(length({a})+length({b})) END"
+_SIMILAR = "CASE WHEN greatest(x.a,g.a)=0 THEN 1.0 ELSE greatest(0.0, 1-abs(x.a-g.a)/greatest(x.a,g.a)::DOUBLE) END"
+#: Greedy matching row by row: a recursive step takes each page's next expected row, and a list holds what is left.
+_GREEDY = """WITH RECURSIVE g0 AS (SELECT l_orderkey AS page, l_linenumber AS ri, CASE l_linenumber WHEN 1 THEN 'header' WHEN 7 THEN 'total' ELSE 'entry' END AS t, l_returnflag || ' ' || l_linestatus || ' ' || l_partkey AS d, CAST(floor(l_extendedprice) AS BIGINT) AS a, CASE WHEN l_partkey % 3 = 0 THEN 0.5::DOUBLE END AS f, l_partkey AS k FROM lineitem),
+p0 AS (SELECT page, ri, CASE WHEN k % 13 = 0 AND t = 'entry' THEN 'total' ELSE t END AS t, d, CASE WHEN k % 11 = 0 THEN a + 1 ELSE a END AS a, f FROM g0 WHERE k % 7 <> 0),
+gn AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ri, t, d, a, f NULLS LAST) AS n FROM g0), pn AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ri, t, d, a, f NULLS LAST) AS n FROM p0), pages AS (SELECT DISTINCT page FROM g0)"""
+
+
+def _matching(name: str, where: str, fraction: bool = False) -> str:
+    """CTEs that match the expected rows of a kind: {name}(page, s, ps, credit, sims, missed)."""
+    same = "x.a = g.a AND x.f = g.f" if fraction else "x.a = g.a"
+    order = "{e: (x.t = g.t)::INT, m: -x.n}" if fraction else "{e: (x.t = g.t)::INT, r: " + _LEV.format(a="g.d", b="x.d") + ", m: -x.n}"
+    return f""", {name}_l AS (SELECT page, list({{n: n, t: t, d: d, a: a, f: f}} ORDER BY n) AS ps FROM pn WHERE {where} GROUP BY page), {name}_g AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n) AS s FROM gn WHERE {where}),
+{name} AS (SELECT pages.page, 0::BIGINT AS s, coalesce(ps, []) AS ps, 0.0::DOUBLE AS credit, 0.0::DOUBLE AS sims, []::BIGINT[] AS missed FROM pages LEFT JOIN {name}_l USING (page)
+UNION ALL SELECT page, s, CASE WHEN b IS NULL THEN ps ELSE list_filter(ps, lambda x: x.n <> -b.m) END, credit + CASE WHEN b IS NULL THEN 0 WHEN b.e = 1 THEN 1 ELSE 0.5 END, sims + CASE WHEN b IS NULL THEN close ELSE 1 END, CASE WHEN b IS NULL THEN list_append(missed, gi) ELSE missed END
+FROM (SELECT q.page, g.s, ps, credit, sims, missed, g.n AS gi, list_sort(list_transform(list_filter(ps, lambda x: {same}), lambda x: {order}), 'DESC')[1] AS b, coalesce(list_max(list_transform(ps, lambda x: {_SIMILAR})), 0) AS close FROM {name} q JOIN {name}_g g ON g.page = q.page AND g.s = q.s + 1))"""
+
+
+_HEADS = """, h_l AS (SELECT page, list({n: n, d: d} ORDER BY n) AS ps FROM pn WHERE t = 'header' GROUP BY page), h_g AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n) AS s FROM gn WHERE t = 'header'),
+h AS (SELECT pages.page, 0::BIGINT AS s, coalesce(ps, []) AS ps, 0::BIGINT AS hits FROM pages LEFT JOIN h_l USING (page)
+UNION ALL SELECT page, s, CASE WHEN b.r >= 0.8 THEN list_filter(ps, lambda x: x.n <> -b.m) ELSE ps END, hits + coalesce(b.r >= 0.8, false)::INT
+FROM (SELECT h.page, g.s, ps, hits, list_sort(list_transform(ps, lambda x: {r: """ + _LEV.format(a="g.d", b="x.d") + """, m: -x.n}), 'DESC')[1] AS b FROM h JOIN h_g g ON g.page = h.page AND g.s = h.s + 1))"""
+_SHARE = "CASE WHEN {g} = 0 THEN ({p} = 0)::INT ELSE greatest(0.0, 1 - abs({p} - {g}) / {g}::DOUBLE) END"
+
+
+@query("e02_e06_page_scores", _GREEDY + _HEADS + _matching("m", "t <> 'header'") + _matching("f", "t <> 'header' AND f IS NOT NULL", True) + f""",
+c AS (SELECT page, count(*) FILTER (s=1) np, count(*) FILTER (s=0) ng, count(*) FILTER (s=1 AND t='header') h1, count(*) FILTER (s=0 AND t='header') h0, count(*) FILTER (s=1 AND t='entry') e1, count(*) FILTER (s=0 AND t='entry') e0, count(*) FILTER (s=1 AND t='total') t1, count(*) FILTER (s=0 AND t='total') t0 FROM (SELECT page, t, 1 AS s FROM pn UNION ALL SELECT page, t, 0 FROM gn) GROUP BY page),
+k AS (SELECT page, {_SHARE.format(p='np', g='ng')} AS rows_, ({_SHARE.format(p='h1', g='h0')} + {_SHARE.format(p='e1', g='e0')} + {_SHARE.format(p='t1', g='t0')}) / 3 AS types FROM c),
+lh AS (SELECT page, max(s) AS n, arg_max(hits, s) AS hits FROM h GROUP BY page), lm AS (SELECT page, max(s) AS n, arg_max(credit, s) AS credit, arg_max(sims, s) AS sims FROM m GROUP BY page), lf AS (SELECT page, max(s) AS n, arg_max(len(missed), s) AS missed FROM f GROUP BY page),
+x AS (SELECT page, printf('%.4f', (printf('%.4f', rows_)::DOUBLE + printf('%.4f', types)::DOUBLE + printf('%.4f', CASE WHEN lh.n = 0 THEN 1 ELSE lh.hits / lh.n::DOUBLE END)::DOUBLE) / 3)::DOUBLE AS axis1, CASE WHEN lm.n = 0 THEN 1 ELSE credit / lm.n END AS a, CASE WHEN lm.n = 0 THEN 1 ELSE sims / lm.n END AS b, CASE WHEN lf.n = 0 THEN 1 ELSE (lf.n - missed) / lf.n::DOUBLE END AS c FROM k JOIN lh USING (page) JOIN lm USING (page) JOIN lf USING (page)),
+y AS (SELECT *, printf('%.4f', 0.5*a + 0.3*b + 0.2*c)::DOUBLE AS axis2 FROM x)
+SELECT page, axis1, printf('%.4f', a)::DOUBLE AS axis2_match, printf('%.4f', b)::DOUBLE AS axis2_similarity, printf('%.4f', c)::DOUBLE AS axis2_fraction, axis2, printf('%.4f', 0.3*axis1 + 0.7*axis2)::DOUBLE AS combined FROM y""")
 def e02(spark, sf):
     return E.page_scores(_rows(spark, sf, True), _rows(spark, sf, False))
 
 
-@query("e08_feedback")
+@query("e08_feedback", _GREEDY + _matching("m", "true") + """, z AS (SELECT page, unnest(arg_max(missed, s)) AS n FROM m GROUP BY page), ps AS (SELECT page, list({n: n, d: d} ORDER BY n) AS ps FROM pn GROUP BY page)
+SELECT page, ri AS row_index, d AS description, list_sort(list_transform(ps, lambda x: {r: """ + _LEV.format(a="gn.d", b="x.d") + """, m: -x.n, d: x.d}), 'DESC')[1].d AS closest FROM z JOIN gn USING (page, n) LEFT JOIN ps USING (page)""")
 def e08(spark, sf):
     return E.feedback(_rows(spark, sf, True), _rows(spark, sf, False))
 
