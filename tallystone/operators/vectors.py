@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def long_form(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return df.select(id_col, F.posexplode(vec).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
@@ -34,7 +37,7 @@ def outliers(df: DataFrame, id_col: str, vec: str, quantile: float = 0.95) -> Da
     return d.crossJoin(F.broadcast(limit)).select(id_col, "distance", (F.col("distance") > F.col("limit")).alias("outlier"))
 
 
-def kmeans(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 42, sample: int = 2000) -> tuple[DataFrame, dict[int, float]]:
+def kmeans(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 42, sample: int = 5000) -> tuple[DataFrame, dict[int, float]]:
     """Clusters for the k of the best silhouette (the first among equals), and all silhouettes.
 
     The silhouette is exact Euclidean over a hash sample of at most `sample` rows, a documented bound as in the model.
@@ -71,17 +74,49 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
 
 
 def svd(df: DataFrame, id_col: str, vec: str, n: int) -> DataFrame:
-    """(id, projected): uncentred singular value projection by the Gram matrix of the dimensions, which is bounded."""
-    from pyspark.mllib.linalg import Vectors
+    """(id, projected): uncentred singular value projection; rows stay in the JVM, null vectors are left out.
+
+    A component's sign is such that the greatest entry of its right singular vector is positive.
+    """
+    from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    rows = df.select(id_col, F.col(vec).cast("array<double>").alias("v"))
-    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.dense(r["v"])))
+    rows = df.select(id_col, F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector("v").alias("f")), "f"))
     v = matrix.computeSVD(n).V.toArray()
+    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
     parts = [F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in v[:, k]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for k in range(v.shape[1])]
     return rows.select(id_col, F.array(*parts).alias("projected"))
 
 
+def pairwise_cosine(df: DataFrame, id_col: str, vec: str, block: int = 1024) -> DataFrame:
+    """(n, mean, least, most, spread) of the dot products of all pairs of unit vectors: a task sums a pair of blocks and returns one row."""
+    ship(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    parts = -(-rows.count() // block) or 1
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    # block pairs p <= q: a row is left in those with its block first, and right in those with it second
+    rows = rows.withColumn("o", own)
+    left = rows.select(F.col("o").alias("p"), F.explode(F.sequence("o", F.lit(parts - 1))).alias("q"), F.lit(0).alias("side"), "id", "v")
+    right = rows.select(F.explode(F.sequence(F.lit(0), "o")).alias("p"), F.col("o").alias("q"), F.lit(1).alias("side"), "id", "v")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = (group[group["side"] == s] for s in (0, 1))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"n": [], "s": [], "q": [], "a": [], "b": []})
+        x = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
+        if group["p"].iloc[0] == group["q"].iloc[0]:
+            x = x[a["id"].to_numpy()[:, None] < b["id"].to_numpy()]
+        x = x.reshape(-1)
+        return pd.DataFrame({"n": [len(x)], "s": [x.sum()], "q": [(x * x).sum()], "a": [x.min()], "b": [x.max()]}) if len(x) else pd.DataFrame({"n": [], "s": [], "q": [], "a": [], "b": []})
+
+    sums = left.unionByName(right).groupBy("p", "q").applyInPandas(run, "n long, s double, q double, a double, b double")
+    t = sums.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("a").alias("least"), F.max("b").alias("most"))
+    mean = F.col("s") / F.nullif(F.col("n"), F.lit(0))
+    return t.select("n", mean.alias("mean"), "least", "most", F.sqrt(F.greatest(F.col("q") / F.nullif(F.col("n"), F.lit(0)) - mean * mean, F.lit(0.0))).alias("spread"))
+
+
 def purity(df: DataFrame, cluster: str, label: str) -> DataFrame:
     """One row: the share of rows that have their cluster's most frequent label."""
     c = df.groupBy(cluster, label).agg(F.count("*").alias("n"))

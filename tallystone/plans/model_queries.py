@@ -25,7 +25,11 @@ def j14_all(spark, sf):
     return n.select("a", "b", "rank", r6("similarity", "similarity"))
 
 
-@query("g07_weighted_vote")
+_NEAR5 = "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, b.label AS lb, list_sum(list_transform(generate_series(1,64), lambda i: a.embedding[i]::DOUBLE*b.embedding[i]::DOUBLE)) AS s FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s,9) DESC, b) AS rank FROM p) WHERE rank <= 5)"
+_VOTE = ", v AS (SELECT a, {label} AS label, sum(greatest(s,0)) AS w FROM near GROUP BY ALL), c AS (SELECT a, label, coalesce(w/nullif(sum(w) OVER (PARTITION BY a),0),0) AS confidence FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(confidence,9) DESC, label) AS rank FROM c)"
+
+
+@query("g07_weighted_vote", _NEAR5 + _VOTE.format(label="lb") + " SELECT a AS vec_id, label, round(confidence,6) AS confidence FROM r WHERE rank = 1")
 def g07(spark, sf):
     e = table(spark, sf, "embeddings")
     near = G.nearest(e, "vec_id", "embedding", 5)

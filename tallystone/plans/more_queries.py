@@ -16,6 +16,7 @@ from ..operators import text as T
 from ..operators import vectors as V
 from .aggregate_queries import scores
 from .bindings import ENTRIES, entries, table
+from .model_queries import _NEAR5, _VOTE
 from .page_queries import _STEP_TF
 from .registry import query, r6
 from .text_queries import _TF, DOCS, docs
@@ -217,7 +218,7 @@ def g05_all(spark, sf):
     return n.select("a", "b", "rank", r6(-F.col("similarity"), "distance"))
 
 
-@query("g06_g08_decisions")
+@query("g06_g08_decisions", _NEAR5 + _VOTE.format(label="CASE WHEN b % 3 = 0 THEN 'skip' ELSE 'keep' END") + ", d AS (SELECT CASE WHEN label='skip' AND confidence >= 0.6 THEN 'v2_no_gpt' ELSE 'v2_full' END AS pipeline FROM r WHERE rank = 1) SELECT pipeline, count(*) AS n, sum(CASE WHEN pipeline='v2_full' THEN 3 ELSE 2 END) AS calls FROM d GROUP BY 1")
 def g06(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 3 == 0, "skip").otherwise("keep").alias("label"))
     vote = G.weighted_vote(G.nearest(e, "vec_id", "embedding", 5), e.select(F.col("vec_id").alias("id"), "label"), "label")
@@ -226,13 +227,26 @@ def g06(spark, sf):
     return chosen.groupBy("pipeline").agg(F.count("*").alias("n"), F.sum(G.calls(F.col("pipeline"))).alias("calls"))
 
 
-@query("l01_l03_enrichment")
+_FIRST = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t,'{w}')" for w in words) + f" THEN '{name}'" for name, words in P.CATEGORY_WORDS.items()) + " ELSE 'other' END"
+
+
+@query("l01_l03_enrichment", f"SELECT {_FIRST} AS category, count(*) AS n FROM (SELECT lower(coalesce(text,'')) AS t FROM conversations) GROUP BY 1")
 def l03(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("prompt"))
     r = P.replies(c, "prompt", P.stub)
     return r.select("conv_id", "turn", F.get_json_object(S.json_reply("reply"), "$.category").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
+_PERIOD = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t,'{w}')" for w in words) + f" THEN '{name}'" for name, words in P.PERIOD_WORDS.items()) + " ELSE 'unclear' END"
+
+
+@query("l03_rule_labels", f"WITH r AS (SELECT lower(coalesce(text,'')) AS t, turn % 4 = 0 AS head, conv_id % 3 AS h, turn % 3 AS s FROM conversations) SELECT CASE WHEN head THEN NULL WHEN h=0 THEN 'income' WHEN h=1 THEN 'expenditure' WHEN s=0 THEN 'income' WHEN s=1 THEN 'expenditure' ELSE 'unclear' END AS direction, CASE WHEN NOT head THEN {_FIRST} END AS category, CASE WHEN NOT head THEN {_PERIOD} END AS payment_period, CASE WHEN NOT head THEN contains(t,'arrear') END AS is_arrears, count(*) AS n FROM r GROUP BY ALL")
+def l03_rules(spark, sf):
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    c = table(spark, sf, "conversations").select(F.col("text").alias("description"), F.when(F.col("turn") % 4 == 0, "header").otherwise("entry").alias("row_type"), pick(["Recepta", "Soluta", "Capitulum"], F.col("conv_id") % 3).alias("section_header"), pick(["left", "right", "both"], F.col("turn") % 3).alias("side"))
+    return P.enriched(c).groupBy("direction", "category", "payment_period", "is_arrears").agg(F.count("*").alias("n"))
+
+
 @query("l05_model_grid", "SELECT count(*) AS n, count(DISTINCT a || b) AS combinations FROM (SELECT page_id, unnest(['x','y','z']) AS a FROM pages), (VALUES ('p'),('q')) t(b)")
 def l05(spark, sf):
     g = P.model_grid(a=["x", "y", "z"], b=["p", "q"])(table(spark, sf, "pages").select("page_id"))
