@@ -25,10 +25,22 @@ def money(x: Column | str) -> Column:
     return number(F.regexp_replace(_c(x).cast("string"), r"[^0-9.\-]", ""), 0.0)
 
 
-def fraction(x: Column | str) -> Column:
-    """Fraction glyphs and their spellings, else the number itself, else 0."""
-    s = F.trim(_c(x).cast("string"))
-    return F.coalesce(lookup(s, K.FRACTIONS), number(s, 0.0))
+def money_strict(x: Column | str) -> Column:
+    """As money, but what is no number after cleaning is an error; empty is 0."""
+    s = F.regexp_replace(F.coalesce(_c(x).cast("string"), F.lit("")), r"[^0-9.\-]", "")
+    bad = F.raise_error(F.concat(F.lit("not an amount: "), s)).cast("double")
+    return F.when(s == "", 0.0).otherwise(F.coalesce(s.try_cast("double"), bad))
+
+
+def fraction(x: Column | str, texts: str = "numbers") -> Column:
+    """Fraction glyphs and their spellings, else the number itself, else 0.
+
+    texts tells which other texts are numbers: any that reads as one (`numbers`), those of digits and dots only
+    (`digits`), or none (`none`).
+    """
+    s = F.lower(F.trim(_c(x).cast("string")))
+    other = {"numbers": number(s, 0.0), "digits": F.coalesce(F.when(s.rlike(r"^[0-9.]+$"), s.try_cast("double")), F.lit(0.0)), "none": F.lit(0.0)}[texts]
+    return F.coalesce(lookup(s, K.FRACTIONS), other)
 
 
 def pounds(p: Column, s: Column, d: Column, f: Column) -> Column:

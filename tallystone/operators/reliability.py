@@ -95,3 +95,21 @@ def confusion(df: DataFrame, a: str, b: str, labels: Sequence[str]) -> DataFrame
     """(a, one column a label): how often each label of a meets each of b."""
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     return known.groupBy(a).agg(*[F.count_if(F.col(b) == x).alias(x) for x in labels])
+
+
+def deltas(values: DataFrame, bucket: str, setting: str, x: str, baseline: str) -> DataFrame:
+    """(setting, n, max_delta_pp, mean_delta_pp, verdict): shares of each setting against the baseline's, bucket by bucket.
+
+    At most 2 percentage points apart everywhere is robust, at most 5 moderate. Buckets that the baseline lacks do not count.
+    """
+    base = values.where(F.col(setting) == baseline).select(bucket, F.col(x).alias("__b"))
+    d = (F.col(x) - F.col("__b")) * 100
+    g = values.where(F.col(setting) != baseline).join(base, bucket).where(F.col(x).isNotNull() & F.col("__b").isNotNull())
+    g = g.groupBy(setting).agg(F.count("*").alias("n"), F.max(F.abs(d)).alias("max_delta_pp"), F.avg(d).alias("mean_delta_pp"))
+    top = F.round("max_delta_pp", 9)
+    return g.withColumn("verdict", F.when(top <= 2, "robust").when(top <= 5, "moderate").otherwise("sensitive"))
+
+
+def verdict(x: Column, least: float, yes: str = "pass", no: str = "check") -> Column:
+    """The verdict on a rate or a kappa that must reach a level."""
+    return F.when(x.isNotNull(), F.when(F.round(x, 9) >= least, yes).otherwise(no))

@@ -155,6 +155,25 @@ def r12_confusion(spark, sf):
     return R.confusion(h, "implied", "direction", ["income", "expenditure"])
 
 
+@query("r20_report_tables", ENTRIES + """, s AS (SELECT unnest(['baseline','no_arrears','confident','annual']) AS setting), v AS (SELECT setting, decade, coalesce(sum(amount_w) FILTER (category='land_rent'),0)/sum(amount_w) AS x FROM entries, s WHERE setting='baseline' OR (setting='no_arrears' AND NOT coalesce(is_arrears,false)) OR (setting='confident' AND coalesce(confidence,0) >= 0.3) OR (setting='annual' AND payment_period='annual') GROUP BY ALL),
+d AS (SELECT v.setting, (v.x-b.x)*100 AS d FROM v JOIN v b ON b.setting='baseline' AND v.setting<>'baseline' AND v.decade=b.decade) SELECT setting, count(*) AS n, round(max(abs(d)),6) AS max_delta_pp, round(avg(d),6) AS mean_delta_pp, CASE WHEN round(max(abs(d)),9) <= 2 THEN 'robust' WHEN round(max(abs(d)),9) <= 5 THEN 'moderate' ELSE 'sensitive' END AS verdict FROM d GROUP BY setting""")
+def r20_tables(spark, sf):
+    e = entries(spark, sf)
+    tests = {"baseline": F.lit(True), "no_arrears": ~F.coalesce("is_arrears", F.lit(False)), "confident": F.coalesce("confidence", F.lit(0.0)) >= 0.3, "annual": F.col("payment_period") == "annual"}
+    sums = [x for k, t in tests.items() for x in (F.sum(F.when(t, F.col("amount_w"))).alias(k), F.sum(F.when(t & (F.col("category") == "land_rent"), F.col("amount_w")).otherwise(0.0)).alias(k + "_land"))]
+    wide = e.groupBy("decade").agg(*sums)
+    long = wide.select("decade", F.inline(F.array(*[F.struct(F.lit(k).alias("setting"), S.ratio(F.col(k + "_land"), F.col(k)).alias("x")) for k in tests])))
+    d = R.deltas(long.where("x is not null"), "decade", "setting", "x", "baseline")
+    return d.select("setting", "n", r6("max_delta_pp", "max_delta_pp"), r6("mean_delta_pp", "mean_delta_pp"), "verdict")
+
+
+@query("r20_verdicts", "WITH r AS (SELECT doc_id % 10 AS grp, avg((quality = CASE WHEN doc_id % 37 = 0 THEN 1-quality ELSE quality END)::INT) AS rate FROM labels GROUP BY 1) SELECT grp, round(rate,6) AS rate, CASE WHEN round(rate,9) >= 0.99 THEN 'pass' ELSE 'check' END AS agreement, CASE WHEN round(rate,9) >= 0.8 THEN 'pass' ELSE 'check' END AS kappa FROM r")
+def r20_verdicts(spark, sf):
+    q = F.col("quality")
+    r = table(spark, sf, "labels").groupBy((F.col("doc_id") % 10).alias("grp")).agg(F.avg((q == F.when(F.col("doc_id") % 37 == 0, 1 - q).otherwise(q)).cast("double")).alias("rate"))
+    return r.select("grp", r6("rate", "rate"), R.verdict(F.col("rate"), 0.99).alias("agreement"), R.verdict(F.col("rate"), 0.8).alias("kappa"))
+
+
 @query("a16_correlation_matrix", "WITH x AS (SELECT vec_id, unnest(generate_series(0,63)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(corr(a.x,b.x),6) AS r FROM x a JOIN x b ON a.vec_id=b.vec_id AND a.i<b.i GROUP BY ALL")
 def a16(spark, sf):
     return W.correlations(table(spark, sf, "embeddings"), "embedding").select("i", "j", r6("r", "r"))

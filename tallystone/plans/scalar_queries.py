@@ -30,6 +30,18 @@ def p01(spark, sf):
     return _parts(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", p.alias("pounds"), f.alias("fraction"), r6(S.pounds(p, S.money("st"), S.money("dt"), f), "amount"))
 
 
+_KNOWN = "CASE x WHEN '½' THEN 0.5 WHEN '1/4' THEN 0.25 WHEN '.75' THEN 0.75 WHEN '.5' THEN 0.5"
+
+
+@query("p02_p04_variants", "WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, ['½','1/4','.75','0.5','-1','x','','1e1',' .5 '][l_partkey % 9 + 1] AS t, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE '£' || (l_partkey % 700) || '.5' END AS m FROM lineitem), w AS (SELECT *, lower(trim(t)) AS x FROM v) " + f"SELECT l_orderkey, l_linenumber, l_partkey, CAST({_KNOWN} ELSE 0 END AS DOUBLE) AS mapped, CAST({_KNOWN} WHEN '0.5' THEN 0.5 ELSE 0 END AS DOUBLE) AS digits, CAST({_KNOWN} WHEN '0.5' THEN 0.5 WHEN '-1' THEN -1 WHEN '1e1' THEN 10 ELSE 0 END AS DOUBLE) AS numbers, CASE WHEN m = '' THEN 0 ELSE l_partkey % 700 + 0.5 END::DOUBLE AS strict FROM w")
+def p02(spark, sf):
+    k = F.col("l_partkey")
+    t = F.element_at(F.array(*map(F.lit, ["½", "1/4", ".75", "0.5", "-1", "x", "", "1e1", " .5 "])), (k % 9 + 1).cast("int"))
+    m = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("£"), k % 700, F.lit(".5")))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", t.alias("t"), m.alias("m"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", S.fraction("t", "none").alias("mapped"), S.fraction("t", "digits").alias("digits"), S.fraction("t").alias("numbers"), S.money_strict("m").alias("strict"))
+
+
 @query("p06_pence", _PARTS + " SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(coalesce(try_cast(pt AS DOUBLE),0)) AS BIGINT)*240 + CAST(coalesce(try_cast(st AS DOUBLE),0) AS BIGINT)*12 + CAST(dt AS BIGINT) AS pence FROM t")
 def p06(spark, sf):
     return _parts(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", S.pence("pt", "st", "dt").alias("pence"))

@@ -264,10 +264,13 @@ w AS (SELECT lang, step, term, w/sqrt(sum(w*w) OVER (PARTITION BY lang, step)) A
 
 @query("m09_category_drift", _DRIFT + " SELECT lang, round(avg(sim),6) AS mean_pairwise_sim, round(min(sim),6) AS min_pairwise_sim, round(avg(sim) FILTER (b=a+1),6) AS mean_consecutive FROM s GROUP BY lang")
 def m09(spark, sf):
-    d = docs(spark, sf).withColumn("unit", F.struct("lang", (F.col("doc_id") % 5).alias("step")))
-    tf = T.term_counts(d, "unit", "text", 2)
-    w = tf.withColumn("idf", F.log(6 / (1 + F.count("*").over(Window.partitionBy("unit.lang", "term")))) + 1).withColumn("w", F.col("tf") * F.col("idf"))
-    w = w.select("unit.lang", "unit.step", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("unit.lang", "unit.step")))).alias("w"))
+    d = docs(spark, sf).withColumn("step", F.col("doc_id") % 5)
+    tf = stored(T.term_counts(d, ["lang", "step"], "text", 2), "tf")
+    idf = tf.groupBy("lang", "term").agg((F.log(6 / (1 + F.count("*"))) + 1).alias("idf"))
+    w = stored(tf.join(idf, ["lang", "term"]).select("lang", "step", "term", (F.col("tf") * F.col("idf")).alias("w")), "weights")
+    # squares are summed map side, one row a language and step
+    norm = w.groupBy("lang", "step").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    w = w.join(norm, ["lang", "step"]).select("lang", "step", "term", (F.col("w") / F.col("norm")).alias("w"))
     a, b = w.select("lang", "term", F.col("step").alias("a"), F.col("w").alias("x")), w.select("lang", "term", F.col("step").alias("b"), F.col("w").alias("y"))
     s = a.join(b, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))  # five steps a language
     return s.groupBy("lang").agg(r6(F.avg("sim"), "mean_pairwise_sim"), r6(F.min("sim"), "min_pairwise_sim"), r6(F.avg(F.when(F.col("b") == F.col("a") + 1, F.col("sim"))), "mean_consecutive"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     if root.is_dir():  # else the package itself came in an archive, which whoever sent it has sent everywhere
-        target = Path(tempfile.mkdtemp(prefix="tallystone")) / "tallystone.zip"
+        folder = tempfile.mkdtemp(prefix="tallystone")  # on the driver only, which serves the file; gone at its end
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = Path(folder) / "tallystone.zip"
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, f"{root.name}/{p.relative_to(root)}")

@@ -61,3 +61,12 @@ def test_ratios(spark):
 def test_json_replies(spark):
     x = ['{"a": 1}', 'Sure:\n```json\n{"a": {"b": 2}}\n```', "no", None, '{"a": 1', '{"a": 1} }']
     assert one(spark, x, S.json_reply) == ['{"a": 1}', '{"a": {"b": 2}}', None, None, None, None]
+
+
+def test_strict_amounts_are_errors(spark):
+    import pytest
+
+    ok = spark.createDataFrame([("£1,200.5",), ("",), (None,)], "x string").select(S.money_strict("x").alias("y")).collect()
+    assert [r["y"] for r in ok] == [1200.5, 0.0, 0.0]
+    with pytest.raises(Exception, match="not an amount"):
+        spark.createDataFrame([("1.2.3",)], "x string").select(S.money_strict("x")).collect()
