@@ -105,13 +105,3 @@ def calls(pipeline: Column) -> Column:
     for k, v in K.CALLS.items():
         out = F.when(pipeline == k, v) if out is None else out.when(pipeline == k, v)
     return out
-
-
-def evaluate(chosen: DataFrame, weights: tuple[float, float, float] = (0.3, 0.4, 0.3)) -> DataFrame:
-    """One row: accuracy, preservation of the full score, cost cut, least and spread of scores, and the balanced score.
-
-    chosen has page, correct, score, full_score and n_calls (3 for the full pipeline).
-    """
-    g = chosen.agg(F.avg(F.col("correct").cast("double")).alias("accuracy"), (F.avg("score") / F.avg("full_score")).alias("preservation"), (1 - F.avg("n_calls") / 3).alias("cost_reduction"), F.min("score").alias("min_score"), F.stddev_samp("score").alias("score_std"), F.count_if(F.col("score") < 0.9 * F.col("full_score")).alias("failures"))
-    a, p, c = weights
-    return g.withColumn("balanced", a * F.col("accuracy") + p * F.col("preservation") + c * F.col("cost_reduction"))

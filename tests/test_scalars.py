@@ -64,7 +64,7 @@ def test_json_replies(spark):
 
 
 def test_strict_amounts_are_errors(spark):
-    import pytest
+
 
     ok = spark.createDataFrame([("£1,200.5",), ("",), (None,)], "x string").select(S.money_strict("x").alias("y")).collect()
     assert [r["y"] for r in ok] == [1200.5, 0.0, 0.0]

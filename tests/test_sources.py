@@ -81,6 +81,24 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("user_id").distinct().count()
 
 
+def test_new_pages_are_read_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "1.json", [entry(0, "a"), entry(1, "b")], page_id="1700_1_image")
+    read = lambda: M.upsert(M.new_pages(spark, str(tmp_path / "in")).select("page_id", F.size("rows").alias("n")), str(tmp_path / "c"), str(tmp_path / "out")).awaitTermination(120)
+    read()
+    write(tmp_path / "in", "2.json", [entry(0, "c")], page_id="1701_1_image")
+    read()
+    assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("1700_1_image", 2), ("1701_1_image", 1)]
+
+
+def test_running_counts(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    M.running_counts(stream, "event_type").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert {tuple(r) for r in spark.table("counts").collect()} == {tuple(r) for r in events.groupBy("event_type").count().collect()}
+
+
 def test_retries_keep_the_better_score(spark):
     scores = spark.createDataFrame([(1, 0.5), (2, 0.9)], "page int, combined double")
     again = P.retried(scores, lambda df: df.withColumn("combined", F.lit(0.6)), times=1)
