@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,29 +29,23 @@ def skip_labels(scores: DataFrame, threshold: float, full: str = "v2_full") -> D
     return rows.where(F.col("pipeline") != full)
 
 
-def neighbours(vectors: DataFrame, blocks: Sequence, block_col: str, id_col: str, vec_col: str, k: int, similarity: Column | None = None) -> DataFrame:
-    """(a, b, similarity, rank): the k most similar other vectors of the same block; the blocks bound each comparison."""
-    kept = vectors.where(F.col(block_col).isin(*blocks)) if blocks else vectors
-    a = kept.select(F.col(block_col).alias("g"), F.col(id_col).alias("a"), F.col(vec_col).alias("u"))
-    b = kept.select(F.col(block_col).alias("g"), F.col(id_col).alias("b"), F.col(vec_col).alias("v"))
-    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, "g").where("a <> b").select("g", "a", "b", (dot if similarity is None else similarity).alias("similarity"))
-    w = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 9)), F.asc("b"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, euclidean: bool = False, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, euclidean: bool = False, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """(a, b, similarity, rank): the k most similar of all other vectors, by dot product or by the negative distance.
 
-    Every pair of blocks is compared, so the work grows with the square of the vectors; each comparison keeps k a vector,
-    which are then merged. Similarities equal in nine digits are in the order of b. Null ids and null vectors are left out.
+    With within only vectors of the same value of that column are compared. Every pair of blocks is compared, so the
+    work grows with the square of the vectors (of a value); a task holds two blocks whatever their number, and keeps k a
+    vector, which are then merged. Similarities equal in nine digits are in the order of b. Null ids and null vectors
+    are left out.
     """
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    parts = -(-rows.count() // block) or 1
-    own, other = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    a = rows.select(own.alias("p"), other.alias("q"), F.lit(0).alias("side"), "id", "v")
-    b = rows.select(other.alias("p"), own.alias("q"), F.lit(1).alias("side"), "id", "v")
+    group = F.lit(0) if within is None else F.col(within)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), group.alias("g")).where("id is not null and v is not null and g is not null")
+    parts = F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")
+    # one row a value; its rows are dealt to its blocks by their ids
+    rows = rows.join(rows.groupBy("g").agg(parts), "g").withColumn("o", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = rows.select("g", F.col("o").alias("p"), other.alias("q"), F.lit(0).alias("side"), "id", "v")
+    b = rows.select("g", other.alias("p"), F.col("o").alias("q"), F.lit(1).alias("side"), "id", "v")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         left, right = (group[group["side"] == s] for s in (0, 1))
@@ -64,7 +56,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, euclidean: bo
         return pd.concat(found)
 
     kind = rows.schema["id"].dataType.simpleString()
-    near = a.unionByName(b).groupBy("p", "q").applyInPandas(run, f"a {kind}, b {kind}, similarity double, r double")
+    near = a.unionByName(b).groupBy("g", "p", "q").applyInPandas(run, f"a {kind}, b {kind}, similarity double, r double")
     w = Window.partitionBy("a").orderBy(F.desc("r"), F.asc("b"))
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("r")
 
