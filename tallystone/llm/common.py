@@ -72,17 +72,19 @@ def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
 HOT_KEYS, HOT_ROWS = 50_000, 2_000
 
 
-def lookup(left: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", small: int = 0) -> DataFrame:
+def lookup(left: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", small: int = 0, shuffled: bool = False) -> DataFrame:
     """left joined with a stored table of one row a key, in which n is about the number of left's rows of that key.
 
     A table of at most `small` rows is broadcast. Otherwise its hot keys are, a number that HOT_KEYS bounds whatever the
-    size, and the rest is shuffled, so that no task gets all rows of a hot key. n is not in the result.
+    size, and the rest is shuffled, so that no task gets all rows of a hot key. With shuffled that is so for small tables
+    too, so that a plan does not change with the size. n is not in the result.
     """
     if small and table.count() <= small:
         return left.join(F.broadcast(table.drop("n")), keys, how)
     total = table.agg(F.sum("n")).first()[0] or 0
     least = max(HOT_ROWS, total / HOT_KEYS)
     hot, cold = table.where(F.col("n") > least).drop("n"), table.where(F.col("n") <= least).drop("n")
+    cold = cold.hint("merge") if shuffled else cold
     if not hot.limit(1).count():
         return left.join(cold, keys, how)
     out = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)

@@ -25,6 +25,8 @@ LG_K = 10
 #: Shared lines up to this number are looked up from a broadcast table (24 bytes each). Of more, the hot ones are (see
 #: lookup), and the rest by a shuffled join.
 BROADCAST_ROWS = 200_000
+#: Entries of all texts' lists of lines to remove that are broadcast; with more the texts are shuffled to their lists.
+BROADCAST_DROPS = 10_000
 
 
 def trimmed(line: Column) -> Column:
@@ -67,14 +69,15 @@ def _spread(lines: DataFrame, sites: int, lg_k: int) -> DataFrame:
     # A line of one site has spread 1 and needs no sketch: least and greatest site settle that in a plain aggregation.
     ends = lines.groupBy("h", "g").agg(F.min(F.xxhash64("site")).alias("a"), F.max(F.xxhash64("site")).alias("b"), F.count("*").alias("n")).where("a <> b" if sites > 1 else "true")
     spread = materialize(ends.select("h", "g", "n"), "spread")
-    several = _matching(lines, spread)
-    sketched = several.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("s"), F.count("*").alias("n"))
+    # each line and site once, so that a line found everywhere has a row a site; sketches and exact counts both read these
+    several = materialize(_matching(lines, spread).groupBy("h", "g", "site").agg(F.count("*").alias("m")), "pairs")
+    sketched = several.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("s"), F.sum("m").alias("n"))
     sketched = materialize(sketched.select("h", "g", F.hll_sketch_estimate("s").alias("estimate"), "n"), "sketches")
     margin = 6 * 1.04 / math.sqrt(1 << lg_k)  # six standard errors of the estimate, and one site
     low, high = sites * (1 - margin) - 1, sites * (1 + margin) + 1
     sure = sketched.where(F.col("estimate") > high).select("h", "g", "estimate", F.lit(None).cast("long").alias("n_sites"), "n")
     near = sketched.where(F.col("estimate").between(low, high))
-    counted = _matching(lines, near).distinct().groupBy("h", "g").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= sites)
+    counted = _matching(several.select("h", "g"), near).groupBy("h", "g").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= sites)
     exact = near.join(counted, ["h", "g"]).select("h", "g", "estimate", "n_sites", "n")
     return materialize(sure.unionByName(exact), "boilerplate")
 
@@ -94,7 +97,7 @@ def remove_lines(docs: DataFrame, shared: DataFrame, id_col: str = "doc_id", tex
     drops = materialize(hits.groupBy(*key).agg(F.collect_list(F.struct("h", "g")).alias("__drop"), F.max("n").alias("n")), "drops")
     few = drops.agg(F.sum(F.size("__drop"))).first()[0] or 0
     keyed = docs.withColumns(dict(zip(key, [F.xxhash64(col(text_col)), F.hash(col(text_col)), F.length(col(text_col))], strict=True)))
-    joined = lookup(keyed, drops, key, "left", small=BROADCAST_ROWS if few <= BROADCAST_ROWS else 0)
+    joined = lookup(keyed, drops, key, "left", small=BROADCAST_DROPS if few <= BROADCAST_DROPS else 0, shuffled=True)
     lines = _lines(col(text_col))
     kept = F.filter(lines, lambda x: ~F.array_contains("__drop", F.struct(F.xxhash64(trimmed(x)).alias("h"), F.hash(trimmed(x)).alias("g"))))
     text = F.when(F.col("__drop").isNull(), col(text_col)).otherwise(F.array_join(kept, "\n"))

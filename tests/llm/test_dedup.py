@@ -46,6 +46,7 @@ def test_line_dedup_with_hot_lines_and_shuffled_ones(spark, monkeypatch):
     from tallystone.llm import common
 
     monkeypatch.setattr(L, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(L, "BROADCAST_DROPS", 3)
     monkeypatch.setattr(common, "HOT_ROWS", 4)
     rng = random.Random(9)
     rows = [(i, "\n".join(["hot", *(f"line {rng.randint(0, 40)}" for _ in range(6)), f"own {i}"]), f"s{rng.randint(0, 6)}") for i in range(60)]
