@@ -22,6 +22,8 @@ from tallystone.llm.queries import vocabulary
 
 #: A document whose best language has less than this mean probability is of no known language.
 MIN_LANGUAGE = 0.4
+#: Keys of 8 bytes that are broadcast: 16 MB.
+BROADCAST_KEYS = 2_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,13 +70,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(spark, since, found)
     ids = keyed.where("__row is not null").select(F.col("__row").alias("row"), "doc_id").distinct()
     stays = found.join(ids, "row").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias("row"))
-    gone = found.join(stays, "row", "left_anti").select("row")
-    kept = keyed.join(gone, F.col("__row") == F.col("row"), "left_anti")
-    again = found.where("n > 1").select("row")
+    kept = _without(keyed, materialize(found.join(stays, "row", "left_anti").select("row"), "gone"))
+    again = materialize(found.where("n > 1").select("row"), "again")
     if not again.limit(1).count():
         return kept.drop("__row")
     twice = kept.join(again, F.col("__row") == F.col("row"), "left_semi").dropDuplicates(["__row"])
-    return kept.join(again, F.col("__row") == F.col("row"), "left_anti").unionByName(twice).drop("__row")
+    return _without(kept, again).unionByName(twice).drop("__row")
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """keyed without the rows whose key is in a stored table of keys: few keys are broadcast, so that texts stay where they are."""
+    few = rows.count() <= BROADCAST_KEYS
+    return keyed.join(F.broadcast(rows) if few else rows.hint("merge"), F.col("__row") == F.col("row"), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
