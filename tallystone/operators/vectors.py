@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -37,25 +35,6 @@ def outliers(df: DataFrame, id_col: str, vec: str, quantile: float = 0.95) -> Da
     return d.crossJoin(F.broadcast(limit)).select(id_col, "distance", (F.col("distance") > F.col("limit")).alias("outlier"))
 
 
-def kmeans(df: DataFrame, vec: str, ks: Sequence[int], seed: int = 42, sample: int = 5000) -> tuple[DataFrame, dict[int, float]]:
-    """Clusters for the k of the best silhouette (the first among equals), and all silhouettes.
-
-    The silhouette is exact Euclidean over a hash sample of at most `sample` rows, a documented bound as in the model.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
-    best, scores = None, {}
-    for k in ks:
-        out = KMeans(k=k, seed=seed, initSteps=4).fit(rows).transform(rows)
-        picked = out.select(vec, "prediction").orderBy(F.xxhash64(F.col(vec))).limit(sample).collect()
-        scores[k] = silhouette(np.array([r[0] for r in picked], float), np.array([r[1] for r in picked]))
-        if best is None or scores[k] > scores[best[0]]:
-            best = (k, out)
-    return best[1].drop("features"), scores
-
-
 def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     """Mean silhouette with Euclidean distances; rows alone in their cluster count 0; -1 for a single cluster."""
     names = np.unique(label)

@@ -46,12 +46,6 @@ def m14(spark, sf):
     return V.outliers(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", r6("distance", "distance"), "outlier")
 
 
-@query("m04_clusters")
-def m04(spark, sf):
-    out, _ = V.kmeans(table(spark, sf, "embeddings"), "embedding", [4, 8])
-    return out.groupBy("prediction", "label").agg(F.count("*").alias("n"))
-
-
 _SC = "WITH s AS (SELECT doc_id AS page, unnest(['v2_no_gemini','v2_no_claude','v2_no_gpt','v2_full']) AS pipeline, unnest([(doc_id*7919 % 1000)/1000.0,(doc_id*104729 % 1000)/1000.0,(doc_id*1299709 % 1000)/1000.0,(doc_id*15485863 % 1000)/1000.0])::DOUBLE AS score FROM documents), f AS (SELECT page, score AS full_score FROM s WHERE pipeline='v2_full')"
 
 

@@ -121,13 +121,6 @@ def m10(spark, sf):
     return docs(spark, sf).select("doc_id", P.embedding("text").alias("vector"))
 
 
-@query("q29_document_clusters")
-def q29(spark, sf):
-    e = docs(spark, sf).select("doc_id", "lang", P.embedding("text").alias("vector"))
-    out, _ = V.kmeans(e, "vector", [4])
-    return out.groupBy("prediction", "lang").agg(F.count("*").alias("n"))
-
-
 @query("r04_statistics", ENTRIES + "SELECT 'income_share' AS stat, CAST(decade AS VARCHAR) AS stratum, round(coalesce(sum(amount_w) FILTER (direction='income'),0)/sum(amount_w),6) AS x FROM entries WHERE direction IN ('income','expenditure') GROUP BY decade UNION ALL SELECT 'land_rent_share', era, round(coalesce(sum(amount_w) FILTER (category='land_rent'),0)/sum(amount_w),6) FROM entries GROUP BY era UNION ALL SELECT 'english_share', CAST(decade AS VARCHAR), round(coalesce(sum(year_weight) FILTER (language='english'),0)/sum(year_weight),6) FROM entries GROUP BY decade")
 def r04(spark, sf):
     e = entries(spark, sf)
