@@ -16,7 +16,8 @@ that a linked pair shares no band with a probability of 1e-6 at most.
 
 Components are found by label propagation with shortcuts in DataFrames, written to the shared folder each round.
 Buckets, labels, groups and sets of copies that hold many rows are looked up from broadcast tables of a bounded number
-of keys, so that their rows stay where they are; no task gets a whole one. Tables that nothing reads any more are
+of keys, so that their rows stay where they are; no task gets a whole one. The other joins are shuffled at every size,
+so that small inputs take the plan of large ones. Tables that nothing reads any more are
 deleted. Nothing about all documents comes to the driver, and no bucket, group or candidate list is capped.
 
 The steps' words and shingles are 64-bit hashes (see byte_hashes and run_hashes); two of the shingles that a comparison
@@ -137,15 +138,15 @@ def connected(edges: DataFrame, tag: str) -> DataFrame:
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("c"), F.count("*").alias("n")), tag)
     while True:
         before = labels
-        seen = lookup(both, labels.select(F.col("v").alias("b"), "c", "n"), ["b"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        step = materialize(labels.join(seen, "v").select("v", "n", F.col("c").alias("old"), F.least("c", "m").alias("c")), tag)
+        seen = lookup(both, labels.select(F.col("v").alias("b"), "c", "n"), ["b"], shuffled=True).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
+        step = materialize(labels.join(seen.hint("merge"), "v").select("v", "n", F.col("c").alias("old"), F.least("c", "m").alias("c")), tag)
         used = step.groupBy("c").agg(F.count("*").alias("n"))
-        root = materialize(used.join(step.select(F.col("v").alias("c"), F.col("c").alias("r")), "c"), tag)
+        root = materialize(used.join(step.select(F.col("v").alias("c"), F.col("c").alias("r")).hint("merge"), "c"), tag)
         if not step.where("c <> old").limit(1).count():
             out = materialize(step.select("v", "c"), tag)
             release(spark, since, out)
             return out
-        moved = lookup(step.select("v", F.col("n").alias("degree"), "c"), root, ["c"])
+        moved = lookup(step.select("v", F.col("n").alias("degree"), "c"), root, ["c"], shuffled=True)
         labels = materialize(moved.select("v", F.least("c", "r").alias("c"), F.col("degree").alias("n")), tag)
         release(spark, since, both, labels)
 
@@ -211,7 +212,7 @@ def _ties(keyed: DataFrame) -> DataFrame:
     """(a, b): the vertices (v, bands) of each bucket, tied to the bucket's least one."""
     keyed = keyed.select("v", F.explode("bands").alias("k"))
     least = keyed.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count("*").alias("n")).where("a <> z").select("k", "a", "n")
-    return lookup(keyed, materialize(least, "buckets"), ["k"]).where("a <> v").select("a", F.col("v").alias("b"))
+    return lookup(keyed, materialize(least, "buckets"), ["k"], shuffled=True).where("a <> v").select("a", F.col("v").alias("b"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -224,13 +225,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(classes, "classes")
     # The first bands join most of a large group, so that the others tie few vertices: ties stay near the number of classes.
     some = connected(_ties(classes.select(F.col("rep").alias("v"), F.slice("bands", 1, FIRST_BANDS).alias("bands"))), "ties")
-    joined = materialize(classes.join(some, classes.rep == some.v, "left").select("rep", "size", F.coalesce("c", "rep").alias("v"), "bands"), "joined")
+    joined = materialize(classes.join(some.hint("merge"), classes.rep == some.v, "left").select("rep", "size", F.coalesce("c", "rep").alias("v"), "bands"), "joined")
     rest = connected(_ties(joined.select("v", F.slice("bands", FIRST_BANDS + 1, bands).alias("bands"))), "ties")
-    group = joined.select("rep", "size", F.col("v").alias("w")).join(rest, F.col("w") == rest.v, "left").select("rep", "size", F.coalesce("c", "w").alias("c"))
+    group = joined.select("rep", "size", F.col("v").alias("w")).join(rest.hint("merge"), F.col("w") == rest.v, "left").select("rep", "size", F.coalesce("c", "w").alias("c"))
     group = materialize(group, "grouped")
     parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("long").alias("parts")
     dealt = group.groupBy("c").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1").select("c", "n", F.col("n").alias("members"), parts)
-    group = materialize(lookup(group.select("rep", "c"), materialize(dealt, "groups"), ["c"]), "groups")
+    group = materialize(lookup(group.select("rep", "c"), materialize(dealt, "groups"), ["c"], shuffled=True), "groups")
     sets = materialize(_sets(docs, id_col, text_col, words, group), "sets")
     first = sets.select("c", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("p"), "rep", F.lit(0).alias("part"), F.col("rep").alias("label"), "s")
     links = materialize(_compare(first, ["c", "p"], num, den), "links")
@@ -238,11 +239,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if large.limit(1).count():
         links = _finish(large, links, num, den)
     label = connected(links, "linked")
-    found = classes.join(label, classes.rep == label.v, "left").select("s1", "s2", F.coalesce("c", "rep").alias("component_id"), "n")
+    found = classes.join(label.hint("merge"), classes.rep == label.v, "left").select("s1", "s2", F.coalesce("c", "rep").alias("component_id"), "n")
     found = materialize(found, "found")
     release(spark, since, sig, found)
     own = F.coalesce("component_id", "doc_id")
-    out = lookup(sig.select("doc_id", "n_shingles", "s1", "s2"), found, ["s1", "s2"], "left")
+    out = lookup(sig.select("doc_id", "n_shingles", "s1", "s2"), found, ["s1", "s2"], "left", shuffled=True)
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
