@@ -94,25 +94,45 @@ class BloomCascade:
     """
 
     def __init__(self, listed: DataFrame, universe: DataFrame, asked: int | None = None):
-        listed = materialize(listed.select("key").where("key is not null").distinct(), "listed")
-        self.size = listed.count()
+        self._first(listed, universe.count() if asked is None else asked)
+        BloomCascade._others([self], universe)
+
+    @classmethod
+    def together(cls, lists: dict[str, DataFrame], universe: DataFrame, asked: int) -> dict[str, BloomCascade]:
+        """A cascade for each list, from one pass over the universe."""
+        found = {}
+        for name, listed in lists.items():
+            found[name] = cls.__new__(cls)
+            found[name]._first(listed, asked)
+        cls._others(list(found.values()), universe)
+        return found
+
+    def _first(self, listed: DataFrame, asked: int) -> None:
+        self.listed = materialize(listed.select("key").where("key is not null").distinct(), "listed")
+        self.size = self.listed.count()
         if self.size > LIST_BOUND:
             raise ValueError(f"a list of {self.size} keys is over the bound of {LIST_BOUND}")
-        self.levels: list[Level] = []
-        if not self.size:
+        rate = min(FIRST_RATE, max(self.size, LEAST_PASSING) / max(asked, 1))
+        self.levels = [Level(self.listed, self.size, rate, 1)] if self.size else []
+
+    @staticmethod
+    def _others(cascades: list[BloomCascade], universe: DataFrame) -> None:
+        cascades = [c for c in cascades if c.size]
+        if not cascades:
             return
-        asked = universe.count() if asked is None else asked
-        self.levels.append(Level(listed, self.size, min(FIRST_RATE, max(self.size, LEAST_PASSING) / max(asked, 1)), 1))
-        # Keys that level 1 lets through, listed or not: one aggregation tells them apart, without a join.
-        passing = universe.select("key").where(self.levels[0].contains(F.col("key"))).select("key", F.lit(0).alias("l"))
-        both = passing.unionByName(listed.select("key", F.lit(1).alias("l"))).groupBy("key").agg(F.max("l").alias("l"))
-        both = materialize(both, "cascade")
-        wrong = both.where("l = 0").select("key")
-        encoded, others = wrong, listed  # what the next level holds, and what it must not let through
-        while (n := encoded.count()) > 0:
-            level = Level(encoded, n, 0.5 if len(self.levels) > 1 else 0.05, len(self.levels) + 1)
-            self.levels.append(level)
-            encoded, others = materialize(others.where(level.contains(F.col("key"))), "cascade"), encoded
+        # Keys that a level 1 lets through, listed or not: one aggregation tells them apart, without a join.
+        n = range(len(cascades))
+        tagged = universe.select("key", *[c.levels[0].contains(F.col("key")).alias(f"p{i}") for i, c in enumerate(cascades)])
+        tagged = tagged.where(" or ".join(f"p{i}" for i in n)).select("key", *[f"p{i}" for i in n], *[F.lit(False).alias(f"l{i}") for i in n])
+        for i, c in enumerate(cascades):
+            tagged = tagged.unionByName(c.listed.select("key", *[F.lit(False).alias(f"p{k}") for k in n], *[F.lit(k == i).alias(f"l{k}") for k in n]))
+        tagged = materialize(tagged.groupBy("key").agg(*[F.max(f"{x}{i}").alias(f"{x}{i}") for x in "pl" for i in n]), "cascade")
+        for i, c in enumerate(cascades):
+            encoded, others = tagged.where(f"p{i} and not l{i}").select("key"), c.listed  # what the next level holds, and what it must not let through
+            while (size := encoded.count()) > 0:
+                level = Level(encoded, size, 0.5 if len(c.levels) > 1 else 0.05, len(c.levels) + 1)
+                c.levels.append(level)
+                encoded, others = materialize(others.where(level.contains(F.col("key"))), "cascade"), encoded
 
     def contains(self, key: Column) -> Column:
         """True for the listed keys among those of the universe."""
@@ -140,9 +160,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     universe = rows.select(F.explode(F.array_compact(F.array(*names))).alias("key"))
     asked = pages.count() * len(keys)
     found = []
-    for verdict in sorted({v for v, _, _ in rules}):
-        listed = spark.range(1).select(F.explode(F.array(*[F.lit(f"{h} {p}") for v, h, p in rules if v == verdict])).alias("key"))
-        cascade = BloomCascade(listed, universe, asked)
+    lists = {v: spark.range(1).select(F.explode(F.array(*[F.lit(f"{h} {p}") for w, h, p in rules if w == v])).alias("key")) for v in sorted({v for v, _, _ in rules})}
+    for verdict, cascade in BloomCascade.together(lists, universe, asked).items():
         for n in names:
             key = F.struct(F.length(n).alias("n"), F.replace(F.col(n), F.lit(" "), F.lit("")).alias("rule"), F.lit(verdict).alias("verdict"))
             found.append(F.when(F.col(n).isNotNull() & cascade.contains(F.col(n)), key))
