@@ -1,7 +1,8 @@
 """Scoring extracted pages against expected ones: counts, headers, amounts and fractions.
 
-Count scores are plain aggregations. Matching is greedy and depends on the order of rows, so it runs page by page in
-Arrow batches of many pages. Rows of a page are in the order of their indices, then types, texts, amounts and fractions.
+Count scores are plain aggregations. Matching is greedy and depends on the order of rows, so the picks are made page by
+page in Arrow batches of many pages; the distances of all descriptions of a page, which the picks compare, are computed
+in the JVM before. Rows of a page are in the order of their indices, then types, texts, amounts and fractions.
 """
 
 from __future__ import annotations
@@ -41,11 +42,21 @@ def lev_ratio(a: str, b: str) -> float:
     return 1 - 2 * levenshtein(a, b) / n if n else 1.0
 
 
-def match_headers(pred: list[str], gt: list[str], least: float = 0.8) -> float:
-    """The share of expected headers that find a header of their own, each taking the best that is left."""
-    left, hits = list(pred), 0
-    for g in gt:
-        scored = [(lev_ratio(g, p), -i) for i, p in enumerate(left)]
+def alike(g: dict, p: dict) -> float:
+    """The similarity of an expected and an extracted row's descriptions, from the known distance if there is one."""
+    a, b = g["description"], p["description"]
+    if "distances" not in g:
+        return lev_ratio(a, b)
+    n = len(a) + len(b)
+    return 1 - 2 * g["distances"][p["at"]] / n if n else 1.0
+
+
+def match_headers(pred: list[dict | str], gt: list[dict | str], least: float = 0.8) -> float:
+    """The share of expected headers (rows or texts) that find a header of their own, each taking the best that is left."""
+    rows = lambda x: [r if isinstance(r, dict) else {"description": r} for r in x]
+    left, hits = rows(pred), 0
+    for g in rows(gt):
+        scored = [(alike(g, p), -i) for i, p in enumerate(left)]
         if scored and max(scored)[0] >= least:
             left.pop(-max(scored)[1])
             hits += 1
@@ -70,7 +81,7 @@ def match_amounts(pred: list[dict], gt: list[dict]) -> tuple[float, float, list[
             continue
         same = [i for i in left if pred[i]["amount"] == g["amount"]]
         if same:
-            best = max(same, key=lambda i: (pred[i]["row_type"] == g["row_type"], lev_ratio(g["description"], pred[i]["description"]), -i))
+            best = max(same, key=lambda i: (pred[i]["row_type"] == g["row_type"], alike(g, pred[i]), -i))
             left.remove(best)
             credit.append(1.0 if pred[best]["row_type"] == g["row_type"] else 0.5)
             similar.append(1.0)
@@ -102,18 +113,24 @@ ROW = "row_index int, row_type string, description string, amount long, fraction
 def _by_page(pred: DataFrame, gt: DataFrame, out: str, score: Callable[[int, list[dict], list[dict]], list[tuple]]) -> DataFrame:
     """Both sides' rows of a page in one row (a page is bounded), scored many pages a batch."""
     names = [x.split()[0] for x in ROW.split(", ")]
-    side = lambda df, p: df.select("page", F.lit(p).alias("p"), *[F.col(n) for n in names])
-    row = F.struct("p", *names)
-    pages = side(pred, 1).unionByName(side(gt, 0)).groupBy("page").agg(F.collect_list(row).alias("rows"))
+    most = {"int": (1 << 31) - 1, "long": (1 << 63) - 1, "double": float("inf"), "string": ""}
+    order = [F.coalesce(F.col(n), F.lit(most[k]).cast(k)).alias(f"o_{n}") for n, k in (x.split() for x in ROW.split(", "))]  # missing numbers come last
+    side = lambda df, p: df.select("page", F.lit(p).alias("p"), *[F.coalesce(n, F.lit("")).alias(n) if n == "description" else F.col(n) for n in names])
+    row = F.struct(*order, "p", *names)
+    both = side(pred, 1).unionByName(side(gt, 0)).groupBy("page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    plain = lambda p: F.transform(F.filter("rows", lambda r: r["p"] == p), lambda r: F.struct(*[r[n].alias(n) for n in names]))
+    pages = both.select("page", plain(1).alias("pred"), plain(0).alias("gt"))
+    pages = pages.withColumn("distances", F.transform("gt", lambda g: F.transform("pred", lambda p: F.levenshtein(g["description"], p["description"]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for page, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for r in rows:
-                    r["description"] = r["description"] or ""
-                rows.sort(key=lambda r: [(r[c] is None, r[c] or 0) for c in ("row_index",)] + [r["row_type"] or "", r["description"], *((r[c] is None, r[c] or 0) for c in ("amount", "fraction"))])
-                found += score(page, [r for r in rows if r["p"]], [r for r in rows if not r["p"]])
+            for page, p, g, distances in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, r in enumerate(p):
+                    r["at"] = i
+                for r, d in zip(g, distances, strict=True):
+                    r["distances"] = d
+                found += score(page, p, g)
             schema = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]]) for x in out.split(", ")])
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t.type) for i, t in enumerate(schema)], schema=schema)
 
@@ -127,7 +144,7 @@ def _ratio(a: int, b: int) -> float:
 
 def _score(page: int, p: list[dict], g: list[dict]) -> list[tuple]:
     count = lambda x, t: sum(r["row_type"] == t for r in x)
-    heads = [[r["description"] for r in x if r["row_type"] == "header"] for x in (p, g)]
+    heads = [[r for r in x if r["row_type"] == "header"] for x in (p, g)]
     axis1 = round((round(_ratio(len(p), len(g)), 4) + round(sum(_ratio(count(p, t), count(g, t)) for t in TYPES) / 3, 4) + round(match_headers(*heads), 4)) / 3, 4)
     money = [[r for r in x if r["row_type"] != "header"] for x in (p, g)]
     match, similar, _ = match_amounts(*money)
@@ -144,7 +161,7 @@ def page_scores(pred: DataFrame, gt: DataFrame) -> DataFrame:
 def _unmatched(page: int, p: list[dict], g: list[dict]) -> list[tuple]:
     g = [r for r in g if r["amount"] is not None]
     taken = match_amounts(p, g)[2]
-    return [(page, r["row_index"], r["description"], max((x["description"] for x in p), key=lambda d, r=r: lev_ratio(r["description"], d), default=None)) for r, t in zip(g, taken, strict=True) if t is None]
+    return [(page, r["row_index"], r["description"], max(p, key=lambda x, r=r: alike(r, x), default={"description": None})["description"]) for r, t in zip(g, taken, strict=True) if t is None]
 
 
 def feedback(pred: DataFrame, gt: DataFrame) -> DataFrame:
