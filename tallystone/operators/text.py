@@ -134,7 +134,8 @@ def contrast(df: DataFrame, doc: str, side: str, sides: tuple[str, str], scope:
     scopes = n.where(f"n >= {least_rows} and x > 0 and y > 0 and scope is not null").select(F.col("scope").cast("string").alias("scope"))
     every = n.agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where("x > 0 and y > 0").select(F.lit("overall").alias("scope"))
     counts = used.select(F.col("scope").cast("string").alias("scope"), "term", "a", "b").unionByName(used.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(F.lit("overall").alias("scope"), "term", "a", "b"))
-    grid = scopes.unionByName(every).crossJoin(F.broadcast(v))  # a few scopes times the vocabulary
+    names = scopes.unionByName(every).agg(F.collect_set("scope").alias("names"))  # one row
+    grid = v.crossJoin(F.broadcast(names)).select("term", F.explode("names").alias("scope"))
     full = grid.join(counts, ["scope", "term"], "left").fillna(0, ["a", "b"])
     w = Window.partitionBy("scope")  # a scope has the vocabulary's terms
     share = lambda k: (F.col(k) + smooth) / (F.sum(k).over(w) + smooth * F.count("*").over(w))

@@ -109,7 +109,8 @@ def t12(spark, sf):
     c = stored(d.select("decade", F.explode(F.array_distinct(T.tokens("text", 5, STOPS))).alias("term")).groupBy("decade", "term").agg(F.count("*").alias("k")), "words")
     v = c.groupBy("term").agg(F.sum("k").alias("s")).orderBy(F.desc("s"), "term").limit(40).select("term")
     n = d.groupBy("decade").agg(F.count("*").alias("n"))
-    grid = n.crossJoin(F.broadcast(v)).join(c, ["decade", "term"], "left")  # forty terms a decade
+    terms = v.agg(F.collect_list("term").alias("terms"))  # one row of forty terms
+    grid = n.crossJoin(F.broadcast(terms)).select("decade", "n", F.explode("terms").alias("term")).join(c, ["decade", "term"], "left")
     return grid.select("decade", "term", r6(F.coalesce("k", F.lit(0)) * 1000.0 / F.col("n"), "rate"))
 
 
