@@ -111,18 +111,19 @@ _SLOT_BITS = 18
 
 def frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Places of frequent pairs, the number of the pair at each, the pairs' keys, how often each can be replaced if no
-    other is, and the count from which on pairs are frequent: a quarter of the greatest, least at least. No pair if none is.
+    other is, and the count from which on pairs are frequent: a sixteenth of the greatest or so, least at least. No pair if none is.
 
     Pairs are counted in hashed slots first; only those in a slot with enough are counted one by one.
     """
     key = _pairs(seq)
-    slot = (key * key.dtype.type(0x9E3779B97F4A7C15 & (0xFFFFFFFF if key.itemsize == 4 else (1 << 64) - 1))) >> key.dtype.type(8 * key.itemsize - _SLOT_BITS)
+    wide, half = key.dtype.type, key.dtype.type(4 * key.itemsize)
+    slot = ((key * wide(0x9E3779B97F4A7C15 & (0xFFFFFFFF if key.itemsize == 4 else (1 << 64) - 1))) >> wide(8 * key.itemsize - _SLOT_BITS)).astype(np.intp)
     held = np.bincount(slot, minlength=1 << _SLOT_BITS)
-    enough = max(least, int(held.max()) // 4)
+    enough = max(least, int(held.max()) // 16)
     while True:
         at = np.flatnonzero((held >= enough)[slot])
         k = key[at]
-        twins = seq[at] == seq[at + 1]
+        twins = k >> half == k & ((wide(1) << half) - wide(1))
         counted = k[~twins]
         if twins.any():  # "a a a" holds the pair "a a" once
             counted = np.concatenate([counted, key[_alternate(at[twins])]])
@@ -133,7 +134,7 @@ def frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nd
         if top >= least or enough == least:
             break
         enough = least
-    enough = max(least, min(enough, top // 2))
+    enough = max(least, min(enough, top // 4))
     pairs, count = pairs[count >= enough], count[count >= enough]
     if not len(pairs):
         return at[:0], at[:0], pairs, count, enough
@@ -145,7 +146,7 @@ def frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def repair(ids: np.ndarray, vocab: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths): rule k stands for symbol vocab + k, a pair that expands to lengths[k] ids.
 
-    A round replaces all pairs that are at least a quarter as frequent as the most frequent one; where their occurrences
+    A round replaces all pairs that are at least a sixteenth as frequent as the most frequent one; where their occurrences
     overlap every other one is replaced, from the left, and a pair that loses most of its own so waits for a later
     round. Rounds go on until no pair occurs least times.
     """
@@ -250,6 +251,9 @@ def encoder(tokenizer_json: str):
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # a character of a byte-level token's name is a byte
+    sizes[list(vocab.values())] = list(map(len, vocab))
     cache = WordCache()
 
     def plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,18 +271,20 @@ def encoder(tokenizer_json: str):
             if len(many) < JOINED:
                 return singly(a, b)
             size = b[many] - a[many]
-            text, ends = ragged(points, a[many], size).tobytes().decode("utf-32-le"), np.concatenate([[0], np.cumsum(size)])
-            first = list(range(0, len(many), JOINED))
-            cuts = ends[[*first, len(many)]].tolist()
-            found = tokenizer.encode_batch([text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)
-            word = [e.word_ids for e in found]
-            if any(w[-1] + 1 != n for w, n in zip(word, np.diff([*first, len(many)]).tolist(), strict=True)):
+            chosen, ends = ragged(points, a[many], size), np.concatenate([[0], np.cumsum(size)])
+            cuts = ends[[*range(0, len(many), JOINED), len(many)]].tolist()
+            text = chosen.tobytes().decode("utf-32-le")
+            ids, _ = _flat(tokenizer.encode_batch_fast([text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False))
+            # where the pre-tokens' bytes end, tokens end
+            width = np.cumsum(1 + (chosen >= 0x80) + (chosen >= 0x800).astype(np.int64) + (chosen >= 0x10000))
+            token_ends, word_ends = np.cumsum(sizes[ids]), width[ends[1:] - 1]
+            last = np.minimum(np.searchsorted(token_ends, word_ends), len(token_ends) - 1)
+            if (token_ends[last] != word_ends).any():
                 return singly(a, b)
-            ids, n = _flat(found)
-            of = np.fromiter(chain.from_iterable(word), np.int64, len(ids)) + np.repeat(first, n)
+            found = np.diff(last, prepend=-1)
             more, k = singly(a[one], b[one])
             counts = np.zeros(len(a), np.int64)
-            counts[many], counts[one] = np.bincount(of, minlength=len(many)), k
+            counts[many], counts[one] = found, k
             out, at = np.empty(len(ids) + len(more), np.int32), np.cumsum(counts) - counts
             for which, flat in ((many, ids), (one, more)):
                 own = counts[which]
@@ -301,7 +307,7 @@ def encoder(tokenizer_json: str):
         n[odd] = counts
         return ids, n
 
-    return encode, max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+    return encode, len(sizes)
 
 
 def _flat(found: list) -> tuple[np.ndarray, np.ndarray]:

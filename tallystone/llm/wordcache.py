@@ -67,8 +67,8 @@ class WordCache:
 
     def _clear(self) -> None:
         self.table = np.zeros(1 << TABLE_BITS, np.int32)  # slot + 1, or 0
-        self.keys, self.checks = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
-        self.starts, self.lengths, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.rows = np.zeros((1 << 16, 4), np.uint64)  # by slot: both hashes, where its ids start, how many there are
+        self.n = 0
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
 
     def lookup(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Encode) -> tuple[np.ndarray, np.ndarray]:
@@ -78,37 +78,46 @@ class WordCache:
         key, check = word_keys(points, starts, ends)
         if self.n > WORDS:
             self._clear()
-        slot = np.full(len(key), -1, np.int64)
-        place, live = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.arange(len(key))
-        for _ in range(PROBES):
-            found = self.table[place] - 1
-            known = (found >= 0) & (self.keys[found] == key[live]) & (self.checks[found] == check[live])
-            slot[live[known]] = found[known]
-            live, place = live[go := (found >= 0) & ~known], (place[go] + 1) & ((1 << TABLE_BITS) - 1)
+        # one row a word is read: most words are in their first place
+        place = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        found = self.table[place]
+        rows = self.rows[np.maximum(found, 1) - 1]
+        known = (rows[:, 0] == key) & (rows[:, 1] == check) & (found > 0)
+        live = np.flatnonzero(~known)
+        miss = live[found[live] == 0]
+        live = live[found[live] > 0]
+        for probe in range(1, PROBES + 1):
             if not len(live):
                 break
-        miss = np.flatnonzero(slot < 0)
+            if probe == PROBES:
+                miss = np.concatenate([miss, live])
+                break
+            found = self.table[(place[live] + probe) & ((1 << TABLE_BITS) - 1)]
+            miss, live, found = np.concatenate([miss, live[found == 0]]), live[found > 0], found[found > 0]
+            more = self.rows[found - 1]
+            same = (more[:, 0] == key[live]) & (more[:, 1] == check[live])
+            rows[live[same]] = more[same]
+            live = live[~same]
         if len(miss):
             order = miss[np.lexsort((check[miss], key[miss]))]
             new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])])
             first = order[new]
-            slot[order] = self._add(key[first], check[first], *encode(starts[first], ends[first]))[np.cumsum(new) - 1]
-        lengths = self.lengths[slot].astype(np.int64)
-        return ragged(self.ids, self.starts[slot], lengths), lengths
+            rows[order] = self._add(key[first], check[first], *encode(starts[first], ends[first]))[np.cumsum(new) - 1]
+        lengths = rows[:, 3].astype(np.int64)
+        return ragged(self.ids, rows[:, 2].astype(np.int64), lengths), lengths
 
     def _add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The new words' rows."""
         n, used = self.n + len(counts), self.used + len(ids)
-        if n > len(self.starts):
-            self.starts, self.lengths, self.keys, self.checks = (np.resize(x, 2 * n) for x in (self.starts, self.lengths, self.keys, self.checks))
+        if n > len(self.rows):
+            self.rows = np.concatenate([self.rows[: self.n], np.zeros((2 * n - self.n, 4), np.uint64)])
         if used > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * used)
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * used - self.used, np.int32)])
         self.ids[self.used : used] = ids
-        self.lengths[self.n : n] = counts
-        self.keys[self.n : n], self.checks[self.n : n] = keys, checks
-        self.starts[self.n : n] = self.used + np.cumsum(counts) - counts
-        out = np.arange(self.n, n)
+        out = self.rows[self.n : n]
+        out[:, 0], out[:, 1], out[:, 2], out[:, 3] = keys, checks, self.used + np.cumsum(counts) - counts, counts
+        place, left = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.arange(self.n, n)
         self.n, self.used = n, used
-        place, left = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64), out
         for _ in range(PROBES):
             free = self.table[place] == 0
             self.table[place[free]] = left[free] + 1
