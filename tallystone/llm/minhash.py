@@ -51,6 +51,8 @@ FIRST_BANDS = 6
 PART = 400
 #: Shingles of a group that one task holds.
 PART_SHINGLES = 12_000_000
+#: Classes in groups that are broadcast to their texts: 32 bytes each.
+BROADCAST_CLASSES = 500_000
 #: All bytes but blanks (0x20 and 0x09 to 0x0D) make words.
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -265,7 +267,9 @@ def _finish(large: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, group: DataFrame) -> DataFrame:
     """(c, members, parts, rep, s): the full sets of the classes in candidate groups."""
-    rows = docs.select(col(id_col).cast("long").alias("rep"), col(text_col).alias("text")).join(group, "rep")
+    rows = docs.select(col(id_col).cast("long").alias("rep"), col(text_col).alias("text"))
+    few = group.count() <= BROADCAST_CLASSES  # else the texts are shuffled to their groups
+    rows = rows.join(F.broadcast(group) if few else group.hint("merge"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
