@@ -50,7 +50,7 @@ FIRST_BANDS = 6
 #: Classes of a group that one task compares with one another.
 PART = 400
 #: Shingles of a group that one task holds.
-PART_SHINGLES = 12_000_000
+PART_SHINGLES = 4_000_000
 #: Classes in groups that are broadcast to their texts: 32 bytes each.
 BROADCAST_CLASSES = 500_000
 #: All bytes but blanks (0x20 and 0x09 to 0x0D) make words.
@@ -154,16 +154,21 @@ def connected(edges: DataFrame, tag: str) -> DataFrame:
 
 
 def _bits(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows of bits over the shingles that at least two of the sets hold."""
+    """Rows of bits over the shingles that at least two of the sets hold; large inputs go by ranges of hashes."""
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count[number] > 1
-    renumber = np.cumsum(count > 1) - 1
-    c, r = renumber[number[keep]], owner[keep]
-    bits = np.zeros((len(sets), (int((count > 1).sum()) + 63) // 64 + 1), np.uint64)
-    np.bitwise_or.at(bits.reshape(-1), r * bits.shape[1] + c // 64, np.uint64(1) << (c % 64).astype(np.uint64))
-    return bits
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    parts = min(64, 1 << max(0, len(flat) >> 19).bit_length())
+    out = []
+    for k in range(parts):
+        inside = slice(None) if parts == 1 else np.flatnonzero(flat >> np.uint64(58) & np.uint64(parts - 1) == k)
+        _, number, count = np.unique(flat[inside], return_inverse=True, return_counts=True)
+        keep = count[number] > 1
+        renumber = np.cumsum(count > 1) - 1
+        c, r = renumber[number[keep]], owner[inside][keep]
+        bits = np.zeros((len(sets), (int((count > 1).sum()) + 63) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits.reshape(-1), r.astype(np.int64) * bits.shape[1] + c // 64, np.uint64(1) << (c % 64).astype(np.uint64))
+        out.append(bits)
+    return out[0] if parts == 1 else np.hstack(out)
 
 
 def forest(ids: list[int], sets: list[np.ndarray], parts: list[int], num: int, den: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
