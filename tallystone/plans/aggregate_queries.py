@@ -105,11 +105,6 @@ def _last_orders(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").orderBy(F.asc_nulls_last("o_orderkey"), "c_custkey")
 
 
-@query("o05_nulls_last", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, max(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey=o_custkey AND o_orderstatus='P' AND o_totalprice>300000 GROUP BY 1) ORDER BY o_orderkey NULLS LAST, c_custkey LIMIT 500")
-def o05(spark, sf):
-    return _last_orders(spark, sf).limit(500)
-
-
 @query("o05_nulls_last_whole", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, max(o_orderkey) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey=o_custkey AND o_orderstatus='P' AND o_totalprice>300000 GROUP BY 1) ORDER BY o_orderkey NULLS LAST, c_custkey")
 def o05_whole(spark, sf):
     return _last_orders(spark, sf)

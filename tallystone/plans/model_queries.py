@@ -13,12 +13,6 @@ from .bindings import ENTRIES, entries, rows, table
 from .registry import query, r6
 
 
-@query("j14_nearest", "WITH p AS (SELECT a.label AS label, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(generate_series(1,64), lambda i: a.embedding[i]::DOUBLE*b.embedding[i]::DOUBLE)) AS s FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s,9) DESC, b) AS rank FROM p) SELECT a, b, rank, round(s,6) AS similarity FROM r WHERE rank <= 5")
-def j14(spark, sf):
-    n = G.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 5, within="label")
-    return n.select("a", "b", "rank", r6("similarity", "similarity"))
-
-
 @query("j14_nearest_of_all", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(generate_series(1,64), lambda i: a.embedding[i]::DOUBLE*b.embedding[i]::DOUBLE)) AS s FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s,9) DESC, b) AS rank FROM p) SELECT a, b, rank, round(s,6) AS similarity FROM r WHERE rank <= 5")
 def j14_all(spark, sf):
     n = G.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 5)

@@ -217,12 +217,6 @@ def g04(spark, sf):
     return A.shares(r, [], weight="a").select("i", r6("r", "r"), r6("weight", "weight"))  # one row a dimension
 
 
-@query("g05_euclidean_neighbours", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(generate_series(1,64), lambda i: pow(a.embedding[i]::DOUBLE-b.embedding[i]::DOUBLE,2)))) AS d FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(-d,9) DESC, b) AS rank FROM p) SELECT a, b, rank, round(d,6) AS distance FROM r WHERE rank <= 3")
-def g05(spark, sf):
-    n = G.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 3, euclidean=True, within="label")
-    return n.select("a", "b", "rank", r6(-F.col("similarity"), "distance"))
-
-
 @query("g05_euclidean_of_all", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(generate_series(1,64), lambda i: pow(a.embedding[i]::DOUBLE-b.embedding[i]::DOUBLE,2)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(-d,9) DESC, b) AS rank FROM p) SELECT a, b, rank, round(d,6) AS distance FROM r WHERE rank <= 3")
 def g05_all(spark, sf):
     n = G.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 3, euclidean=True)

@@ -58,3 +58,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_opens_no_file_of_spark(tmp_path):
+    """The entry file imports where Spark's jars lie elsewhere: a `pyspark` that says that it lives in an empty folder."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import pyspark; pyspark.__file__ = sys.argv[1] + '/__init__.py'; import __spark_entry__ as e; assert len(e.oracle_sql()) > 150"
+    root = str(Path(__file__).resolve().parent.parent)
+    subprocess.run([sys.executable, "-c", "import sys; sys.path.insert(0, sys.argv[2]); " + code, str(tmp_path), root], check=True, timeout=120)
