@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, media, minhash, pieces, pii, repair, toxicity, url_filter
+from . import bytepairs, codes, collocations, decontaminate, langid, line_dedup, media, minhash, pieces, pii, repair, toxicity, url_filter
 from .common import table
 
 
@@ -53,9 +53,27 @@ def op10_minhash(spark, sf_dir):
     return minhash.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return codes.op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark, sf_dir):
+    return bytepairs.op13(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_url_filter, op3_media, op4_pii, op5_toxicity, op6_langid, op7_line_dedup, op8_decontamination, op9_repair_tokens, op10_minhash)
+    for f in (
+        op1_sentencepiece, op2_url_filter, op3_media, op4_pii, op5_toxicity, op6_langid, op7_line_dedup, op8_decontamination, op9_repair_tokens, op10_minhash,
+        op11_collocations, op12_vector_codes, op13_byte_bpe,
+    )
 }
 
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_minhash": minhash.ORACLE}
+ORACLES = {
+    "op2_url_filter": url_filter.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_minhash": minhash.ORACLE,
+    "op11_collocations": collocations.ORACLE, "op12_vector_codes": codes.ORACLE,
+}
