@@ -230,7 +230,7 @@ def _counted(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndar
     return [p.encode("latin-1") for p in phrases], words[one], np.bincount(found, minlength=len(phrases))
 
 
-def _matches(made: DataFrame, replies: DataFrame, bits: int, longest: int, size: int = CHUNK) -> DataFrame:
+def _matches(made: DataFrame, replies: DataFrame, longest: int, size: int) -> DataFrame:
     """(lang, phrase, words, n): counts in parts of shards of the runs whose slots reach the threshold."""
     none = F.lit(None)
     rows = made.select("shard", F.lit(-1).cast("long").alias("block"), F.col("n_bytes").alias("n"), "text", "lang").unionByName(
@@ -274,14 +274,14 @@ def _matches(made: DataFrame, replies: DataFrame, bits: int, longest: int, size:
     return rows.groupBy("shard").applyInArrow(run, "lang string, phrase binary, words long, n long")
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = LONGEST, shard: int = SHARD, chunk: int = CHUNK, entries: int = BLOCK_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """Stored tables: (lang, phrase, words, a) of all runs of at most `longest` words that occur at least `least` times, and (lang, n), all words."""
     spark, since = docs.sparkSession, mark()
-    made = shards(docs, text_col, lang_col)
+    made = shards(docs, text_col, lang_col, shard)
     totals = materialize(made.groupBy("lang").agg(F.sum("n_words").alias("n")), "words")
     words = totals.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, longest * words / BLOCK_ENTRIES))))
-    found = _matches(made, _replies(sketches(made, bits, least, longest), least), bits, longest)
+    bits = max(0, math.ceil(math.log2(max(1, longest * words / entries))))
+    found = _matches(made, _replies(sketches(made, bits, least, longest), least), longest, chunk)
     found = found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("a")).where(F.col("a") >= least)
     found = materialize(found.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     release(spark, since, found, totals)
@@ -292,12 +292,13 @@ def _exact(x: Column) -> Column:
     return x.cast("decimal(19,0)")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int | None = 2000) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int | None = 2000, **sizes: int) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases that no longer one stands for; all of them without top.
 
-    score is floor(2000000 a / (l + r)) of the cut, into parts that occur l and r times, for which it is least.
+    score is floor(2000000 a / (l + r)) of the cut, into parts that occur l and r times, for which it is least. sizes are
+    those of phrase_counts.
     """
-    found, totals = phrase_counts(docs, text_col, lang_col, least)
+    found, totals = phrase_counts(docs, text_col, lang_col, least, **sizes)
     longer = found.where("words > 1")
     cut = longer.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), (F.col("words") - 1).cast("int"))).alias("k"))
     cut = cut.withColumn("first", F.expr("substring_index(phrase, ' ', k)")).withColumn("rest", F.expr("substring(phrase, char_length(first) + 2)"))
