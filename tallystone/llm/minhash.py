@@ -20,8 +20,9 @@ of keys, so that their rows stay where they are; no task gets a whole one. The o
 so that small inputs take the plan of large ones. Tables that nothing reads any more are
 deleted. Nothing about all documents comes to the driver, and no bucket, group or candidate list is capped.
 
-The steps' words and shingles are 64-bit hashes (see byte_hashes and run_hashes); two of the shingles that a comparison
-meets are taken for one with a probability of 2**-64 a pair, and two sets for equal ones with 2**-128.
+The steps' words and shingles are 64-bit hashes (see secret_hashes and run_hashes) whose seeds each use draws anew, so
+that no text can be made to collide; two of the shingles that a comparison meets are taken for one with a probability of
+2**-64 a pair, and two sets for equal ones with 2**-128.
 A miss has a probability of 1e-6 for a pair of large sets at the similarity asked for; of small sets, whose least and
 greatest values are not independent, one of up to 1.2e-6. A higher similarity has a far smaller one.
 
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_hashes, chunks, col, lookup, mark, materialize, mix, release, run_hashes, small_batches, spans, utf8
+from .common import LOWER, chunks, col, drawn, lookup, mark, materialize, mix, release, run_hashes, secret_hashes, small_batches, spans, utf8
 
 #: Values in a band, and the greatest probability that a linked pair shares none.
 ROWS, MISS = 6, 1e-6
@@ -62,11 +63,17 @@ def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; np.unique's table of hashes is several times slower on these."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def shingles(buf: np.ndarray, offsets: np.ndarray, words: int, seeds: tuple[int, int]) -> list[np.ndarray]:
     """Each row's sorted distinct shingle hashes."""
     buf = LOWER[buf]
     starts, ends, row = spans(buf, offsets, WORD)
-    h = byte_hashes(buf, starts, ends)
+    h = secret_hashes(buf, starts, ends, seeds)
     n = np.bincount(row, minlength=len(offsets) - 1)
     last = np.cumsum(n)
     if len(h):
@@ -81,7 +88,7 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarra
     out = []
     for i in range(len(n)):
         if k[i]:
-            out.append(np.unique(full[ends_of[i] - k[i] : ends_of[i]]))
+            out.append(_distinct(full[ends_of[i] - k[i] : ends_of[i]]))
         elif n[i]:
             out.append(run_hashes(h, last[i : i + 1] - n[i], int(n[i])))
         else:
@@ -102,7 +109,7 @@ def min_max(sets: list[np.ndarray], permutations: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, seeds: tuple[int, int], rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, bands): a 128-bit digest of the set, and a 64-bit key for each band."""
     small_batches(docs.sparkSession)
     permutations = -(-bands * rows // 2)
@@ -112,7 +119,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
         for batch in batches:
             buf, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets):
-                sets = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                sets = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, seeds)
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
                 digest, keys = np.zeros((2, j - i), np.uint64), np.zeros((j - i, bands), np.uint64)
@@ -225,8 +232,8 @@ def _ties(keyed: DataFrame) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; linked means den * intersection >= num * union."""
     spark, since = docs.sparkSession, mark()
-    bands = bands_for(num / den)
-    sig = materialize(signatures(docs, id_col, text_col, words, bands), "signatures")
+    bands, seeds = bands_for(num / den), drawn()
+    sig = materialize(signatures(docs, id_col, text_col, words, bands, seeds), "signatures")
     usable = sig.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("size"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
@@ -239,7 +246,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("long").alias("parts")
     dealt = group.groupBy("c").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1").select("c", "n", F.col("n").alias("members"), parts)
     group = materialize(lookup(group.select("rep", "c"), materialize(dealt, "groups"), ["c"], shuffled=True), "groups")
-    sets = materialize(_sets(docs, id_col, text_col, words, group), "sets")
+    sets = materialize(_sets(docs, id_col, text_col, words, group, seeds), "sets")
     first = sets.select("c", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("p"), "rep", F.lit(0).alias("part"), F.col("rep").alias("label"), "s")
     links = materialize(_compare(first, ["c", "p"], num, den), "links")
     large = sets.where("parts > 1")
@@ -270,7 +277,7 @@ def _finish(large: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame
     return materialize(links.unionByName(_compare(outside.unionByName(others), ["c", "p", "q"], num, den)), "links")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, group: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, group: DataFrame, seeds: tuple[int, int]) -> DataFrame:
     """(c, members, parts, rep, s): the full sets of the classes in candidate groups."""
     rows = docs.select(col(id_col).cast("long").alias("rep"), col(text_col).alias("text"))
     few = group.count() <= BROADCAST_CLASSES  # else the texts are shuffled to their groups
@@ -280,7 +287,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, group: DataFr
         for batch in batches:
             buf, offsets = utf8(batch.column(4))
             for i, j in chunks(offsets):
-                sets = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                sets = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, seeds)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(4)], pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "members", "parts", "rep", "s"])
 
     return rows.select("c", "members", "parts", "rep", "text").mapInArrow(run, "c long, members long, parts long, rep long, s binary").where("octet_length(s) > 0")

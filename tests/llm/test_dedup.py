@@ -291,3 +291,55 @@ def test_min_max_estimates_similarity():
     s = M.min_max([a, b], 2000)
     assert abs((s[0] == s[1]).mean() - 1500 / 2500) < 0.03
     assert M.bands_for(0.85) < M.bands_for(0.8)
+
+
+def _unmix(x: int) -> int:
+    """The inverse of common.mix."""
+    m = (1 << 64) - 1
+    x ^= x >> 31 ^ x >> 62
+    x = x * pow(0x94D049BB133111EB, -1, 1 << 64) & m
+    x ^= x >> 27 ^ x >> 54
+    x = x * pow(0xBF58476D1CE4E5B9, -1, 1 << 64) & m
+    return x ^ x >> 30 ^ x >> 60
+
+
+def test_words_made_to_collide_under_a_known_seed_are_told_apart(spark):
+    """Two words of 16 bytes whose hashes with seed 0 are equal: the second half of one undoes the first half of the other."""
+    from tallystone.llm.common import byte_hashes, mix, secret_hashes
+
+    mixed = lambda x: int(mix(np.array([x], np.uint64))[0])
+    start = mixed(16 + mixed(0) & (1 << 64) - 1)
+    first = b"abcdefghijklmnop"
+    rng, blank = random.Random(1), set(b" \t\n\r\x0b\x0c")
+    half = lambda b: int.from_bytes(b, "little")
+    while True:  # until the made half is one word of ASCII
+        own = bytes(rng.choice(b"0123456789") for _ in range(8))
+        rest = (mixed(half(first[:8]) ^ start) ^ half(first[8:]) ^ mixed(half(own) ^ start)).to_bytes(8, "little")
+        if all(c < 128 and c not in blank and not 65 <= c <= 90 for c in rest):
+            break
+    made = own + rest
+    assert mixed(_unmix(77)) == 77
+    pair = np.frombuffer(first + made, np.uint8)
+    at = np.array([0, 16])
+    h = byte_hashes(pair, at, at + 16)
+    assert h[0] == h[1]
+    g = secret_hashes(pair, at, at + 16, (5, 6))
+    assert g[0] != g[1]
+    frame = [f"w{i}" for i in range(20)]
+    words = [" ".join([*frame[:10], w, *frame[10:]]) for w in (first.decode(), made.decode(), "other", "abcdefghijklmnop\x00")]
+    rows = [(i + 1, t) for i, t in enumerate([*words, " ".join([*frame[:10], "00000213\x13p'1p{3/", *frame[10:]])])]
+    got = [(False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in M.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 5, 80, 100)
+    assert len({r[3] for r in got}) == 5
+
+
+def test_folded_products():
+    from tallystone.llm import common
+
+    rng = np.random.default_rng(1)
+    buf = rng.integers(0, 256, 4000).astype(np.uint8)
+    starts = np.arange(0, 3900, 13)
+    ends = starts + rng.integers(1, 60, len(starts))
+    a, b = common.byte_hash_lanes(buf, starts, ends, (3, 4))
+    want = [(int(x) * int(y) & (1 << 64) - 1) ^ (int(x) * int(y) >> 64) for x, y in zip(a, b, strict=True)]
+    assert common.secret_hashes(buf, starts, ends, (3, 4)).tolist() == want
