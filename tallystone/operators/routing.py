@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..shipping import ship
-
-#: Vectors of a block; a task compares two blocks.
-BLOCK = 4096
+from .neighbours import nearest  # noqa: F401  the queries' name for it
 
 
 def oracle_best(scores: DataFrame, full: str = "v2_full") -> DataFrame:
@@ -29,55 +24,6 @@ def skip_labels(scores: DataFrame, threshold: float, full: str = "v2_full") -> D
     return rows.where(F.col("pipeline") != full)
 
 
-def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, euclidean: bool = False, block: int = BLOCK, within: str | None = None) -> DataFrame:
-    """(a, b, similarity, rank): the k most similar of all other vectors, by dot product or by the negative distance.
-
-    With within only vectors of the same value of that column are compared. Every pair of blocks is compared, so the
-    work grows with the square of the vectors (of a value); a task holds two blocks whatever their number, and keeps k a
-    vector, which are then merged. Similarities equal in nine digits are in the order of b. Null ids and null vectors
-    are left out.
-    """
-    ship(vectors.sparkSession)
-    group = F.lit(0) if within is None else F.col(within)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), group.alias("g")).where("id is not null and v is not null and g is not null")
-    parts = F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts")
-    # one row a value; its rows are dealt to its blocks by their ids
-    rows = rows.join(rows.groupBy("g").agg(parts), "g").withColumn("o", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    a = rows.select("g", F.col("o").alias("p"), other.alias("q"), F.lit(0).alias("side"), "id", "v")
-    b = rows.select("g", other.alias("p"), F.col("o").alias("q"), F.lit(1).alias("side"), "id", "v")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = (group[group["side"] == s] for s in (0, 1))
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": [], "r": []})
-        u, v = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        found = [_best(left["id"].to_numpy()[i : i + 256], u[i : i + 256], right["id"].to_numpy(), v, k, euclidean) for i in range(0, len(u), 256)]
-        return pd.concat(found)
-
-    kind = rows.schema["id"].dataType.simpleString()
-    near = a.unionByName(b).groupBy("g", "p", "q").applyInPandas(run, f"a {kind}, b {kind}, similarity double, r double")
-    w = Window.partitionBy("a").orderBy(F.desc("r"), F.asc("b"))
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("r")
-
-
-def _best(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray, k: int, euclidean: bool) -> pd.DataFrame:
-    """The k best of (b, v) for each of (a, u). A matrix product finds candidates, whose similarities are then summed anew."""
-    rough, slack = u @ v.T, 1e-8
-    if euclidean:
-        square = (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * rough
-        rough, slack = -np.sqrt(np.maximum(square, 0)), 1e-6 * (1 + np.abs(u).max() + np.abs(v).max())
-    rough[a[:, None] == b] = -np.inf
-    at = max(rough.shape[1] - k, 0)
-    i, j = np.nonzero((rough >= np.partition(rough, at, axis=1)[:, at, None] - slack) & (rough > -np.inf))
-    exact = np.empty(len(i))
-    for s in range(0, len(i), 1 << 16):
-        x, y = u[i[s : s + (1 << 16)]], v[j[s : s + (1 << 16)]]
-        exact[s : s + (1 << 16)] = -np.sqrt(((x - y) ** 2).sum(1)) if euclidean else (x * y).sum(1)
-    out = pd.DataFrame({"i": i, "a": a[i], "b": b[j], "similarity": exact, "r": np.round(exact, 9)})
-    return out.sort_values(["i", "r", "b"], ascending=[True, False, True]).groupby("i").head(k)[["a", "b", "similarity", "r"]]
-
-
 def weighted_vote(near: DataFrame, labels: DataFrame, label_col: str, order: Column | None = None) -> DataFrame:
     """(a, label, confidence): neighbours vote with their similarities, not below 0; ties by the label's order."""
     votes = near.join(labels, near.b == labels.id).groupBy("a", label_col).agg(F.sum(F.greatest("similarity", F.lit(0.0))).alias("w"))

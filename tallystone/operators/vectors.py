@@ -53,20 +53,11 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
 
 
 def svd(df: DataFrame, id_col: str, vec: str, n: int) -> DataFrame:
-    """(id, projected): uncentred singular value projection; rows stay in the JVM, null vectors are left out.
+    """(id, projected): uncentred singular value projection of dense vectors; null vectors are left out."""
+    from .decompose import svd as sparse
 
-    A component's sign is such that the greatest entry of its right singular vector is positive.
-    """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    rows = df.select(id_col, F.col(vec).cast("array<double>").alias("v")).where("v is not null")
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector("v").alias("f")), "f"))
-    v = matrix.computeSVD(n).V.toArray()
-    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
-    parts = [F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in v[:, k]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for k in range(v.shape[1])]
-    return rows.select(id_col, F.array(*parts).alias("projected"))
+    rows = long_form(df, id_col, vec).select(id_col, F.col("i").cast("string").alias("term"), F.col("x").alias("w"))
+    return sparse(rows, id_col, k=n)[0].withColumnRenamed("vector", "projected")
 
 
 def pairwise_cosine(df: DataFrame, id_col: str, vec: str, block: int = 1024) -> DataFrame:

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallystone.operators import clusters as C
+from tallystone.operators import decompose as DC
+from tallystone.operators import kmeans as KM
 from tallystone.operators import text as T
 from tallystone.operators import vectors as V
 from tallystone.plans import registry
@@ -48,23 +50,45 @@ def test_clusters_find_the_groups_and_their_number(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
 
 
-def test_clusters_of_many_rows_are_distributed(spark, monkeypatch):
-    monkeypatch.setattr(C, "LOCAL_ROWS", 50)
-    df = blobs(spark)
-    found, k, s = C.clustered(df, "id", ks=[2, 4, 6], restarts=20)
-    assert k == 4 and V.purity(found.join(df, "id"), "cluster", "truth").first()[0] == 1.0 and s > 0.7
+def test_clusters_of_many_rows(spark):
+    """6000 rows, 40 restarts: the same path as for few."""
+    df = blobs(spark, k=5, n=1200, d=8).repartition(5)
+    found, k, s = C.clustered(df, "id", ks=[2, 4, 5, 6], restarts=40)
+    assert k == 5 and V.purity(found.join(df, "id"), "cluster", "truth").first()[0] == 1.0 and s > 0.7 and found.count() == 6000
+
+
+def test_steps_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 3))
+    rows = spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<double>").repartition(3)
+    models = [KM.Model(k, r, KM.first_centres(x, k, np.random.default_rng([k, r]))) for k in (2, 3, 7) for r in range(4)]
+    for m, (sums, counts, cost) in zip(models, KM._sums(rows, models), strict=True):
+        d = ((x[:, None] - m.centres) ** 2).sum(2)
+        label = d.argmin(1)
+        assert counts.tolist() == [(label == c).sum() for c in range(m.k)] and cost == pytest.approx(d.min(1).sum())
+        assert np.allclose(sums, [x[label == c].sum(0) for c in range(m.k)])
 
 
-def test_more_restarts_never_cost_more():
+def test_more_restarts_never_cost_more(spark):
     x = np.random.default_rng(5).normal(0, 1, (80, 2))
-    cost = lambda label: sum(((x[label == c] - x[label == c].mean(0)) ** 2).sum() for c in np.unique(label))
-    assert cost(C.lloyd(x, 6, 30, 1)) <= cost(C.lloyd(x, 6, 1, 1)) + 1e-9
-    assert C.lloyd(np.zeros((5, 2)), 3, 2, 0).max() == 0
+    rows = spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<double>")
+    one, many = (KM.fit(rows, [3, 6], n, 1) for n in (1, 30))
+    assert all(b.cost <= a.cost + 1e-9 and b.k == a.k for a, b in zip(one, many, strict=True))
+    d = ((x[:, None] - many[1].centres) ** 2).sum(2)
+    assert many[1].cost == pytest.approx(d.min(1).sum())
+
+
+def test_rows_that_nothing_tells_apart_are_one_cluster(spark):
+    df = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(5)] + [(9, None)], "id long, vector array<double>")
+    found, k, s = C.clustered(df, "id", ks=[2, 3], restarts=2)
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(5)] and (k, s) == (1, -1.0)
+    found, k, s = C.clustered(df.where("id = 9"), "id")
+    assert found.count() == 0 and k == 1
 
 
-@pytest.mark.parametrize("local", [5000, 4])
-def test_projection_is_the_singular_value_decomposition(spark, monkeypatch, local):
-    monkeypatch.setattr(C, "LOCAL_ROWS", local)
+@pytest.mark.parametrize("block", [2048, 4])
+def test_projection_is_the_singular_value_decomposition(spark, monkeypatch, block):
+    monkeypatch.setattr(DC, "BLOCK", block)
     rng = np.random.default_rng(3)
     x = rng.random((9, 12)) * (rng.random((9, 12)) < 0.5)
     rows = [(i, f"t{j}", float(x[i, j])) for i in range(9) for j in range(12) if x[i, j]]
@@ -74,8 +98,29 @@ def test_projection_is_the_singular_value_decomposition(spark, monkeypatch, loca
     assert y.shape == (9, 4) and np.allclose(np.abs(y), np.abs(want), atol=1e-6) and np.allclose(y @ y.T, want @ want.T, atol=1e-6)
 
 
-def test_components_rule():
-    assert [C.components_of(*a) for a in ((200, 50, 900), (200, 900, 90), (50, 900, 900), (200, 2, 9))] == [49, 89, 50, 2]
+@pytest.mark.parametrize("noise,passes", [(0.02, DC.PASSES), (1.0, 20)])
+def test_singular_values_of_a_larger_sparse_table(spark, noise, passes):
+    """Topics over noise with the usual passes; little but noise, whose values lie close together, with more."""
+    rng = np.random.default_rng(6)
+    few = lambda *n: rng.random(n) * (rng.random(n) < 0.15)
+    x = few(700, 12) @ (few(12, 300) * 1.4 ** -np.arange(12)[:, None]) + noise * few(700, 300)
+    at = np.argwhere(x)
+    rows = [(int(i), f"t{j}", float(x[i, j])) for i, j in at]
+    df = spark.createDataFrame([*rows, (None, "t1", 1.0), (3, None, 2.0), (4, "t2x", None)], "d int, term string, w double").repartition(4)
+    out, values = DC.svd(df, "d", k=5, passes=passes)
+    want = np.linalg.svd(x, compute_uv=False)[:5]
+    assert np.allclose(values, want, rtol=1e-6)
+    y = np.array([r["vector"] for r in out.orderBy("d").collect()])
+    assert np.allclose((y * y).sum(0), want**2, rtol=1e-5)
+    assert np.abs(y.T @ y - np.diag(want**2)).max() < 1e-6 * want[0] ** 2
+
+
+def test_components_rule_and_empty_tables(spark):
+    rows = [(i, f"t{j}", 1.0 + i * j) for i in range(6) for j in range(4)]
+    df = spark.createDataFrame(rows, "d int, term string, w double")
+    assert [len(DC.svd(df, "d", cap=c)[1]) for c in (200, 2)] == [3, 2]
+    out, values = DC.svd(df.where("1 = 0"), "d")
+    assert out.count() == 0 and values == [] and out.columns == ["d", "vector"]
 
 
 def test_svd_leaves_null_vectors_out(spark):

@@ -96,3 +96,32 @@ def test_nearest_are_of_all_vectors(spark, euclidean):
             v[label[b]] = v.get(label[b], 0.0) + max(float((x[at[a]] * x[at[b]]).sum()), 0.0)
         want = {a: min(v, key=lambda k: (-round(v[k] / (sum(v.values()) or 1.0), 9), k)) for a, v in votes.items()}
         assert {r["vec_id"]: r["label"] for r in registry.QUERIES["g07_weighted_vote"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+@pytest.mark.parametrize("euclidean", [False, True])
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_cells_that_cannot_hold_a_nearer_one_are_not_visited(spark, euclidean, spread):
+    """Vectors of very different lengths, in clusters and without; copies tie. In clusters few pairs are compared."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(20, 8)) * 4)[rng.integers(0, 20, 1500)] + spread * rng.normal(size=(1500, 8))
+    x[1400:1410] = x[0]
+    x[1410] = 0
+    if not euclidean:
+        x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None] * rng.choice([1.0, 1.0, 0.97], 1500)[:, None]
+    ids = rng.permutation(1500).tolist()
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)] + [(None, [1.0] * 8), (7777, None)], "id long, v array<double>").repartition(3)
+    report = {}
+    got = {(r["a"], r["b"], r["rank"]) for r in G.nearest(df, "id", "v", 5, euclidean, block=64, report=report).collect()}
+    s = -np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if euclidean else (x[:, None] * x[None]).sum(2)
+    want = set()
+    for i in range(1500):
+        order = sorted((j for j in range(1500) if j != i), key=lambda j: (-round(s[i, j], 9), ids[j]))[:5]
+        want |= {(ids[i], ids[j], r) for r, j in enumerate(order, 1)}
+    assert got == want
+    assert 0 < report["share"] <= 1 and (spread > 1 or report["share"] < 0.3)
+
+
+def test_few_vectors_and_none(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    assert sorted((r["a"], r["b"], r["rank"]) for r in G.nearest(df, "id", "v", 5).collect()) == [(1, 2, 1), (2, 1, 1)]
+    assert G.nearest(df.where("id = 1"), "id", "v", 5).count() == 0 and G.nearest(df.where("id = 0"), "id", "v", 5).count() == 0
