@@ -185,6 +185,26 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(_c(a).cast("double"), F.nullif(_c(b).cast("double"), F.lit(0.0)))
 
 
+def exactly_rounded(x: Column, digits: int) -> Column:
+    """x to some digits by its exact binary value, halves to the even digit: `round` goes by the decimal text of a number instead.
+
+    x times a power of ten is a rounded product and its exact error (both factors are split into halves of 26 bits).
+    """
+    scale = 10.0**digits
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    top = high(scale)
+
+    def nearest(v: Column) -> Column:
+        product, a = v * scale, high(v)
+        error = ((a * top - product) + a * (scale - top) + (v - a) * top) + (v - a) * (scale - top)
+        whole = F.floor(product).cast("double")
+        rest = product - whole
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2.0)) == 1))))
+        return (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    return F.transform(F.array(x), nearest)[0]  # x, which may be a long expression, is written once
+
+
 def lev_ratio(a: Column | str, b: Column | str) -> Column:
     """1 - 2 d / (lengths), 1 for two empty texts; below 0 for very different ones."""
     n = F.length(_c(a)) + F.length(_c(b))

@@ -1,20 +1,17 @@
 """Scoring extracted pages against expected ones: counts, headers, amounts and fractions.
 
-Count scores are plain aggregations. Matching is greedy and depends on the order of rows, so the picks are made page by
-page in Arrow batches of many pages; the distances of all descriptions of a page, which the picks compare, are computed
-in the JVM before. Rows of a page are in the order of their indices, then types, texts, amounts and fractions.
+Count scores are plain aggregations. Matching is greedy and depends on the order of rows: a fold over a page's expected
+rows, whose state holds the extracted rows that are left, as an expression over arrays. Distances of descriptions are
+computed only where a pick needs them: between rows of equal amounts, between headers, and for the rows that stay without
+a match. Rows of a page (a bounded number) are in the order of their indices, then types, texts, amounts and fractions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import count_similarity
-from ..shipping import ship
+from ..functions.scalars import amount_similarity, count_similarity, exactly_rounded, lev_ratio
 
 TYPES = ["header", "entry", "total"]
 
@@ -28,142 +25,94 @@ def structure_score(pred: DataFrame, gt: DataFrame, page: str = "page") -> DataF
     return g.select(page, count_similarity("np", "ng").alias("row_count_score"), types.alias("type_count_score"))
 
 
-def levenshtein(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
+ROW = "row_index int, row_type string, description string, amount long, fraction double"
 
 
-def lev_ratio(a: str, b: str) -> float:
-    n = len(a) + len(b)
-    return 1 - 2 * levenshtein(a, b) / n if n else 1.0
+def _pages(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """(page, pred, gt): both sides' rows of a page, each with its place `at`."""
+    names = [x.split()[0] for x in ROW.split(", ")]
+    most = {"int": (1 << 31) - 1, "long": (1 << 63) - 1, "double": float("inf"), "string": ""}
+    order = [F.coalesce(F.col(n), F.lit(most[k]).cast(k)).alias(f"o_{n}") for n, k in (x.split() for x in ROW.split(", "))]  # missing numbers come last
+    side = lambda df, p: df.select("page", F.lit(p).alias("p"), *[F.coalesce(n, F.lit("")).alias(n) if n == "description" else F.col(n) for n in names])
+    row = F.struct(*order, "p", *names)
+    both = side(pred, 1).unionByName(side(gt, 0)).groupBy("page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    plain = lambda p: F.transform(F.filter("rows", lambda r: r["p"] == p), lambda r, i: F.struct(*[r[n].alias(n) for n in names], i.alias("at")))
+    return both.select("page", plain(1).alias("pred"), plain(0).alias("gt"))
 
 
-def alike(g: dict, p: dict) -> float:
-    """The similarity of an expected and an extracted row's descriptions, from the known distance if there is one."""
-    a, b = g["description"], p["description"]
-    if "distances" not in g:
-        return lev_ratio(a, b)
-    n = len(a) + len(b)
-    return 1 - 2 * g["distances"][p["at"]] / n if n else 1.0
+def _without(left: Column, best: Column) -> Column:
+    return F.filter(left, lambda p: p["at"] != -best["m"])
 
 
-def match_headers(pred: list[dict | str], gt: list[dict | str], least: float = 0.8) -> float:
-    """The share of expected headers (rows or texts) that find a header of their own, each taking the best that is left."""
-    rows = lambda x: [r if isinstance(r, dict) else {"description": r} for r in x]
-    left, hits = rows(pred), 0
-    for g in rows(gt):
-        scored = [(alike(g, p), -i) for i, p in enumerate(left)]
-        if scored and max(scored)[0] >= least:
-            left.pop(-max(scored)[1])
-            hits += 1
-    return hits / len(gt) if gt else 1.0
+def header_hits(pred: Column, gt: Column, least: float = 0.8) -> Column:
+    """How many expected headers find a header of their own, each taking the best that is left."""
 
+    def step(state: Column, g: Column) -> Column:
+        best = F.array_max(F.transform(state["left"], lambda p: F.struct(lev_ratio(g["description"], p["description"]).alias("r"), (-p["at"]).alias("m"))))
+        hit = F.coalesce(best["r"] >= least, F.lit(False))
+        return F.struct(F.when(hit, _without(state["left"], best)).otherwise(state["left"]).alias("left"), (state["hits"] + hit.cast("int")).alias("hits"))
 
-def _similar(a: int, b: int) -> float:
-    return 1.0 if max(a, b) == 0 else max(0.0, 1 - abs(a - b) / max(a, b))
+    return F.aggregate(gt, F.struct(pred.alias("left"), F.lit(0).alias("hits")), step, lambda s: s["hits"])
 
 
-def match_amounts(pred: list[dict], gt: list[dict]) -> tuple[float, float, list[int | None]]:
-    """(match, similarity, matched prediction of each expected row), both means over the expected rows with an amount.
+def amount_matches(pred: Column, gt: Column) -> Column:
+    """(n, credit, similar, missed) over the expected rows with an amount.
 
     Each expected row takes, of the rows left with the same pounds, shillings and pence, one of its own type before
     another, then the most similar description. Entry against total counts half. A row without a match is compared
-    with the closest amount that is left, which stays available.
+    with the closest amount that is left, which stays available; missed holds the places of such rows.
     """
-    left = [i for i, p in enumerate(pred) if p["amount"] is not None]
-    credit, similar, taken = [], [], []
-    for g in gt:
-        if g["amount"] is None:
-            continue
-        same = [i for i in left if pred[i]["amount"] == g["amount"]]
-        if same:
-            best = max(same, key=lambda i: (pred[i]["row_type"] == g["row_type"], alike(g, pred[i]), -i))
-            left.remove(best)
-            credit.append(1.0 if pred[best]["row_type"] == g["row_type"] else 0.5)
-            similar.append(1.0)
-            taken.append(best)
-        else:
-            credit.append(0.0)
-            similar.append(max((_similar(pred[i]["amount"], g["amount"]) for i in left), default=0.0))
-            taken.append(None)
-    n = len(credit)
-    return (sum(credit) / n, sum(similar) / n, taken) if n else (1.0, 1.0, taken)
-
-
-def match_fractions(pred: list[dict], gt: list[dict]) -> float:
-    """The share of expected rows with a fraction that find a row of their own with the same fraction and amount."""
-    left = [i for i, p in enumerate(pred) if p["fraction"]]
-    want = [g for g in gt if g["fraction"]]
-    hits = 0
-    for g in want:
-        same = [i for i in left if pred[i]["fraction"] == g["fraction"] and pred[i]["amount"] == g["amount"]]
-        if same:
-            left.remove(max(same, key=lambda i: (pred[i]["row_type"] == g["row_type"], -i)))
-            hits += 1
-    return hits / len(want) if want else 1.0
 
+    def step(state: Column, g: Column) -> Column:
+        same = F.filter(state["left"], lambda p: p["amount"] == g["amount"])
+        best = F.array_max(F.transform(same, lambda p: F.struct(p["row_type"].eqNullSafe(g["row_type"]).alias("e"), lev_ratio(g["description"], p["description"]).alias("r"), (-p["at"]).alias("m"))))
+        none = best.isNull()
+        close = F.coalesce(F.array_max(F.transform(state["left"], lambda p: amount_similarity(p["amount"], g["amount"]))), F.lit(0.0))
+        return F.struct(
+            F.when(none, state["left"]).otherwise(_without(state["left"], best)).alias("left"),
+            (state["n"] + 1).alias("n"),
+            (state["credit"] + F.when(none, 0.0).when(best["e"], 1.0).otherwise(0.5)).alias("credit"),
+            (state["similar"] + F.when(none, close).otherwise(1.0)).alias("similar"),
+            F.when(none, F.array_append(state["missed"], g["at"])).otherwise(state["missed"]).alias("missed"),
+        )
 
-ROW = "row_index int, row_type string, description string, amount long, fraction double"
+    some = lambda rows: F.filter(rows, lambda r: r["amount"].isNotNull())
+    start = F.struct(some(pred).alias("left"), F.lit(0).alias("n"), F.lit(0.0).alias("credit"), F.lit(0.0).alias("similar"), F.array().cast("array<int>").alias("missed"))
+    return F.aggregate(some(gt), start, step, lambda s: s.dropFields("left"))
 
 
-def _by_page(pred: DataFrame, gt: DataFrame, out: str, score: Callable[[int, list[dict], list[dict]], list[tuple]]) -> DataFrame:
-    """Both sides' rows of a page in one row (a page is bounded), scored many pages a batch."""
-    names = [x.split()[0] for x in ROW.split(", ")]
-    most = {"int": (1 << 31) - 1, "long": (1 << 63) - 1, "double": float("inf"), "string": ""}
-    order = [F.coalesce(F.col(n), F.lit(most[k]).cast(k)).alias(f"o_{n}") for n, k in (x.split() for x in ROW.split(", "))]  # missing numbers come last
-    side = lambda df, p: df.select("page", F.lit(p).alias("p"), *[F.coalesce(n, F.lit("")).alias(n) if n == "description" else F.col(n) for n in names])
-    row = F.struct(*order, "p", *names)
-    both = side(pred, 1).unionByName(side(gt, 0)).groupBy("page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    plain = lambda p: F.transform(F.filter("rows", lambda r: r["p"] == p), lambda r: F.struct(*[r[n].alias(n) for n in names]))
-    pages = both.select("page", plain(1).alias("pred"), plain(0).alias("gt"))
-    pages = pages.withColumn("distances", F.transform("gt", lambda g: F.transform("pred", lambda p: F.levenshtein(g["description"], p["description"]))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for page, p, g, distances in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, r in enumerate(p):
-                    r["at"] = i
-                for r, d in zip(g, distances, strict=True):
-                    r["distances"] = d
-                found += score(page, p, g)
-            schema = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]]) for x in out.split(", ")])
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t.type) for i, t in enumerate(schema)], schema=schema)
+def fraction_matches(pred: Column, gt: Column) -> Column:
+    """(n, hits): expected rows with a fraction, and how many of them find a row of their own with the same fraction and amount."""
 
-    ship(pages.sparkSession)
-    return pages.mapInArrow(run, out)
+    def step(state: Column, g: Column) -> Column:
+        same = F.filter(state["left"], lambda p: (p["fraction"] == g["fraction"]) & p["amount"].eqNullSafe(g["amount"]))
+        best = F.array_max(F.transform(same, lambda p: F.struct(p["row_type"].eqNullSafe(g["row_type"]).alias("e"), (-p["at"]).alias("m"))))
+        hit = best.isNotNull()
+        return F.struct(F.when(hit, _without(state["left"], best)).otherwise(state["left"]).alias("left"), (state["n"] + 1).alias("n"), (state["hits"] + hit.cast("int")).alias("hits"))
 
-
-def _ratio(a: int, b: int) -> float:
-    return (1.0 if a == 0 else 0.0) if b == 0 else max(0.0, 1 - abs(a - b) / b)
-
-
-def _score(page: int, p: list[dict], g: list[dict]) -> list[tuple]:
-    count = lambda x, t: sum(r["row_type"] == t for r in x)
-    heads = [[r for r in x if r["row_type"] == "header"] for x in (p, g)]
-    axis1 = round((round(_ratio(len(p), len(g)), 4) + round(sum(_ratio(count(p, t), count(g, t)) for t in TYPES) / 3, 4) + round(match_headers(*heads), 4)) / 3, 4)
-    money = [[r for r in x if r["row_type"] != "header"] for x in (p, g)]
-    match, similar, _ = match_amounts(*money)
-    fraction = match_fractions(*money)
-    axis2 = round(0.5 * match + 0.3 * similar + 0.2 * fraction, 4)
-    return [(page, axis1, round(match, 4), round(similar, 4), round(fraction, 4), axis2, round(0.3 * axis1 + 0.7 * axis2, 4))]
+    some = lambda rows: F.filter(rows, lambda r: F.coalesce(r["fraction"] != 0, F.lit(False)))
+    return F.aggregate(some(gt), F.struct(some(pred).alias("left"), F.lit(0).alias("n"), F.lit(0).alias("hits")), step, lambda s: s.dropFields("left"))
 
 
 def page_scores(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Axis 1, axis 2 and the combined score of each page (rows: page, row_index, row_type, description, amount, fraction)."""
-    return _by_page(pred, gt, "page long, axis1 double, axis2_match double, axis2_similarity double, axis2_fraction double, axis2 double, combined double", _score)
-
-
-def _unmatched(page: int, p: list[dict], g: list[dict]) -> list[tuple]:
-    g = [r for r in g if r["amount"] is not None]
-    taken = match_amounts(p, g)[2]
-    return [(page, r["row_index"], r["description"], max(p, key=lambda x, r=r: alike(r, x), default={"description": None})["description"]) for r, t in zip(g, taken, strict=True) if t is None]
+    kind = lambda rows, head: F.filter(rows, lambda r: (F.coalesce(r["row_type"], F.lit("")) == "header") == head)
+    count = lambda rows, t: F.size(F.filter(rows, lambda r: F.coalesce(r["row_type"] == t, F.lit(False))))
+    r4 = lambda x: exactly_rounded(x, 4)
+    mean = lambda total, n: F.when(n == 0, F.lit(1.0)).otherwise(total / F.greatest(n, F.lit(1)))
+    pages = _pages(pred, gt).select("page", "pred", "gt", *[kind(F.col(s), h).alias(f"{s}_{'heads' if h else 'money'}") for s in ("pred", "gt") for h in (True, False)])
+    found = pages.select(
+        "page", count_similarity(F.size("pred"), F.size("gt")).alias("rows"), (sum((count_similarity(count(F.col("pred"), t), count(F.col("gt"), t)) for t in TYPES), F.lit(0.0)) / len(TYPES)).alias("types"),
+        header_hits(F.col("pred_heads"), F.col("gt_heads")).alias("hits"), F.size("gt_heads").alias("heads"), amount_matches(F.col("pred_money"), F.col("gt_money")).alias("m"), fraction_matches(F.col("pred_money"), F.col("gt_money")).alias("f"),
+    )
+    axis1 = r4((r4(F.col("rows")) + r4(F.col("types")) + r4(mean(F.col("hits"), F.col("heads")))) / 3)
+    found = found.select("page", axis1.alias("axis1"), mean(F.col("m.credit"), F.col("m.n")).alias("a"), mean(F.col("m.similar"), F.col("m.n")).alias("b"), mean(F.col("f.hits"), F.col("f.n")).alias("c"))
+    found = found.withColumn("axis2", r4(0.5 * F.col("a") + 0.3 * F.col("b") + 0.2 * F.col("c")))
+    return found.select("page", "axis1", r4(F.col("a")).alias("axis2_match"), r4(F.col("b")).alias("axis2_similarity"), r4(F.col("c")).alias("axis2_fraction"), "axis2", r4(0.3 * F.col("axis1") + 0.7 * F.col("axis2")).alias("combined"))
 
 
 def feedback(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Expected rows without a match, with the description that is closest to theirs."""
-    return _by_page(pred, gt, "page long, row_index int, description string, closest string", _unmatched)
+    missed = _pages(pred, gt).select("page", "pred", "gt", F.explode(amount_matches(F.col("pred"), F.col("gt"))["missed"]).alias("at")).withColumn("g", F.element_at("gt", F.col("at") + 1))
+    closest = F.array_max(F.transform("pred", lambda p: F.struct(lev_ratio(F.col("g.description"), p["description"]).alias("r"), (-p["at"]).alias("m"), p["description"].alias("d"))))
+    return missed.select("page", F.col("g.row_index").alias("row_index"), F.col("g.description").alias("description"), closest["d"].alias("closest"))
