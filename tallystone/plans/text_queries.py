@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scalars as S
 from ..functions.stopwords import english
+from ..operators.fuzzy import similar_pairs
 from ..operators import series as W
 from ..operators import shares as A
 from ..operators import text as T
@@ -225,6 +226,13 @@ def t21(spark, sf):
     return q.select("a", "b", F.levenshtein("a", "b").alias("distance"), r6(S.lev_ratio("a", "b"), "lev_ratio"))
 
 
+@query("t21_similar_names", "WITH p AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name,b.p_name) AS distance, round(1-2.0*levenshtein(a.p_name,b.p_name)/(length(a.p_name)+length(b.p_name)),6) AS lev_ratio FROM p a JOIN p b ON a.p_name<b.p_name AND abs(length(a.p_name)-length(b.p_name))<=3 AND levenshtein(a.p_name,b.p_name)<=3")
+def t21_similar(spark, sf):
+    """Names within three edits of one another, among all names."""
+    q = similar_pairs(table(spark, sf, "part"), "p_name", 3)
+    return q.select("a", "b", "distance", r6(S.lev_ratio("a", "b"), "lev_ratio"))
+
+
 @query("q21_innovation_emergence", DOCS + """, y AS (SELECT decade, 1000.0*count(*) FILTER (contains(t,'heit'))/count(*) AS x FROM d GROUP BY decade), r AS (SELECT *, CASE WHEN count(x) OVER w >= 3 THEN avg(x) OVER w END AS roll FROM y WINDOW w AS (ORDER BY decade ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
 b AS (SELECT avg(x) + 0.5*stddev_samp(x) AS th FROM y WHERE decade < 1760) SELECT min(decade) FILTER (roll > th) AS emergence, round(any_value(th),6) AS threshold FROM r, b""")
 def q21(spark, sf):

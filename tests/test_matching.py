@@ -256,3 +256,27 @@ def test_numbers_are_rounded_by_their_binary_value(spark):
     x = [0.03125, 0.09375, 0.00005, 0.12345, 1.00005, 2.5, 0.0, 0.3 * 0.9001 + 0.7 * 0.8502, *(rng.integers(0, 200001, 3000) / 100000).tolist(), *(0.3 * rng.integers(0, 10001, 2000) / 10000 + 0.7 * rng.integers(0, 10001, 2000) / 10000).tolist()]
     df = spark.createDataFrame([(v,) for v in x], "x double")
     assert all(r["y"] == round(r["x"], 4) for r in df.select("x", S.exactly_rounded(F.col("x"), 4).alias("y")).collect())
+
+
+@pytest.mark.parametrize("most,q", [(1, 2), (2, 2), (3, 3), (2, 1)])
+def test_similar_pairs_are_those_of_all_pairs(spark, most, q):
+    """Short and long texts, repeated grams, texts that share nearly all of them, nulls and copies."""
+    import random
+
+    from tallystone.operators.fuzzy import similar_pairs
+
+    rng = random.Random(most * 10 + q)
+    texts = {"", "a", "b", "ab", "ba", "abc", "aaaaaaaa", "aaaaaaa", "élan", "elan", "\U0001f600x"}
+    texts |= {"".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(60)}
+    for base in ("the old mill at the river", "abababababababab", "rent of a farm"):
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rng.randint(0, 4)):
+                i = rng.randint(0, len(t))
+                t[i : i + rng.randint(0, 1)] = [rng.choice("ab x")] * rng.randint(0, 1)
+            texts.add("".join(t))
+    df = spark.createDataFrame([(t,) for t in [*texts, "ab", "abc", None]], "t string").repartition(3)
+    got = {(r["a"], r["b"]): r["distance"] for r in similar_pairs(df, "t", most, q).collect()}
+    order = sorted(texts, key=lambda t: t.encode())
+    want = {(a, b): d for i, a in enumerate(order) for b in order[i + 1 :] if (d := levenshtein(a, b)) <= most}
+    assert got == want
