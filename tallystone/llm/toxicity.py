@@ -5,8 +5,9 @@ Greek and Cyrillic look-alikes, digits and signs for letters, and invisible char
 letters and signs at a word's ends may be meant as they are: such a word is matched as it is written, without the
 signs, and where that is no hit, without accents and with the signs as letters. The lexicon holds whole words and
 beginnings of words with weights learnt from labelled documents (smoothed log odds of the document frequencies), kept
-where the likelihood ratio is beyond chance for that many candidates. Exception phrases cancel the hits inside them;
-they are learnt from the same rows, as pairs of neighbouring words around a term that clean documents hold.
+where the likelihood ratio is beyond chance for that many candidates and each half of the rows confirms it. Exception
+phrases cancel the hits inside them: a fixed list, and those learnt from the same rows, as pairs of neighbouring words
+around a term that clean documents hold.
 A document's features are its weighted hits, as a sum and by length; a logistic curve over them is the score.
 
 Null and empty texts have no hits and get the curve's value at zero, so do texts without words. Texts are scored
@@ -33,6 +34,13 @@ from .common import col, materialize, small_batches
 #: Most labelled documents that the lexicon is learnt from, the first by a hash of doc_id; 20 bytes each, so that
 #: their broadcast list stays under 0.5 MB.
 TRAIN_BOUND = 16_000
+#: Most terms that are tried for the lexicon, those of the greatest likelihood ratios.
+TERM_BOUND = 2_000
+#: Phrases in which a word of abuse is none.
+HARMLESS = [
+    "circus clown", "clown car", "clown fish", "idiot proof", "loser pays", "pathetic fallacy", "pond scum", "rodeo clown", "scum line", "soap scum", "trash bag", "trash bags", "trash bin", "trash bins", "trash can", "trash cans",
+    "trash collection", "trash compactor", "trash day", "trash truck",
+]
 #: Characters that stand for letters.
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x",
@@ -177,12 +185,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by bound rows of 12 bytes
 
 
-def learn(rows: DataFrame, min_docs: int = 3, exceptions: list[str] | None = None, max_prefix: int = 6) -> Lexicon:
+def learn(rows: DataFrame, min_docs: int = 3, exceptions: list[str] | None = None, max_prefix: int = 9) -> Lexicon:
     """A lexicon from rows of (text, toxic): terms, weights, and the curve of the score.
 
     Candidates are a document's folded words and their beginnings of 4 to max_prefix letters, counted once a
-    document. The counts are made by Spark; only terms that pass the tests come to the driver. Exception phrases are
-    learnt too, unless they are given.
+    document. The counts are made by Spark; at most TERM_BOUND terms that pass the tests come to the driver. Exception
+    phrases are HARMLESS and learnt ones, unless they are given.
     """
     small_batches(rows.sparkSession)
     rows = materialize(rows.select("text", "toxic"), "labelled")
@@ -209,16 +217,10 @@ def learn(rows: DataFrame, min_docs: int = 3, exceptions: list[str] | None = Non
     part = lambda k, m: F.when(k > 0, k * F.log(k * F.lit(float(n)) / (both * F.lit(float(m))))).otherwise(0.0)
     ratio = 2 * (part(F.col("t"), toxic) + part(F.col("c"), clean))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    tested = counted.where(f"t >= {min_docs} and c < 0.1 * t").select("term", "c", "t", weight.alias("w"), ratio.alias("g"))
-    tested = materialize(tested.where("w > 2"), "terms")
-    found = tested.where(F.col("g") > 2 * math.log(max(tested.count(), 8)) + 2).collect()  # a lexicon: only terms beyond chance
-    terms = {r["term"]: (r["w"], r["t"], r["g"]) for r in found}
-    # A beginning that explains as many documents makes its continuations needless, and a whole word its beginnings.
-    kept: dict[str, float] = {}
-    for term, (w, t, _) in sorted(terms.items(), key=lambda x: (-x[1][1], -len(x[0]), x[0])):
-        if not any(term.startswith(k) or k.strip().startswith(term.strip()) and t <= 1.05 * terms[k][1] for k in kept):
-            kept[term] = w
-    lexicon = Lexicon(kept, learn_exceptions(rows, Lexicon(kept), clean, toxic, min_docs) if exceptions is None else exceptions)
+    tested = materialize(counted.where(f"t >= {min_docs} and c < 0.1 * t").select("term", "c", "t", weight.alias("w"), ratio.alias("g")).where("w > 2"), "terms")
+    beyond = tested.where(F.col("g") > 2 * math.log(max(tested.count(), 8)) + 2)
+    kept = confirmed(rows, {r["term"]: r["w"] for r in beyond.orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(TERM_BOUND).collect()})
+    lexicon = Lexicon(kept, sorted({*learn_exceptions(rows, Lexicon(kept), clean, toxic, min_docs), *HARMLESS}) if exceptions is None else exceptions)
     a = lexicon.automaton
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +234,33 @@ def learn(rows: DataFrame, min_docs: int = 3, exceptions: list[str] | None = Non
     return lexicon
 
 
+def confirmed(rows: DataFrame, terms: dict[str, float]) -> dict[str, float]:
+    """The terms (with their weights) that more toxic than clean documents hold in both halves of the rows, by a hash of the text.
+
+    A beginning of a kept word, or a longer form of a kept beginning, is needless; those in the most toxic documents come first.
+    """
+    names = sorted(terms)
+    if not names:
+        return {}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = Lexicon({t: float(i + 1) for i, t in enumerate(names)}).automaton()
+        for batch in batches:
+            found = [sorted({int(w) - 1 for _, (_, w) in a.iter(fold(t or ""))}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1).cast(pa.int32()), batch.column(2).cast(pa.int32())], names=["found", "toxic", "half"])
+
+    halves = rows.select("text", "toxic", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int").alias("half"))
+    counts = halves.mapInArrow(held, "found array<int>, toxic int, half int").select("toxic", "half", F.explode("found").alias("k")).groupBy("k", "half").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    by = {(r["k"], r["half"]): (r["t"], r["c"]) for r in counts.collect()}  # two rows a term, of at most TERM_BOUND
+    hits = {k: sum(by.get((k, h), (0, 0))[0] for h in (0, 1)) for k in range(len(names))}
+    agreed = [k for k in range(len(names)) if all(t > c for t, c in (by.get((k, h), (0, 0)) for h in (0, 1)))]
+    kept: dict[str, float] = {}
+    for k in sorted(agreed, key=lambda k: (-hits[k], -len(names[k]), names[k])):
+        if not any(names[k].startswith(x) or x.strip().startswith(names[k].strip()) and hits[k] <= 1.05 * hits[names.index(x)] for x in kept):
+            kept[names[k]] = terms[names[k]]
+    return kept
+
+
 def learn_exceptions(rows: DataFrame, lexicon: Lexicon, clean: int, toxic: int, min_docs: int = 3) -> list[str]:
     """Phrases of two folded words, one of which starts a hit, that at least min_docs clean documents hold and no toxic one.
 

@@ -309,6 +309,32 @@ def test_toxicity_held_out(spark):
     assert np.mean(pairs) > 0.85
 
 
+def test_lexicon_holds_words_that_hold_up(spark):
+    """Most terms learnt stand in more toxic than clean documents of the third that was not learnt from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    lex = toxicity.learn(toxicity.training_rows(docs, labels))
+    held = docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1 and toxic is not null").select("text", "toxic").collect()
+    good = 0
+    for term in lex.terms:
+        hit = [r["toxic"] for r in held if term in toxicity.fold(r["text"] or "")]
+        good += sum(hit) > len(hit) - sum(hit)
+    assert len(lex.terms) >= 40 and good >= 0.9 * len(lex.terms)
+
+
+def test_terms_of_one_half_of_the_rows_are_not_kept(spark):
+    """`fluke` stands in copies of one toxic text, which lie in one half; `vile` in many."""
+    rows = [(f"some plain words {i}", 0) for i in range(300)] + [(f"vile things {i}", 1) for i in range(60)] + [("fluke of one text", 1)] * 30
+    lex = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert " vile " in lex.terms and not any("fluke" in t for t in lex.terms)
+
+
+def test_harmless_phrases_act_in_the_query(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    more = spark.createDataFrame([(-1, "put it into the trash can please"), (-2, "put it into the trash you please"), (-3, "nothing at all to see here")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.op5(docs.select("doc_id", "text").unionByName(more), labels).where("doc_id < 0").collect()}
+    assert got[-2]["n_hits"] == 1 and got[-1]["n_hits"] == 0 and got[-1]["score"] == got[-3]["score"] < got[-2]["score"]
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(100, 140)] + [(1, None), (None, 1)], "doc_id long, toxic int")
     r = toxicity.op5(odd_docs, labels).collect()
