@@ -101,11 +101,50 @@ def tfidf(tf: DataFrame, doc: str, n_docs: DataFrame | None = None, min_df: int
     return rows.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine(weights: DataFrame, doc: str) -> DataFrame:
-    """(a, b, similarity) of documents of unit length that share a term, a < b: for a bounded number of grouped documents."""
-    a = weights.select(F.col(doc).alias("a"), "term", F.col("w").alias("x"))
-    b = weights.select(F.col(doc).alias("b"), "term", F.col("w").alias("y"))
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+def cosine(weights: DataFrame, doc: str, block: int = 1024, shards: int = 64) -> DataFrame:
+    """(a, b, similarity) of documents of unit length that share a term, a < b: for a bounded number of grouped documents.
+
+    Pairs of blocks of about `block` documents meet in `shards` parts by terms. So a term of all documents makes at
+    most block * block products in a task, and a task returns a pair of documents once, whatever terms they share.
+    """
+    w = stored(weights.select(F.col(doc).alias("d"), "term", "w"), "weights")
+    parts = -(-w.select("d").distinct().count() // block) or 1
+    own, shard = F.pmod(F.xxhash64("d"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int")
+    w = w.select("d", "term", "w", own.alias("o"), shard.alias("s"))
+    cell = ["p", "q", "s"]
+    low = w.select("d", "term", "w", F.col("o").alias("p"), F.explode(F.sequence("o", F.lit(parts - 1))).alias("q"), "s")
+    high = w.select("d", "term", "w", F.explode(F.sequence(F.lit(0), "o")).alias("p"), F.col("o").alias("q"), "s")
+    x = low.repartition(*cell).select(*cell, "term", F.col("d").alias("x"), F.col("w").alias("wx"))
+    y = high.repartition(*cell).select(*cell, "term", F.col("d").alias("y"), F.col("w").alias("wy"))
+    # within one block a pair comes in both orders, between two in one
+    met = x.join(y.hint("shuffle_hash"), [*cell, "term"]).where((F.col("p") < F.col("q")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
+    sums = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.col("wx") * F.col("wy")).alias("similarity"))
+    return sums
+
+
+def similar(weights: DataFrame, doc: str, least: float) -> DataFrame:
+    """(a, b, similarity) of all pairs of unit vectors with a similarity of at least `least` > 0, a < b; exact.
+
+    Terms are ordered from the most frequent. A vector keeps for the search only its last terms, those from where its
+    first ones, each times the term's greatest weight, could no longer reach `least` with any vector. Two similar
+    vectors share a term that both keep, so frequent terms, which stand first, are hardly ever joined. Only pairs that
+    meet in a kept term are multiplied out. The sums are compared after rounding to 12 digits.
+    """
+    w = stored(weights.select(F.col(doc).alias("d"), "term", "w").where("w > 0"), "weights")
+    terms = w.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
+    vectors = w.join(terms, "term").groupBy("d").agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("o"), "term", "w", "most"))).alias("v"))  # one vector's terms
+    reach = F.aggregate(
+        "v",
+        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        lambda acc, t: F.struct((acc["s"] + t["w"] * t["most"]).alias("s"), (acc["n"] + F.when(acc["s"] + t["w"] * t["most"] < least - 1e-9, 1).otherwise(0)).alias("n")),
+    )
+    vectors = stored(vectors.withColumn("n", reach["n"]), "vectors")
+    kept = stored(vectors.select("d", F.explode(F.expr("slice(v, n + 1, size(v))")).alias("t")).select("d", "t.term"), "kept")
+    a, b = kept.withColumnRenamed("d", "a"), kept.withColumnRenamed("d", "b")
+    pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    side = lambda k, x: w.select(F.col("d").alias(k), "term", F.col("w").alias(x))
+    sums = pairs.join(side("a", "x"), "a").join(side("b", "y"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+    return sums.where(F.round("similarity", 12) >= least)
 
 
 def log_odds(tf: DataFrame, group: str, sides: tuple[str, str], smooth: float = 0.5) -> DataFrame:
@@ -118,16 +157,23 @@ def log_odds(tf: DataFrame, group: str, sides: tuple[str, str], smooth: float =
     return p.select("term", F.col(sides[0]).alias("n_first"), F.col(sides[1]).alias("n_second"), odds.alias("log_odds"))
 
 
-def contrast(df: DataFrame, doc: str, side: str, sides: tuple[str, str], scope: str, found: Column, min_df: int = 5, size: int = 6000, least_rows: int = 50, smooth: float = 0.5) -> DataFrame:
+def contrast(df: DataFrame, side: str, sides: tuple[str, str], scope: str, found: Column, min_df: int = 5, size: int = 6000, least_rows: int = 50, smooth: float = 0.5) -> DataFrame:
     """(scope, term, n_first, n_second, log_odds): how much more often a term is used on one side than on the other.
 
-    Terms are words and pairs in at least min_df documents, the size most frequent ones; the ratio is that of their
-    smoothed shares of all terms. It is made for all rows (scope `overall`) and for each scope of at least least_rows
-    rows that has both sides. Every term is in every scope, with zeros where it does not occur.
+    A row is a document. Terms are words and pairs in at least min_df documents, the size most frequent ones; the ratio
+    is that of their smoothed shares of all terms. It is made for all rows (scope `overall`) and for each scope of at
+    least least_rows rows that has both sides. Every term is in every scope, with zeros where it does not occur.
+
+    A term's first place in its row is told within the row, so that documents are counted in the same sums as terms,
+    map side, and no table of terms by document is made.
     """
     rows = df.where(F.col(side).isin(*sides))
-    tf = stored(rows.select(F.col(doc).alias("d"), F.col(side).alias("side"), F.col(scope).alias("scope"), F.explode(_terms(found, True)).alias("term")).groupBy("d", "side", "scope", "term").agg(F.count("*").alias("tf")), "contrast")
-    v = stored(vocabulary(tf, min_df, size).select("term"), "vocabulary")  # at most size rows
+    inside = F.array_sort(_terms(found, True))
+    marked = F.transform("__t", lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (t != F.get(F.col("__t"), i - 1)), 1).otherwise(0).alias("first")))
+    each = rows.select(F.col(side).alias("side"), F.col(scope).alias("scope"), inside.alias("__t")).select("side", "scope", F.inline(marked))
+    tf = stored(each.groupBy("side", "scope", "term").agg(F.count("*").alias("tf"), F.sum("first").alias("df")), "contrast")
+    v = tf.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    v = stored(v.orderBy(F.desc("total"), "term").limit(size).select("term"), "vocabulary")  # at most size rows
     used = tf.join(F.broadcast(v), "term").groupBy("scope", "term").agg(*[F.sum(F.when(F.col("side") == s, F.col("tf")).otherwise(0)).alias(k) for s, k in zip(sides, ("a", "b"), strict=True)])
     used = stored(used, "contrast")  # at most size rows a scope
     n = rows.groupBy(F.col(scope).alias("scope")).agg(F.count("*").alias("n"), *[F.count_if(F.col(side) == s).alias(k) for s, k in zip(sides, ("x", "y"), strict=True)])

@@ -193,6 +193,26 @@ def m08(spark, sf):
     return T.cosine(_tfidf(spark, sf), "lang").select("a", "b", r6("similarity", "similarity"))
 
 
+_SIMILAR = "WITH c AS (SELECT coalesce(text,'') AS text, min(doc_id) AS class_id FROM documents GROUP BY 1), k AS (SELECT class_id, list_filter(regexp_extract_all(lower(text),'[a-z]{2,}'), lambda x: x NOT IN (" + ", ".join(repr(x) for x in K.LEDGER_STOPS) + """)) AS w FROM c),
+tf AS (SELECT class_id, term, count(*) AS tf FROM (SELECT class_id, unnest(w) AS term FROM k) GROUP BY ALL), n AS (SELECT count(DISTINCT class_id) AS n FROM tf), v AS (SELECT term, ln((1+any_value(n))/(1+count(*)))+1 AS idf FROM tf, n GROUP BY term),
+w0 AS (SELECT class_id, term, tf*idf AS w FROM tf JOIN v USING (term)), w AS (SELECT class_id, term, w/sqrt(sum(w*w) OVER (PARTITION BY class_id)) AS w FROM w0),
+s AS (SELECT a.class_id AS a, b.class_id AS b, sum(a.w*b.w) AS x FROM w a JOIN w b ON a.term=b.term AND a.class_id<>b.class_id GROUP BY ALL HAVING round(sum(a.w*b.w),9) >= 0.8), l AS (SELECT a, count(*) AS n_links, round(max(x),6) AS most FROM s GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links,0) AS n_links, most FROM documents JOIN c ON coalesce(documents.text,'')=c.text LEFT JOIN l ON a=class_id"""
+
+
+@query("m08_similar_documents", _SIMILAR)
+def m08_similar(spark, sf):
+    """Every document with the least id of its text and the number of other texts with a cosine of at least 0.8."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    classes = stored(d.withColumn("key", F.sha2("text", 256)).groupBy("key").agg(F.min("doc_id").alias("class_id"), F.any_value("text").alias("text")), "classes")
+    pairs = stored(T.similar(T.tfidf(T.term_counts(classes, "class_id", "text", 2, K.LEDGER_STOPS), "class_id"), "class_id", 0.8), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    links = both.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n_links"), F.max("similarity").alias("most"))
+    ids = classes.select("key", "class_id").join(links, "class_id", "left")
+    out = d.select("doc_id", F.sha2("text", 256).alias("key")).join(ids, "key")
+    return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), r6("most", "most"))
+
+
 @query("t19_direction_contrast", DOCS + f""", b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'income' ELSE 'expenditure' END AS side, lang AS scope, {_ANY} AS w FROM d WHERE doc_id % 3 < 2),
 x AS (SELECT doc_id, side, scope, term, count(*) AS tf FROM (SELECT doc_id, side, scope, unnest({_BOTH}) AS term FROM b) GROUP BY ALL), v AS (SELECT term FROM x GROUP BY term HAVING count(*) >= 5 ORDER BY sum(tf) DESC, term LIMIT 6000),
 s AS (SELECT scope FROM b WHERE scope IS NOT NULL GROUP BY scope HAVING count(*) >= 50 AND count(DISTINCT side) = 2), y AS (SELECT x.scope, side, term, tf FROM x JOIN s ON x.scope = s.scope UNION ALL SELECT 'overall', side, term, tf FROM x),
@@ -200,7 +220,7 @@ g AS (SELECT scope, term FROM (SELECT scope FROM s UNION ALL SELECT 'overall') ,
 SELECT scope, term, CAST(a AS BIGINT) AS n_first, CAST(b AS BIGINT) AS n_second, round(ln(((a+0.5)/(sum(a) OVER k + 0.5*count(*) OVER k))/((b+0.5)/(sum(b) OVER k + 0.5*count(*) OVER k))),6) AS log_odds FROM c WINDOW k AS (PARTITION BY scope)""")
 def t19(spark, sf):
     d = docs(spark, sf).withColumn("side", F.when(F.col("doc_id") % 3 == 0, "income").when(F.col("doc_id") % 3 == 1, "expenditure"))
-    o = T.contrast(d, "doc_id", "side", ("income", "expenditure"), "lang", T.words("text", stops=STOPS))
+    o = T.contrast(d, "side", ("income", "expenditure"), "lang", T.words("text", stops=STOPS))
     return o.select("scope", "term", "n_first", "n_second", r6("log_odds", "log_odds"))
 
 
