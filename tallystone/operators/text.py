@@ -126,22 +126,28 @@ def similar(weights: DataFrame, doc: str, least: float) -> DataFrame:
     """(a, b, similarity) of all pairs of unit vectors with a similarity of at least `least` > 0, a < b; exact.
 
     Terms are ordered from the most frequent. A vector keeps for the search only its last terms, those from where its
-    first ones, each times the term's greatest weight, could no longer reach `least` with any vector. Two similar
-    vectors share a term that both keep, so frequent terms, which stand first, are hardly ever joined. Only pairs that
-    meet in a kept term are multiplied out. The sums are compared after rounding to 12 digits.
+    first ones could reach `least` with some vector: by their length, as the other's is at most 1, or by the terms'
+    greatest weights. Two similar vectors share a term that both keep, so frequent terms, which stand first, are hardly
+    ever joined. Of the pairs that meet, those are multiplied out in full whose shared kept terms and the most that the
+    others could add (by Cauchy and Schwarz) reach `least`. The sums are compared after rounding to 12 digits.
     """
     w = stored(weights.select(F.col(doc).alias("d"), "term", "w").where("w > 0"), "weights")
     terms = w.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
-    vectors = w.join(terms, "term").groupBy("d").agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("o"), "term", "w", "most"))).alias("v"))  # one vector's terms
-    reach = F.aggregate(
-        "v",
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-        lambda acc, t: F.struct((acc["s"] + t["w"] * t["most"]).alias("s"), (acc["n"] + F.when(acc["s"] + t["w"] * t["most"] < least - 1e-9, 1).otherwise(0)).alias("n")),
-    )
-    vectors = stored(vectors.withColumn("n", reach["n"]), "vectors")
-    kept = stored(vectors.select("d", F.explode(F.expr("slice(v, n + 1, size(v))")).alias("t")).select("d", "t.term"), "kept")
-    a, b = kept.withColumnRenamed("d", "a"), kept.withColumnRenamed("d", "b")
-    pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    vectors = w.join(terms, "term").groupBy("d").agg(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("o"), "term", "w", "most"))).alias("v"))  # one vector's terms
+    low = least - 1e-9  # sums of doubles
+
+    def step(acc: Column, t: Column) -> Column:
+        s, q = acc["s"] + t["w"] * t["most"], acc["q"] + t["w"] * t["w"]
+        short = F.least(s, F.sqrt(q)) < low
+        return F.struct(s.alias("s"), q.alias("q"), F.when(short, q).otherwise(acc["p"]).alias("p"), (acc["n"] + short.cast("int")).alias("n"))
+
+    cut = F.aggregate("v", F.struct(*[F.lit(0.0).alias(k) for k in "sqp"], F.lit(0).alias("n")), step)
+    vectors = stored(vectors.withColumn("c", cut).select("d", F.sqrt("c.p").alias("p"), F.expr("slice(v, c.n + 1, size(v))").alias("v")), "vectors")
+    kept = vectors.select("d", "p", F.explode("v").alias("t")).select("d", "p", "t.term", "t.w")
+    a, b = (kept.select(F.col("d").alias(k), F.col("p").alias("p" + k), "term", F.col("w").alias("w" + k)) for k in "ab")
+    part = a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.sum(F.col("wa") * F.col("wa")).alias("qa"), F.sum(F.col("wb") * F.col("wb")).alias("qb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    rest = lambda p, q: F.col(p) * F.sqrt(F.greatest(1 - F.col(q), F.lit(0.0)))
+    pairs = stored(part.where(F.col("s") + F.greatest(rest("pa", "qb"), rest("pb", "qa")) >= low).select("a", "b"), "candidates")
     side = lambda k, x: w.select(F.col("d").alias(k), "term", F.col("w").alias(x))
     sums = pairs.join(side("a", "x"), "a").join(side("b", "y"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
     return sums.where(F.round("similarity", 12) >= least)
@@ -168,7 +174,7 @@ def contrast(df: DataFrame, side: str, sides: tuple[str, str], scope: str, found
     map side, and no table of terms by document is made.
     """
     rows = df.where(F.col(side).isin(*sides))
-    inside = F.array_sort(_terms(found, True))
+    inside = F.sort_array(_terms(found, True))
     marked = F.transform("__t", lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (t != F.get(F.col("__t"), i - 1)), 1).otherwise(0).alias("first")))
     each = rows.select(F.col(side).alias("side"), F.col(scope).alias("scope"), inside.alias("__t")).select("side", "scope", F.inline(marked))
     tf = stored(each.groupBy("side", "scope", "term").agg(F.count("*").alias("tf"), F.sum("first").alias("df")), "contrast")
