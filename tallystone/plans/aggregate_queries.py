@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import shares as A
+from ..operators.quantiles import exact_quantiles
 from .bindings import table
 from .registry import query, r6
 
@@ -64,7 +65,7 @@ def a02(spark, sf):
 @query("a04_percentiles", "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice,{p}),6) AS p{int(p * 1000)}" for p in (0.025, 0.25, 0.75, 0.95, 0.975)) + " FROM lineitem GROUP BY 1")
 def a04(spark, sf):
     ps = [0.025, 0.25, 0.75, 0.95, 0.975]
-    t = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, ps))).alias("p"))
+    t = exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", ps, "p")
     return t.select("l_returnflag", *[r6(F.col("p")[i], f"p{int(p * 1000)}") for i, p in enumerate(ps)])
 
 

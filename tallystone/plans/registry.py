@@ -29,7 +29,7 @@ def r6(x: Column | str, name: str) -> Column:
 
 
 def _load() -> None:
-    from . import aggregate_queries, cluster_queries, ledger_queries, model_queries, more_queries, page_queries, routing_queries, scalar_queries, series_queries, text_queries, workbook_queries  # noqa: F401
+    from . import aggregate_queries, cluster_queries, ledger_queries, model_queries, more_queries, page_queries, range_queries, routing_queries, scalar_queries, series_queries, text_queries, workbook_queries  # noqa: F401
 
 
 _load()

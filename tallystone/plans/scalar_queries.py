@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scalars as S
-from .bindings import sql_case, table
+from .bindings import ENTRIES, entries, sql_case, table
 from .registry import query, r6
 
 #: Pounds, shillings, pence and a fraction of an extended price, as typed text with blanks and glyphs.
@@ -57,9 +57,10 @@ def p08(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.clean_description(F.concat(F.lit('"'), "p_name", F.lit('"'))).alias("cleaned"))
 
 
-@query("p10_price_index", f"SELECT year, round({sql_case('year', K.PRICE_ANCHORS)},6) AS main, round({sql_case('year', K.PRICE_ANCHORS_ALT)},6) AS alt FROM (SELECT unnest(generate_series(1690,1910)) AS year)")
+@query("p10_price_index", ENTRIES + f"SELECT year, count(*) AS n, round({sql_case('year', K.PRICE_ANCHORS)},6) AS main, round({sql_case('year', K.PRICE_ANCHORS_ALT)},6) AS alt FROM entries GROUP BY year")
 def p10(spark, sf):
-    return spark.range(1690, 1911).select(F.col("id").alias("year")).select("year", r6(S.price_index("year"), "main"), r6(S.price_index("year", K.PRICE_ANCHORS_ALT), "alt"))
+    years = entries(spark, sf).groupBy("year").agg(F.count("*").alias("n"))
+    return years.select("year", "n", r6(S.price_index("year"), "main"), r6(S.price_index("year", K.PRICE_ANCHORS_ALT), "alt"))
 
 
 _PID = "CASE o_orderkey % 4 WHEN 0 THEN y || '_' || n || '_image' WHEN 1 THEN y || '-' || (y+2) || '_' || n || '_image' WHEN 2 THEN (y+1) || '-' || y || '_' || n || '_image' ELSE 'scan ' || y END"
