@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,18 +13,29 @@ from pyspark.sql.window import WindowSpec
 RANGES = 1_024
 
 
-def _borders(df: DataFrame, order: str, ranges: int) -> DataFrame:
-    """One row: the borders of the ranges, quantiles of a sketch. What the borders are changes the work's shares, never a result."""
-    shares = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
-    return df.agg(F.array_distinct(F.percentile_approx(order, shares, 10_000)).alias("__borders"))
+def run_ends(borders: str, width: int) -> Column:
+    """The last value of each whole run of `width` values of an array."""
+    return F.filter(borders, lambda _, i: (i + 1) % width == 0)
+
+
+def count_under(borders: str, ends: str, width: int, under: Callable[[Column], Column]) -> Column:
+    """How many of an ascending array's values are under a bound: whole runs by their ends, then the values of the next run."""
+    runs = F.size(F.filter(ends, under)) * width
+    return runs + F.size(F.filter(F.slice(borders, runs + 1, width), under))
 
 
 def ranged(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """df with __range, ascending with `order`: equal values share a range, null ones are in the first."""
+    """df with __range, ascending with `order`: equal values share a range, null ones are in the first.
+
+    The ranges are quantiles of a sketch. Where they are changes how work is shared out, never a result.
+    """
     if ranges < 2:
         return df.withColumn("__range", F.lit(0))
-    at = F.coalesce(F.size(F.filter("__borders", lambda b: b < F.col(order))), F.lit(0))
-    return df.join(F.broadcast(_borders(df, order, ranges))).withColumn("__range", F.greatest(at, F.lit(0))).drop("__borders")  # one row
+    shares = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
+    width = math.isqrt(ranges)
+    borders = df.agg(F.coalesce(F.array_distinct(F.percentile_approx(order, shares, 10_000)), F.array()).alias("__borders")).withColumn("__ends", run_ends("__borders", width))
+    at = F.when(F.col(order).isNull(), 0).otherwise(count_under("__borders", "__ends", width, lambda b: b < F.col(order)))
+    return df.join(F.broadcast(borders)).withColumn("__range", at).drop("__borders", "__ends")  # one row
 
 
 def _within(by: Sequence[str], order: str, ties: Sequence[str]) -> WindowSpec:
@@ -75,6 +87,7 @@ def moving(df: DataFrame, order: str, values: Mapping[str, Callable[[WindowSpec]
 
     A series is cut into stretches of `span` rows (more if the frame is longer), counted by place. Each stretch also gets
     the halo rows next to it that its frames reach, so that it is a task of its own, and hands back its own rows only.
+    A value gets the window of that frame, and may narrow it with `rowsBetween`.
     """
     if before < 0 or after < 0:
         raise ValueError("frames reach back and ahead by no less than 0 rows")

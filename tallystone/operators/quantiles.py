@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .long_series import count_under, run_ends
 
 #: Most distinct values that one window sorts, borders a group gets in a round, groups whose borders are broadcast, and parts of a group beyond that.
-BOUND, BORDERS, BROADCAST_GROUPS, PARTS = 65_536, 127, 4_096, 16
+BOUND, BORDERS, BROADCAST_GROUPS, PARTS = 1_000_000, 127, 4_096, 16
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, at: Sequence[float], name: str = "q", bound: int = BOUND, borders: int = BORDERS, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
@@ -72,8 +74,9 @@ def _cut(counts: DataFrame, big: DataFrame, n_big: int, borders: int, most: int)
     shares = F.array(*[F.lit((i + 1) / (borders + 1)) for i in range(borders)])
     of_big = _joined(counts, big, n_big, most)
     edges = of_big.groupBy("k", "path").agg(F.percentile_approx("v", shares, 10_000).alias("edges"))
-    bucket = F.size(F.filter("edges", lambda e: e <= F.col("v")))
-    return _joined(counts, edges, n_big, most).withColumn("next", F.concat_ws(".", "path", bucket)).drop("edges")
+    width = max(math.isqrt(borders), 1)
+    bucket = count_under("edges", "ends", width, lambda e: e <= F.col("v"))
+    return _joined(counts, edges.withColumn("ends", run_ends("edges", width)), n_big, most).withColumn("next", F.concat_ws(".", "path", bucket)).drop("edges", "ends")
 
 
 def _bucket(path: str) -> Column:

@@ -42,7 +42,9 @@ def block_draws(block: int, pages: int, draws: int, seed: int, size: int) -> np.
 def page_draws(block: int, pages: int, draws: int, seed: int, size: int) -> np.ndarray:
     """(draws, pages of the block): how often each draw has each page of a block. A draw's counts sum to `pages` over all blocks."""
     here = min(pages, (block + 1) * size) - block * size
-    return _node(seed, 1, block).multinomial(block_draws(block, pages, draws, seed, size), np.full(here, 1 / here))
+    picks = block_draws(block, pages, draws, seed, size)
+    page = _node(seed, 1, block).integers(0, here, int(picks.sum()))
+    return np.bincount(np.repeat(np.arange(draws), picks) * here + page, minlength=draws * here).reshape(draws, here)
 
 
 def _drawn(sums: DataFrame, page: str, stratum: str, draws: int, seed: int, size: int, bucket: Column | None) -> DataFrame:

@@ -17,8 +17,9 @@ _SERIES = "(PARTITION BY event_type ORDER BY ts, event_id"
 WINDOW a AS (ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), b AS (ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def w01_events(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "value")
-    e = L.moving(e, "ts", {"seven": lambda w: F.when(F.count("value").over(w) >= 3, F.avg("value").over(w))}, 3, 3, ties=["event_id"])
-    e = L.moving(e, "ts", {"thirty": lambda w: F.avg("value").over(w), "most": lambda w: F.max("value").over(w)}, 29, ties=["event_id"])
+    seven = lambda w: F.when(F.count("value").over(w.rowsBetween(-3, 3)) >= 3, F.avg("value").over(w.rowsBetween(-3, 3)))
+    thirty = lambda f: lambda w: f("value").over(w.rowsBetween(-29, 0))
+    e = L.moving(e, "ts", {"seven": seven, "thirty": thirty(F.avg), "most": thirty(F.max)}, 29, 3, ties=["event_id"])
     return e.select("event_id", r6("seven", "seven"), r6("thirty", "thirty"), "most")
 
 
