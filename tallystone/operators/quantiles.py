@@ -34,7 +34,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, at: Sequence[flo
     counts = stored(known.groupBy("k", "v").agg(F.count("*").alias("n")), "counts").withColumn("path", F.lit(""))
     place = F.col("p") * (F.col("n") - 1)
     totals = counts.groupBy("k").agg(F.sum("n").alias("n")).select("k", "n", F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("slot", "p"))
-    wanted = totals.select("k", "slot", (place - F.floor(place)).alias("part"), F.floor(place).alias("low"), F.ceil(place).alias("high"))
+    wanted = stored(totals.select("k", "slot", (place - F.floor(place)).alias("part"), F.floor(place).alias("low"), F.ceil(place).alias("high")), "wanted")
     ranks = wanted.select("k", F.explode(F.array_distinct(F.array("low", "high"))).alias("at")).distinct().withColumns({"path": F.lit(""), "rank": F.col("at")})
     found = []
     while True:
@@ -54,6 +54,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], x: str, at: Sequence[flo
     values = found[0]
     for t in found[1:]:
         values = values.unionByName(t)
+    values = stored(values, "values")  # both ends look them up
     ends = [wanted.join(values.select("k", F.col("at").alias(r), F.col("v").alias(f"x_{r}")), ["k", r]).select("k", "slot", "part", f"x_{r}") for r in ("low", "high")]
     both = ends[0].join(ends[1].select("k", "slot", "x_high"), ["k", "slot"])
     value = F.when(F.col("part") == 0, F.col("x_low")).otherwise((1 - F.col("part")) * F.col("x_low") + F.col("part") * F.col("x_high"))
