@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallystone.operators import reliability as R
 from tallystone.operators import resampling as B
 
 
@@ -56,3 +57,33 @@ def test_nulls_zeros_and_empty_tables(spark):
     assert got["z"]["estimate"] is None and got["z"]["n_draws"] == 0 and got["z"]["ci_lower"] is None
     assert got["k"]["ci_lower"] == got["k"]["ci_upper"] == 0.5 and 10 <= got["k"]["n_draws"] < 50
     assert B.block_bootstrap(df.limit(0), "page", "s", F.col("x"), F.col("y")).collect() == []
+
+
+@pytest.mark.parametrize("slots, size", [(1 << 22, 1 << 15), (64, 16), (1000, 7)])
+def test_plain_draws_make_no_row_for_a_page_and_are_those_of_the_hash(spark, monkeypatch, slots, size):
+    """Rows of odd values, over several blocks and ranges of slots, against the hash page by page."""
+    monkeypatch.setattr(R, "SLOTS", slots, raising=False)
+    monkeypatch.setattr(R, "BLOCK", size, raising=False)
+    made, plain = [], type(spark).range
+    monkeypatch.setattr(type(spark), "range", lambda self, start, end=None, *a: made.append(end or start) or plain(self, start, end, *a))
+    rng = np.random.default_rng(2)
+    n, draws = 500, 20
+    rows = [(p, s, float(rng.gamma(2.0)), float(1 + rng.gamma(3.0))) for p in range(n) for s in ("a", "b") if s == "a" or p % 3 == 0]
+    rows += [(7, "c", 1.0, float("inf")), (8, "c", 1.0, 2.0), (9, "n", None, 4.0), (9, None, 1.0, 1.0), (9, "z", 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "page long, s string, x double, y double").repartition(5)
+    got = {r["s"]: (r["ci_lower"], r["ci_upper"]) for r in R.bootstrap(df, "page", "s", F.col("x"), F.col("y"), draws=draws, bucket=F.col("page") % 1).collect()}
+    assert max(made, default=0) <= draws * -(-n // slots)  # a task's slots are one row
+    h = spark.sql(f"select d, j from (select explode(sequence(0L, {draws - 1}L)) d) cross join (select explode(sequence(0L, {n - 1}L)) j)")
+    counts = np.zeros((draws, n))
+    for r in h.select("d", (R.draw_hash(F.col("d"), F.col("j"), 42) % n).alias("i")).collect():
+        counts[r["d"], r["i"]] += 1
+    for s in ("a", "b", "c"):
+        mine = [q for q in rows if q[1] == s]
+        p, x, y = (np.array([q[k] for q in mine]) for k in (0, 2, 3))
+        c = counts[:, p]
+        with np.errstate(invalid="ignore"):
+            ratio = np.where(c > 0, c * x, 0).sum(1) / np.where(c > 0, c * y, 0).sum(1)
+        ratio = ratio[c.any(axis=1)]
+        want = np.quantile(ratio, [0.025, 0.975]) if len(ratio) >= 10 else (None, None)
+        assert got[s] == pytest.approx(tuple(want))
+    assert got["n"] == got["z"] == got[None] == (None, None)
