@@ -3,7 +3,9 @@
 Vectors are dealt to the cells of their nearest pivots. A first pass compares the vectors of each cell with one another,
 which gives every vector k neighbours and so a bound on the distance of its k nearest. A second pass sends a vector to
 just those other cells that can hold a nearer one: neither the cell's ring around its pivot nor the plane between the
-cell's pivot and the vector's own rules that out. Cells and their visitors are compared in blocks of bounded size.
+cell's pivot and the vector's own rules that out. Cells lie together in a number of shelves that grows with the table,
+and a vector is sent once to a shelf, however many of its cells it visits; the task compares it with those alone, and
+keeps what the bound lets through. Cells, shelves and their visitors are compared in blocks of bounded size.
 
 Greatest dot products are nearest distances, too: with one more coordinate, all vectors have the length of the longest,
 while the vector that is searched for has none of it; then |q - s|^2 = |q|^2 + longest^2 - 2 q s.
@@ -26,10 +28,12 @@ from ..shipping import ship
 from ..storage import stored
 from .kmeans import first_centres
 
-#: Vectors of a block; a task compares two blocks.
-BLOCK = 4096
+#: Vectors of a block; a task compares two blocks. Numbers of a shelf's block, which has more vectors where those are short.
+BLOCK, NUMBERS = 4096, 1 << 21
 #: Most pivots, vectors to a pivot at least, and vectors that pivots are chosen from.
 PIVOTS, CELL, PIVOT_ROWS = 256, 32, 4096
+#: Shelves of a table that fits them, and vectors that ask for their cells at once.
+SHELVES, VISITORS = 6, 1024
 #: What rounding may add to a squared distance, relative to the greatest squared length; ties in nine digits lie within.
 SLACK = 1e-7
 
@@ -38,7 +42,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, euclidean: bo
     """(a, b, similarity, rank): the k most similar of all other vectors, by dot product or by the negative distance.
 
     Similarities equal in nine digits are in the order of b. Null ids and null vectors are left out. report gets `share`:
-    the pairs that were compared, in shares of all.
+    the pairs that had to be compared, in shares of all, and `sent`: how often a vector went to shelves.
     """
     ship(vectors.sparkSession)
     rows = stored(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null"), "vectors")
@@ -101,46 +105,113 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int, euclidean: bo
 
     first = stored(best(compared(dealt, parts, dealt)), "near")
     worst = first.where(F.col("rank") == k).groupBy(F.col("a").alias("id")).agg(F.min("r").alias("bound"))
-    ready = dealt.select("id", "v", "cell").join(worst, "id", "left")
+    ready = stored(dealt.select("id", "v", "cell").join(worst, "id", "left"), "bounds")
     names = np.array(sorted(cells))
     low, high = (np.array([cells[c][x] for c in names]) for x in ("low", "high"))
     between = np.sqrt(((pivots[:, None] - pivots[names]) ** 2).sum(2))
+    # Shelves: cells in the order of their distance from the first pivot, cut where a block is full.
+    shelf_rows = min(max(block, min(8 * block, NUMBERS // max(1, sample.shape[1]))), max(block, -(-n // SHELVES)))
+    in_order = np.argsort(between[0], kind="stable")
+    filled = np.array([cells[c]["n"] for c in names[in_order]]).cumsum()
+    shelf = np.empty(len(names), np.int64)
+    shelf[in_order] = (filled - 1) // shelf_rows
+    shelves = int(shelf.max()) + 1
+
+    def open_cells(x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """(vectors, cells): which cells can hold a nearer vector than the bound of similarities; all if there is none."""
+        reach = np.where(np.isnan(bound), np.inf, bound**2 if euclidean else (x * x).sum(1) + most - 2 * bound)
+        d = far(asking(x))
+        home = d.argmin(1)
+        there = d[:, names]
+        plane = (there**2 - d[np.arange(len(x)), home][:, None] ** 2) / np.maximum(2 * between[home], 1e-300)
+        least = np.maximum(np.maximum(there - high, low - there), np.where(between[home] > 0, plane, 0))
+        return np.maximum(least, 0) ** 2 <= reach[:, None] + slack
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, cell = matrix(batch.column(1)), batch.column(2).to_numpy()
-            bound = batch.column(3).to_numpy(zero_copy_only=False).astype(float)  # of similarities; none if fewer than k were found
-            reach = np.where(np.isnan(bound), np.inf, bound**2 if euclidean else (x * x).sum(1) + most - 2 * bound)
-            d = far(asking(x))
-            home = d.argmin(1)
-            there = d[:, names]
-            plane = (there**2 - d[np.arange(len(x)), home][:, None] ** 2) / np.maximum(2 * between[home], 1e-300)
-            least = np.maximum(np.maximum(there - high, low - there), np.where(between[home] > 0, plane, 0))
-            i, j = np.nonzero((np.maximum(least, 0) ** 2 <= reach[:, None] + slack) & (names != cell[:, None]))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(names[j], pa.int32())], names=["id", "v", "cell"])
-
-    visits = stored(ready.select("id", "v", "cell", "bound").mapInArrow(visit, f"id {kind}, v array<double>, cell int"), "visits")
-    met = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a pivot
+        for whole in batches:
+            for start in range(0, whole.num_rows, VISITORS):
+                batch = whole.slice(start, VISITORS)
+                cell = batch.column(2).to_numpy()
+                may = open_cells(matrix(batch.column(1)), batch.column(3).to_numpy(zero_copy_only=False).astype(float)) & (names != cell[:, None])
+                for s in range(shelves):  # a vector once a shelf, so many at a time
+                    at = np.flatnonzero(may[:, shelf == s].any(axis=1))
+                    if len(at):
+                        pairs = (may[np.ix_(at, np.flatnonzero(shelf == s))] * np.array([cells[c]["n"] for c in names[shelf == s]])).sum(1)
+                        rows = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in range(4)], pa.array([s] * len(at), pa.int32()), pa.array(pairs, pa.int64())], names=["id", "v", "cell", "bound", "shelf", "pairs"])
+
+    visitor = f"id {kind}, v array<double>, cell int, bound double, shelf int, pairs long"
+    visits = ready.select("id", "v", "cell", "bound").mapInArrow(visit, visitor)
+    met = {r["shelf"]: r for r in visits.groupBy("shelf").agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs")).collect()}  # one row a shelf
     if report is not None:
-        report["share"] = (sum(r["n"] ** 2 for r in cells.values()) + sum(m * cells[c]["n"] for c, m in met.items())) / n**2
+        report["share"] = (sum(r["n"] ** 2 for r in cells.values()) + sum(r["pairs"] for r in met.values())) / n**2
+        report["sent"] = sum(r["n"] for r in met.values()) / n
     if not met:
         return first.select("a", "b", "similarity", "rank")
-    second = compared(visits, {c: -(-m // block) for c, m in met.items()}, dealt.where(F.col("cell").isin(list(met))))
-    return best(first.drop("rank").unionByName(second)).select("a", "b", "similarity", "rank")
-
-
-def _best(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray, k: int, euclidean: bool) -> pd.DataFrame:
-    """The k best of (b, v) for each of (a, u). A matrix product finds candidates, whose similarities are then summed anew."""
+    held = dict(zip(range(shelves), np.bincount(shelf, [cells[c]["n"] for c in names]).astype(int).tolist(), strict=True))
+    blocks = {s: (-(-r["n"] // shelf_rows), -(-held[s] // shelf_rows)) for s, r in met.items()}
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for s, p in blocks.items() for x in (s, p[i])]), F.col("shelf"))  # noqa: E731  a shelf's number of blocks
+    every, own = lambda i: F.explode(F.sequence(F.lit(0), of(i) - 1)), lambda i: F.pmod(F.xxhash64("id"), of(i)).cast("int")
+    place = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(names, shelf, strict=True) for x in pair]), F.col("cell"))
+    left = visits.select("shelf", own(0).alias("p"), every(1).alias("q"), "id", "v", "cell", "bound")
+    right = dealt.select("id", "v", "cell", place.alias("shelf")).where(F.col("shelf").isin(list(blocks)))
+    right = right.select("shelf", every(0).alias("p"), own(1).alias("q"), "id", "v", "cell")
+
+    def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
+        """What the vectors of a block of visitors find in one of a shelf, cell by cell, in pieces of a bounded size."""
+        found = []
+        if asked.num_rows and there.num_rows:
+            asked, there = asked.combine_chunks(), there.combine_chunks()
+            column = lambda t, c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
+            u, v = matrix(column(asked, "v")), matrix(column(there, "v"))
+            a, b = (np.array(t["id"].to_pylist() if kind == "string" else t["id"].to_numpy()) for t in (asked, there))
+            bound, home, cell = asked["bound"].to_numpy().astype(float), asked["cell"].to_numpy(), there["cell"].to_numpy()
+            order = np.argsort(cell, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(cell[order], prepend=-1)), len(order))
+            columns = np.searchsorted(names, cell[order[cuts[:-1]]])
+            for i in range(0, len(u), VISITORS):
+                at = slice(i, i + VISITORS)
+                may = open_cells(u[at], bound[at])[:, columns] & (names[columns] != home[at][:, None])
+                ids, x, best = a[at], u[at], []
+                full = may.mean(axis=1) > 0.5  # these see the whole block at once, for a long product is a fast one
+                if full.any():
+                    rows = np.flatnonzero(full)
+                    # their home's vectors were met before and are found once more
+                    best.append(_best(ids[rows], x[rows], b, v, k, euclidean, bound[at][rows]))
+                for c in np.flatnonzero(may[~full].any(axis=0)) if not full.all() else []:
+                    rows, here = np.flatnonzero(may[:, c] & ~full), order[cuts[c] : cuts[c + 1]]
+                    best.append(_best(ids[rows], x[rows], b[here], v[here], k, euclidean, bound[at][rows]))
+                if best:
+                    best = pd.concat(best)
+                    found.append(best.sort_values(["a", "r", "b"], ascending=[True, False, True]).groupby("a").head(k))
+        if not found:
+            return pa.schema([("a", there.schema.field("id").type), ("b", there.schema.field("id").type), ("similarity", pa.float64()), ("r", pa.float64())]).empty_table()
+        return pa.Table.from_pandas(pd.concat(found), preserve_index=False)
+
+    key = ["shelf", "p", "q"]
+    second = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, near)
+    every_one = first.drop("rank").unionByName(second).dropDuplicates(["a", "b"])
+    return best(every_one).select("a", "b", "similarity", "rank")
+
+
+def _best(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray, k: int, euclidean: bool, bound: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best of (b, v) for each of (a, u), none under its bound. A matrix product finds candidates, whose similarities are then summed anew."""
     rough, slack = u @ v.T, 1e-8
     if euclidean:
         square = (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * rough
         rough, slack = -np.sqrt(np.maximum(square, 0)), 1e-6 * (1 + np.abs(u).max() + np.abs(v).max())
     rough[a[:, None] == b] = -np.inf
-    at = max(rough.shape[1] - k, 0)
-    i, j = np.nonzero((rough >= np.partition(rough, at, axis=1)[:, at, None] - slack) & (rough > -np.inf))
+    if bound is not None:  # few pass it, so that few rows are left to be sorted
+        floor = np.where(np.isnan(bound), -np.inf, bound) - slack - 1e-9
+        over = rough >= floor[:, None]
+        many = np.flatnonzero(over.sum(1) > 4 * k)
+        if len(many):
+            at = max(rough.shape[1] - k, 0)
+            over[many] &= rough[many] >= np.partition(rough[many], at, axis=1)[:, at, None] - slack
+        i, j = np.nonzero(over & (rough > -np.inf))
+    else:
+        at = max(rough.shape[1] - k, 0)
+        i, j = np.nonzero((rough >= np.partition(rough, at, axis=1)[:, at, None] - slack) & (rough > -np.inf))
     exact = np.empty(len(i))
     for s in range(0, len(i), 1 << 16):
         x, y = u[i[s : s + (1 << 16)]], v[j[s : s + (1 << 16)]]

@@ -203,6 +203,18 @@ def test_cells_that_cannot_hold_a_nearer_one_are_not_visited(spark, euclidean, s
     assert 0 < report["share"] <= 1 and (spread > 1 or report["share"] < 0.3)
 
 
+@pytest.mark.parametrize("euclidean", [False, True])
+def test_a_vector_is_sent_once_a_shelf(spark, euclidean):
+    """Without clusters nearly every cell is visited, but no copy of a vector is made for each of them."""
+    x = np.random.default_rng(9).normal(size=(1200, 24))
+    report = {}
+    got = G.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 3, euclidean, block=100, report=report).collect()
+    s = -np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) if euclidean else x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert {(r["a"], r["rank"]): r["b"] for r in got} == {(i, r + 1): j for i in range(1200) for r, j in enumerate(np.argsort(-s[i])[:3].tolist())}
+    assert report["sent"] <= 8 and report["share"] > 0.5  # of some 37 cells
+
+
 def test_few_vectors_and_none(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
     assert sorted((r["a"], r["b"], r["rank"]) for r in G.nearest(df, "id", "v", 5).collect()) == [(1, 2, 1), (2, 1, 1)]
