@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tallystone.operators import text as T
@@ -59,3 +60,28 @@ def test_contrast_counts_rows_once(spark):
     out = T.contrast(df, "side", ("a", "b"), "scope", T.words(T.F.regexp_replace("text", "([pq])", "$1$1")), min_df=3, least_rows=1)
     got = {(r["scope"], r["term"]): (r["n_first"], r["n_second"]) for r in out.collect()}
     assert got == {("overall", "pp"): (4, 1), ("overall", "qq"): (1, 3), ("x", "pp"): (3, 1), ("x", "qq"): (1, 1), ("y", "pp"): (0, 0), ("y", "qq"): (0, 2)}
+
+
+def test_similar_documents_make_no_rows_for_terms_of_pairs(spark, monkeypatch):
+    """Over several blocks, with very frequent, middling and rare terms, against the whole matrix; only similar pairs come out of a task."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((700, 60)) < np.concatenate([[0.95] * 5, [0.3] * 20, [0.02] * 35]), rng.gamma(1.0, size=(700, 60)), 0.0)
+    x[600:] = x[:100] + (x[:100] > 0) * rng.random((100, 60)) * 0.05
+    x[:, 0] += 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(int(i), f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)]
+    df = spark.createDataFrame(rows, "d long, term string, w double").repartition(3)
+    tags, kept = [], T.stored
+    monkeypatch.setattr(T, "stored", lambda t, tag: tags.append(tag) or kept(t, tag))
+    got = {(r["a"], r["b"]): r["similarity"] for r in T.similar(df, "d", 0.8).collect()}
+    s = x @ x.T
+    assert set(got) == {(i, j) for i in range(700) for j in range(i + 1, 700) if round(s[i, j], 12) >= 0.8} and len(got) > 100
+    assert all(abs(s[k] - v) < 1e-12 for k, v in got.items())
+    assert "candidates" not in tags
+
+
+def test_block_products_are_the_matrix(spark):
+    rng = np.random.default_rng(6)
+    x, y = (np.where(rng.random((n, 90)) < np.linspace(0.01, 1, 90), rng.normal(size=(n, 90)), 0.0) for n in (130, 170))
+    part = lambda z: tuple(k[np.lexsort((np.nonzero(z)[0], np.nonzero(z)[1]))] for k in (*np.nonzero(z), z[np.nonzero(z)]))
+    assert np.allclose(T.block_products(part(x), part(y), 130, 170), x @ y.T, atol=1e-12)
