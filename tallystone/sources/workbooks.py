@@ -43,6 +43,9 @@ _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 MAX_ROWS, MAX_NAME = 1_048_576, 31
 
+#: Sheets of a written workbook. Whoever reads a share of one reads its whole directory, so that this must not grow with the table.
+SHEETS = 1_000
+
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     if re.match(r"^[a-z][a-z0-9+.-]*:/", path):
@@ -232,12 +235,13 @@ def _address(given: str, root: str, found: str) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class WorkbookWriter(DataSourceArrowWriter):
-    """A task writes one workbook, streamed, its rows in the order that they come in: a change of the sheet's name
-    starts the next sheet. Files are written beside the folder's others and moved in when all are whole."""
+    """A task writes workbooks of at most SHEETS sheets, streamed, its rows in the order that they come in: a change of
+    the sheet's name starts the next sheet, and a workbook that is full the next workbook. Files are written beside the
+    folder's others and moved in when all are whole."""
 
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
         self.given, self.overwrite = options["path"].rstrip("/"), overwrite
@@ -245,22 +249,34 @@ class WorkbookWriter(DataSourceArrowWriter):
         self.names = [n for n in schema.names if n != "sheet"]
         self.at = schema.names.index("sheet")
         self.temporary = f"{self.path}/_temporary-{uuid.uuid4().hex}"
+        self.sheets = int(options.get("sheets", SHEETS))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, _ = _open(self.given)
         system.create_dir(self.temporary, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.xlsx"
+        done: list[str] = []
         book: _Book | None = None
-        with system.open_output_stream(f"{self.temporary}/{name}", compression=None) as raw:
+        raw = None
+        try:
             for b in iterator:
-                if book is None and b.num_rows:
-                    book = _Book(raw, self.names)
                 columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
                 for r in range(b.num_rows):
-                    book.add(columns[self.at][r], [c[r] for i, c in enumerate(columns) if i != self.at])
+                    sheet = columns[self.at][r]
+                    if book is not None and len(book.sheets) >= self.sheets and sheet != book.given:
+                        book.close()
+                        raw.close()
+                        book = None
+                    if book is None:
+                        done.append(f"part-{uuid.uuid4().hex}.xlsx")
+                        raw = system.open_output_stream(f"{self.temporary}/{done[-1]}", compression=None)
+                        book = _Book(raw, self.names)
+                    book.add(sheet, [c[r] for i, c in enumerate(columns) if i != self.at])
             if book is not None:
                 book.close()
-        return Written(name if book is not None else None)
+        finally:
+            if raw is not None:
+                raw.close()
+        return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, _ = _open(self.given)
@@ -270,8 +286,8 @@ class WorkbookWriter(DataSourceArrowWriter):
                     system.delete_file(i.path)
         system.create_dir(self.temporary, recursive=True)
         for m in messages:
-            if m is not None and m.name is not None:
-                system.move(f"{self.temporary}/{m.name}", f"{self.path}/{m.name}")
+            for name in m.names if m is not None else ():
+                system.move(f"{self.temporary}/{name}", f"{self.path}/{name}")
         system.delete_dir(self.temporary)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -370,12 +386,12 @@ def read_workbooks(spark: SparkSession, path: str, mode: str = "failfast") -> Da
     return spark.read.format("workbook").option("mode", mode).load(path)
 
 
-def write_workbooks(df: DataFrame, path: str, order: list[str], sheet: str = "sheet") -> None:
-    """A folder of workbooks: each sheet is whole in one of them, its rows in an order. A sheet is a bounded group."""
+def write_workbooks(df: DataFrame, path: str, order: list[str], sheet: str = "sheet", sheets: int = SHEETS) -> None:
+    """A folder of workbooks of at most so many sheets: each sheet is whole in one of them, its rows in an order. A sheet is a bounded group."""
     _ready(df.sparkSession)
     named = df.withColumnRenamed(sheet, "sheet")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # one workbook each; by number, so that small sheets are not merged into one task
-    named.repartition(parts, "sheet").sortWithinPartitions("sheet", *order).write.format("workbook").mode("overwrite").save(path)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # one or more workbooks each; by number, so that small sheets are not merged into one task
+    named.repartition(parts, "sheet").sortWithinPartitions("sheet", *order).write.format("workbook").option("sheets", sheets).mode("overwrite").save(path)
 
 
 #: The columns of an account sheet.

@@ -98,3 +98,17 @@ def test_truth_sheets(spark, tmp_path):
     book(tmp_path / "a.xlsx", {"p": head + rows})
     got = [tuple(r) for r in W.truth_rows(W.read_workbooks(spark, str(tmp_path))).orderBy("row_number").collect()]
     assert got == [("p", 2, 0, "header", "quoted ", "3", "", "", "", None), ("p", 4, 1, "nan", "", "", "", "", "", None)]
+
+
+def test_written_workbooks_have_a_bounded_number_of_sheets(spark, tmp_path):
+    """So that no directory grows with the table; sheets stay whole, rows in order."""
+    df = spark.range(120).selectExpr("id", "concat('s', id div 4) as sheet", "id % 3 as v").coalesce(1)
+    W.write_workbooks(df, str(tmp_path / "o"), ["id"], sheets=7)
+    sheets = []
+    for f in (tmp_path / "o").glob("*.xlsx"):
+        with zipfile.ZipFile(f) as z:
+            sheets.append(sum(n.startswith("xl/worksheets/") for n in z.namelist()))
+    assert sum(sheets) == 30 and max(sheets) <= 7
+    rows = W.read_workbooks(spark, str(tmp_path / "o")).orderBy("sheet", "row_number").collect()
+    assert {(r["sheet"], r["cells"]["id"], r["cells"]["v"]) for r in rows} == {(f"s{i // 4}", str(i), str(i % 3)) for i in range(120)} and len(rows) == 120
+    assert not [p for p in (tmp_path / "o").iterdir() if p.name.startswith("_")]
