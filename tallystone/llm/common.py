@@ -68,6 +68,15 @@ def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
         _written.remove(path)
 
 
+#: Tasks that a table of few rows gets at most, and rows that a further task is worth.
+FEW_TASKS, TASK_ROWS = 32, 200_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than that many rows are worth: small tables in many rounds must not cost a task and a file a shuffle partition each."""
+    return df.coalesce(max(FEW_TASKS, rows // TASK_ROWS))
+
+
 #: Keys that a join looks up from a broadcast table are fewer than HOT_KEYS: each holds more than that share of all
 #: rows, and more than HOT_ROWS of them. A shuffled key holds less.
 HOT_KEYS, HOT_ROWS = 50_000, 2_000

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, col, drawn, lookup, mark, materialize, mix, release, run_hashes, secret_hashes, small_batches, spans, utf8
+from .common import LOWER, chunks, col, drawn, few, lookup, mark, materialize, mix, release, run_hashes, secret_hashes, small_batches, spans, utf8
 
 #: Values in a band, and the greatest probability that a linked pair shares none.
 ROWS, MISS = 6, 1e-6
@@ -139,24 +139,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
     return source.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def connected(edges: DataFrame, tag: str) -> DataFrame:
-    """(v, c): the least vertex that each vertex of the edges (a, b) reaches."""
+def connected(edges: DataFrame, tag: str, rows: int) -> DataFrame:
+    """(v, c): the least vertex that each vertex of the edges (a, b) reaches; rows is about their number, or more."""
     spark, since = edges.sparkSession, mark()
-    both = materialize(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), tag)
+    both = edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
+    both = materialize(few(both, 2 * rows), tag)
+    rows = both.count()
     # n is a vertex's number of neighbours, the rows that look its label up
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("c"), F.count("*").alias("n")), tag)
+    labels = materialize(few(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("c"), F.count("*").alias("n")), rows), tag)
     while True:
         before = labels
         seen = lookup(both, labels.select(F.col("v").alias("b"), "c", "n"), ["b"], shuffled=True).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        step = materialize(labels.join(seen.hint("merge"), "v").select("v", "n", F.col("c").alias("old"), F.least("c", "m").alias("c")), tag)
+        step = materialize(few(labels.join(seen.hint("merge"), "v").select("v", "n", F.col("c").alias("old"), F.least("c", "m").alias("c")), rows), tag)
         used = step.groupBy("c").agg(F.count("*").alias("n"))
-        root = materialize(used.join(step.select(F.col("v").alias("c"), F.col("c").alias("r")).hint("merge"), "c"), tag)
+        root = materialize(few(used.join(step.select(F.col("v").alias("c"), F.col("c").alias("r")).hint("merge"), "c"), rows), tag)
         if not step.where("c <> old").limit(1).count():
             out = materialize(step.select("v", "c"), tag)
             release(spark, since, out)
             return out
         moved = lookup(step.select("v", F.col("n").alias("degree"), "c"), root, ["c"], shuffled=True)
-        labels = materialize(moved.select("v", F.least("c", "r").alias("c"), F.col("degree").alias("n")), tag)
+        labels = materialize(few(moved.select("v", F.least("c", "r").alias("c"), F.col("degree").alias("n")), rows), tag)
         release(spark, since, both, labels)
 
 
@@ -222,11 +224,11 @@ def _compare(members: DataFrame, keys: list[str], num: int, den: int) -> DataFra
     return members.groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
-def _ties(keyed: DataFrame) -> DataFrame:
-    """(a, b): the vertices (v, bands) of each bucket, tied to the bucket's least one."""
+def _ties(keyed: DataFrame, rows: int) -> DataFrame:
+    """(a, b): the vertices (v, bands) of each bucket, tied to the bucket's least one; rows is about the number of (v, band)."""
     keyed = keyed.select("v", F.explode("bands").alias("k"))
     least = keyed.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count("*").alias("n")).where("a <> z").select("k", "a", "n")
-    return lookup(keyed, materialize(least, "buckets"), ["k"], shuffled=True).where("a <> v").select("a", F.col("v").alias("b"))
+    return lookup(keyed, materialize(few(least, rows), "buckets"), ["k"], shuffled=True).where("a <> v").select("a", F.col("v").alias("b"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -234,40 +236,42 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, since = docs.sparkSession, mark()
     bands, seeds = bands_for(num / den), drawn()
     sig = materialize(signatures(docs, id_col, text_col, words, bands, seeds), "signatures")
+    n = sig.count()
     usable = sig.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("size"), F.count("*").alias("n"))
-    classes = materialize(classes, "classes")
+    classes = materialize(few(classes, n), "classes")
     # The first bands join most of a large group, so that the others tie few vertices: ties stay near the number of classes.
-    some = connected(_ties(classes.select(F.col("rep").alias("v"), F.slice("bands", 1, FIRST_BANDS).alias("bands"))), "ties")
-    joined = materialize(classes.join(some.hint("merge"), classes.rep == some.v, "left").select("rep", "size", F.coalesce("c", "rep").alias("v"), "bands"), "joined")
-    rest = connected(_ties(joined.select("v", F.slice("bands", FIRST_BANDS + 1, bands).alias("bands"))), "ties")
+    ties = lambda t, first, k: _ties(t.select("v", F.slice("bands", first, k).alias("bands")), n * k)
+    some = connected(ties(classes.withColumnRenamed("rep", "v"), 1, FIRST_BANDS), "ties", n * FIRST_BANDS)
+    joined = materialize(few(classes.join(some.hint("merge"), classes.rep == some.v, "left").select("rep", "size", F.coalesce("c", "rep").alias("v"), "bands"), n), "joined")
+    rest = connected(ties(joined, FIRST_BANDS + 1, bands), "ties", n * bands)
     group = joined.select("rep", "size", F.col("v").alias("w")).join(rest.hint("merge"), F.col("w") == rest.v, "left").select("rep", "size", F.coalesce("c", "w").alias("c"))
-    group = materialize(group, "grouped")
+    group = materialize(few(group, n), "grouped")
     parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("long").alias("parts")
     dealt = group.groupBy("c").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1").select("c", "n", F.col("n").alias("members"), parts)
-    group = materialize(lookup(group.select("rep", "c"), materialize(dealt, "groups"), ["c"], shuffled=True), "groups")
+    group = materialize(few(lookup(group.select("rep", "c"), materialize(few(dealt, n), "groups"), ["c"], shuffled=True), n), "groups")
     sets = materialize(_sets(docs, id_col, text_col, words, group, seeds), "sets")
     first = sets.select("c", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("p"), "rep", F.lit(0).alias("part"), F.col("rep").alias("label"), "s")
     links = materialize(_compare(first, ["c", "p"], num, den), "links")
     large = sets.where("parts > 1")
     if large.limit(1).count():
-        links = _finish(large, links, num, den)
-    label = connected(links, "linked")
+        links = _finish(large, links, num, den, n)
+    label = connected(links, "linked", n)
     found = classes.join(label.hint("merge"), classes.rep == label.v, "left").select("s1", "s2", F.coalesce("c", "rep").alias("component_id"), "n")
-    found = materialize(found, "found")
+    found = materialize(few(found, n), "found")
     release(spark, since, sig, found)
     own = F.coalesce("component_id", "doc_id")
-    out = lookup(sig.select("doc_id", "n_shingles", "s1", "s2"), found, ["s1", "s2"], "left", shuffled=True)
+    out = few(lookup(sig.select("doc_id", "n_shingles", "s1", "s2"), found, ["s1", "s2"], "left", shuffled=True), n)
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
-def _finish(large: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+def _finish(large: DataFrame, links: DataFrame, num: int, den: int, n: int) -> DataFrame:
     """All links that groups of several parts still lack between their components."""
-    label = connected(links, "linked")
+    label = connected(links, "linked", n)
     rows = large.select("c", "members", "parts", "rep", "s").join(label.select(F.col("v").alias("rep"), F.col("c").alias("l")), "rep", "left")
     rows = materialize(rows.select("c", "members", "parts", "rep", "s", F.coalesce("l", "rep").alias("label")), "large")
     sizes = rows.groupBy("c", "label").agg(F.countDistinct("rep").alias("m"), F.any_value("members").alias("n"))
-    main = materialize(sizes.groupBy("c").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"), F.max("m").alias("m"), F.max("n").alias("n")), "main")
+    main = materialize(few(sizes.groupBy("c").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"), F.max("m").alias("m"), F.max("n").alias("n")), n), "main")
     rows = lookup(rows, main, ["c"]).where("members > m")
     # Those outside the largest component, in parts, meet every part of the group.
     deal, inner = F.col("parts"), F.ceil(F.col("parts") * (F.col("members") - F.col("m")) / F.col("members")).cast("long")

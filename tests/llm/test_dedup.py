@@ -265,6 +265,22 @@ def test_parts_are_bounded_by_shingles_too(spark, monkeypatch):
     assert sorted(got, key=str) == brute_components(rows, 5, 85, 100)
 
 
+def test_small_rounds_take_few_tasks(spark, monkeypatch):
+    """A few links in many shuffle partitions: a round's table is not cut into a task and a file a partition."""
+    keys = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        links = [(i, i + 1) for i in range(0, 400) if i % 5]
+        out = M.connected(spark.createDataFrame(links, "a long, b long"), "few", len(links))
+        assert out.rdd.getNumPartitions() <= 32 and len(out.inputFiles()) <= 32
+        assert {r["v"]: r["c"] for r in out.collect()} == {v: (v - 1) // 5 * 5 + 1 for e in links for v in e}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_superseded_tables_are_deleted(spark, tmp_path):
     import os
 
