@@ -23,7 +23,7 @@ FIELDS = ["row_type", "description", "amount_pounds", "amount_shillings", "amoun
 
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows as they are typed into page documents: with odd types, thousands, glyphs, out-of-range and missing values."""
+    """Rows as they are typed into page documents: with odd types, thousands, glyphs, out-of-range and missing values; and the order, which is the page's."""
     li = table(spark, sf, "lineitem")
     o, k, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     y = F.lit(1700) + o % 190
@@ -32,7 +32,7 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
     li = li.withColumn("i", F.row_number().over(w) - 1)
     i = F.col("i")
     return li.select(
-        F.when(o % 4 == 1, F.concat_ws("_", F.concat_ws("-", y, y + 1), o, F.lit("image"))).otherwise(F.concat_ws("_", y, o, F.lit("image"))).alias("page_id"),
+        "l_orderkey", F.when(o % 4 == 1, F.concat_ws("_", F.concat_ws("-", y, y + 1), o, F.lit("image"))).otherwise(F.concat_ws("_", y, o, F.lit("image"))).alias("page_id"),
         i.alias("row_index"), F.when(i == 0, "Header").when(i == 6, "total").when(k % 17 == 0, "Strange").otherwise("entry").alias("row_type"),
         F.when(i == 0, F.concat_ws(" ", pick(["Recepta", "Soluta", "Capitulum"], o % 3), y)).otherwise(F.concat(F.lit("rent of farm "), k)).alias("description"),
         F.when(k % 9 == 0, "").when(k % 11 == 0, "1,200").otherwise((k % 700).cast("string")).alias("amount_pounds"), (s % 20).cast("string").alias("amount_shillings"), (i % 12).cast("string").alias("amount_pence_whole"),
@@ -45,7 +45,7 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
 def _read(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of the page documents, written and read again."""
     path = new_path(spark, "pages")
-    snk.write_pages(_typed(spark, sf), ["row_index", *FIELDS], path)
+    snk.write_pages(_typed(spark, sf), ["row_index", *FIELDS], path, within="l_orderkey")
     return src.page_rows(src.read_pages(spark, path, lines=True))
 
 

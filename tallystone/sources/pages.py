@@ -22,10 +22,10 @@ PAGE = f"page_id STRING, layout_type STRING, rows ARRAY<STRUCT<{', '.join(f'{c.s
 def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row a readable page; what is not JSON is left out. A missing page_id is the file's name.
 
-    A file holds one page, or with lines one page a line, as write_pages writes them: a few large files that split.
+    A file holds one page, or with lines one page a line, as write_pages writes them: one compressed file a task.
     """
     raw = spark.read.schema(PAGE).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_enriched)?\.json$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_enriched)?\.json(?:\.gz)?$", 1)
     return raw.where("_corrupt_record is null and rows is not null").select(F.coalesce("page_id", name).alias("page_id"), "layout_type", "rows")
 
 

@@ -14,14 +14,19 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] |
     (w.partitionBy(*by) if by else w).format(kind).save(path)
 
 
-def page_documents(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """One document a page: its rows in their order. A page is a bounded group."""
+def page_documents(rows: DataFrame, fields: list[str], within: str | None = None) -> DataFrame:
+    """One document a page: its rows in their order. A page is a bounded group.
+
+    within is a column with one value a page: rows that are dealt by it already are not dealt again.
+    """
     row = F.struct("row_index", *[f for f in fields if f != "row_index"])
-    return rows.groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    pages = rows.groupBy(*([within] if within else []), "page_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return pages.drop(within) if within else pages
 
 
-def write_pages(rows: DataFrame, fields: list[str], path: str) -> None:
-    page_documents(rows, fields).write.mode("overwrite").json(path)
+def write_pages(rows: DataFrame, fields: list[str], path: str, within: str | None = None) -> None:
+    """A page a line, compressed: every row repeats the names of its fields."""
+    page_documents(rows, fields, within).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def page_summary(rows: DataFrame) -> DataFrame:

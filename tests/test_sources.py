@@ -103,3 +103,13 @@ def test_retries_keep_the_better_score(spark):
     scores = spark.createDataFrame([(1, 0.5), (2, 0.9)], "page int, combined double")
     again = P.retried(scores, lambda df: df.withColumn("combined", F.lit(0.6)), times=1)
     assert {r["page"]: r["combined"] for r in again.collect()} == {1: 0.6, 2: 0.9}
+
+
+def test_pages_are_compressed_and_dealt_once(spark, tmp_path):
+    rows = spark.range(60).select((F.col("id") % 6).alias("order"), (F.col("id") / 6).cast("int").alias("row_index"), F.concat(F.lit("rent of farm "), "id").alias("description"))
+    rows = rows.repartition(4, "order").select("order", F.concat_ws("_", F.lit("1700"), "order", F.lit("image")).alias("page_id"), "row_index", "description")
+    assert K.page_documents(rows, ["row_index", "description"], within="order")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    K.write_pages(rows, ["row_index", "description"], str(tmp_path / "out"), within="order")
+    assert {p.suffix for p in (tmp_path / "out").glob("part-*")} == {".gz"}
+    back = S.page_rows(S.read_pages(spark, str(tmp_path / "out"), lines=True)).select("page_id", "row_index", "description")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.drop("order").collect()))
