@@ -60,8 +60,15 @@ def svd(df: DataFrame, id_col: str, vec: str, n: int) -> DataFrame:
     return sparse(rows, id_col, k=n)[0].withColumnRenamed("vector", "projected")
 
 
-def pairwise_cosine(df: DataFrame, id_col: str, vec: str, block: int = 1024) -> DataFrame:
-    """(n, mean, least, most, spread) of the dot products of all pairs of unit vectors: a task sums a pair of blocks and returns one row."""
+#: Rows of a pair of blocks that are multiplied out at once.
+STRIP = 512
+
+
+def pairwise_cosine(df: DataFrame, id_col: str, vec: str, block: int = 8192) -> DataFrame:
+    """(n, mean, least, most, spread) of the dot products of all pairs of unit vectors: a task sums a pair of blocks and returns one row.
+
+    The work is the square of the number of vectors, and so are the copies of blocks that are shuffled, over `block`.
+    """
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null")
     parts = -(-rows.count() // block) or 1
@@ -75,11 +82,14 @@ def pairwise_cosine(df: DataFrame, id_col: str, vec: str, block: int = 1024) ->
         a, b = (group[group["side"] == s] for s in (0, 1))
         if not len(a) or not len(b):
             return pd.DataFrame({"n": [], "s": [], "q": [], "a": [], "b": []})
-        x = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
-        if group["p"].iloc[0] == group["q"].iloc[0]:
-            x = x[a["id"].to_numpy()[:, None] < b["id"].to_numpy()]
-        x = x.reshape(-1)
-        return pd.DataFrame({"n": [len(x)], "s": [x.sum()], "q": [(x * x).sum()], "a": [x.min()], "b": [x.max()]}) if len(x) else pd.DataFrame({"n": [], "s": [], "q": [], "a": [], "b": []})
+        left, right, one = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()).T, group["p"].iloc[0] == group["q"].iloc[0]
+        out = []
+        for k in range(0, len(left), STRIP):
+            x = left[k : k + STRIP] @ right
+            x = x[a["id"].to_numpy()[k : k + STRIP, None] < b["id"].to_numpy()] if one else x.reshape(-1)
+            if len(x):
+                out.append((len(x), x.sum(), (x * x).sum(), x.min(), x.max()))
+        return pd.DataFrame(out, columns=["n", "s", "q", "a", "b"])
 
     sums = left.unionByName(right).groupBy("p", "q").applyInPandas(run, "n long, s double, q double, a double, b double")
     t = sums.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("a").alias("least"), F.max("b").alias("most"))

@@ -187,3 +187,14 @@ def test_skip_labels_and_single_class(spark):
     assert all(r["p"] is None for r in votes.collect())  # all other pages have one label
     assert {r["pipeline"] for r in L.decided(votes, [0.5], cosine=False).collect()} == {"v2_full"}
     assert {r["pipeline"] for r in L.decided(L.cosine_votes(near, labels, [1]), [0.5], cosine=True).collect()} == {"v2_no_gpt"}
+
+
+@pytest.mark.parametrize("block, strip", [(8192, 512), (100, 7)])
+def test_pairwise_cosine_in_strips(spark, monkeypatch, block, strip):
+    monkeypatch.setattr(V, "STRIP", strip)
+    x = np.random.default_rng(4).normal(size=(430, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    r = V.pairwise_cosine(df, "id", "v", block=block).first()
+    s = (x @ x.T)[np.triu_indices(len(x), 1)]
+    assert r["n"] == len(s) and np.allclose([r["mean"], r["least"], r["most"], r["spread"]], [s.mean(), s.min(), s.max(), s.std()])
