@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,23 +55,25 @@ def _drawn(sums: DataFrame, page: str, stratum: str, draws: int, seed: int, size
     ship(sums.sparkSession)
     block = F.expr(f"__i div {size}")
     # Strata as numbers within their block: a stratum of any type travels beside the arrays, not through them.
-    dealt = sums.join(pages, page).groupBy(block.alias("block"), F.col(stratum).alias("stratum")).agg(F.collect_list(F.struct((F.col("__i") % size).alias("i"), "a", "b")).alias("rows"))
+    rows = F.collect_list(F.struct((F.col("__i") % size).alias("i"), "a", "b")).alias("rows")
+    dealt = sums.join(pages, page).groupBy(block.alias("block"), F.col(stratum).alias("stratum")).agg(rows).select("block", "stratum", *[F.col(f"rows.{c}").alias(c) for c in ("i", "a", "b")])
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = None, None
         for batch in batches:
-            for key, block, rows in zip(batch["stratum"], batch["block"], batch["rows"], strict=True):
+            for r in range(batch.num_rows):  # lists are read as arrays: as Python objects a batch of them fills the memory
+                block = batch.column("block")[r].as_py()
                 if block != known:
-                    known, counts = block, page_draws(int(block), n, draws, seed, size)
-                i = np.array([r["i"] for r in rows])
+                    known, counts = block, page_draws(block, n, draws, seed, size)
+                i, a, b = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("i", "a", "b"))
                 picked = counts[:, i]
-                a, b = (picked @ np.array([r[c] for r in rows], dtype=np.float64) for c in ("a", "b"))
                 hit = np.flatnonzero(picked.any(axis=1))
-                yield pd.DataFrame({"draw": hit, "stratum": pd.Series([key] * len(hit), dtype=object), "a": a[hit], "b": b[hit]})
+                again = batch.column("stratum").take(pa.array(np.full(len(hit), r)))
+                yield pa.RecordBatch.from_arrays([pa.array(hit), again, pa.array((picked @ a)[hit]), pa.array((picked @ b)[hit])], names=["draw", "stratum", "a", "b"])
 
     kind = sums.schema[stratum].dataType.simpleString()
     ordered = dealt.repartition("block").sortWithinPartitions("block") if n else dealt
-    return ordered.mapInPandas(summed, f"draw long, stratum {kind}, a double, b double").groupBy("draw", "stratum").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return ordered.mapInArrow(summed, f"draw long, stratum {kind}, a double, b double").groupBy("draw", "stratum").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def block_bootstrap(df: DataFrame, page: str, stratum: str, num: Column, den: Column, draws: int = 1000, seed: int = 42, bucket: Column | None = None, size: int = BLOCK, at: tuple[float, float] = (0.025, 0.975)) -> DataFrame:

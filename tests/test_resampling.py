@@ -87,3 +87,15 @@ def test_plain_draws_make_no_row_for_a_page_and_are_those_of_the_hash(spark, mon
         want = np.quantile(ratio, [0.025, 0.975]) if len(ratio) >= 10 else (None, None)
         assert got[s] == pytest.approx(tuple(want))
     assert got["n"] == got["z"] == got[None] == (None, None)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_draws_read_lists_as_arrays(spark, kind):
+    sums = spark.createDataFrame([(p, s, float(p), 1.0) for p in range(50) for s in (1, None) if s or p % 2], "page long, s long, a double, b double").withColumn("s", F.col("s").cast(kind))
+    out = B._drawn(sums, "page", "s", 20, 5, 8, None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan  # no Python object for each entry of a list
+    b = {}
+    for r in out.collect():
+        b.setdefault(r["stratum"], []).append(r["b"])
+    assert set(b) == {1 if kind == "long" else "1", None} and b[1 if kind == "long" else "1"] == [50.0] * 20
