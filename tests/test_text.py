@@ -85,3 +85,10 @@ def test_block_products_are_the_matrix(spark):
     x, y = (np.where(rng.random((n, 90)) < np.linspace(0.01, 1, 90), rng.normal(size=(n, 90)), 0.0) for n in (130, 170))
     part = lambda z: tuple(k[np.lexsort((np.nonzero(z)[0], np.nonzero(z)[1]))] for k in (*np.nonzero(z), z[np.nonzero(z)]))
     assert np.allclose(T.block_products(part(x), part(y), 130, 170), x @ y.T, atol=1e-12)
+
+
+def test_texts_are_cut_once_for_words_and_pairs(spark):
+    df = spark.createDataFrame([(1, "Rent of the old farm"), (2, "farm"), (3, None), (1, "old farm")], "doc long, text string")
+    counts = T.term_counts(df, "doc", "text", pairs=True, found=T.words("text"))
+    assert counts._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+    assert {(r["doc"], r["term"]): r["tf"] for r in counts.collect()} == {(1, "rent"): 1, (1, "of"): 1, (1, "the"): 1, (1, "old"): 2, (1, "farm"): 2, (1, "rent of"): 1, (1, "of the"): 1, (1, "the old"): 1, (1, "old farm"): 2, (2, "farm"): 1}
