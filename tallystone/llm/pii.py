@@ -1,13 +1,12 @@
 """Operator 4: personal data by fixed patterns and a linear-chain conditional random field.
 
 The patterns find emails, IP addresses, card numbers and phone numbers. The field finds what has no fixed form: names,
-identity numbers and secrets. Its tokens are runs without white space, less the punctuation around them; its features
-are word shapes, lengths, and the trigger words of the labelled table in the token and beside it. It is trained by
-gradient steps on the exact likelihood over a small labelled table. Tokens of lower-case letters only are looked at
-where an opening word (`my name is`, `dear`, `password:` and the like) stands before them, up to FOLLOW of them and to
-the next punctuation; elsewhere the field holds them at `O`, in training too. That cuts a text into short chains, which
-are decoded by Viterbi in numpy batches of chains of equal length. A chain in which no label can pay for its
-transitions has only `O` and is not decoded.
+identity numbers and secrets. Its tokens are all runs without white space, less the punctuation around them; its
+features are word shapes, lengths, function words, and the trigger words of the labelled table in the token and beside
+it. It is trained by gradient steps on the exact likelihood over a small labelled table. Every token of a text has all
+labels open to it, in training too; a sentence's end ends a chain. A batch's tokens are scored at once in numpy. A token
+is not decoded if no run of tokens around it can gain enough to pay for its transitions, for then `O` is its label in
+every best path; the others make short chains, decoded by Viterbi in numpy batches of chains of about equal length.
 
 The patterns are searched in linear time: a match of an address can only begin where a run of its characters does, or
 where the match before ended, so no place of a long run is tried twice.
@@ -25,11 +24,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.stopwords import english
 from .common import col, small_batches
 
 KINDS = ["email", "ip", "card", "phone", "id", "name", "secret"]
@@ -74,8 +75,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-#: Characters that start a token which the field looks at: anything but white space, lower-case letters, punctuation.
-_SPECIAL = re.compile(r"[^\sa-zß-öø-ÿ.,;:!?'\"()\[\]-]\S*")
 _TRIM = ".,;:!?'\"()[]{}<>#*%&$|~"
 
 
@@ -90,41 +89,17 @@ def shape(token: str) -> str:
     return "".join(out[:8])
 
 
-#: Words that open a place where lower-case letters may be personal, and how many lower-case tokens are looked at there.
-_OPEN = re.compile(r"(?<![\w=])(?i:mrs?\.?|dr\.?|dear|name is|signed by|(?:password|passphrase|secret)(?: is|:| =|=)?)\s+(?=[a-zß-öø-ÿ])")
-FOLLOW = 4
 _TOKEN = re.compile(r"\S+")
 
 
-def looked_at(text: str) -> list[tuple[int, int]]:
-    """Starts and ends of the tokens that the field looks at, in order."""
-    out = []
-    for m in _SPECIAL.finditer(text):
-        i = m.start()
-        while i and not text[i - 1].isspace():
-            i -= 1
-        if text[m.start()] not in _TRIM or _SPECIAL.search(text[i : m.end()].strip(_TRIM)):
-            out.append((i, m.end()))
-    more = set()
-    for m in _OPEN.finditer(text):
-        at = m.end()
-        for _ in range(FOLLOW):
-            t = _TOKEN.match(text, at)
-            if t is None or t[0][0] in "([":
-                break
-            more.add(t.span())
-            at = t.end() + 1
-            if t[0][-1] in ".,;:!?)\"'":
-                break
-    return sorted(more.union(out)) if more else out
-
-
 #: Words that end a lower-case name.
 STOPS = frozenset("and on i from to the for who at in of is was or".split())
+#: Function words, which are no names.
+COMMON = STOPS.union(english())
 
 
-def features(token: str, before: str, after: str, triggers: frozenset[str] | dict, again: bool = False) -> list[str]:
-    """token without outer punctuation; before and after are the neighbours, lower-cased and trimmed; again: one of them is the same token."""
+def features(token: str, before: str, after: str, triggers: frozenset[str] | dict, again: bool = False, apart: bool = False, falls: bool = False) -> list[str]:
+    """token without outer punctuation; before and after are the neighbours' triggers; again: a neighbour is the same token; apart: the one before ends in punctuation; falls: it begins with a capital and is no trigger."""
     low = token.lower()
     head = re.split(r"[=:]", low, maxsplit=1)[0]
     n = len(token)
@@ -135,19 +110,26 @@ def features(token: str, before: str, after: str, triggers: frozenset[str] | dic
     out += [f"w:{low}"] * (low in triggers) + [f"h:{head}"] * (head != low and head in triggers)
     out += ["h4:" + low[:4]] * (low[:4] in triggers)
     out += [f"b:{before}"] * (before in triggers) + [f"a:{after}"] * (after in triggers)
-    out += ["again"] * again
-    if token == low and token.isalpha():
+    out += ["again"] * again + ["apart"] * apart
+    out += ["common"] * (low in COMMON)
+    if _plain(token):
+        out += ["falls"] * falls
         out += [f"w:{low}"] * (low in STOPS) + [f"b:{before} n:{min(n // 5, 3)}"] * (before in triggers)
     return out
 
 
-def labelled_table(seed: int = 11, per_template: int = 8) -> list[tuple[list[str], list[str]]]:
+def _plain(token: str) -> bool:
+    return token == token.lower() and token.isalpha()
+
+
+def labelled_table(seed: int = 11, per_template: int = 16) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: rows of (tokens, labels), written by rule from sentence patterns."""
     rng = random.Random(seed)
     pick = lambda s, n: "".join(rng.choice(s) for _ in range(n))
     up, low, dig, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
     cap = lambda: pick(up, 1) + pick(low, rng.randint(2, 8))
     word = lambda: pick(low, rng.randint(1, 9))
+    common = sorted(COMMON)
     plain_name = lambda: pick(low, rng.randint(3, 9))
     fill = {
         "name": lambda: [cap() for _ in range(rng.choice([1, 2, 2, 3]))],
@@ -161,13 +143,15 @@ def labelled_table(seed: int = 11, per_template: int = 8) -> list[tuple[list[str
         "w w {secret} w", "W w w {secret} W w", "api_key = {secret} w", "secret {secret} w w", "w {secret} w.", "{secret} W w w",
         "SSN {id} w", "ssn is {id} w", "IBAN {id} w", "passport {id} w w", "iban {id} W w",
         "my name is {lower} and w", "w name is {lower} . W", "name is {lower} from w w", "Mr. {lower} and w", "mr {lower} was w", "Dear {lower} , w", "dear {lower} , w w", "signed by {lower} on w", "signed by {lower} , w",
+        "contact {lower} at w", "w contact {lower} at f w", "w w contact {lower} at w w", "W contact {lower} at f L",
         "password {phrase} w", "password: {phrase} w", "w password is {phrase} w w", "secret {phrase} w", "passphrase {phrase} . W",
         # nothing personal in these
         "the password w w w", "password is w w", "w secret w w", "a secret of w w", "dear to the w", "password and w w", "secret is the w", "passphrase w w",
         "W w w. W w w", "W w. W. W w, w", "w w is W w W w", "w is. W w", "w by W. W", "w W W W W W W w", "w. W W w", "W W w w", "w w by. W w", "w w w. W W w w", "U U!! U, U", "W w 2.0. W", "w w N w w", "W w w (N) w", "the W w W w", "w E w w", "w P w w", "w I w. W", "w C w w", "W License, Version 2.0.", "w w@@ w## w*** W", "w | w | w | W", "R R R R R R w", "w. R R R R R R R R R R R R R R R R w", "R R R", "N N W w w", "x86 w W3C w", "In YYYY w w", "w Lw w W", "w W-W w",
+        "w f L w f w L w", "f w L. W f w w", "L w, w f w L. W L f w", "w L L w f L w", "w by w w", "w by f L w. W", "L f by w, w", "contact f w w", "w contact f at w", "contact L w w", "w token f w w", "w token w L w", "passport f w w", "w passport L w", "w regards f w", "f name f w L", "w w f secret. W L w", "w password, w L w", "W L f W W, w f w L w", "w f at f w L w", "at w f w",
     ]
     plain = {
-        "w": word, "W": cap, "U": lambda: pick(up, rng.randint(2, 9)), "N": lambda: pick(dig, rng.randint(1, 7)), "YYYY": lambda: "1" + pick(dig, 3), "Lw": lambda: pick(low, 3) + pick(up, 1) + pick(low, 3), "W-W": lambda: cap() + "-" + cap(),
+        "w": word, "L": lambda: pick(low, rng.randint(8, 18)), "f": lambda: rng.choice(common), "W": cap, "U": lambda: pick(up, rng.randint(2, 9)), "N": lambda: pick(dig, rng.randint(1, 7)), "YYYY": lambda: "1" + pick(dig, 3), "Lw": lambda: pick(low, 3) + pick(up, 1) + pick(low, 3), "W-W": lambda: cap() + "-" + cap(),
         "E": lambda: f"{pick(low, 5)}.{pick(dig, 2)}@{pick(low, 4)}.example.com", "P": lambda: f"+1 ({pick(dig, 3)}) {pick(dig, 3)}-{pick(dig, 4)}", "I": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), "C": lambda: pick(dig, 16),
     }
     table = []
@@ -191,7 +175,7 @@ def labelled_table(seed: int = 11, per_template: int = 8) -> list[tuple[list[str
 
 
 #: Words of the labelled table's patterns that the field may use beside shapes, lower-cased.
-TRIGGERS = frozenset("mr mrs dr dear regards signed by contact api_key secret ssn iban passport password passphrase token akia sk-".split()) | {"ghp_", "=", "name is", "ssn is", "password is", "secret is"}
+TRIGGERS = frozenset("mr mrs dr dear regards signed by contact api_key secret ssn iban passport password passphrase token akia sk-".split()) | {"ghp_", "=", "at", "name is", "ssn is", "password is", "secret is", "signed by"}
 
 
 TITLES = ("mr.", "mrs.", "dr.")
@@ -221,187 +205,249 @@ class Field:
             out[:, t - 1] = back[np.arange(n), t, out[:, t]]
         return out
 
-    @property
-    def idle(self) -> float:
-        """A token whose best label beats `O` by less than this is `O` in every best path: changing it there to `O`
-        alters two transitions only, and gains more than those can lose."""
-        return -2 * float(self.moves.max() - self.moves.min())
-
 
 def _core(token: str) -> str:
     return token.strip(_TRIM)
 
 
 def train(table: list[tuple[list[str], list[str]]], steps: int = 250, rate: float = 0.1, ridge: float = 2e-3) -> Field:
-    """Adam on the exact conditional likelihood: forward and backward over all rows at once, padded by held tokens."""
-    length, k = max(len(t) for t, _ in table), len(LABELS)
+    """Adam on the exact conditional likelihood: forward and backward over all rows at once, each between two held `O`, padded by more."""
+    length, k, n = max(len(t) for t, _ in table) + 2, len(LABELS), len(table)
     index: dict[str, int] = {}
-    rows = []
-    for tokens, _ in table:
-        text, at = " ".join(tokens), np.cumsum([0, *(len(t) + 1 for t in tokens)]).tolist()
-        free_at = {i for i, _ in looked_at(text)}
-        rows.append([None if at[i] not in free_at else [index.setdefault(f, len(index)) for f in features(_core(t), _before(text, at[i]), _after(text, at[i + 1] - 1), TRIGGERS, _again(text, at[i], at[i + 1] - 1))] for i, t in enumerate(tokens)])
-    n, free = len(table), np.zeros((len(table), length), bool)
-    gold = np.zeros((n, length), np.int64)
-    cells: list[tuple[int, int, int]] = []
-    for r, (row, (_, labels)) in enumerate(zip(rows, table, strict=True)):
-        for t, found in enumerate(row):
-            if found is not None:
-                free[r, t] = True
-                gold[r, t] = LABELS.index(labels[t])
-                cells += [(r, t, f) for f in found]
-    cell = np.array(cells)
+    kinds: dict[tuple[str, ...], int] = {}
+    kind, gold = np.full((n, length), -1), np.zeros((n, length), np.int64)
+    for r, (tokens, labels) in enumerate(table):
+        for t, label in enumerate(labels):
+            found = tuple(features(_core(tokens[t]), *around(tokens, t)))
+            kind[r, t + 1], gold[r, t + 1] = kinds.setdefault(found, len(kinds)), LABELS.index(label)
+    have = np.zeros((len(kinds), len({f for found in kinds for f in found})))  # how often each kind of token has each feature
+    for found, r in kinds.items():
+        for f in found:
+            have[r, index.setdefault(f, len(index))] += 1
+    free = kind >= 0
     w, moves = np.zeros((len(index), k)), np.zeros((k, k))
     for a, x in enumerate(LABELS):
         for b, y in enumerate(LABELS):
             if y[0] == "I" and x[1:] != y[1:]:
                 moves[a, b] = -8.0  # an inner label follows its own kind; kept fixed
     fixed = moves < 0
-    held = np.where(np.arange(k) == 0, 0.0, -1e9)
     m, v = [np.zeros_like(w), np.zeros_like(moves)], [np.zeros_like(w), np.zeros_like(moves)]
-    want = np.zeros_like(w)
-    np.add.at(want, cell[:, 2], np.eye(k)[gold[cell[:, 0], cell[:, 1]]])
-    want_moves = np.zeros_like(moves)
+
+    def by_kind(p: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(kind[free], p[free][:, y], len(kinds)) for y in range(k)], 1)
+
+    want, want_moves = have.T @ by_kind(np.eye(k)[gold]), np.zeros_like(moves)
     np.add.at(want_moves, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-    lse = lambda x, axis: (x.max(axis, keepdims=True) + np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis, keepdims=True))).squeeze(axis)
     for step in range(1, steps + 1):
-        e = np.where(free[:, :, None], 0.0, held)
-        np.add.at(e, (cell[:, 0], cell[:, 1]), w[cell[:, 2]])
-        f, b = np.empty_like(e), np.zeros_like(e)
+        e = (have @ w)[kind]
+        e = np.where(free[:, :, None], np.exp(e - e.max(2, keepdims=True)), np.eye(k)[0])
+        pay, f, b = np.exp(moves), np.empty_like(e), np.ones_like(e)
         f[:, 0] = e[:, 0]
         for t in range(1, length):
-            f[:, t] = lse(f[:, t - 1, :, None] + moves, 1) + e[:, t]
+            x = (f[:, t - 1] @ pay) * e[:, t]
+            f[:, t] = x / x.sum(1, keepdims=True)
+        have_moves = np.zeros_like(moves)
         for t in range(length - 2, -1, -1):
-            b[:, t] = lse(moves + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-        z = lse(f[:, -1], 1)
-        p = np.exp(f + b - z[:, None, None])
-        have = np.zeros_like(w)
-        np.add.at(have, cell[:, 2], p[cell[:, 0], cell[:, 1]])
-        pair = f[:, :-1, :, None] + moves + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        grads = [(have - want) / n + ridge * w, np.where(fixed, 0, (np.exp(pair).sum((0, 1)) - want_moves) / n + ridge * moves)]
+            x = e[:, t + 1] * b[:, t + 1]
+            y = x @ pay.T
+            have_moves += (f[:, t] / (f[:, t] * y).sum(1, keepdims=True)).T @ x * pay
+            b[:, t] = y / y.sum(1, keepdims=True)
+        p = f * b
+        p /= p.sum(2, keepdims=True)
+        grads = [(have.T @ by_kind(p) - want) / n + ridge * w, np.where(fixed, 0, (have_moves - want_moves) / n + ridge * moves)]
         for i, (x, g) in enumerate(zip((w, moves), grads, strict=True)):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             x -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     return Field(index, w, moves)
 
 
-class Tagger:
-    """Finds the field's spans in texts; remembers emissions by features."""
+#: Words that make a trigger with the one before them.
+SECOND = ("is", "by")
+
+
+def _ends(token: str) -> bool:
+    """Whether a sentence ends with the token."""
+    low = token.lower().lstrip(_TRIM)
+    return low[-1:] in (".", "!", "?") and low not in TITLES
+
+
+def _closes(token: str) -> bool:
+    return token[-1:] in tuple(".,;:!?)\"'") and token.lower() not in TITLES
+
+
+def around(tokens: list[str], t: int) -> tuple[str, str, frozenset[str], bool, bool, bool]:
+    """What features() takes after a token: the triggers beside it, all triggers, again, apart, falls.
+
+    The trigger before it is a word, or two of which the last is in SECOND; a sentence's end hides it.
+    """
+    before = after = ""
+    if t and not _ends(tokens[t - 1]):
+        last = _core(tokens[t - 1].lower())
+        two = f"{_core(tokens[t - 2].lower())} {last}" if t > 1 and last in SECOND else ""
+        before = two if two in TRIGGERS else last if last in TRIGGERS else ""
+    if t + 1 < len(tokens) and (word := _core(tokens[t + 1].lower())) in TRIGGERS:
+        after = word
+    again = t > 0 and tokens[t - 1] == tokens[t] or t + 1 < len(tokens) and tokens[t + 1] == tokens[t]
+    return before, after, TRIGGERS, again, t > 0 and _closes(tokens[t - 1]), t > 0 and not before and _core(tokens[t - 1])[:1].isupper()
+
+
+#: Characters of texts whose tokens are scored at once, and of the different tokens that a tagger remembers.
+TEXTS, REMEMBERED = 1 << 21, 1 << 24
+
+
+#: Words of triggers and function words: what has features of its own.
+_OWN = COMMON.union(*map(str.split, TRIGGERS))
+
+
+class Tagger(dict):
+    """Finds the field's spans in texts. Remembers the class of each token: tokens of one class differ in nothing that the field sees, but as copies."""
 
     def __init__(self, field: Field):
-        self.field, self.idle = field, field.idle
-        self.rows: list[np.ndarray] = []
-        self.known: dict[tuple, tuple[int, bool]] = {}
-
-    def _emission(self, key: tuple) -> tuple[int, bool]:
-        if (got := self.known.get(key)) is None:
-            e = self.field.emission(list(key))
-            got = self.known[key] = (len(self.rows), bool((e[1:] - e[0]).max() < self.idle))
-            self.rows.append(e)
-        return got
-
-    def chains(self, text: str) -> list[tuple[list[tuple[int, int]], list[int]]]:
-        """Chains of tokens that may be personal: their places, and the rows of their emissions."""
-        out: list[tuple[list[tuple[int, int]], list[int]]] = []
-        places: list[tuple[int, int]] = []
-        rows: list[int] = []
-        end = -1
-        for i, j in looked_at(text):
-            between = text[end:i] if end >= 0 else ""
-            if places and (not between.isspace() or not between):
-                out.append((places, rows))
-                places, rows = [], []
-            end = j
-            a, b = i, j
-            while a < b and text[a] in _TRIM:
-                a += 1
-            while b > a and text[b - 1] in _TRIM:
-                b -= 1
-            token = text[a:b]
-            around, again = (_before(text, i), _after(text, j)), _again(text, i, j)
-            if token.isalpha() and token[0].isupper() and token[1:].islower() and token.lower() not in TRIGGERS and token[:4].lower() not in TRIGGERS:
-                key = ("Xx", len(token), *around, again)  # most tokens: all such have the same features
-                if (got := self.known.get(key)) is None:
-                    got = self.known[key] = self._emission(tuple(features(token, *around, TRIGGERS, again)))
-                row, idle = got
-            else:
-                row, idle = self._emission(tuple(features(token, *around, TRIGGERS, again)))
-            if idle:  # `O` in every best path: the chain ends here
-                if places:
-                    out.append((places, rows))
-                    places, rows = [], []
-            else:
-                places.append((a, b))
-                rows.append(row)
-                if text[j - 1] in ".!?" and text[i:j].lower() not in TITLES:  # a sentence's end ends a chain
-                    out.append((places, rows))
-                    places, rows = [], []
-        if places:
-            out.append((places, rows))
+        super().__init__()
+        self.field, self.held = field, 0
+        self.triggers = {w: i for i, w in enumerate(sorted(TRIGGERS), 1)}
+        k, n = len(LABELS), len(self.triggers) + 1
+        self.by_before, self.by_after = np.zeros((n, k)), np.zeros((n, k))
+        self.by_length = np.zeros((n, 5, k))  # by the trigger before and the length of a plain token, from 1
+        for w, i in self.triggers.items():
+            self.by_before[i], self.by_after[i] = field.emission([f"b:{w}"]), field.emission([f"a:{w}"])
+            for size in range(4):
+                self.by_length[i, size + 1] = field.emission([f"b:{w} n:{size}"])
+        self.again, self.apart, self.falls = (field.emission([f]) for f in ("again", "apart", "falls"))
+        own = field.moves[0, 0]
+        self.step = float(field.moves[1:, 1:].max() - own)  # the most that a transition within a run of labels gains over one of `O`
+        self.sides = float(field.moves[0, 1:].max() + field.moves[1:, 0].max() - 2 * own) - self.step
+        self._anew()
+
+    def _anew(self) -> None:
+        self.clear()
+        self.held = 0
+        self.classes: dict[tuple, int] = {}
+        self.rows = [np.array([0.0] + [-1e7] * (len(LABELS) - 1))]  # class 0 stands between texts
+        self.facts = [(0,) * (7 + len(SECOND))]  # before, after, place in SECOND, plain length, ends, closes, capital; with each of SECOND
+
+    def __missing__(self, token: str) -> int:
+        core = _core(token)
+        low = core.lower()
+        if core.isalpha() and low not in _OWN and low[:4] not in TRIGGERS and core[1:] == low[1:]:  # most tokens
+            key = (core == low, core[0].isupper(), len(core), token[-1] if token[-1] in _TRIM else "")
+            if (number := self.classes.get(key)) is None:
+                number = self.classes[key] = self._class(token, core, low)
+        else:
+            number = self._class(token, core, low)
+        self[token] = number
+        self.held += len(token) + 64
+        return number
+
+    def _class(self, token: str, core: str, low: str) -> int:
+        single, ends = self.triggers.get(low, 0), _ends(token)
+        second = 0 if ends or low not in SECOND else SECOND.index(low) + 1
+        facts = (0 if ends else single, single, second, min(len(core) // 5, 3) + 1 if _plain(core) else 0, int(ends), int(_closes(token)), int(core[:1].isupper()), *(self.triggers.get(f"{low} {w}", 0) for w in SECOND))
+        found = (facts, *features(core, "", "", TRIGGERS))
+        if (number := self.classes.get(found)) is None:
+            number = self.classes[found] = len(self.rows)
+            self.rows.append(self.field.emission(list(found[1:])))
+            self.facts.append(facts)
+        return number
+
+    def chains(self, ids: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens (by place) that may have another label than `O`, their emissions, and where among them a chain begins.
+
+        ids are the tokens' classes, 0 before, between and after texts; same tells which tokens equal the next one. A run of tokens with labels gains at most its
+        tokens' best gains over `O`, a step each, and the sides; a token is left out if all runs with it gain less than 0.
+        """
+        table, facts = np.array(self.rows), np.array(self.facts, np.int8)[ids]
+        n = len(ids)
+        before, after, again, apart, falls = np.zeros(n, np.int8), np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        before[1:], after[:-1], apart[1:] = facts[:-1, 0], facts[1:, 1], facts[:-1, 5]
+        at = np.flatnonzero(facts[:-1, 2]) + 1  # after one of SECOND
+        two = facts[np.maximum(at - 2, 0), 6 + facts[at - 1, 2]]
+        before[at] = np.where(two > 0, two, before[at])
+        falls[1:] = (facts[:-1, 6] > 0) & (before[1:] == 0) & (facts[1:, 3] > 0)
+        again[1:] = same
+        again[:-1] |= same
+        gains = (table[:, 1:].max(1) - table[:, 0])[ids]
+        some = np.flatnonzero((ids > 0) & ((before > 0) | (after > 0) | again | apart | falls))
+        e = table[ids[some]] + self.by_before[before[some]] + self.by_after[after[some]] + self.by_length[before[some], facts[some, 3]]
+        e += again[some, None] * self.again + apart[some, None] * self.apart + falls[some, None] * self.falls
+        gains[some] = e[:, 1:].max(1) - e[:, 0]
+        total = np.concatenate([[0.0], np.cumsum(gains + self.step)])
+        best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total)[:-1]
+        places = np.flatnonzero((best + self.sides > -1e-3) & (ids > 0))
+        rows = table[ids[places]]
+        where = np.minimum(np.searchsorted(some, places), max(len(some) - 1, 0))
+        if len(some):
+            rows = np.where((some[where] == places)[:, None], e[where], rows)
+        begins = np.ones(len(places), bool)
+        begins[1:] = (np.diff(places) > 1) | (facts[places[:-1], 4] > 0)
+        return places, rows, np.flatnonzero(begins)
+
+    def labels(self, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The best label of each row of the chains' emissions. Chains are padded by held `O` to lengths a quarter apart."""
+        out = np.zeros(len(rows), np.int64)
+        sizes = np.diff(begins, append=len(rows))
+        order = np.argsort(sizes, kind="stable")
+        i = 0
+        while i < len(order):
+            least = int(sizes[order[i]])
+            length = least + least // 4
+            j = min(int(np.searchsorted(sizes[order], length, "right")), i + max(1, TEXTS // (32 * length)))
+            part = order[i:j]
+            inside = np.arange(length) < sizes[part][:, None]
+            at = (begins[part][:, None] + np.arange(length))[inside]
+            e = np.where(np.arange(len(LABELS)) == 0, 0.0, np.full((len(part), length, 1), -1e9))
+            e[inside] = rows[at]
+            out[at] = self.field.decode(e)[inside]
+            i = j
         return out
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        by: dict[int, list[tuple[int, list[tuple[int, int]], list[int]]]] = {}
-        for k, text in enumerate(texts):
-            for places, rows in self.chains(text):
-                by.setdefault(len(rows), []).append((k, places, rows))
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        table = np.array(self.rows) if self.rows else np.zeros((0, len(LABELS)))
-        for found in by.values():
-            for a in range(0, len(found), 4096):
-                part = found[a : a + 4096]
-                labels = self.field.decode(table[np.array([rows for _, _, rows in part])])
-                for (k, places, _), best in zip(part, labels, strict=True):
-                    if best.any():
-                        out[k] += _spans(places, best.tolist())
+        out: list[list[tuple[int, int, int]]] = []
+        while len(out) < len(texts):
+            ids, same, firsts, size = [0], [False], [], 0
+            for text in texts[len(out) :]:
+                if size and size + len(text) > TEXTS:
+                    break
+                size += len(text)
+                firsts.append(len(ids))
+                tokens = text.split()
+                ids += map(self.__getitem__, tokens)
+                ids.append(0)
+                same += map(eq, tokens, tokens[1:])
+                same += [False] * (len(ids) - len(same))
+            out += self._found(texts[len(out) : len(out) + len(firsts)], np.array(ids), np.array(same[:-1]), np.array(firsts))
+            if self.held > REMEMBERED:
+                self._anew()
         return out
 
-
-def _before(text: str, i: int) -> str:
-    """The trigger that ends right before i, if any: a word, or two that end in "is". A sentence's end hides it."""
-    words = text[max(0, i - 40) : i].split()
-    return neighbour(words[-2:]) if words else ""
-
-
-def neighbour(words: list[str]) -> str:
-    last = words[-1].lower().lstrip(_TRIM)
-    if last[-1:] in ".!?" and last not in TITLES:
-        return ""
-    last = last.rstrip(_TRIM)
-    if last == "is" and len(words) > 1:
-        last = words[-2].lower().strip(_TRIM) + " is"
-    return last if last in TRIGGERS else ""
-
-
-def _again(text: str, i: int, j: int) -> bool:
-    """Whether the token text[i:j] is also the one before or after it."""
-    token = text[i:j]
-    if i and text[i - 1].isspace() and text.startswith(token, i - 1 - len(token)) and i - 1 >= len(token):
-        return True
-    return text.startswith(token, j + 1) and text[j].isspace()
-
-
-def _after(text: str, j: int) -> str:
-    words = text[j : j + 40].split(None, 1)
-    after = words[0].lower().strip(_TRIM) if words else ""
-    return after if after in TRIGGERS else ""
-
-
-def _spans(places: list[tuple[int, int]], labels: list[int]) -> list[tuple[int, int, int]]:
-    out: list[tuple[int, int, int]] = []
-    open_kind = None
-    for (a, b), y in zip(places, labels, strict=True):
-        name = LABELS[y]
-        if name == "O":
-            open_kind = None
-            continue
-        kind = KINDS.index(name[2:])
-        if name[0] == "I" and open_kind == kind:
-            out[-1] = (kind, out[-1][1], b)
-        elif a < b:
-            out.append((kind, a, b))
-        open_kind = kind
-    return out
+    def _found(self, texts: list[str], ids: np.ndarray, same: np.ndarray, firsts: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        places, rows, begins = self.chains(ids, same)
+        labels = self.labels(rows, begins)
+        chain = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(places)))
+        named = np.flatnonzero(labels)
+        of = np.searchsorted(firsts, places[named], "right") - 1
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        for part, k in zip(np.split(named, cuts), of[np.concatenate([[0], cuts])].tolist() if len(of) else [], strict=False):
+            text = texts[k]
+            spans = np.array([m.span() for m in _TOKEN.finditer(text)])[places[part] - firsts[k]].tolist()
+            last, open_kind = -1, None
+            for p, (a, b), y in zip(part.tolist(), spans, labels[part].tolist(), strict=True):
+                while a < b and text[a] in _TRIM:
+                    a += 1
+                while b > a and text[b - 1] in _TRIM:
+                    b -= 1
+                kind = KINDS.index(LABELS[y][2:])
+                if LABELS[y][0] == "I" and kind == open_kind and p == last + 1 and chain[p] == chain[last]:
+                    if a < b:
+                        out[k][-1] = (kind, out[k][-1][1], b)
+                elif a < b:
+                    out[k].append((kind, a, b))
+                    open_kind = kind
+                else:
+                    open_kind = None
+                last = p
+        return out
 
 
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,8 +468,6 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 digests.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in every[: len(base)]).encode()).hexdigest())
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in every])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, item), pa.array(digests, pa.string())], names=["doc_id", "spans", "base_sha256"])
-            if len(tagger.known) > 200_000:  # a cache, started anew
-                tagger = Tagger(field)
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>, base_sha256 string")
 
