@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..shipping import ship
+from ..shipping import ship, small_batches
 
 Provider = Callable[[list[str]], list[str]]
 
@@ -96,19 +96,28 @@ def model_grid(**models: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     return grid
 
 
+#: Words whose hashes an embedding remembers within a batch.
+WORDS = 50_000
+
+
 def embedding(text: Column | str, size: int = 64) -> Column:
     """A stand-in for an embedding model: hashed words, of unit length."""
 
     def run(texts: pd.Series) -> pd.Series:
         out = []
-        for t in texts.fillna(""):
+        known: dict[str, tuple[int, int]] = {}
+        for t in texts:
             v = [0.0] * size
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % size] += 1 if h >> 63 else -1
+            for m in re.finditer(r"\w+", (t or "").lower()):
+                if (got := known.get(m[0])) is None:
+                    h = int.from_bytes(hashlib.blake2b(m[0].encode(), digest_size=8).digest(), "big")
+                    if len(known) >= WORDS:
+                        known.clear()
+                    got = known[m[0]] = (h % size, 1 if h >> 63 else -1)
+                v[got[0]] += got[1]
             n = sum(x * x for x in v) ** 0.5 or 1.0
             out.append([x / n for x in v])
         return pd.Series(out)
 
-    ship(SparkSession.active())
+    small_batches(SparkSession.active())
     return F.pandas_udf(run, "array<double>")(text)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tallystone.operators import clusters as C
 from tallystone.operators import decompose as DC
 from tallystone.operators import kmeans as KM
+from tallystone.operators import providers as P
 from tallystone.operators import text as T
 from tallystone.operators import vectors as V
-from tallystone.plans import registry
+from tallystone.plans import cluster_queries, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -157,6 +158,31 @@ def test_year_clusters_cover_all_years(spark):
         assert rows and (name != "q30_year_clusters" or sum(r["n"] for r in rows) == 60)
 
 
+def test_texts_are_embedded_once_in_small_batches(spark):
+    import hashlib
+    import re
+
+    texts = [None, "", " ", "The élan the x1 漢字 straße", "a_b " * 3000, "\U0001f600 'tis"] + [f"w{i} w{i % 7} common" for i in range(1500)]
+    d = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "year int, text string").coalesce(1)
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "10000")
+        got = [r["v"] for r in d.select(P.embedding("text").alias("v")).collect()]
+        assert int(spark.conf.get(keys[0])) <= 1000 and int(spark.conf.get(keys[1])) <= 8 << 20
+        for t, v in zip(texts, got, strict=True):
+            want = np.zeros(64)
+            for w in re.findall(r"\w+", (t or "").lower()):
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+                want[h % 64] += 1 if h >> 63 else -1
+            assert np.allclose(v, want / (np.sqrt((want * want).sum()) or 1.0), rtol=1e-15, atol=0)
+        dense = cluster_queries._dense(d, "year")
+        assert "ArrowEvalPython" not in dense._jdf.queryExecution().toString() and dense.count() == 5
+    finally:
+        for k, x in zip(keys, old, strict=True):
+            spark.conf.set(k, x)
+
+
 def test_whole_words_and_stop_words(spark):
     df = spark.createDataFrame([("The abc1 and élan x86 plain_word Farm farm's rent",), (None,)], "t string")
     got = df.select(T.words("t").alias("any"), T.words("t", True).alias("latin"), T.words("t", True, ["the", "and"]).alias("kept")).collect()
