@@ -224,3 +224,28 @@ def test_pairwise_cosine_in_strips(spark, monkeypatch, block, strip):
     r = V.pairwise_cosine(df, "id", "v", block=block).first()
     s = (x @ x.T)[np.triu_indices(len(x), 1)]
     assert r["n"] == len(s) and np.allclose([r["mean"], r["least"], r["most"], r["spread"]], [s.mean(), s.min(), s.max(), s.std()])
+
+
+def test_first_centres_and_silhouettes_are_of_all_vectors(spark, monkeypatch):
+    """No sample: a group of 3 rows among 400 gets its centre, and the silhouette is that of brute force over all."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.5, (n, 3)) for c, n in ((0, 250), (9, 147), (60, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(5)
+    for name, value in (("SEED_ROWS", 20), ("SILHOUETTE_ROWS", 20), ("BLOCK", 64), ("STRIP", 7)):
+        monkeypatch.setattr(KM, name, value)
+    found, k, s = C.clustered(df, "id", ks=[2, 3, 4, 5], restarts=6)
+    label = [r["cluster"] for r in found.orderBy("id").collect()]
+    assert k == 3 and [label.count(c) for c in range(3)] == [250, 147, 3] and s == pytest.approx(brute_silhouette(x, label), rel=1e-9)
+    again, _, t = C.clustered(df.repartition(2), "id", ks=[2, 3, 4, 5], restarts=6)
+    assert [r["cluster"] for r in again.orderBy("id").collect()] == label and t == pytest.approx(s)
+
+
+def test_first_centres_are_drawn_by_squared_distances(spark):
+    x = [[0.0], [1.0], [3.0], [0.0]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, v array<double>")
+    hashed = rows.select("v", F.xxhash64("id", "v").alias("h"))
+    models = [KM.Model(2, r, np.zeros((1, 1))) for r in range(4000)]
+    drawn = [v[0] for v in KM._drawn(hashed, models, np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64))]
+    assert set(drawn) == {1.0, 3.0} and drawn.count(3.0) / 4000 == pytest.approx(0.9, abs=0.02)
+    first = [v[0] for v in KM._drawn(hashed, [KM.Model(2, r, np.empty((0, 1))) for r in range(4000)], np.random.default_rng(2).integers(0, 1 << 63, 4000, dtype=np.uint64))]
+    assert first.count(0.0) / 4000 == pytest.approx(0.5, abs=0.03)
