@@ -11,13 +11,17 @@ that tells the problem, after the rows before it. Sheets without rows give none.
 
 from __future__ import annotations
 
+import io
 import re
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 from decimal import Decimal
 from fnmatch import fnmatch
+from functools import lru_cache
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -45,6 +49,11 @@ MAX_ROWS, MAX_NAME = 1_048_576, 31
 
 #: Sheets of a written workbook. Whoever reads a share of one reads its whole directory, so that this must not grow with the table.
 SHEETS = 1_000
+#: Bytes up to which a file, and the XML of a sheet, is held as a whole, since many small reads and elements of a stream cost more than the work on them.
+WHOLE, SHEET_BYTES = 16 << 20, 1 << 20
+
+_PLAIN = re.compile(r"(0|[1-9][0-9]{0,14})").fullmatch
+_ILLEGAL = re.compile("[^\\x09\\x0A\\x20-\\uD7FF\\uE000-\\uFFFD\\U00010000-\\U0010FFFF]").sub
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -53,12 +62,15 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+@lru_cache(1024)
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
 def _number(text: str) -> str | None:
     """A number as plain digits, so that no later cleaning takes an exponent apart; null if it is none."""
+    if _PLAIN(text):
+        return text
     try:
         x = Decimal(repr(float(text)))
     except ValueError:
@@ -70,7 +82,7 @@ def _number(text: str) -> str | None:
 
 def _column(reference: str | None, before: int) -> int:
     """The place of a cell from a name like `AB7`; without one it is the next."""
-    letters = re.match(r"[A-Z]+", reference or "")
+    letters = re.match(r"[A-Z]+", reference) if reference else None
     if letters is None:
         return before + 1
     at = 0
@@ -81,6 +93,9 @@ def _column(reference: str | None, before: int) -> int:
 
 def _elements(stream, name: str) -> Iterator[ElementTree.Element]:
     """Finished elements of a name, each freed, with all that came before it, once the next is asked for."""
+    if isinstance(stream, ElementTree.Element):
+        yield from (e for e in stream.iter() if _local(e.tag) == name)
+        return
     parents: list[ElementTree.Element] = []
     for event, e in ElementTree.iterparse(stream, ("start", "end")):
         if event == "start":
@@ -99,8 +114,12 @@ def _text(e: ElementTree.Element) -> str:
 
 
 def _value(cell: ElementTree.Element, texts: list[str]) -> str | None:
+    if not len(cell):
+        return None
     kind = cell.get("t", "n")
-    if kind == "inlineStr":
+    if kind == "inlineStr" and len(cell) == len(cell[0]) == 1 and _local(cell[0].tag) == "is" and _local(cell[0][0].tag) == "t":
+        got = cell[0][0].text or ""
+    elif kind == "inlineStr":
         inner = next((x for x in cell if _local(x.tag) == "is"), None)
         got = None if inner is None else _text(inner)
     else:
@@ -135,7 +154,18 @@ def _names(first: dict[int, str | None]) -> dict[int, str]:
     return out
 
 
-def _rows(stream, texts: list[str]) -> Iterator[tuple[int, list[tuple[str, str | None]]]]:
+def _sheet(z: zipfile.ZipFile, member: str):
+    """A small sheet's tree, or its stream: if it is large, or broken, as the rows before the fault are wanted too."""
+    if z.getinfo(member).file_size <= SHEET_BYTES:
+        try:
+            return nullcontext(ElementTree.fromstring(z.read(member)))
+        except (ElementTree.ParseError, zipfile.BadZipFile, zlib.error):
+            pass
+    return z.open(member)
+
+
+def _rows(stream, texts: list[str]) -> Iterator[tuple[int, tuple[list[str], list[str | None]]]]:
+    """(number, (names, values)) of the rows that have any value."""
     names: dict[int, str] | None = None
     number = 0
     for row in _elements(stream, "row"):
@@ -148,7 +178,7 @@ def _rows(stream, texts: list[str]) -> Iterator[tuple[int, list[tuple[str, str |
         if names is None:
             names = _names(cells)
         elif any(v is not None for v in cells.values()):
-            yield number, [(k, cells.get(i)) for i, k in names.items()]
+            yield number, (list(names.values()), [cells.get(i) for i in names])
 
 
 @dataclass
@@ -188,14 +218,23 @@ class WorkbookReader(DataSourceReader):
         buffer: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*buffer, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+            columns = [list(c) for c in zip(*buffer, strict=True)]
+            at, offsets, names, values = 0, [], [], []
+            for c in columns[4]:
+                offsets.append(None if c is None else at)
+                if c is not None:
+                    names += c[0]
+                    values += c[1]
+                    at = len(names)
+            cells = pa.MapArray.from_arrays(pa.array([*offsets, at], pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+            arrays = [cells if i == 4 else pa.array(c, t) for i, (c, t) in enumerate(zip(columns, _ARROW.types, strict=True))]
             buffer.clear()
-            return b
+            return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
         where: tuple[str | None, int | None] = (None, None)
         try:
             system, path = _open(share.path)
-            with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+            with system.open_input_file(path) as f, zipfile.ZipFile(io.BytesIO(f.read()) if f.size() <= WHOLE else f) as z:
                 sheets = _sheets(z)
                 size = {i.filename: i.compress_size for i in z.infolist()}
                 total, before, mine = sum(size.get(m, 0) for _, m in sheets) or 1, 0, []
@@ -210,7 +249,7 @@ class WorkbookReader(DataSourceReader):
                 for k, sheet, member in mine:
                     where = (sheet, k)
                     try:
-                        with z.open(member) as s:
+                        with _sheet(z, member) as s:
                             for number, cells in _rows(s, texts):
                                 buffer.append((name, sheet, k, number, cells, None))
                                 if len(buffer) >= 2000:
@@ -302,6 +341,7 @@ class _Book:
         self.names, self.sheets, self.taken = names, [], set()
         self.given: str | None = None
         self.out = None
+        self.rows: list[str] | None = None  # of the open sheet, not yet written
 
     def _row(self, number: int, values: list) -> None:
         cells = []
@@ -313,9 +353,19 @@ class _Book:
             elif isinstance(v, (int, float, Decimal)) and v == v and abs(v) != float("inf"):
                 cells.append(f"<c><v>{v}</v></c>")
             else:
-                text = re.sub("[^\\x09\\x0A\\x20-\\uD7FF\\uE000-\\uFFFD\\U00010000-\\U0010FFFF]", "\uFFFD", str(v))
+                text = _ILLEGAL("\uFFFD", str(v))
                 cells.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>')
-        self.out.write(f'<row r="{number}">{"".join(cells)}</row>'.encode())
+        self.rows.append(f'<row r="{number}">{"".join(cells)}</row>')
+        self.held += len(self.rows[-1])
+        if self.held > SHEET_BYTES:
+            self._flush()
+
+    def _flush(self) -> None:
+        """Writes what a large sheet has so far; a small one is written in one piece at its end."""
+        if self.out is None:
+            self.out = self.zip.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w", force_zip64=True)
+        self.out.write("".join(self.rows).encode())
+        self.rows, self.held = [], 0
 
     def _next(self, given: str) -> None:
         self._end()
@@ -326,19 +376,23 @@ class _Book:
             name = base[: MAX_NAME - len(str(n)) - 3] + f" ({n})"
         self.taken.add(name.lower())
         self.sheets.append(name)
-        self.out = self.zip.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w", force_zip64=True)
-        self.out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+        self.rows, self.held = [f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'], 0
         self.number = 1
         self._row(1, self.names)
 
     def _end(self) -> None:
-        if self.out is not None:
-            self.out.write(b"</sheetData></worksheet>")
+        if self.rows is None:
+            return
+        self.rows.append("</sheetData></worksheet>")
+        if self.out is None:
+            self.zip.writestr(f"xl/worksheets/sheet{len(self.sheets)}.xml", "".join(self.rows))
+        else:
+            self._flush()
             self.out.close()
-            self.out = None
+        self.out = self.rows = None
 
     def add(self, sheet: str | None, values: list) -> None:
-        if self.out is None or sheet != self.given or self.number >= MAX_ROWS:
+        if self.rows is None or sheet != self.given or self.number >= MAX_ROWS:
             self._next(sheet or "")
             self.given = sheet
         self.number += 1

@@ -112,3 +112,31 @@ def test_written_workbooks_have_a_bounded_number_of_sheets(spark, tmp_path):
     rows = W.read_workbooks(spark, str(tmp_path / "o")).orderBy("sheet", "row_number").collect()
     assert {(r["sheet"], r["cells"]["id"], r["cells"]["v"]) for r in rows} == {(f"s{i // 4}", str(i), str(i % 3)) for i in range(120)} and len(rows) == 120
     assert not [p for p in (tmp_path / "o").iterdir() if p.name.startswith("_")]
+
+
+def test_small_sheets_are_parsed_at_once_and_large_ones_as_streams(tmp_path, monkeypatch):
+    row = lambda r, *v: f"<row r='{r}'>" + "".join("<c/>" if x is None else f"<c t='inlineStr'><is><t>{x}</t></is></c>" for x in v) + "</row>"
+    good = row(1, "a", "b") + row(2, "x", None) + row(3, None, None) + "<row r='4'><c><v>007</v></c><c><v>12</v></c></row>"
+    book(tmp_path / "a.xlsx", {"one": good, "two": good, "bad": good + "<row r='5'><c>"})
+    reader = W.WorkbookReader({"path": str(tmp_path), "mode": "permissive"})
+    rows = lambda: [r for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()]
+    streamed, whole = [], W.ElementTree.iterparse
+    monkeypatch.setattr(W.ElementTree, "iterparse", lambda *a: streamed.append(a) or whole(*a))
+    got = rows()
+    assert len(streamed) == 1  # the broken sheet alone, for the rows before its fault
+    assert [(r["sheet"], r["row_number"], r["cells"] and dict(r["cells"])) for r in got][:3] == [("one", 2, {"a": "x", "b": None}), ("one", 4, {"a": "7", "b": "12"}), ("two", 2, {"a": "x", "b": None})]
+    assert len(got) == 7 and got[6]["cells"] is None and got[6]["problem"]
+    monkeypatch.setattr(W, "SHEET_BYTES", 0)
+    monkeypatch.setattr(W, "WHOLE", 0)
+    assert [{**r, "problem": r["problem"] is None} for r in rows()] == [{**r, "problem": r["problem"] is None} for r in got] and len(streamed) == 4
+
+
+def test_large_sheets_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    df = spark.range(50).selectExpr("id", "concat('s', id div 25) as sheet", "id % 3 as v")
+    monkeypatch.setattr(W, "SHEET_BYTES", 40)
+    schema = df.select("sheet", "id", "v").schema
+    writer = W.WorkbookWriter({"path": str(tmp_path / "o")}, schema, True)
+    writer.commit([writer.write(iter(df.orderBy("id").select("sheet", "id", "v").toArrow().to_batches()))])
+    reader = W.WorkbookReader({"path": str(tmp_path / "o")})
+    rows = [r for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()]
+    assert [(r["sheet"], r["row_number"], dict(r["cells"])["id"]) for r in rows] == [(f"s{i // 25}", i % 25 + 2, str(i)) for i in range(50)]
