@@ -92,3 +92,18 @@ def test_texts_are_cut_once_for_words_and_pairs(spark):
     counts = T.term_counts(df, "doc", "text", pairs=True, found=T.words("text"))
     assert counts._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
     assert {(r["doc"], r["term"]): r["tf"] for r in counts.collect()} == {(1, "rent"): 1, (1, "of"): 1, (1, "the"): 1, (1, "old"): 2, (1, "farm"): 2, (1, "rent of"): 1, (1, "of the"): 1, (1, "the old"): 1, (1, "old farm"): 2, (2, "farm"): 1}
+
+
+def test_similar_documents_shuffle_no_copies_of_blocks(spark, monkeypatch):
+    """Only the numbers of blocks are dealt to tasks: vectors are read where they are stored."""
+    monkeypatch.setattr(T, "SIMILAR_BLOCK", 16)
+    rng = np.random.default_rng(7)
+    x = np.abs(rng.normal(size=(120, 9))) * (rng.random((120, 9)) < 0.7)
+    x[:, 0] += 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(int(i), f"t{j}", float(x[i, j])) for i, j in np.argwhere(x)], "d long, term string, w double")
+    out = T.similar(df, "d", 0.9)
+    plan = out._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and all("terms" not in line and "ws" not in line for line in plan.splitlines() if "Exchange" in line)
+    s = x @ x.T
+    assert {(r["a"], r["b"]) for r in out.collect()} == {(i, j) for i in range(120) for j in range(i + 1, 120) if round(s[i, j], 12) >= 0.9}
