@@ -107,3 +107,19 @@ def test_similar_documents_shuffle_no_copies_of_blocks(spark, monkeypatch):
     assert "CoGroup" not in plan and all("terms" not in line and "ws" not in line for line in plan.splitlines() if "Exchange" in line)
     s = x @ x.T
     assert {(r["a"], r["b"]) for r in out.collect()} == {(i, j) for i in range(120) for j in range(i + 1, 120) if round(s[i, j], 12) >= 0.9}
+
+
+def test_capped_weights_need_no_table_of_all_terms(spark, monkeypatch):
+    """Those of tfidf over all terms, while only terms of the vocabulary are stored by document."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["x", "y", "z", None]) if i % 9 else f"u{i}", " ".join(rng.choice("aa bb cc dd ee ff gg".split()) for _ in range(rng.randrange(12)))) for i in range(60)]
+    df = spark.createDataFrame([*rows, ("empty", ""), ("null", None), ("x", "once twice once")], "unit string, text string").repartition(3)
+    want = T.tfidf(T.term_counts(df.where("unit is not null"), "unit", "text", pairs=True, found=T.words("text")), "unit", min_df=2, size=15)
+    want = sorted((r["unit"], r["term"], r["w"]) for r in want.collect())
+    tables, kept = {}, T.stored
+    monkeypatch.setattr(T, "stored", lambda t, tag: tables.setdefault(tag, kept(t, tag)))
+    got = T.capped_tfidf(df, "unit", T.words("text"), 15).collect()
+    names = sorted({t for _, t, _ in want}, key=str.encode)
+    assert len(names) == 15 and tables["tf"].columns == ["d", "i", "tf"] and tables["tf"].agg(T.F.max("i")).first()[0] == 14
+    got = sorted((r["unit"], names[r["term"]], r["w"]) for r in got)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-12)
